@@ -1,0 +1,47 @@
+"""Run registered queries beside their SQL twins in DuckDB and compare the rows."""
+
+from __future__ import annotations
+
+from pathlib import Path
+
+import duckdb
+
+TABLES = (
+    "region nation customer supplier part orders lineitem events documents embeddings pages "
+    "benchmark labels conversations"
+).split()
+
+
+def connect(sf_dir: str):
+    con = duckdb.connect()
+    for name in TABLES:
+        if Path(f"{sf_dir}/{name}.parquet").exists():
+            con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet'")
+    return con
+
+
+def compare(spark, con, query, sql: str, sf_dir: str) -> tuple[int, str | None]:
+    """Row count, and what differs, if anything: columns, types or rows."""
+    df = query(spark, sf_dir)
+    relation = con.sql(sql)
+    columns = sorted(df.columns)
+    if columns != sorted(relation.columns):
+        return 0, f"columns {columns} and {sorted(relation.columns)}"
+    quoted = ", ".join(f'"{c}"' for c in columns)
+    theirs_df = con.sql(f"SELECT {quoted} FROM ({sql}) q")
+    kinds = {"BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "BOOLEAN": "boolean"}
+    their_types = [kinds.get(str(t), str(t)) for t in theirs_df.types]
+    our_types = [df.schema[c].dataType.simpleString() for c in columns]
+    if their_types != our_types:
+        return 0, f"types {list(zip(columns, our_types, their_types))}"
+
+    def order(row):
+        return [(v is not None, str(v)) for v in row]
+
+    ours = sorted((tuple(r) for r in df.select(*columns).collect()), key=order)
+    theirs = sorted(theirs_df.fetchall(), key=order)
+    if ours != theirs:
+        extra = [r for r in ours if r not in set(theirs)][:3]
+        lacking = [r for r in theirs if r not in set(ours)][:3]
+        return len(ours), f"{len(ours)} and {len(theirs)} rows; only ours {extra}; only theirs {lacking}"
+    return len(ours), None
