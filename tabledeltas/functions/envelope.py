@@ -117,10 +117,12 @@ def decode_envelope(
     payload = F.col(quoted(name))
     body = frame_body(payload) if codec.framed else payload
 
-    # One column per step: a parsed body is used several times but parsed once.
+    # Generated columns are a barrier: a later filter on the outcome is not pushed below
+    # them, where it would parse every body again for each mention of it.
     bodies = _bodies(payload, body, schema, codec)
+    once = F.inline(F.array(F.struct(*[b.parsed.alias(n) for n, b in bodies.items()])))
     try:
-        parsed = df.withColumns({n: b.parsed for n, b in bodies.items()})
+        parsed = df.select("*", once)
     except AnalysisException as e:
         if "AVRO" in str(e):
             raise CodecUnavailable(AVRO_NEEDED) from e

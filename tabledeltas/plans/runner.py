@@ -14,11 +14,12 @@ a fixed ``run_ts``.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import datetime, timedelta, timezone
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tabledeltas.operators.changes import (
     KeyViolation,
@@ -30,18 +31,15 @@ from tabledeltas.operators.changes import (
 from tabledeltas.sources.sinks import Sink, emit_changes
 from tabledeltas.sources.snapshots import (
     COMMITTED,
-    LIFECYCLE,
     REJECTED,
     STAGED,
     Snapshot,
     SnapshotStore,
     as_utc,
-    latest_snapshot,
     load_snapshot,
     mark,
-    newest,
     retire_snapshots,
-    staged_snapshots,
+    store_state,
     write_snapshot,
 )
 
@@ -90,14 +88,15 @@ def run_query(
     that of the prior result, so that the two are compared without a shuffle; the first
     time, the session's number of shuffle partitions.
     """
+    state = store_state(spark, store)
+    prior = state.prior
     # Finished from its own saved result and under its own run_ts: evaluating again could
     # lose deletes of keys that were already emitted.
-    finished = tuple(staged_snapshots(spark, store))
-    for staged in finished:
-        _finish(spark, store, staged, sink, null_safe)
+    for staged in state.staged:
+        _finish(spark, store, prior, staged, sink, null_safe)
+        prior = staged
 
-    run_ts = _checked_time(run_ts, newest(spark, store, *LIFECYCLE))
-    prior = latest_snapshot(spark, store)
+    run_ts = _checked_time(run_ts, state.last)
     result = query_result(spark, sql, tables)
     keys = tuple(key_list(result, pk))
     if prior is not None:
@@ -105,12 +104,9 @@ def run_query(
             raise ValueError(f"the key changed from {prior.key} to {keys}: use a new query name")
         align(load_snapshot(spark, prior), result)  # schemas only; fails before any work
         buckets = buckets or prior.buckets
-    path = store.snapshot_path(run_ts)
-    buckets = write_snapshot(result, keys, path, buckets)
-
-    saved = Snapshot(run_ts, path, 0, keys, buckets)
+    saved = write_snapshot(result, keys, store.snapshot_path(run_ts), run_ts, buckets)
     rows, nulls, repeated = key_stats(load_snapshot(spark, saved), keys)
-    saved = Snapshot(run_ts, path, rows, keys, buckets)
+    saved = replace(saved, rows=rows)
     if nulls or repeated:
         mark(spark, store, [saved], REJECTED)
         raise KeyViolation(
@@ -118,9 +114,9 @@ def run_query(
             f"{nulls} rows with a null key, {repeated} repeated keys"
         )
     mark(spark, store, [saved], STAGED)
-    feed = _finish(spark, store, saved, sink, null_safe)
+    feed = _finish(spark, store, prior, saved, sink, null_safe)
     retire_snapshots(spark, store, keep)
-    return Run(run_ts, saved, feed, finished)
+    return Run(run_ts, saved, feed, state.staged)
 
 
 def changes_between(
@@ -129,27 +125,32 @@ def changes_between(
     """The change feed of two saved results; without a previous one every row is an insert."""
     after = load_snapshot(spark, latest)
     if previous is None:
-        before = spark.createDataFrame([], after.schema)
+        before = after.where(F.lit(False))
     else:
         before = load_snapshot(spark, previous)
     return change_feed(before, after, latest.key, null_safe, latest.run_ts)
 
 
 def _finish(
-    spark: SparkSession, store: SnapshotStore, staged: Snapshot, sink: Sink, null_safe: bool
+    spark: SparkSession,
+    store: SnapshotStore,
+    prior: Snapshot | None,
+    staged: Snapshot,
+    sink: Sink,
+    null_safe: bool,
 ) -> DataFrame:
-    feed = changes_between(spark, latest_snapshot(spark, store), staged, null_safe)
+    feed = changes_between(spark, prior, staged, null_safe)
     emit_changes(feed, staged.key, sink, staged.run_ts)
     mark(spark, store, [staged], COMMITTED)
     return feed
 
 
-def _checked_time(run_ts: datetime | None, last: Snapshot | None) -> datetime:
+def _checked_time(run_ts: datetime | None, last: datetime | None) -> datetime:
     """The prior result is the newest by run time, so run times must grow."""
     if run_ts is None:
         now = datetime.now(timezone.utc)
-        return now if last is None else max(now, last.run_ts + timedelta(microseconds=1))
+        return now if last is None else max(now, last + timedelta(microseconds=1))
     run_ts = as_utc(run_ts)
-    if last is not None and run_ts <= last.run_ts:
-        raise ValueError(f"run_ts {run_ts} is not after the last run's {last.run_ts}")
+    if last is not None and run_ts <= last:
+        raise ValueError(f"run_ts {run_ts} is not after the last run's {last}")
     return run_ts

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _resolve(spark: SparkSession, path: str):
@@ -38,6 +41,16 @@ def child_directories(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory())
 
 
+def append_rows(spark: SparkSession, rows: Sequence[tuple], schema: T.StructType, path: str) -> None:
+    """Append a few rows as one file, so that readers see all of them or none."""
+    literals = [
+        F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, schema.fields)])
+        for row in rows
+    ]
+    appended = spark.range(1, numPartitions=1).select(F.inline(F.array(*literals)))
+    appended.write.mode("append").parquet(path)
+
+
 def scratch_directory(spark: SparkSession) -> str:
     """A new folder for the working tables of one call, dropped when Spark ends.
 

@@ -10,12 +10,13 @@ the state that counts is the furthest one written. Every append is a single smal
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,6 +36,7 @@ MANIFEST_SCHEMA = T.StructType(
         T.StructField("rows", T.LongType()),
         T.StructField("key", T.ArrayType(T.StringType())),
         T.StructField("buckets", T.IntegerType()),
+        T.StructField("schema", T.StringType()),
         T.StructField("status", T.StringType()),
         T.StructField("written_at", T.TimestampType()),
     ]
@@ -73,6 +75,7 @@ class Snapshot:
     rows: int
     key: tuple[str, ...]
     buckets: int
+    schema: str  # JSON; a result without rows may have no file to read it from
 
 
 def snapshot_name(run_ts: datetime) -> str:
@@ -94,13 +97,11 @@ def mark(spark: SparkSession, store: SnapshotStore, snapshots: Sequence[Snapshot
         raise ValueError(f"status must be one of {LIFECYCLE}, not {status!r}")
     now = datetime.now(timezone.utc)
     rows = [
-        (store.query, s.run_ts, s.path, s.rows, list(s.key), s.buckets, status, now)
+        (store.query, s.run_ts, s.path, s.rows, list(s.key), s.buckets, s.schema, status, now)
         for s in snapshots
     ]
     if rows:
-        spark.createDataFrame(rows, MANIFEST_SCHEMA).coalesce(1).write.mode("append").parquet(
-            store.manifest_path
-        )
+        files.append_rows(spark, rows, MANIFEST_SCHEMA, store.manifest_path)
 
 
 def manifest(spark: SparkSession, store: SnapshotStore) -> DataFrame:
@@ -109,7 +110,7 @@ def manifest(spark: SparkSession, store: SnapshotStore) -> DataFrame:
         return spark.createDataFrame([], MANIFEST_SCHEMA)
     log = spark.read.schema(MANIFEST_SCHEMA).parquet(store.manifest_path)
     step = F.array_position(F.array(*[F.lit(s) for s in LIFECYCLE]), F.col("status"))
-    entry = F.struct("path", "rows", "key", "buckets", "status", "written_at")
+    entry = F.struct("path", "rows", "key", "buckets", "schema", "status", "written_at")
     folded = fold_latest(
         log.select("query", "run_ts", entry.alias("entry"), step.alias("step"), "written_at"),
         keys={"query": "query", "run_ts": "run_ts"},
@@ -119,31 +120,50 @@ def manifest(spark: SparkSession, store: SnapshotStore) -> DataFrame:
     return folded.select("query", "run_ts", "value.*")
 
 
-def newest(spark: SparkSession, store: SnapshotStore, *statuses: str) -> Snapshot | None:
-    """The newest run in one of the states."""
+@dataclass(frozen=True)
+class StoreState:
+    """Where the runs of a query stand."""
+
+    prior: Snapshot | None  # newest committed: what the next run is compared with
+    last: datetime | None  # newest run of any state
+    staged: tuple[Snapshot, ...]  # saved but not committed; a crash leaves at most one
+
+
+def store_state(spark: SparkSession, store: SnapshotStore) -> StoreState:
+    entry = F.struct("run_ts", "path", "rows", "key", "buckets", "schema")
+
+    def only(status: str, what: str | Column) -> Column:
+        return F.when(F.col("status") == status, F.col(what) if isinstance(what, str) else what)
+
     row = (
         manifest(spark, store)
-        .where(F.col("status").isin(*statuses))
-        .agg(F.max_by(F.struct("run_ts", "path", "rows", "key", "buckets"), "run_ts").alias("s"))
+        .agg(
+            F.max_by(entry, only(COMMITTED, "run_ts")).alias("prior"),
+            F.max("run_ts").alias("last"),
+            F.sort_array(F.collect_list(only(STAGED, entry))).alias("staged"),
+        )
         .first()
     )
-    return _snapshot(row["s"]) if row["s"] is not None else None
+    return StoreState(
+        _snapshot(row["prior"]) if row["prior"] is not None else None,
+        as_utc(row["last"]) if row["last"] is not None else None,
+        tuple(_snapshot(r) for r in row["staged"]),
+    )
 
 
 def latest_snapshot(spark: SparkSession, store: SnapshotStore) -> Snapshot | None:
     """The newest committed run: the prior result of the next one."""
-    return newest(spark, store, COMMITTED)
-
-
-def staged_snapshots(spark: SparkSession, store: SnapshotStore) -> list[Snapshot]:
-    """Runs that were saved but not committed, oldest first. A crash leaves at most one."""
-    rows = manifest(spark, store).where(F.col("status") == STAGED).orderBy("run_ts").collect()
-    return [_snapshot(r) for r in rows]
+    return store_state(spark, store).prior
 
 
 def _snapshot(row) -> Snapshot:
     return Snapshot(
-        as_utc(row["run_ts"]), row["path"], row["rows"], tuple(row["key"]), row["buckets"]
+        as_utc(row["run_ts"]),
+        row["path"],
+        row["rows"],
+        tuple(row["key"]),
+        row["buckets"],
+        row["schema"],
     )
 
 
@@ -151,11 +171,16 @@ def _snapshot(row) -> Snapshot:
 
 
 def write_snapshot(
-    df: DataFrame, pk: str | Sequence[str], path: str, buckets: int | None = None
-) -> int:
-    """Save a result once, one file per hash bucket of its key; return the bucket count.
-
-    Fails if the path already holds data. Unique keys spread evenly over the buckets.
+    df: DataFrame,
+    pk: str | Sequence[str],
+    path: str,
+    run_ts: datetime,
+    buckets: int | None = None,
+) -> Snapshot:
+    """Save a result once, one file per hash bucket of its key.
+
+    Fails if the path already holds data. Unique keys spread evenly over the buckets. The
+    rows are counted later, when the key is checked.
     """
     spark = df.sparkSession
     keys = key_list(df, pk)
@@ -173,18 +198,18 @@ def write_snapshot(
         )
     finally:
         _forget(spark, table)
-    return buckets
+    return Snapshot(as_utc(run_ts), path, 0, tuple(keys), buckets, df.schema.json())
 
 
 def load_snapshot(spark: SparkSession, snapshot: Snapshot) -> DataFrame:
     """Read a saved result so that Spark knows its bucketing."""
-    plain = spark.read.parquet(snapshot.path)
-    keys = ", ".join(quoted(k) for k in key_list(plain, snapshot.key))
+    schema = T.StructType.fromJson(json.loads(snapshot.schema)).toNullable()
+    keys = ", ".join(quoted(k) for k in snapshot.key)
     location = files.qualified(spark, snapshot.path).replace("\\", "\\\\").replace("'", "\\'")
     table = _table_name()
     try:
         spark.sql(
-            f"CREATE TABLE {table} ({plain.schema.toDDL()}) USING parquet "
+            f"CREATE TABLE {table} ({schema.toDDL()}) USING parquet "
             f"CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {snapshot.buckets} BUCKETS "
             f"LOCATION '{location}'"
         )
@@ -203,13 +228,11 @@ def retire_snapshots(spark: SparkSession, store: SnapshotStore, keep: int = 2) -
     if keep < 1:
         raise ValueError("at least the newest snapshot must be kept")
     committed = manifest(spark, store).where(F.col("status") == COMMITTED)
-    newest_first = F.col("run_ts").desc()
-    kept = [_snapshot(r) for r in committed.orderBy(newest_first).limit(keep).collect()]
+    # Bounded by keep and the runs since the last call, normally one.
+    runs = [_snapshot(r) for r in committed.orderBy(F.col("run_ts").desc()).collect()]
+    kept, retired = runs[:keep], runs[keep:]
     if not kept:
         return []
-    # Bounded by the runs since the last call, normally one.
-    old = committed.orderBy(newest_first).offset(keep).collect()
-    retired = [_snapshot(r) for r in old]
     mark(spark, store, retired, RETIRED)
     names_kept = {snapshot_name(s.run_ts) for s in kept}
     for name in files.child_directories(spark, store.data_path):

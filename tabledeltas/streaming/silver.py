@@ -15,9 +15,11 @@ owns the table writes to it, and it does so between micro-batches.
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +36,8 @@ COMMIT_SCHEMA = T.StructType(
         T.StructField("path", T.StringType()),
         T.StructField("batch_id", T.LongType()),
         T.StructField("folded", T.BooleanType()),
+        T.StructField("schema", T.StringType()),
+        T.StructField("written_at", T.TimestampType()),
     ]
 )
 
@@ -62,6 +66,7 @@ class _Live:
     generation: int
     parts: tuple[str, ...]
     folded: bool
+    schema: str | None  # of the newest part; older ones read an added field as NULL
 
 
 def maintain_latest(
@@ -92,7 +97,7 @@ def maintain_latest(
             live = _next_generation(session, table, live, list(keys))
         changed = fold_latest(batch, keys, order_by=order_by)
         path = _add_part(session, table, live.generation, changed, batch_id, folded=False)
-        live = _Live(live.generation, (*live.parts, path), False)
+        live = _Live(live.generation, (*live.parts, path), False, changed.schema.json())
 
     return (
         records.writeStream.queryName(f"silver_{topic}")
@@ -137,8 +142,10 @@ def _live(spark: SparkSession, table: SilverTable) -> _Live:
         commits = spark.read.schema(COMMIT_SCHEMA).parquet(path).collect()
         if commits:
             parts = tuple(sorted({c["path"] for c in commits}))
-            return _Live(_number(name), parts, len(parts) == 1 and commits[0]["folded"])
-    return _Live(0, (), False)
+            schema = max(commits, key=lambda c: c["written_at"])["schema"]
+            folded = len(parts) == 1 and commits[0]["folded"]
+            return _Live(_number(name), parts, folded, schema)
+    return _Live(0, (), False, None)
 
 
 def _number(generation: str) -> int:
@@ -148,7 +155,8 @@ def _number(generation: str) -> int:
 def _read(spark: SparkSession, live: _Live, topic: str, keys: list[str]) -> DataFrame:
     if not live.parts:
         raise FileNotFoundError(f"topic {topic!r} has no committed micro-batch yet")
-    rows = spark.read.parquet(*live.parts)
+    schema = T.StructType.fromJson(json.loads(live.schema))
+    rows = spark.read.schema(schema).parquet(*live.parts)
     if live.folded:
         return rows
     return fold_latest(rows, {k: k for k in keys}, order_by="ord")
@@ -161,7 +169,7 @@ def _next_generation(spark: SparkSession, table: SilverTable, live: _Live, keys:
         for name in files.child_directories(spark, parent):
             if _number(name) <= live.generation + 1 - GENERATIONS_KEPT:
                 files.delete(spark, f"{parent}/{name}")
-    return _Live(live.generation + 1, (path,), True)
+    return _Live(live.generation + 1, (path,), True, folded.schema.json())
 
 
 def _add_part(
@@ -177,6 +185,7 @@ def _add_part(
     in_generation = f"generation={generation:08d}"
     path = f"{table.data_path}/{in_generation}/part={batch_id}-{uuid.uuid4().hex}"
     rows.write.mode("errorifexists").parquet(path)
-    commit = spark.createDataFrame([(path, batch_id, folded)], COMMIT_SCHEMA)
-    commit.coalesce(1).write.mode("append").parquet(f"{table.commits_path}/{in_generation}")
+    now = datetime.now(timezone.utc)
+    commit = (path, batch_id, folded, rows.schema.json(), now)
+    files.append_rows(spark, [commit], COMMIT_SCHEMA, f"{table.commits_path}/{in_generation}")
     return path

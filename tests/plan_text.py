@@ -1,0 +1,11 @@
+"""What a physical plan does, read from its text."""
+
+from __future__ import annotations
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def count_of(df, operator: str) -> int:
+    return sum(line.lstrip(" +-:*()0123456789").startswith(operator) for line in plan(df).splitlines())

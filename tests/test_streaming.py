@@ -1,0 +1,235 @@
+import pytest
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import functions as F
+
+import tabledeltas.streaming.silver as silver
+from tabledeltas.operators import fold_latest
+from tabledeltas.plans import catalog, fixture as fx
+from tabledeltas.sources import RecordedTopics, files
+from tabledeltas.sources.layout import SILVER
+from tabledeltas.streaming import (
+    ingest_topic,
+    maintain_latest,
+    read_bronze,
+    read_latest,
+    read_rejects,
+    register_topic,
+    run_streams,
+    stream_bronze,
+)
+
+NOW = {"availableNow": True}
+YY = fx.SCHEMAS["yy"]
+
+
+@pytest.fixture
+def recorded(tmp_path):
+    return str(tmp_path / "recorded")
+
+
+def batch_fold(spark, sf_dir):
+    return rows_of(fold_latest(fx.yy_log(spark, sf_dir), fx.KEYS))
+
+
+def rows_of(folded):
+    return sorted((r["userid"], r["value"] and tuple(r["value"]), r["ord"]) for r in folded.collect())
+
+
+def latest(spark, lake):
+    return rows_of(read_latest(spark, lake, "yy", ["userid"]))
+
+
+def in_batches(spark, sf_dir, recorded, lake, n=4):
+    """Land ``yy`` as ``n`` files in order, for as many micro-batches."""
+    raw = fx.raw_topic(fx.yy_log(spark, sf_dir), "yy")
+    raw.repartitionByRange(n, "offset").write.parquet(f"{recorded}/yy")
+    source = RecordedTopics(recorded, max_files_per_trigger=1)
+    query = ingest_topic(spark, "yy", source, YY, lake, NOW)
+    query.awaitTermination()
+    return query
+
+
+def maintain(spark, lake, fold_every=50):
+    return maintain_latest(
+        spark,
+        stream_bronze(spark, lake, "yy", YY, max_files_per_trigger=1),
+        lake,
+        "yy",
+        fx.KEYS,
+        fold_every=fold_every,
+        trigger=NOW,
+    )
+
+
+def test_bronze_keeps_every_record_once_over_restarts(spark, tiny, recorded, lake):
+    for part in range(3):
+        catalog.land(spark, tiny, recorded, lake, part, 3)
+    rows = read_bronze(spark, lake, "yy", YY)
+    assert rows.columns == fx.raw_topic(fx.yy_log(spark, tiny), "yy").columns
+    assert rows.count() == rows.select("offset").distinct().count() == 1000
+
+
+def test_bronze_sets_rejects_apart(spark, tiny, recorded, lake):
+    good = fx.raw_topic(fx.yy_log(spark, tiny), "yy")
+    bad = good.where("offset % 10 = 0").withColumn("value", F.lit("{oops").cast("binary"))
+    good.where("offset % 10 <> 0").unionByName(bad).write.parquet(f"{recorded}/yy")
+    ingest_topic(spark, "yy", RecordedTopics(recorded), YY, lake, NOW).awaitTermination()
+    assert read_bronze(spark, lake, "yy", YY).count() == 900
+    rejects = read_rejects(spark, lake, "yy", YY)
+    assert rejects.count() == 100
+    row = rejects.where("offset = 10").first()
+    assert (row["column"], row["reason"], bytes(row["payload"])) == ("value", "malformed", b"{oops")
+    assert row["topic"] == "yy"
+
+
+def test_silver_equals_the_batch_fold(spark, tiny, recorded, lake):
+    in_batches(spark, tiny, recorded, lake)
+    query = maintain(spark, lake)
+    query.awaitTermination()
+    assert len(query.recentProgress) == 4
+    assert latest(spark, lake) == batch_fold(spark, tiny)
+
+
+def test_a_micro_batch_writes_only_the_keys_it_changed(spark, tiny, recorded, lake):
+    in_batches(spark, tiny, recorded, lake)
+    maintain(spark, lake).awaitTermination()
+    log = fx.yy_log(spark, tiny)
+    live = silver._live(spark, silver.SilverTable(lake, "yy"))
+    assert len(live.parts) == 4
+    for part in live.parts:
+        rows = spark.read.parquet(part)
+        first, last = rows.agg(F.min("ord"), F.max("ord")).first()
+        in_range = log.where(F.col("offset").between(first, last))
+        assert rows.count() == rows.select("userid").distinct().count()
+        assert rows.count() <= in_range.select("key.userId").distinct().count() + 1
+
+
+def test_restart_takes_up_where_it_stopped(spark, tiny, recorded, lake):
+    for part in range(3):
+        catalog.land(spark, tiny, recorded, lake, part, 3)
+        catalog.refresh(spark, lake)
+    assert len(silver._live(spark, silver.SilverTable(lake, "yy")).parts) == 3
+    assert latest(spark, lake) == batch_fold(spark, tiny)
+
+
+def test_generations_bound_what_is_read(spark, tiny, recorded, lake):
+    in_batches(spark, tiny, recorded, lake, n=8)
+    maintain(spark, lake, fold_every=2).awaitTermination()
+    table = silver.SilverTable(lake, "yy")
+    live = silver._live(spark, table)
+    assert live.generation == 6 and len(live.parts) == 2
+    for path in (table.data_path, table.commits_path):
+        assert files.child_directories(spark, path) == ["generation=00000005", "generation=00000006"]
+    assert latest(spark, lake) == batch_fold(spark, tiny)
+
+
+def test_a_folded_table_is_read_without_a_shuffle(spark, tiny, recorded, lake):
+    in_batches(spark, tiny, recorded, lake, n=2)
+    maintain(spark, lake).awaitTermination()
+    table = silver.SilverTable(lake, "yy")
+    silver._next_generation(spark, table, silver._live(spark, table), ["userid"])
+    from plan_text import count_of
+
+    assert count_of(read_latest(spark, lake, "yy", ["userid"]), "Exchange") == 0
+    assert latest(spark, lake) == batch_fold(spark, tiny)
+
+
+@pytest.mark.parametrize("fold_every", [2, 50])
+@pytest.mark.parametrize("when", ["before_commit", "after_commit"])
+def test_failure_in_a_micro_batch(spark, tiny, recorded, lake, monkeypatch, when, fold_every):
+    """Whatever a failed attempt left behind, the restart ends with the same table."""
+    in_batches(spark, tiny, recorded, lake)
+    real, calls = files.append_rows, []
+
+    def failing(session, rows, schema, path):
+        calls.append(path)
+        if len(calls) == 3:
+            if when == "after_commit":
+                real(session, rows, schema, path)
+            raise RuntimeError("lost")
+        real(session, rows, schema, path)
+
+    with monkeypatch.context() as m:
+        m.setattr(silver.files, "append_rows", failing)
+        with pytest.raises(StreamingQueryException, match="lost"):
+            maintain(spark, lake, fold_every).awaitTermination()
+    seen = {user for user, _, _ in latest(spark, lake)}
+    assert seen  # readers beside the failed stream see whole batches only
+    maintain(spark, lake, fold_every).awaitTermination()
+    assert latest(spark, lake) == batch_fold(spark, tiny)
+
+
+def test_generation_without_a_commit_is_passed_over(spark, tiny, recorded, lake):
+    """A reader may come while the first commit of a generation is being written."""
+    in_batches(spark, tiny, recorded, lake, n=2)
+    maintain(spark, lake).awaitTermination()
+    unfinished = f"{silver.SilverTable(lake, 'yy').commits_path}/generation=00000001/_temporary/0"
+    spark._jvm.java.io.File(unfinished).mkdirs()
+    assert latest(spark, lake) == batch_fold(spark, tiny)
+
+
+def test_micro_batch_without_rows(spark, tiny, recorded, lake):
+    """An empty first batch leaves a table that reads as empty, not one that cannot be read."""
+    empty = spark.createDataFrame([], YY.bronze_schema()).drop("rejected", "_reject")
+    table = silver.SilverTable(lake, "yy")
+    silver._add_part(spark, table, 0, fold_latest(empty, fx.KEYS), 0, folded=False)
+    assert latest(spark, lake) == []
+
+
+def test_field_added_to_the_topic_is_null_in_older_parts(spark, lake):
+    table = silver.SilverTable(lake, "yy")
+    for n, fields in enumerate(["'a', 1", "'a', 2, 'b', 3"]):
+        rows = spark.sql(f"SELECT {n} AS userid, named_struct({fields}) AS value, {n} AS ord")
+        silver._add_part(spark, table, 0, rows, n, folded=False)
+    rows = read_latest(spark, lake, "yy", ["userid"]).collect()
+    assert sorted(tuple(r["value"]) for r in rows) == [(1, None), (2, 3)]
+
+
+def test_lost_checkpoint_replays_onto_the_same_table(spark, tiny, recorded, lake):
+    in_batches(spark, tiny, recorded, lake, n=2)
+    maintain(spark, lake).awaitTermination()
+    files.delete(spark, lake.checkpoint_path(SILVER, "yy"))
+    maintain(spark, lake).awaitTermination()
+    assert latest(spark, lake) == batch_fold(spark, tiny)
+
+
+def test_topic_view(spark, tiny, recorded, lake):
+    in_batches(spark, tiny, recorded, lake, n=2)
+    maintain(spark, lake).awaitTermination()
+    register_topic(spark, lake, "yy", ["userid"], name="yy_now")
+    live = [u for u, value, _ in batch_fold(spark, tiny) if value is not None]
+    assert sorted(r["userid"] for r in spark.sql("SELECT * FROM yy_now").collect()) == live
+
+
+def test_reading_a_topic_that_never_ran(spark, lake):
+    with pytest.raises(FileNotFoundError, match="'zz' has no committed"):
+        read_latest(spark, lake, "zz", ["userid"])
+
+
+def _start(spark, name, fail=False):
+    def batch(df, _):
+        if fail:
+            raise RuntimeError(f"{name} failed")
+
+    def start():
+        rate = spark.readStream.format("rate").option("rowsPerSecond", 5).load()
+        return rate.writeStream.foreachBatch(batch).trigger(processingTime="100 milliseconds").start()
+
+    return start
+
+
+@pytest.mark.parametrize("position", [0, 1])
+def test_failure_of_either_stream_stops_both_and_is_raised(spark, position):
+    starts = [_start(spark, f"s{i}", fail=i == position) for i in range(2)]
+    with pytest.raises(StreamingQueryException, match=f"s{position} failed"):
+        run_streams(starts)
+    assert not spark.streams.active
+
+
+def test_failure_to_start_stops_what_runs(spark):
+    def broken():
+        raise ValueError("no source")
+
+    with pytest.raises(ValueError, match="no source"):
+        run_streams([_start(spark, "s0"), broken])
+    assert not spark.streams.active
