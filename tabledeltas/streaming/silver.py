@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from tabledeltas.operators.latest import as_table, fold_latest
+from tabledeltas.operators.latest import as_table, fold_latest, project_value
 from tabledeltas.sources import files
 from tabledeltas.sources.layout import SILVER, Layout
 from tabledeltas.streaming.bronze import DEFAULT_TRIGGER
@@ -110,14 +110,20 @@ def maintain_latest(
 
 
 def read_latest(
-    spark: SparkSession, layout: Layout, topic: str, keys: Sequence[str]
+    spark: SparkSession,
+    layout: Layout,
+    topic: str,
+    keys: Sequence[str],
+    fields: Sequence[str] | None = None,
 ) -> DataFrame:
     """``(<keys>, value, ord)`` as of the last committed micro-batch.
 
     A deleted key is a row with a null value. Just after a fold the table is one folded part
-    and is read without a shuffle.
+    and is read without a shuffle. ``fields`` limits the value to some of its fields; the
+    others are then neither read nor shuffled.
     """
-    return _read(spark, _live(spark, SilverTable(layout, topic)), topic, list(keys))
+    live = _live(spark, SilverTable(layout, topic))
+    return _read(spark, live, topic, list(keys), fields)
 
 
 def register_topic(
@@ -125,10 +131,11 @@ def register_topic(
     layout: Layout,
     topic: str,
     keys: Sequence[str],
+    fields: Sequence[str] | None = None,
     name: str | None = None,
 ) -> DataFrame:
     """Make a topic's current table a view under the topic's name."""
-    table = as_table(read_latest(spark, layout, topic, keys), keys)
+    table = as_table(read_latest(spark, layout, topic, keys, fields), keys)
     table.createOrReplaceTempView(name or topic)
     return table
 
@@ -152,11 +159,19 @@ def _number(generation: str) -> int:
     return int(generation.split("=")[1])
 
 
-def _read(spark: SparkSession, live: _Live, topic: str, keys: list[str]) -> DataFrame:
+def _read(
+    spark: SparkSession,
+    live: _Live,
+    topic: str,
+    keys: list[str],
+    fields: Sequence[str] | None = None,
+) -> DataFrame:
     if not live.parts:
         raise FileNotFoundError(f"topic {topic!r} has no committed micro-batch yet")
     schema = T.StructType.fromJson(json.loads(live.schema))
     rows = spark.read.schema(schema).parquet(*live.parts)
+    if fields is not None:
+        rows = project_value(rows, fields)
     if live.folded:
         return rows
     return fold_latest(rows, {k: k for k in keys}, order_by="ord")

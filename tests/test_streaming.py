@@ -3,6 +3,7 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 import tabledeltas.streaming.silver as silver
+from plan_text import count_of, plan
 from tabledeltas.operators import fold_latest
 from tabledeltas.plans import catalog, fixture as fx
 from tabledeltas.sources import RecordedTopics, files
@@ -128,8 +129,6 @@ def test_a_folded_table_is_read_without_a_shuffle(spark, tiny, recorded, lake):
     maintain(spark, lake).awaitTermination()
     table = silver.SilverTable(lake, "yy")
     silver._next_generation(spark, table, silver._live(spark, table), ["userid"])
-    from plan_text import count_of
-
     assert count_of(read_latest(spark, lake, "yy", ["userid"]), "Exchange") == 0
     assert latest(spark, lake) == batch_fold(spark, tiny)
 
@@ -201,6 +200,20 @@ def test_topic_view(spark, tiny, recorded, lake):
     assert sorted(r["userid"] for r in spark.sql("SELECT * FROM yy_now").collect()) == live
 
 
+@pytest.mark.parametrize("folded", [False, True])
+def test_fields_left_out_are_not_read(spark, tiny, recorded, lake, folded):
+    in_batches(spark, tiny, recorded, lake, n=2)
+    maintain(spark, lake).awaitTermination()
+    if folded:
+        table = silver.SilverTable(lake, "yy")
+        silver._next_generation(spark, table, silver._live(spark, table), ["userid"])
+    rows = register_topic(spark, lake, "yy", ["userid"], ["refcount"], name="yy_narrow")
+    assert rows.columns == ["refcount"]
+    assert "value:struct<refcount:int>" in plan(rows)
+    live = [value[1] for _, value, _ in batch_fold(spark, tiny) if value is not None]
+    assert sorted(r["refcount"] for r in rows.collect()) == sorted(live)
+
+
 def test_reading_a_topic_that_never_ran(spark, lake):
     with pytest.raises(FileNotFoundError, match="'zz' has no committed"):
         read_latest(spark, lake, "zz", ["userid"])
