@@ -82,7 +82,7 @@ def rows_written(spark: SparkSession) -> dict[str, int]:
         catalog.refresh(spark, layout)
         table = catalog.read_latest(spark, layout, "yy", ["userid"])
         rewritten += table.count()
-    parts = _live(spark, SilverTable(layout, "yy")).parts
+    parts = [p.path for p in _live(spark, SilverTable(layout, "yy")).changes]
     return {"changed_keys": spark.read.parquet(*parts).count(), "full_rewrite": rewritten}
 
 

@@ -65,7 +65,7 @@ def updates(
     ``null_safe=False`` compares with plain ``=``: a row whose only change is to or from
     NULL then compares as unknown and is left out.
     """
-    previous = align(previous, latest)
+    previous = align(previous, latest.schema)
     keys = key_list(latest, pk)
     others = [f for f in latest.schema.fields if f.name not in keys]
     l, p = latest.alias("l"), previous.alias("p")
@@ -99,7 +99,7 @@ def change_feed(
     its row as one struct, which is null exactly where that side has no such key.
     Keys must be unique (``assert_key``); a null key fails the job.
     """
-    previous = align(previous, latest)
+    previous = align(previous, latest.schema)
     keys = key_list(latest, pk)
     reserved = {"op", "before", "after", "run_ts"} & {k.lower() for k in keys}
     if reserved:
@@ -144,10 +144,7 @@ def apply_changes(previous: DataFrame, feed: DataFrame, pk: str | Sequence[str])
     touched = feed.select(*[F.col(quoted(k)) for k in key_list(feed, pk)]).toDF(*keys)
     kept = previous.join(touched, keys, "left_anti")
     written = feed.where(F.col("op").isin(INSERT, UPDATE)).select("after.*")
-    added = [f for f in after.fields if f.name not in previous.columns]
-    for field in added:
-        kept = kept.withColumn(field.name, F.lit(None).cast(field.dataType))
-    return kept.select(*[F.col(quoted(f.name)) for f in after.fields]).unionByName(written)
+    return align(kept, after).unionByName(written)
 
 
 def key_stats(df: DataFrame, pk: str | Sequence[str]) -> tuple[int, int, int]:
@@ -179,13 +176,13 @@ def assert_key(df: DataFrame, pk: str | Sequence[str]) -> int:
 # --- comparison helpers -------------------------------------------------------------------
 
 
-def align(previous: DataFrame, latest: DataFrame) -> DataFrame:
-    """``previous`` in the columns of ``latest``: an added column is NULL there.
+def align(previous: DataFrame, latest: T.StructType) -> DataFrame:
+    """``previous`` in the columns of the latest schema: an added column is NULL there.
 
     A dropped or retyped column is an error naming it. Nullability may differ.
     """
     old = {f.name.lower(): f for f in previous.schema.fields}
-    new = {f.name.lower(): f for f in latest.schema.fields}
+    new = {f.name.lower(): f for f in latest.fields}
     dropped = [f.name for n, f in old.items() if n not in new]
     if dropped:
         raise SchemaChange(f"columns dropped since the previous result: {dropped}")
@@ -196,7 +193,7 @@ def align(previous: DataFrame, latest: DataFrame) -> DataFrame:
     ]
     if retyped:
         raise SchemaChange(f"columns retyped since the previous result: {retyped}")
-    if [f.name for f in previous.schema.fields] == latest.columns:
+    if previous.columns == latest.names:
         return previous
     return previous.select(
         *[

@@ -28,6 +28,7 @@ from tabledeltas.operators.changes import (
     key_list,
     key_stats,
 )
+from tabledeltas.sources.bucketed import enough_buckets
 from tabledeltas.sources.sinks import Sink, emit_changes
 from tabledeltas.sources.snapshots import (
     COMMITTED,
@@ -85,8 +86,8 @@ def run_query(
     """One run of the query named by ``store``; only one may be under way at a time.
 
     ``buckets`` sets how many files the saved result is clustered into. By default it is
-    that of the prior result, so that the two are compared without a shuffle; the first
-    time, the session's number of shuffle partitions.
+    that of the prior result, so that the two are compared without a shuffle, doubled if the
+    prior result has outgrown it; the first time, the session's number of shuffle partitions.
     """
     state = store_state(spark, store)
     prior = state.prior
@@ -102,8 +103,8 @@ def run_query(
     if prior is not None:
         if [k.lower() for k in keys] != [k.lower() for k in prior.key]:
             raise ValueError(f"the key changed from {prior.key} to {keys}: use a new query name")
-        align(load_snapshot(spark, prior), result)  # schemas only; fails before any work
-        buckets = buckets or prior.buckets
+        align(load_snapshot(spark, prior), result.schema)  # schemas only; fails before any work
+        buckets = buckets or enough_buckets(spark, prior.buckets, [prior.path])
     saved = write_snapshot(result, keys, store.snapshot_path(run_ts), run_ts, buckets)
     rows, nulls, repeated = key_stats(load_snapshot(spark, saved), keys)
     saved = replace(saved, rows=rows)

@@ -33,6 +33,12 @@ def delete(spark: SparkSession, path: str) -> bool:
     return fs.delete(p, True)
 
 
+def size(spark: SparkSession, path: str) -> int:
+    """Bytes of the files below ``path``."""
+    fs, p = _resolve(spark, path)
+    return fs.getContentSummary(p).getLength()
+
+
 def child_directories(spark: SparkSession, path: str) -> list[str]:
     """Names of the directories directly below ``path``; none if it does not exist."""
     fs, p = _resolve(spark, path)

@@ -10,8 +10,6 @@ the state that counts is the furthest one written. Every append is a single smal
 
 from __future__ import annotations
 
-import json
-import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime, timezone
@@ -20,9 +18,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabledeltas.operators.changes import key_list, quoted
+from tabledeltas.operators.changes import key_list
 from tabledeltas.operators.latest import fold_latest
 from tabledeltas.sources import files
+from tabledeltas.sources.bucketed import default_buckets, read_bucketed, to_buckets, write_bucketed
 from tabledeltas.sources.layout import GOLD, Layout
 
 STAGED, REJECTED, COMMITTED, RETIRED = "staged", "rejected", "committed", "retired"
@@ -182,41 +181,15 @@ def write_snapshot(
     Fails if the path already holds data. Unique keys spread evenly over the buckets. The
     rows are counted later, when the key is checked.
     """
-    spark = df.sparkSession
     keys = key_list(df, pk)
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table = _table_name()
-    try:
-        (
-            df.repartition(buckets, *[F.col(quoted(k)) for k in keys])
-            .write.format("parquet")
-            .mode("errorifexists")
-            .option("path", files.qualified(spark, path))
-            .bucketBy(buckets, *keys)
-            .sortBy(*keys)
-            .saveAsTable(table)
-        )
-    finally:
-        _forget(spark, table)
+    buckets = buckets or default_buckets(df.sparkSession)
+    write_bucketed(to_buckets(df, keys, buckets), keys, path, buckets)
     return Snapshot(as_utc(run_ts), path, 0, tuple(keys), buckets, df.schema.json())
 
 
 def load_snapshot(spark: SparkSession, snapshot: Snapshot) -> DataFrame:
     """Read a saved result so that Spark knows its bucketing."""
-    schema = T.StructType.fromJson(json.loads(snapshot.schema)).toNullable()
-    keys = ", ".join(quoted(k) for k in snapshot.key)
-    location = files.qualified(spark, snapshot.path).replace("\\", "\\\\").replace("'", "\\'")
-    table = _table_name()
-    try:
-        spark.sql(
-            f"CREATE TABLE {table} ({schema.toDDL()}) USING parquet "
-            f"CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {snapshot.buckets} BUCKETS "
-            f"LOCATION '{location}'"
-        )
-        # The relation is resolved here: the frame outlives the catalog entry.
-        return spark.table(table)
-    finally:
-        _forget(spark, table)
+    return read_bucketed(spark, snapshot.key, snapshot.path, snapshot.buckets, snapshot.schema)
 
 
 def retire_snapshots(spark: SparkSession, store: SnapshotStore, keep: int = 2) -> list[Snapshot]:
@@ -239,12 +212,3 @@ def retire_snapshots(spark: SparkSession, store: SnapshotStore, keep: int = 2) -
         if name < snapshot_name(kept[0].run_ts) and name not in names_kept:
             files.delete(spark, f"{store.data_path}/{name}")
     return retired
-
-
-def _table_name() -> str:
-    return f"tabledeltas_snapshot_{uuid.uuid4().hex}"
-
-
-def _forget(spark: SparkSession, table: str) -> None:
-    # An external table: its files stay.
-    spark.sql(f"DROP TABLE IF EXISTS {table}")

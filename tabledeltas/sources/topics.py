@@ -54,12 +54,19 @@ def read_topic(spark: SparkSession, topic: str, source: KafkaTopics | RecordedTo
     return reader.parquet(f"{source.base.rstrip('/')}/{topic}")
 
 
-def batch_table(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
-    return spark.read.format(format).load(path)
+def batch_table(
+    spark: SparkSession, path: str, schema: T.StructType | None = None, format: str = "parquet"
+) -> DataFrame:
+    reader = spark.read.format(format)
+    return (reader if schema is None else reader.schema(schema)).load(path)
 
 
 def streaming_table(
-    spark: SparkSession, path: str, schema: T.StructType | None = None, format: str = "parquet", **options
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | None = None,
+    format: str = "parquet",
+    **options: object,
 ) -> DataFrame:
     reader = spark.readStream.format(format).options(**options)
-    return (reader.schema(schema) if schema is not None else reader).load(path)
+    return (reader if schema is None else reader.schema(schema)).load(path)

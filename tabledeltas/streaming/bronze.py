@@ -18,7 +18,14 @@ from tabledeltas.functions.envelope import (
 )
 from tabledeltas.functions.envelope import rejected as reject_rows
 from tabledeltas.sources.layout import BRONZE, Layout
-from tabledeltas.sources.topics import TOPIC_SCHEMA, KafkaTopics, RecordedTopics, read_topic
+from tabledeltas.sources.topics import (
+    TOPIC_SCHEMA,
+    KafkaTopics,
+    RecordedTopics,
+    batch_table,
+    read_topic,
+    streaming_table,
+)
 
 # A query without a trigger starts the next micro-batch as soon as the last one is done.
 DEFAULT_TRIGGER: Mapping[str, object] = {"processingTime": "0 seconds"}
@@ -82,7 +89,7 @@ def ingest_topic(
 
 def read_bronze(spark: SparkSession, layout: Layout, topic: str, schema: TopicSchema) -> DataFrame:
     """The decoded records of a topic as a batch."""
-    return _good(spark.read.schema(schema.bronze_schema()).parquet(layout.data_path(BRONZE, topic)))
+    return _good(batch_table(spark, layout.data_path(BRONZE, topic), schema.bronze_schema()))
 
 
 def stream_bronze(
@@ -93,15 +100,16 @@ def stream_bronze(
     max_files_per_trigger: int | None = None,
 ) -> DataFrame:
     """The decoded records of a topic as a stream."""
-    reader = spark.readStream.schema(schema.bronze_schema())
+    options = {}
     if max_files_per_trigger is not None:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return _good(reader.parquet(layout.data_path(BRONZE, topic)))
+        options["maxFilesPerTrigger"] = max_files_per_trigger
+    path = layout.data_path(BRONZE, topic)
+    return _good(streaming_table(spark, path, schema.bronze_schema(), **options))
 
 
 def read_rejects(spark: SparkSession, layout: Layout, topic: str, schema: TopicSchema) -> DataFrame:
     """Records that did not decode: where they came from, why, and their raw payload."""
-    rows = spark.read.schema(schema.bronze_schema()).parquet(layout.data_path(BRONZE, topic))
+    rows = batch_table(spark, layout.data_path(BRONZE, topic), schema.bronze_schema())
     return reject_rows(rows.where("rejected").drop("rejected"))
 
 

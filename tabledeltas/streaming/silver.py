@@ -5,11 +5,13 @@ table is the fold of those directories. Because folding is idempotent and order-
 that is replayed after a failure may be written twice without changing the table, and the
 stream needs no state store: the orders kept in the table decide which value is newer.
 
-    <silver topic>/data/generation=<g>/part=<batch>-<unique>/    folded rows
+    <silver topic>/data/generation=<g>/part=base-<unique>/       the fold of generation g - 1
+    <silver topic>/data/generation=<g>/part=<batch>-<unique>/    what a micro-batch changed
     <silver topic>/commits/generation=<g>/                       which of those count
 
-A generation starts with the fold of the one before, so that neither the number of
-directories nor that of commit files grows with the age of the stream. Only the stream that
+A generation starts with the fold of the one before, clustered into hash buckets of the key,
+so that reading it shuffles only what changed since. Neither the number of directories nor
+that of commit files grows with the age of the stream. Only the stream that
 owns the table writes to it, and it does so between micro-batches.
 """
 
@@ -18,7 +20,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +30,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tabledeltas.operators.latest import as_table, fold_latest, project_value
 from tabledeltas.sources import files
+from tabledeltas.sources.bucketed import (
+    default_buckets,
+    enough_buckets,
+    read_bucketed,
+    to_buckets,
+    write_bucketed,
+)
 from tabledeltas.sources.layout import SILVER, Layout
 from tabledeltas.streaming.bronze import DEFAULT_TRIGGER
 
@@ -35,7 +44,7 @@ COMMIT_SCHEMA = T.StructType(
     [
         T.StructField("path", T.StringType()),
         T.StructField("batch_id", T.LongType()),
-        T.StructField("folded", T.BooleanType()),
+        T.StructField("buckets", T.IntegerType()),
         T.StructField("schema", T.StringType()),
         T.StructField("written_at", T.TimestampType()),
     ]
@@ -59,14 +68,25 @@ class SilverTable:
         return f"{self.layout.topic_path(SILVER, self.topic)}/commits"
 
 
+@dataclass(frozen=True)
+class _Part:
+    """A directory of folded rows. The part that opens a generation is bucketed by key."""
+
+    path: str
+    schema: str
+    buckets: int | None = None
+
+
 @dataclass(frozen=True)
 class _Live:
     """What counts of a table now: the newest generation and its committed parts."""
 
-    generation: int
-    parts: tuple[str, ...]
-    folded: bool
-    schema: str | None  # of the newest part; older ones read an added field as NULL
+    generation: int = 0
+    base: _Part | None = None
+    changes: tuple[_Part, ...] = ()  # oldest first
+
+    def __bool__(self) -> bool:
+        return self.base is not None or bool(self.changes)
 
 
 def maintain_latest(
@@ -77,12 +97,16 @@ def maintain_latest(
     keys: Mapping[str, str],
     order_by: str | Sequence[str] = "offset",
     fold_every: int = 50,
+    buckets: int | None = None,
     trigger: Mapping[str, object] = DEFAULT_TRIGGER,
 ) -> StreamingQuery:
     """Start the stream that keeps a topic's latest values.
 
     ``fold_every`` is the number of committed micro-batches after which the table is folded
     into a new generation. A full rewrite thus happens once in that many batches.
+    ``buckets`` is the number of files of a generation's first part, by default the session's
+    number of shuffle partitions, doubled as the table outgrows it. Topics with equal numbers
+    are joined on their keys without a shuffle of those parts.
     """
     if fold_every < 2:
         raise ValueError("fold_every must be at least 2")
@@ -92,12 +116,12 @@ def maintain_latest(
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         nonlocal live
         session = batch.sparkSession
-        live = live or _live(session, table)
-        if len(live.parts) >= fold_every:
-            live = _next_generation(session, table, live, list(keys))
+        live = _live(session, table) if live is None else live
+        if len(live.changes) >= fold_every:
+            live = _next_generation(session, table, live, list(keys), buckets)
         changed = fold_latest(batch, keys, order_by=order_by)
-        path = _add_part(session, table, live.generation, changed, batch_id, folded=False)
-        live = _Live(live.generation, (*live.parts, path), False, changed.schema.json())
+        part = _add_changes(session, table, live.generation, changed, batch_id)
+        live = replace(live, changes=(*live.changes, part))
 
     return (
         records.writeStream.queryName(f"silver_{topic}")
@@ -118,12 +142,14 @@ def read_latest(
 ) -> DataFrame:
     """``(<keys>, value, ord)`` as of the last committed micro-batch.
 
-    A deleted key is a row with a null value. Just after a fold the table is one folded part
-    and is read without a shuffle. ``fields`` limits the value to some of its fields; the
+    A deleted key is a row with a null value. Only the changes since the last fold are
+    shuffled; they meet the folded part in its buckets. ``fields`` limits the value to some of its fields; the
     others are then neither read nor shuffled.
     """
     live = _live(spark, SilverTable(layout, topic))
-    return _read(spark, live, topic, list(keys), fields)
+    if not live:
+        raise FileNotFoundError(f"topic {topic!r} has no committed micro-batch yet")
+    return _read(spark, live, list(keys), fields)
 
 
 def register_topic(
@@ -145,14 +171,15 @@ def _live(spark: SparkSession, table: SilverTable) -> _Live:
     # is still being written has no rows yet, and the one before it counts. The commits of
     # one generation are bounded by fold_every and the replays among them.
     for name in reversed(files.child_directories(spark, table.commits_path)):
-        path = f"{table.commits_path}/{name}"
-        commits = spark.read.schema(COMMIT_SCHEMA).parquet(path).collect()
-        if commits:
-            parts = tuple(sorted({c["path"] for c in commits}))
-            schema = max(commits, key=lambda c: c["written_at"])["schema"]
-            folded = len(parts) == 1 and commits[0]["folded"]
-            return _Live(_number(name), parts, folded, schema)
-    return _Live(0, (), False, None)
+        commits = spark.read.schema(COMMIT_SCHEMA).parquet(f"{table.commits_path}/{name}")
+        parts = [
+            _Part(c["path"], c["schema"], c["buckets"])
+            for c in commits.orderBy("written_at").collect()
+        ]
+        if parts:
+            base = next((p for p in parts if p.buckets is not None), None)
+            return _Live(_number(name), base, tuple(p for p in parts if p.buckets is None))
+    return _Live()
 
 
 def _number(generation: str) -> int:
@@ -162,45 +189,70 @@ def _number(generation: str) -> int:
 def _read(
     spark: SparkSession,
     live: _Live,
-    topic: str,
     keys: list[str],
     fields: Sequence[str] | None = None,
+    buckets: int | None = None,
 ) -> DataFrame:
-    if not live.parts:
-        raise FileNotFoundError(f"topic {topic!r} has no committed micro-batch yet")
-    schema = T.StructType.fromJson(json.loads(live.schema))
-    rows = spark.read.schema(schema).parquet(*live.parts)
-    if fields is not None:
-        rows = project_value(rows, fields)
-    if live.folded:
-        return rows
+    def narrow(rows: DataFrame) -> DataFrame:
+        return rows if fields is None else project_value(rows, fields)
+
+    # The newest schema reads older parts too: a field they lack is NULL there.
+    schema = (live.changes[-1] if live.changes else live.base).schema
+    base = None
+    if live.base is not None:
+        buckets = live.base.buckets
+        base = narrow(read_bucketed(spark, keys, live.base.path, buckets, schema))
+        if not live.changes:
+            return base
+    columns = T.StructType.fromJson(json.loads(schema))
+    rows = narrow(spark.read.schema(columns).parquet(*[p.path for p in live.changes]))
+    if buckets is not None:
+        rows = to_buckets(rows, keys, buckets)
+    if base is not None:
+        rows = base.unionByName(rows)
     return fold_latest(rows, {k: k for k in keys}, order_by="ord")
 
 
-def _next_generation(spark: SparkSession, table: SilverTable, live: _Live, keys: list[str]) -> _Live:
-    folded = _read(spark, live, table.topic, keys)
-    path = _add_part(spark, table, live.generation + 1, folded, -1, folded=True)
+def _next_generation(
+    spark: SparkSession, table: SilverTable, live: _Live, keys: list[str], buckets: int | None = None
+) -> _Live:
+    """Fold the table into the bucketed part that opens the next generation."""
+    started_with = live.base.buckets if live.base is not None else buckets or default_buckets(spark)
+    parts = [p.path for p in (live.base, *live.changes) if p is not None]
+    buckets = enough_buckets(spark, started_with, parts)
+    folded = _read(spark, live, keys, buckets=buckets)
+    if live.base is not None and buckets != live.base.buckets:
+        folded = to_buckets(folded, keys, buckets)
+    path = _part_path(table, live.generation + 1, "base")
+    write_bucketed(folded, keys, path, buckets)
+    base = _Part(path, folded.schema.json(), buckets)
+    _commit(spark, table, live.generation + 1, base, None)
     for parent in (table.commits_path, table.data_path):
         for name in files.child_directories(spark, parent):
             if _number(name) <= live.generation + 1 - GENERATIONS_KEPT:
                 files.delete(spark, f"{parent}/{name}")
-    return _Live(live.generation + 1, (path,), True, folded.schema.json())
+    return _Live(live.generation + 1, base)
 
 
-def _add_part(
-    spark: SparkSession,
-    table: SilverTable,
-    generation: int,
-    rows: DataFrame,
-    batch_id: int,
-    folded: bool,
-) -> str:
-    # The directory is new on every attempt: no reader ever sees a half-written or a
-    # replaced one, only those named by a commit, and a commit is one small file.
-    in_generation = f"generation={generation:08d}"
-    path = f"{table.data_path}/{in_generation}/part={batch_id}-{uuid.uuid4().hex}"
+def _add_changes(
+    spark: SparkSession, table: SilverTable, generation: int, rows: DataFrame, batch_id: int
+) -> _Part:
+    path = _part_path(table, generation, str(batch_id))
     rows.write.mode("errorifexists").parquet(path)
-    now = datetime.now(timezone.utc)
-    commit = (path, batch_id, folded, rows.schema.json(), now)
-    files.append_rows(spark, [commit], COMMIT_SCHEMA, f"{table.commits_path}/{in_generation}")
-    return path
+    part = _Part(path, rows.schema.json())
+    _commit(spark, table, generation, part, batch_id)
+    return part
+
+
+def _part_path(table: SilverTable, generation: int, label: str) -> str:
+    # New on every attempt: nobody ever reads a half-written or a replaced directory, only
+    # those that a commit names.
+    return f"{table.data_path}/generation={generation:08d}/part={label}-{uuid.uuid4().hex}"
+
+
+def _commit(
+    spark: SparkSession, table: SilverTable, generation: int, part: _Part, batch_id: int | None
+) -> None:
+    row = (part.path, batch_id, part.buckets, part.schema, datetime.now(timezone.utc))
+    path = f"{table.commits_path}/generation={generation:08d}"
+    files.append_rows(spark, [row], COMMIT_SCHEMA, path)

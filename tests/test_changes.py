@@ -124,6 +124,13 @@ def test_key_is_found_whatever_its_case(spark):
     assert change_feed(previous, latest, "USERID").first()["op"] == "U"
 
 
+def test_applying_a_feed_whatever_the_case_of_names(spark):
+    previous = spark.createDataFrame([("a", 1), ("b", 1)], "UserId string, V int")
+    latest = spark.createDataFrame([("a", 2), ("b", 1)], "userid string, v int")
+    applied = apply_changes(previous, change_feed(previous, latest, "userid"), "userid")
+    assert sorted(map(tuple, applied.collect())) == [("a", 2), ("b", 1)]
+
+
 def test_result_of_nothing_but_its_key(spark):
     previous, latest = (spark.createDataFrame([(i,) for i in ids], "k int") for ids in ([1, 2], [2, 3]))
     assert ops(change_feed(previous, latest, "k")) == [("D", 1), ("I", 3)]

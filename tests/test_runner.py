@@ -3,6 +3,7 @@ from datetime import datetime, timedelta, timezone
 import pytest
 
 import tabledeltas.plans.runner as runner
+import tabledeltas.sources.bucketed as bucketed
 from tabledeltas.operators import KeyViolation, SchemaChange, apply_changes
 from tabledeltas.plans import SqlFailure, query_result, run_query
 from tabledeltas.sources import SnapshotStore, file_sink, files, load_snapshot
@@ -95,6 +96,15 @@ def test_composite_key_and_bucket_count_carry_over(spark, q):
         run_query(spark, "SELECT * FROM t2", "a", {}, q.store, q.sink)
 
 
+def test_buckets_grow_with_the_result(q, monkeypatch):
+    first = q.run([("a", 1), ("b", 2)], buckets=2)
+    monkeypatch.setattr(bucketed, "BYTES_PER_BUCKET", files.size(q.spark, first.snapshot.path) // 4)
+    second = q.run([("a", 1), ("c", 2)])
+    assert second.snapshot.buckets >= 4
+    assert q.sent(second.run_ts) == [delete("b"), upsert("c", 2)]
+    assert q.sent(q.run([("c", 2)], buckets=5).run_ts) == [delete("a")]
+
+
 # --- refusals -----------------------------------------------------------------------------
 
 

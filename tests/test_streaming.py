@@ -2,6 +2,7 @@ import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
+import tabledeltas.sources.bucketed as bucketed
 import tabledeltas.streaming.silver as silver
 from plan_text import count_of, plan
 from tabledeltas.operators import fold_latest
@@ -96,9 +97,9 @@ def test_a_micro_batch_writes_only_the_keys_it_changed(spark, tiny, recorded, la
     maintain(spark, lake).awaitTermination()
     log = fx.yy_log(spark, tiny)
     live = silver._live(spark, silver.SilverTable(lake, "yy"))
-    assert len(live.parts) == 4
-    for part in live.parts:
-        rows = spark.read.parquet(part)
+    assert len(live.changes) == 4
+    for part in live.changes:
+        rows = spark.read.parquet(part.path)
         first, last = rows.agg(F.min("ord"), F.max("ord")).first()
         in_range = log.where(F.col("offset").between(first, last))
         assert rows.count() == rows.select("userid").distinct().count()
@@ -109,7 +110,7 @@ def test_restart_takes_up_where_it_stopped(spark, tiny, recorded, lake):
     for part in range(3):
         catalog.land(spark, tiny, recorded, lake, part, 3)
         catalog.refresh(spark, lake)
-    assert len(silver._live(spark, silver.SilverTable(lake, "yy")).parts) == 3
+    assert len(silver._live(spark, silver.SilverTable(lake, "yy")).changes) == 3
     assert latest(spark, lake) == batch_fold(spark, tiny)
 
 
@@ -118,9 +119,9 @@ def test_generations_bound_what_is_read(spark, tiny, recorded, lake):
     maintain(spark, lake, fold_every=2).awaitTermination()
     table = silver.SilverTable(lake, "yy")
     live = silver._live(spark, table)
-    assert live.generation == 6 and len(live.parts) == 2
+    assert live.generation == 3 and live.base is not None and len(live.changes) == 2
     for path in (table.data_path, table.commits_path):
-        assert files.child_directories(spark, path) == ["generation=00000005", "generation=00000006"]
+        assert files.child_directories(spark, path) == ["generation=00000002", "generation=00000003"]
     assert latest(spark, lake) == batch_fold(spark, tiny)
 
 
@@ -133,6 +134,52 @@ def test_a_folded_table_is_read_without_a_shuffle(spark, tiny, recorded, lake):
     assert latest(spark, lake) == batch_fold(spark, tiny)
 
 
+def test_buckets_grow_with_the_table(spark, tiny, recorded, lake, monkeypatch):
+    in_batches(spark, tiny, recorded, lake, n=2)
+    maintain(spark, lake).awaitTermination()
+    table = silver.SilverTable(lake, "yy")
+    first = silver._next_generation(spark, table, silver._live(spark, table), ["userid"], 2)
+    assert first.base.buckets == 2
+    monkeypatch.setattr(bucketed, "BYTES_PER_BUCKET", files.size(spark, first.base.path) // 3)
+    second = silver._next_generation(spark, table, silver._live(spark, table), ["userid"])
+    assert second.base.buckets == 4
+    assert latest(spark, lake) == batch_fold(spark, tiny)
+
+
+def test_only_what_changed_since_the_fold_is_shuffled(spark, tiny, recorded, lake):
+    in_batches(spark, tiny, recorded, lake, n=3)
+    maintain(spark, lake, fold_every=2).awaitTermination()
+    live = silver._live(spark, silver.SilverTable(lake, "yy"))
+    assert live.base is not None and len(live.changes) == 1
+    rows = read_latest(spark, lake, "yy", ["userid"])
+    text = plan(rows)
+    assert count_of(rows, "Exchange") == 1 and text.count("Bucketed: true") == 1
+    base, exchange = text.index("Bucketed: true"), text.index("Exchange")
+    assert base < exchange  # the exchange is in the other branch of the union
+    assert latest(spark, lake) == batch_fold(spark, tiny)
+
+
+def test_topics_with_equal_buckets_join_without_shuffling_their_folded_parts(
+    spark, tiny, recorded, lake
+):
+    for topic, log in (("xx", fx.xx_log), ("yy", fx.yy_log)):
+        fx.raw_topic(log(spark, tiny), topic).write.parquet(f"{recorded}/{topic}")
+        schema = fx.SCHEMAS[topic]
+        ingest_topic(spark, topic, RecordedTopics(recorded), schema, lake, NOW).awaitTermination()
+        records = stream_bronze(spark, lake, topic, schema)
+        maintain_latest(spark, records, lake, topic, fx.KEYS, trigger=NOW).awaitTermination()
+        table = silver.SilverTable(lake, topic)
+        silver._next_generation(spark, table, silver._live(spark, table), ["userid"])
+        register_topic(spark, lake, topic, ["userid"])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sample = spark.sql(fx.SAMPLE_SQL)
+        assert count_of(sample, "SortMergeJoin") == 1 and count_of(sample, "Exchange") == 0
+        assert sorted(sample.collect()) == sorted(fx.sample_result(spark, tiny).collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 @pytest.mark.parametrize("fold_every", [2, 50])
 @pytest.mark.parametrize("when", ["before_commit", "after_commit"])
 def test_failure_in_a_micro_batch(spark, tiny, recorded, lake, monkeypatch, when, fold_every):
@@ -171,7 +218,7 @@ def test_micro_batch_without_rows(spark, tiny, recorded, lake):
     """An empty first batch leaves a table that reads as empty, not one that cannot be read."""
     empty = spark.createDataFrame([], YY.bronze_schema()).drop("rejected", "_reject")
     table = silver.SilverTable(lake, "yy")
-    silver._add_part(spark, table, 0, fold_latest(empty, fx.KEYS), 0, folded=False)
+    silver._add_changes(spark, table, 0, fold_latest(empty, fx.KEYS), 0)
     assert latest(spark, lake) == []
 
 
@@ -179,7 +226,7 @@ def test_field_added_to_the_topic_is_null_in_older_parts(spark, lake):
     table = silver.SilverTable(lake, "yy")
     for n, fields in enumerate(["'a', 1", "'a', 2, 'b', 3"]):
         rows = spark.sql(f"SELECT {n} AS userid, named_struct({fields}) AS value, {n} AS ord")
-        silver._add_part(spark, table, 0, rows, n, folded=False)
+        silver._add_changes(spark, table, 0, rows, n)
     rows = read_latest(spark, lake, "yy", ["userid"]).collect()
     assert sorted(tuple(r["value"]) for r in rows) == [(1, None), (2, 3)]
 
