@@ -24,9 +24,10 @@ BYTES_PER_BUCKET = 512 * 1024 * 1024
 
 
 def enough_buckets(spark: SparkSession, buckets: int, paths: Sequence[str]) -> int:
-    """``buckets``, doubled until the data of ``paths`` fits them."""
+    """``buckets``, doubled until the data of ``paths`` fits them or Spark allows no more."""
     held = sum(files.size(spark, path) for path in paths)
-    while held > buckets * BYTES_PER_BUCKET:
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+    while held > buckets * BYTES_PER_BUCKET and 2 * buckets <= most:
         buckets *= 2
     return buckets
 

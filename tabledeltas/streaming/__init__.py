@@ -5,6 +5,7 @@ from tabledeltas.streaming.bronze import (
     read_bronze,
     read_rejects,
     stream_bronze,
+    topic_schema,
 )
 from tabledeltas.streaming.jobs import run_streams
 from tabledeltas.streaming.silver import maintain_latest, read_latest, register_topic
@@ -20,4 +21,5 @@ __all__ = [
     "register_topic",
     "run_streams",
     "stream_bronze",
+    "topic_schema",
 ]

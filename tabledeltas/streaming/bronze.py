@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 from dataclasses import dataclass
 
@@ -15,6 +16,7 @@ from tabledeltas.functions.envelope import (
     AvroCodec,
     JsonCodec,
     decode_envelope,
+    latest_schemas,
 )
 from tabledeltas.functions.envelope import rejected as reject_rows
 from tabledeltas.sources.layout import BRONZE, Layout
@@ -55,6 +57,33 @@ class TopicSchema:
         )
 
 
+def topic_schema(schemas: DataFrame, topic: str) -> TopicSchema:
+    """What a schema table ``(topic, side, version, schema_id, schema)`` says of a topic of
+    framed JSON, ``schema`` being the JSON of a Spark schema.
+
+    The newest version of each side is the topic's schema. Every registered version may have
+    written records; those are the few rows that come to the driver.
+    """
+    of_topic = schemas.where(F.col("topic") == topic)
+    newest = {r["side"]: r["schema"] for r in latest_schemas(of_topic).collect()}
+    missing = {"key", "value"} - newest.keys()
+    if missing:
+        raise ValueError(f"topic {topic!r} has no schema for its {' and '.join(sorted(missing))}")
+    writers: dict[str, dict[int, T.StructType]] = {"key": {}, "value": {}}
+    for row in of_topic.select("side", "schema_id", "schema").distinct().collect():
+        writers[row["side"]][row["schema_id"]] = _struct(row["schema"])
+    return TopicSchema(
+        _struct(newest["key"]),
+        _struct(newest["value"]),
+        JsonCodec(framed=True, writers=writers["key"]),
+        JsonCodec(framed=True, writers=writers["value"]),
+    )
+
+
+def _struct(text: str) -> T.StructType:
+    return T.StructType.fromJson(json.loads(text))
+
+
 def decode_topic(records: DataFrame, schema: TopicSchema) -> DataFrame:
     """Key first, then value; works on a batch and on a stream."""
     keyed = decode_envelope(records, "key", schema.key, schema.key_codec, required=True)

@@ -18,6 +18,7 @@ from tabledeltas.streaming import (
     register_topic,
     run_streams,
     stream_bronze,
+    topic_schema,
 )
 
 NOW = {"availableNow": True}
@@ -71,6 +72,32 @@ def test_bronze_keeps_every_record_once_over_restarts(spark, tiny, recorded, lak
     assert rows.count() == rows.select("offset").distinct().count() == 1000
 
 
+def test_bronze_by_schema_table(spark, tiny, recorded, lake):
+    """Records of two writer schemas land in the newest one registered for the topic."""
+    versions = [
+        ("yy", "key", 1, 1, fx.YY_KEY),
+        ("yy", "value", 1, fx.OLD_WRITER, fx.YY_OLD_VALUE),
+        ("yy", "value", 2, fx.NEW_WRITER, fx.YY_VALUE),
+        ("xx", "value", 9, 9, fx.XX_VALUE),
+    ]
+    schemas = spark.createDataFrame(
+        [(*v[:4], v[4].json()) for v in versions],
+        "topic string, side string, version int, schema_id int, schema string",
+    )
+    schema = topic_schema(schemas, "yy")
+    assert schema.value == fx.YY_VALUE and schema.value_codec == fx.FRAMED
+    raw = catalog._framed(spark, tiny)
+    raw = raw.withColumn("key", fx.framed(F.lit(1), F.col("key")))
+    raw.write.parquet(f"{recorded}/yy")
+    ingest_topic(spark, "yy", RecordedTopics(recorded), schema, lake, NOW).awaitTermination()
+    rows = read_bronze(spark, lake, "yy", schema)
+    assert rows.count() == 1000
+    assert rows.where("offset % 3 = 0 AND value.optional IS NOT NULL").count() == 0
+    assert rows.where("offset % 3 = 1 AND value.optional IS NOT NULL").count() > 0
+    with pytest.raises(ValueError, match="'xx' has no schema for its key"):
+        topic_schema(schemas, "xx")
+
+
 def test_bronze_sets_rejects_apart(spark, tiny, recorded, lake):
     good = fx.raw_topic(fx.yy_log(spark, tiny), "yy")
     bad = good.where("offset % 10 = 0").withColumn("value", F.lit("{oops").cast("binary"))
