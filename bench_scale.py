@@ -83,10 +83,15 @@ def read_silver(spark: SparkSession, base: str) -> dict[str, float]:
     log = fx.table(spark, base, "orders").select(
         "o_orderkey", F.struct("*").alias("value"), F.col("o_orderkey").alias("offset")
     )
-    silver._add_changes(spark, table, 0, fold_latest(log, keys), 0)
+
+    def add(generation: int, rows: DataFrame) -> None:
+        part = silver._write_changes(table, generation, fold_latest(rows, keys))
+        silver._commit(spark, table, generation, part)
+
+    add(0, log)
     live = silver._next_generation(spark, table, silver._live(spark, table), ["key"])
     changed = log.where("o_orderkey % 100 = 0").withColumn("offset", F.col("offset") + 1)
-    silver._add_changes(spark, table, live.generation, fold_latest(changed, keys), 1)
+    add(live.generation, changed)
     parts = [p.path for p in (live.base, *silver._live(spark, table).changes)]
     unclustered = fold_latest(spark.read.parquet(*parts), {"key": "key"}, order_by="ord")
     times = timed(

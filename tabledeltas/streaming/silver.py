@@ -5,14 +5,15 @@ table is the fold of those directories. Because folding is idempotent and order-
 that is replayed after a failure may be written twice without changing the table, and the
 stream needs no state store: the orders kept in the table decide which value is newer.
 
-    <silver topic>/data/generation=<g>/part=base-<unique>/       the fold of generation g - 1
-    <silver topic>/data/generation=<g>/part=<batch>-<unique>/    what a micro-batch changed
-    <silver topic>/commits/generation=<g>/                       which of those count
+    <silver topic>/data/base=<unique>/                      the folded table, at some time
+    <silver topic>/data/generation=<g>/part=<unique>/       what micro-batches changed since
+    <silver topic>/commits/generation=<g>/                  which of those count
 
-A generation starts with the fold of the one before, clustered into hash buckets of the key,
+Once a generation has many parts, the next one starts with the fold of them. Where they have
+grown to a good share of the base, the base is folded as well, into hash buckets of the key,
 so that reading it shuffles only what changed since. Neither the number of directories nor
-that of commit files grows with the age of the stream. Only the stream that
-owns the table writes to it, and it does so between micro-batches.
+that of commit files grows with the age of the stream. Only the stream that owns the table
+writes to it, and it does so between micro-batches.
 """
 
 from __future__ import annotations
@@ -43,15 +44,13 @@ from tabledeltas.streaming.bronze import DEFAULT_TRIGGER
 COMMIT_SCHEMA = T.StructType(
     [
         T.StructField("path", T.StringType()),
-        T.StructField("batch_id", T.LongType()),
         T.StructField("buckets", T.IntegerType()),
         T.StructField("schema", T.StringType()),
         T.StructField("written_at", T.TimestampType()),
     ]
 )
 
-# Generations on disk: the current one and the one that running readers may still hold.
-GENERATIONS_KEPT = 2
+GENERATION = "generation="
 
 
 @dataclass(frozen=True)
@@ -70,7 +69,7 @@ class SilverTable:
 
 @dataclass(frozen=True)
 class _Part:
-    """A directory of folded rows. The part that opens a generation is bucketed by key."""
+    """A directory of folded rows. The base, and only that, is bucketed by key."""
 
     path: str
     schema: str
@@ -97,30 +96,32 @@ def maintain_latest(
     keys: Mapping[str, str],
     order_by: str | Sequence[str] = "offset",
     fold_every: int = 50,
+    base_share: float = 0.25,
     buckets: int | None = None,
     trigger: Mapping[str, object] = DEFAULT_TRIGGER,
 ) -> StreamingQuery:
     """Start the stream that keeps a topic's latest values.
 
-    ``fold_every`` is the number of committed micro-batches after which the table is folded
-    into a new generation. A full rewrite thus happens once in that many batches.
-    ``buckets`` is the number of files of a generation's first part, by default the session's
-    number of shuffle partitions, doubled as the table outgrows it. Topics with equal numbers
-    are joined on their keys without a shuffle of those parts.
+    ``fold_every`` is the number of micro-batches after which their changes are folded into
+    one part. Where they come to ``base_share`` of the base's bytes, the base is rewritten
+    with them, so that a large table is rewritten seldom. ``buckets`` is the number of files
+    of a base, by default the session's number of shuffle partitions, doubled as the table
+    outgrows it. Topics with equal numbers are joined on their keys without a shuffle of
+    their bases.
     """
     if fold_every < 2:
         raise ValueError("fold_every must be at least 2")
     table = SilverTable(layout, topic)
     live: _Live | None = None  # read once: nobody else writes to the table
 
-    def write_batch(batch: DataFrame, batch_id: int) -> None:
+    def write_batch(batch: DataFrame, _batch_id: int) -> None:
         nonlocal live
         session = batch.sparkSession
         live = _live(session, table) if live is None else live
         if len(live.changes) >= fold_every:
-            live = _next_generation(session, table, live, list(keys), buckets)
-        changed = fold_latest(batch, keys, order_by=order_by)
-        part = _add_changes(session, table, live.generation, changed, batch_id)
+            live = _next_generation(session, table, live, list(keys), buckets, base_share)
+        part = _write_changes(table, live.generation, fold_latest(batch, keys, order_by=order_by))
+        _commit(session, table, live.generation, part)
         live = replace(live, changes=(*live.changes, part))
 
     return (
@@ -142,9 +143,9 @@ def read_latest(
 ) -> DataFrame:
     """``(<keys>, value, ord)`` as of the last committed micro-batch.
 
-    A deleted key is a row with a null value. Only the changes since the last fold are
-    shuffled; they meet the folded part in its buckets. ``fields`` limits the value to some of its fields; the
-    others are then neither read nor shuffled.
+    A deleted key is a row with a null value. Only what changed since the base was written is
+    shuffled, into the buckets of the base. ``fields`` limits the value to some of its
+    fields; the others are then neither read nor shuffled.
     """
     live = _live(spark, SilverTable(layout, topic))
     if not live:
@@ -182,8 +183,12 @@ def _live(spark: SparkSession, table: SilverTable) -> _Live:
     return _Live()
 
 
-def _number(generation: str) -> int:
-    return int(generation.split("=")[1])
+def _name(generation: int) -> str:
+    return f"{GENERATION}{generation:08d}"
+
+
+def _number(name: str) -> int:
+    return int(name.removeprefix(GENERATION))
 
 
 def _read(
@@ -214,45 +219,61 @@ def _read(
 
 
 def _next_generation(
-    spark: SparkSession, table: SilverTable, live: _Live, keys: list[str], buckets: int | None = None
+    spark: SparkSession,
+    table: SilverTable,
+    live: _Live,
+    keys: list[str],
+    buckets: int | None = None,
+    base_share: float = 0,
 ) -> _Live:
-    """Fold the table into the bucketed part that opens the next generation."""
-    started_with = live.base.buckets if live.base is not None else buckets or default_buckets(spark)
+    """Fold what changed, with the base where it is time for that; drop what no longer counts."""
+    number = live.generation + 1
+    changed = sum(files.size(spark, p.path) for p in live.changes)
+    if live.base is not None and changed < base_share * files.size(spark, live.base.path):
+        folded = _read(spark, replace(live, base=None), keys)
+        merged = _write_changes(table, number, folded)
+        following = _Live(number, live.base, (merged,))
+    else:
+        following = _Live(number, _write_base(spark, table, live, keys, buckets))
+    _commit(spark, table, number, following.base, *following.changes)
+    _drop_unread(spark, table, live, following)
+    return following
+
+
+def _write_base(
+    spark: SparkSession, table: SilverTable, live: _Live, keys: list[str], buckets: int | None
+) -> _Part:
+    before = live.base.buckets if live.base is not None else buckets or default_buckets(spark)
     parts = [p.path for p in (live.base, *live.changes) if p is not None]
-    buckets = enough_buckets(spark, started_with, parts)
+    buckets = enough_buckets(spark, before, parts)
     folded = _read(spark, live, keys, buckets=buckets)
-    if live.base is not None and buckets != live.base.buckets:
+    if live.base is not None and buckets != before:
         folded = to_buckets(folded, keys, buckets)
-    path = _part_path(table, live.generation + 1, "base")
+    path = f"{table.data_path}/base={uuid.uuid4().hex}"
     write_bucketed(folded, keys, path, buckets)
-    base = _Part(path, folded.schema.json(), buckets)
-    _commit(spark, table, live.generation + 1, base, None)
+    return _Part(path, folded.schema.json(), buckets)
+
+
+def _drop_unread(spark: SparkSession, table: SilverTable, previous: _Live, current: _Live) -> None:
+    """Keep the current generation and the one before, which running readers may hold."""
+    bases = {p.path.rsplit("/", 1)[1] for p in (previous.base, current.base) if p is not None}
     for parent in (table.commits_path, table.data_path):
         for name in files.child_directories(spark, parent):
-            if _number(name) <= live.generation + 1 - GENERATIONS_KEPT:
+            old = _number(name) < previous.generation if name.startswith(GENERATION) else False
+            unread = name.startswith("base=") and name not in bases
+            if old or unread:
                 files.delete(spark, f"{parent}/{name}")
-    return _Live(live.generation + 1, base)
 
 
-def _add_changes(
-    spark: SparkSession, table: SilverTable, generation: int, rows: DataFrame, batch_id: int
-) -> _Part:
-    path = _part_path(table, generation, str(batch_id))
-    rows.write.mode("errorifexists").parquet(path)
-    part = _Part(path, rows.schema.json())
-    _commit(spark, table, generation, part, batch_id)
-    return part
-
-
-def _part_path(table: SilverTable, generation: int, label: str) -> str:
+def _write_changes(table: SilverTable, generation: int, rows: DataFrame) -> _Part:
     # New on every attempt: nobody ever reads a half-written or a replaced directory, only
     # those that a commit names.
-    return f"{table.data_path}/generation={generation:08d}/part={label}-{uuid.uuid4().hex}"
+    path = f"{table.data_path}/{_name(generation)}/part={uuid.uuid4().hex}"
+    rows.write.mode("errorifexists").parquet(path)
+    return _Part(path, rows.schema.json())
 
 
-def _commit(
-    spark: SparkSession, table: SilverTable, generation: int, part: _Part, batch_id: int | None
-) -> None:
-    row = (part.path, batch_id, part.buckets, part.schema, datetime.now(timezone.utc))
-    path = f"{table.commits_path}/generation={generation:08d}"
-    files.append_rows(spark, [row], COMMIT_SCHEMA, path)
+def _commit(spark: SparkSession, table: SilverTable, generation: int, *parts: _Part) -> None:
+    now = datetime.now(timezone.utc)
+    rows = [(p.path, p.buckets, p.schema, now) for p in parts]
+    files.append_rows(spark, rows, COMMIT_SCHEMA, f"{table.commits_path}/{_name(generation)}")

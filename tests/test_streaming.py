@@ -52,7 +52,7 @@ def in_batches(spark, sf_dir, recorded, lake, n=4):
     return query
 
 
-def maintain(spark, lake, fold_every=50):
+def maintain(spark, lake, fold_every=50, base_share=0.25):
     return maintain_latest(
         spark,
         stream_bronze(spark, lake, "yy", YY, max_files_per_trigger=1),
@@ -60,10 +60,15 @@ def maintain(spark, lake, fold_every=50):
         "yy",
         fx.KEYS,
         fold_every=fold_every,
+        base_share=base_share,
         trigger=NOW,
     )
 
 
+def add_changes(spark, table, generation, rows):
+    silver._commit(spark, table, generation, silver._write_changes(table, generation, rows))
+
+
 def test_bronze_keeps_every_record_once_over_restarts(spark, tiny, recorded, lake):
     for part in range(3):
         catalog.land(spark, tiny, recorded, lake, part, 3)
@@ -143,12 +148,29 @@ def test_restart_takes_up_where_it_stopped(spark, tiny, recorded, lake):
 
 def test_generations_bound_what_is_read(spark, tiny, recorded, lake):
     in_batches(spark, tiny, recorded, lake, n=8)
-    maintain(spark, lake, fold_every=2).awaitTermination()
+    maintain(spark, lake, fold_every=2, base_share=0).awaitTermination()
     table = silver.SilverTable(lake, "yy")
     live = silver._live(spark, table)
     assert live.generation == 3 and live.base is not None and len(live.changes) == 2
-    for path in (table.data_path, table.commits_path):
-        assert files.child_directories(spark, path) == ["generation=00000002", "generation=00000003"]
+    generations = ["generation=00000002", "generation=00000003"]
+    assert files.child_directories(spark, table.commits_path) == generations
+    *bases, second, third = files.child_directories(spark, table.data_path)
+    assert len(bases) == 2 and [second, third] == generations
+    assert latest(spark, lake) == batch_fold(spark, tiny)
+
+
+def test_base_is_rewritten_only_when_enough_has_changed(spark, tiny, recorded, lake):
+    in_batches(spark, tiny, recorded, lake, n=8)
+    maintain(spark, lake, fold_every=2, base_share=1000).awaitTermination()
+    table = silver.SilverTable(lake, "yy")
+    live = silver._live(spark, table)
+    # The first fold makes the base; later ones leave one part of changes, and a new batch.
+    assert live.base is not None and len(live.changes) == 2
+    bases = [n for n in files.child_directories(spark, table.data_path) if n.startswith("base=")]
+    assert bases == [live.base.path.rsplit("/", 1)[1]]
+    assert latest(spark, lake) == batch_fold(spark, tiny)
+    third = silver._next_generation(spark, table, live, ["userid"], base_share=0)
+    assert third.base.path != live.base.path and not third.changes
     assert latest(spark, lake) == batch_fold(spark, tiny)
 
 
@@ -207,9 +229,11 @@ def test_topics_with_equal_buckets_join_without_shuffling_their_folded_parts(
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-@pytest.mark.parametrize("fold_every", [2, 50])
+@pytest.mark.parametrize("fold_every, base_share", [(50, 0.25), (2, 0), (2, 1000)])
 @pytest.mark.parametrize("when", ["before_commit", "after_commit"])
-def test_failure_in_a_micro_batch(spark, tiny, recorded, lake, monkeypatch, when, fold_every):
+def test_failure_in_a_micro_batch(
+    spark, tiny, recorded, lake, monkeypatch, when, fold_every, base_share
+):
     """Whatever a failed attempt left behind, the restart ends with the same table."""
     in_batches(spark, tiny, recorded, lake)
     real, calls = files.append_rows, []
@@ -225,10 +249,10 @@ def test_failure_in_a_micro_batch(spark, tiny, recorded, lake, monkeypatch, when
     with monkeypatch.context() as m:
         m.setattr(silver.files, "append_rows", failing)
         with pytest.raises(StreamingQueryException, match="lost"):
-            maintain(spark, lake, fold_every).awaitTermination()
+            maintain(spark, lake, fold_every, base_share).awaitTermination()
     seen = {user for user, _, _ in latest(spark, lake)}
     assert seen  # readers beside the failed stream see whole batches only
-    maintain(spark, lake, fold_every).awaitTermination()
+    maintain(spark, lake, fold_every, base_share).awaitTermination()
     assert latest(spark, lake) == batch_fold(spark, tiny)
 
 
@@ -245,7 +269,7 @@ def test_micro_batch_without_rows(spark, tiny, recorded, lake):
     """An empty first batch leaves a table that reads as empty, not one that cannot be read."""
     empty = spark.createDataFrame([], YY.bronze_schema()).drop("rejected", "_reject")
     table = silver.SilverTable(lake, "yy")
-    silver._add_changes(spark, table, 0, fold_latest(empty, fx.KEYS), 0)
+    add_changes(spark, table, 0, fold_latest(empty, fx.KEYS))
     assert latest(spark, lake) == []
 
 
@@ -253,7 +277,7 @@ def test_field_added_to_the_topic_is_null_in_older_parts(spark, lake):
     table = silver.SilverTable(lake, "yy")
     for n, fields in enumerate(["'a', 1", "'a', 2, 'b', 3"]):
         rows = spark.sql(f"SELECT {n} AS userid, named_struct({fields}) AS value, {n} AS ord")
-        silver._add_changes(spark, table, 0, rows, n)
+        add_changes(spark, table, 0, rows)
     rows = read_latest(spark, lake, "yy", ["userid"]).collect()
     assert sorted(tuple(r["value"]) for r in rows) == [(1, None), (2, 3)]
 
