@@ -130,10 +130,10 @@ def decode_envelope(
     parsed = parsed.withColumns(
         {
             "_value": F.coalesce(*[b.conformed(F.col(n)) for n, b in bodies.items()]),
-            "_corrupt": F.coalesce(*[b.corrupt(F.col(n)) for n, b in bodies.items()]),
+            "_damaged": F.coalesce(*[b.damaged(F.col(n)) for n, b in bodies.items()]),
         }
     )
-    value, corrupt = F.col("_value"), F.col("_corrupt")
+    value, damaged = F.col("_value"), F.col("_damaged")
     reason = F.when(payload.isNull(), F.lit(f"null {name}") if required else F.lit(None))
     if codec.framed:
         known = F.lit(True)
@@ -142,7 +142,7 @@ def decode_envelope(
         reason = reason.when(~is_framed(payload), F.lit("no frame")).when(
             ~known, F.lit("unknown schema id")
         )
-    reason = reason.when(corrupt.isNotNull() | value.isNull(), F.lit("malformed"))
+    reason = reason.when(value.isNull() | damaged, F.lit("malformed"))
     for path, missing in _required_nulls(value, schema):
         reason = reason.when(missing, F.lit(f"missing {path}"))
 
@@ -185,7 +185,7 @@ class _Body:
 
     parsed: Column
     conformed: Callable[[Column], Column]
-    corrupt: Callable[[Column], Column]
+    damaged: Callable[[Column], Column]
 
 
 def _bodies(payload: Column, body: Column, schema: T.StructType, codec) -> dict[str, _Body]:
@@ -202,13 +202,28 @@ def _bodies(payload: Column, body: Column, schema: T.StructType, codec) -> dict[
 
 
 def _json_body(body: Column, reader: T.StructType, writer: T.StructType, mine: Column) -> _Body:
-    fields = [T.StructField(f.name, f.dataType) for f in writer.fields]
-    with_corrupt = T.StructType([*fields, T.StructField(_CORRUPT, T.StringType())])
+    # A parser stops after the first value and would not see what follows it, be it a second
+    # value or a damaged end. So the body is read as the only item of a list with a mark
+    # behind it, which a body that ends early or late leaves unread or makes unreadable.
+    record = T.StructType([T.StructField(f.name, f.dataType) for f in writer.fields])
+    wrapped = T.StructType(
+        [
+            T.StructField("bodies", T.ArrayType(record)),
+            T.StructField("end", T.BooleanType()),
+            T.StructField(_CORRUPT, T.StringType()),
+        ]
+    )
+    text = F.concat(F.lit('{"bodies":['), body.cast("string"), F.lit('],"end":true}'))
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
+
+    def damaged(parsed: Column) -> Column:
+        whole = F.coalesce(parsed["end"], F.lit(False)) & (F.size(parsed["bodies"]) == 1)
+        return F.when(parsed.isNotNull(), parsed[_CORRUPT].isNotNull() | ~whole)
+
     return _Body(
-        F.when(mine, F.from_json(body.cast("string"), with_corrupt, options)),
-        lambda parsed: conform(parsed, writer, reader),
-        lambda parsed: parsed[_CORRUPT],
+        F.when(mine, F.from_json(text, wrapped, options)),
+        lambda parsed: conform(F.get(parsed["bodies"], F.lit(0)), writer, reader),
+        damaged,
     )
 
 
@@ -220,7 +235,7 @@ def _avro_body(body: Column, reader: str, writer: str, mine: Column) -> _Body:
     except (TypeError, AttributeError) as e:
         raise CodecUnavailable(AVRO_NEEDED) from e
     # A malformed Avro body is null, which is a reject because its payload is not.
-    return _Body(F.when(mine, parsed), lambda v: v, lambda v: F.lit(None).cast("string"))
+    return _Body(F.when(mine, parsed), lambda v: v, lambda v: F.when(v.isNotNull(), False))
 
 
 # The numeric promotions allowed from a writer's type to the topic's type.

@@ -68,6 +68,45 @@ def test_rows_tombstones_and_rejects_are_kept_apart(spark):
     assert raw[3] == b"not json" and raw[4] == b"" and len(raw) == 7
 
 
+@pytest.mark.parametrize(
+    "payload",
+    [
+        b'{"userid":1,"refcount":2} xyz',
+        b'{"userid":1,"refcount":2}{"userid":3,"refcount":4}',
+        b'{"userid":1,"refcount":2}}',
+        b'{"userid":1,"refcount":2}]}',
+        b'{"userid":1,"refcount":2},{"userid":3,"refcount":4}',
+        b'{"userid":1,"refcount":2},"x":1',
+        b'{"userid":1,"refcount":2},',
+        b'{"userid":1,"refcount":2',
+        b'[{"userid":1,"refcount":2}]',
+        b'"text"',
+        b"1",
+        b"  ",
+        b"\xff\xfe",
+        b'{"userid":1,"refcount":2.5}',
+        b'{"userid":1,"refcount":2,"optional":"x"}',
+        b'{"userid":1,"refcount":2,"optional":{}}',
+    ],
+)
+def test_body_must_be_one_whole_object(spark, payload):
+    df = decode_envelope(topic(spark, [payload]), "value", SCHEMA)
+    assert outcome(df) == {0: (None, "malformed")}
+
+
+@pytest.mark.parametrize(
+    "payload",
+    [
+        b' {"userid":1,"refcount":2} \n',
+        b'{"refcount":2,"more":{"a":[1]},"userid":1}',
+        b'{"userid":1,"refcount":2,"optional":null}',
+    ],
+)
+def test_blanks_order_and_further_fields_do_not_matter(spark, payload):
+    df = decode_envelope(topic(spark, [payload]), "value", SCHEMA)
+    assert outcome(df) == {0: ((1, 2, None), None)}
+
+
 def test_column_is_replaced_in_place_whatever_its_case(spark):
     df = topic(spark, [b'{"userid":1,"refcount":2}']).withColumn("after", F.lit(1))
     decoded = decode_envelope(df, "VALUE", SCHEMA)
