@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from functools import partial
+from typing import ClassVar
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
@@ -48,7 +49,7 @@ class SchemaMismatch(ValueError):
 @dataclass(frozen=True)
 class JsonCodec:
     """JSON text. ``writers`` maps a frame's schema id to the schema it was written with;
-    without it every body is read with the topic's own schema."""
+    without it, or without frames, every body is read with the topic's own schema."""
 
     framed: bool = False
     writers: Mapping[int, T.StructType] = field(default_factory=dict)
@@ -61,7 +62,7 @@ class AvroCodec:
 
     reader: str
     writers: Mapping[int, str]
-    framed: bool = True
+    framed: ClassVar[bool] = True
 
 
 # --- frame --------------------------------------------------------------------------------
@@ -115,38 +116,37 @@ def decode_envelope(
         raise ValueError(f"no column {column!r} to decode in {df.columns}")
     name = spelled[column.lower()]
     payload = F.col(quoted(name))
-    body = frame_body(payload) if codec.framed else payload
 
-    # Generated columns are a barrier: a later filter on the outcome is not pushed below
-    # them, where it would parse every body again for each mention of it.
-    bodies = _bodies(payload, body, schema, codec)
-    once = F.inline(F.array(F.struct(*[b.parsed.alias(n) for n, b in bodies.items()])))
+    body = F.col("_text") if codec.framed else payload
+    bodies = _bodies(F.col("_schema_id"), body, schema, codec)
+    read = df
+    if codec.framed:
+        read = _once(df, {"_schema_id": frame_schema_id(payload), "_text": frame_body(payload)})
     try:
-        parsed = df.select("*", once)
+        read = _once(read, {n: b.parsed for n, b in bodies.items()})
     except AnalysisException as e:
         if "AVRO" in str(e):
             raise CodecUnavailable(AVRO_NEEDED) from e
         raise
-    parsed = parsed.withColumns(
+    read = _once(
+        read,
         {
             "_value": F.coalesce(*[b.conformed(F.col(n)) for n, b in bodies.items()]),
             "_damaged": F.coalesce(*[b.damaged(F.col(n)) for n, b in bodies.items()]),
-        }
+        },
     )
     value, damaged = F.col("_value"), F.col("_damaged")
     reason = F.when(payload.isNull(), F.lit(f"null {name}") if required else F.lit(None))
     if codec.framed:
-        known = F.lit(True)
-        if codec.writers:
-            known = frame_schema_id(payload).isin(*codec.writers)
-        reason = reason.when(~is_framed(payload), F.lit("no frame")).when(
-            ~known, F.lit("unknown schema id")
-        )
+        reason = reason.when(F.col("_schema_id").isNull(), F.lit("no frame"))
+    if codec.framed and codec.writers:
+        unknown = ~F.col("_schema_id").isin(*codec.writers)
+        reason = reason.when(unknown, F.lit("unknown schema id"))
     reason = reason.when(value.isNull() | damaged, F.lit("malformed"))
     for path, missing in _required_nulls(value, schema):
         reason = reason.when(missing, F.lit(f"missing {path}"))
 
-    judged = parsed.withColumn("_reason", reason)
+    judged = read.withColumn("_reason", reason)
     reject = F.when(
         F.col("_reason").isNotNull(),
         F.struct(
@@ -167,6 +167,12 @@ def decode_envelope(
     return judged.select(*columns)
 
 
+def _once(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+    """Add columns as generated ones. They are a barrier: a later filter is not pushed below
+    them, where it would evaluate them again for each mention, and each is evaluated once."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def accepted(df: DataFrame, reject_column: str = "_reject") -> DataFrame:
     """Rows in which every column decoded."""
     return df.where(F.col(reject_column).isNull()).drop(reject_column)
@@ -188,16 +194,15 @@ class _Body:
     damaged: Callable[[Column], Column]
 
 
-def _bodies(payload: Column, body: Column, schema: T.StructType, codec) -> dict[str, _Body]:
+def _bodies(schema_id: Column, body: Column, schema: T.StructType, codec) -> dict[str, _Body]:
     if isinstance(codec, AvroCodec):
         parse = partial(_avro_body, body, codec.reader)
     else:
         parse = partial(_json_body, body, schema)
-        if not codec.writers:
+        if not (codec.framed and codec.writers):
             return {"_body": parse(schema, F.lit(True))}
     if not codec.writers:
         raise ValueError("at least one writer schema is needed")
-    schema_id = frame_schema_id(payload)
     return {f"_body_{i}": parse(w, schema_id == i) for i, w in sorted(codec.writers.items())}
 
 

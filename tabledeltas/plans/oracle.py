@@ -16,7 +16,10 @@ SELECT user_id AS userid, event_id AS "offset", event_type = 'error' AS deleted,
 FROM ({EVENTS}) e
 """
 
-XX = "SELECT c_custkey AS userid, c_name AS name, c_mktsegment AS gender, c_nationkey AS regionid FROM customer"
+XX = """
+SELECT c_custkey AS userid, c_name AS name, c_mktsegment AS gender, c_nationkey AS regionid
+FROM customer
+"""
 
 
 def yy_folded(tenths: int = 10, order: str = '"offset"') -> str:

@@ -5,7 +5,10 @@ from plan_text import count_of, plan
 from tabledeltas.operators import as_table, fold_latest, project_value
 from tabledeltas.plans import fixture as fx
 
-LOG = "key struct<userId: string>, value struct<userid: string, v: string, w: int>, `partition` int, offset bigint, timestamp timestamp"
+LOG = (
+    "key struct<userId: string>, value struct<userid: string, v: string, w: int>, "
+    "`partition` int, offset bigint, timestamp timestamp"
+)
 KEYS = {"userid": "key.userId"}
 
 
