@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -60,14 +59,11 @@ def append_rows(spark: SparkSession, rows: Sequence[tuple], schema: T.StructType
 def scratch_directory(spark: SparkSession) -> str:
     """A new folder for the working tables of one call, dropped when Spark ends.
 
-    It lies in the shared folder the session names in ``spark.checkpoint.dir``. Only a local
-    session may do without that setting.
+    It lies in the shared folder the session names in ``spark.checkpoint.dir``; where that is
+    unset, below the session's warehouse directory, which executors share as well.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        shared = tempfile.gettempdir()
+    shared = shared or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_working"
     path = f"{shared.rstrip('/')}/tabledeltas-{uuid.uuid4().hex}"
     fs, p = _resolve(spark, path)
     fs.mkdirs(p)

@@ -6,9 +6,8 @@ import __spark_entry__ as entry_point
 import oracle_check
 from tabledeltas.operators import change_feed
 from tabledeltas.plans import fixture as fx
-
-QUERIES = entry_point.queries()
-ORACLE = entry_point.oracle_sql()
+from tabledeltas.plans.catalog import QUERIES
+from tabledeltas.plans.oracle import ORACLE
 
 
 @pytest.fixture(scope="module")
@@ -18,6 +17,8 @@ def database(tiny):
 
 def test_every_query_has_a_twin():
     assert QUERIES.keys() == ORACLE.keys()
+    assert QUERIES.items() <= entry_point.queries().items()
+    assert ORACLE.items() <= entry_point.oracle_sql().items()
 
 
 @pytest.mark.parametrize("name", QUERIES)
