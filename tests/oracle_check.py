@@ -29,7 +29,7 @@ def compare(spark, con, query, sql: str, sf_dir: str) -> tuple[int, str | None]:
         return 0, f"columns {columns} and {sorted(relation.columns)}"
     quoted = ", ".join(f'"{c}"' for c in columns)
     theirs_df = con.sql(f"SELECT {quoted} FROM ({sql}) q")
-    kinds = {"BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "BOOLEAN": "boolean"}
+    kinds = {"BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "BOOLEAN": "boolean", "DOUBLE": "double"}
     their_types = [kinds.get(str(t), str(t)) for t in theirs_df.types]
     our_types = [df.schema[c].dataType.simpleString() for c in columns]
     if their_types != our_types:
