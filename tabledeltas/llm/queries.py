@@ -7,12 +7,65 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabledeltas.llm import mixing
-from tabledeltas.llm.common import table
+from tabledeltas.llm import mixing, topk, warc
+from tabledeltas.llm.common import table, working_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.search(vectors, F.col("vec_id") % 50 == 0, k=5)
+
+
+OP3_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS w
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.w, c.w)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id
+  WHERE q.vec_id % 50 = 0
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = f"{working_folder(spark)}/archives"
+    warc.write_archives(table(spark, sf_dir, "pages"), archives)
+    records = warc.read_archives(spark, archives)
+    return records.select(
+        F.col("record_id").cast("long").alias("page_id"),
+        F.col("n_bytes").alias("payload_bytes"),
+        F.col("digest").alias("payload_digest"),
+        "record_type",
+        F.col("refers_to").cast("long").alias("refers_to"),
+    )
+
+
+OP7_SQL = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes,
+         sha1(coalesce(html, '')) AS payload_digest
+  FROM pages
+), m AS (
+  SELECT *, CASE WHEN payload_bytes >= 1000
+                 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS last
+  FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN coalesce(last, page_id) IS NOT DISTINCT FROM page_id
+            THEN 'response' ELSE 'revisit' END AS record_type,
+       nullif(last, page_id) AS refers_to
+FROM m
+"""
+
+
 def op10_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     planned, names = mixing.plan_mix(docs)
@@ -64,5 +117,13 @@ SELECT doc_id, size, source_size, target,
 FROM r
 """
 
-QUERIES: dict[str, Query] = {"op10_mix_to_weights": op10_mix_to_weights}
-ORACLE: dict[str, str] = {"op10_mix_to_weights": OP10_SQL}
+QUERIES: dict[str, Query] = {
+    "op3_top_k": op3_top_k,
+    "op7_warc_revisits": op7_warc_revisits,
+    "op10_mix_to_weights": op10_mix_to_weights,
+}
+ORACLE: dict[str, str] = {
+    "op3_top_k": OP3_SQL,
+    "op7_warc_revisits": OP7_SQL,
+    "op10_mix_to_weights": OP10_SQL,
+}
