@@ -7,12 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabledeltas.llm import mixing, topk, warc
+from tabledeltas.llm import langid, mixing, topk, warc
 from tabledeltas.llm.common import table, working_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.train_apart(docs)
+    found = docs.select("doc_id", langid.held_out().alias("held_out"), langid.label(model, spark).alias("l"))
+    return found.select(
+        "doc_id",
+        "held_out",
+        F.col("l.lang_pred").alias("lang_pred"),
+        F.col("l.score").alias("score"),
+        F.size("l.langs").alias("n_spans"),
+    )
+
+
 def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return topk.search(vectors, F.col("vec_id") % 50 == 0, k=5)
@@ -118,6 +131,7 @@ FROM r
 """
 
 QUERIES: dict[str, Query] = {
+    "op2_language": op2_language,
     "op3_top_k": op3_top_k,
     "op7_warc_revisits": op7_warc_revisits,
     "op10_mix_to_weights": op10_mix_to_weights,
