@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabledeltas.llm import langid, mixing, topk, warc
+from tabledeltas.llm import langid, mixing, simhash, topk, warc
 from tabledeltas.llm.common import table, working_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,14 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    grouped = simhash.group_rows(simhash.with_row(docs))
+    return grouped.select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
+    )
+
+
 def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = f"{working_folder(spark)}/archives"
     warc.write_archives(table(spark, sf_dir, "pages"), archives)
@@ -133,6 +141,7 @@ FROM r
 QUERIES: dict[str, Query] = {
     "op2_language": op2_language,
     "op3_top_k": op3_top_k,
+    "op6_simhash": op6_simhash,
     "op7_warc_revisits": op7_warc_revisits,
     "op10_mix_to_weights": op10_mix_to_weights,
 }
