@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabledeltas.llm import langid, mixing, simhash, topk, warc
-from tabledeltas.llm.common import table, working_folder
+from tabledeltas.llm import decontaminate, langid, mixing, sharding, simhash, topk, warc
+from tabledeltas.llm.common import saved, table, working_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,6 +48,24 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = saved(
+        docs.select("doc_id", *sharding.facts(docs)).withColumn("row", F.monotonically_increasing_id()),
+        f"{working_folder(spark)}/rows",
+    )
+    placed = sharding.assign(rows.select("row", "key"))
+    return rows.join(placed, "row").select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     grouped = simhash.group_rows(simhash.with_row(docs))
@@ -87,6 +105,12 @@ FROM m
 """
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_passages(docs, table(spark, sf_dir, "benchmark"))
+    return docs.select("doc_id", F.md5("text").alias("text_key")).join(found, "text_key").drop("text_key")
+
+
 def op10_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     planned, names = mixing.plan_mix(docs)
@@ -141,8 +165,10 @@ FROM r
 QUERIES: dict[str, Query] = {
     "op2_language": op2_language,
     "op3_top_k": op3_top_k,
+    "op4_shards": op4_shards,
     "op6_simhash": op6_simhash,
     "op7_warc_revisits": op7_warc_revisits,
+    "op8_decontaminate": op8_decontaminate,
     "op10_mix_to_weights": op10_mix_to_weights,
 }
 ORACLE: dict[str, str] = {
