@@ -1,23 +1,70 @@
-"""Documents to a sharded, deduplicated, decontaminated training mix, stage by stage."""
+"""Documents to a sharded, deduplicated, decontaminated training mix, stage by stage.
+
+Each stage takes the documents its predecessor kept and returns what it keeps of them, with the
+columns of ``documents``, further ones included; the last one adds ``shard`` and ``slot``. Rows with null texts or ids
+and empty tables pass through every stage as its operator defines.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tabledeltas.llm.common import table, working_folder
+from tabledeltas.llm import langid, sharding, simhash
+from tabledeltas.llm.common import fresh, saved, table, working_folder
+from tabledeltas.llm.decontaminate import decontaminate
 from tabledeltas.llm.mixing import mix
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A document is rejected if less than this share of its letters lies in its language's spans.
+LEAST_SCORE = 0.4
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Reject documents without a language: no letters, or no language for most of them."""
+    (found,) = fresh(docs, "found")
+    label = langid.label(langid.train_apart(docs), spark)
+    kept = (F.col(f"{found}.lang_pred") != langid.UNKNOWN) & (F.col(f"{found}.score") >= LEAST_SCORE)
+    return docs.withColumn(found, label).where(kept).drop(found)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near-duplicates: the one of the smallest id."""
+    return simhash.keep_one(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a benchmark item."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the target weight of its source asks for."""
-    return mix(docs.select(*COLUMNS))
+    return mix(docs)
+
+
+def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document with its shard and its place in it; copies stay together."""
+    shard, slot = fresh(docs, "shard", "slot")
+    key = F.xxhash64(F.coalesce("text", F.lit(""))).alias("key")
+    rows = saved(
+        docs.select(F.struct("*").alias("doc"), key).withColumn("row", F.monotonically_increasing_id()),
+        f"{working_folder(spark)}/documents",
+    )
+    placed = sharding.assign(rows.select("row", "key"))
+    return rows.join(placed, "row").select(
+        "doc.*", F.col("shard").alias(shard), F.col("slot").alias(slot)
+    )
 
 
-STAGES = [("mixing", mixing_stage)]
+STAGES = [
+    ("language", language_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("decontamination", decontamination_stage),
+    ("mixing", mixing_stage),
+    ("sharding", sharding_stage),
+]
 
-#: The stages use models, fingerprints and random draws that SQL cannot express.
+#: A learned model, fingerprints and a label propagation: not for SQL.
 ORACLE_SQL = None
 
 
