@@ -7,12 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabledeltas.llm import decontaminate, langid, mixing, sharding, simhash, topk, warc
+from tabledeltas.llm import decontaminate, html, langid, mixing, sharding, simhash, topk, warc
 from tabledeltas.llm.common import saved, table, working_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return pages.select("page_id", "url", html.extract().alias("text")).withColumn(
+        "n_chars", F.length("text").cast("long")
+    )
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.train_apart(docs)
@@ -163,6 +170,7 @@ FROM r
 """
 
 QUERIES: dict[str, Query] = {
+    "op1_main_text": op1_main_text,
     "op2_language": op2_language,
     "op3_top_k": op3_top_k,
     "op4_shards": op4_shards,
