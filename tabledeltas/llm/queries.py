@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabledeltas.llm import decontaminate, html, langid, mixing, sharding, simhash, topk, warc
+from tabledeltas.llm import decontaminate, html, langid, mixing, quality, sharding, simhash, topk, warc
 from tabledeltas.llm.common import saved, table, working_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -118,6 +118,14 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.md5("text").alias("text_key")).join(found, "text_key").drop("text_key")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no address: the source stands for the host, its languages for paths."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    found = quality.classify(docs, labels, F.col("source"), F.col("lang"))
+    keep = (F.col("p_quality") >= 0.5) & (F.col("p_toxic") < 0.5)
+    return found.select("doc_id", "p_quality", "p_toxic", keep.alias("keep"))
+
+
 def op10_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     planned, names = mixing.plan_mix(docs)
@@ -177,6 +185,7 @@ QUERIES: dict[str, Query] = {
     "op6_simhash": op6_simhash,
     "op7_warc_revisits": op7_warc_revisits,
     "op8_decontaminate": op8_decontaminate,
+    "op9_quality": op9_quality,
     "op10_mix_to_weights": op10_mix_to_weights,
 }
 ORACLE: dict[str, str] = {
