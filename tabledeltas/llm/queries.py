@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabledeltas.llm import decontaminate, html, langid, mixing, quality, sharding, simhash, topk, warc
+from tabledeltas.llm import decontaminate, html, langid, mixing, quality, sharding, simhash, suffixes, topk, warc
 from tabledeltas.llm.common import saved, table, working_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,6 +73,10 @@ def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     grouped = simhash.group_rows(simhash.with_row(docs))
@@ -182,6 +186,7 @@ QUERIES: dict[str, Query] = {
     "op2_language": op2_language,
     "op3_top_k": op3_top_k,
     "op4_shards": op4_shards,
+    "op5_repeats": op5_repeats,
     "op6_simhash": op6_simhash,
     "op7_warc_revisits": op7_warc_revisits,
     "op8_decontaminate": op8_decontaminate,
