@@ -6,9 +6,10 @@ languages that write a noticeable share of their letters in it. A Viterbi pass o
 of the words, with a penalty for every switch, labels spans; the language with most letters
 labels the text.
 
-Neighbouring words whose best language is the same are merged before the pass. That loses
-nothing: a path that changes language inside such a run could change at one of its ends and
-score no less.
+Neighbouring words that rank the languages alike are merged before the pass. That loses
+nothing: of a switch between them, one a word earlier or later scores no less. The pass is left
+out where no other language gains half a penalty anywhere over the best one: no path could pay
+for its switches then.
 
 * The model is learned from at most ``per_language`` distinct texts of each language (in
   expectation; chosen by a hash of the text). Counting is done by Spark; the driver gets at most
@@ -196,71 +197,65 @@ def _viterbi(scores: list[list[float]], penalty: float) -> list[int]:
     return path[::-1]
 
 
+def _path(score: np.ndarray, penalty: float) -> tuple[np.ndarray, np.ndarray]:
+    """First words of the runs of a text, and the number of the language of each run."""
+    top = int(score.sum(axis=0).argmax())
+    ahead = np.cumsum(score - score[:, top : top + 1], axis=0, dtype=np.float64)
+    lowest = np.minimum.accumulate(np.vstack([np.zeros((1, score.shape[1])), ahead]), axis=0)
+    if (ahead - lowest[:-1]).max() <= penalty / 2:
+        return np.zeros(1, dtype=np.int64), np.array([top])
+    rank = np.argsort(-score, axis=1, kind="stable")
+    first = np.append(0, np.flatnonzero((rank[1:] != rank[:-1]).any(axis=1)) + 1)
+    path = np.array(_viterbi(np.add.reduceat(score, first, axis=0).tolist(), penalty))
+    changes = np.append(True, path[1:] != path[:-1])
+    return first[changes], path[changes]
+
+
+def _labelled(parts: list[tuple], model: Model, penalty: float) -> tuple:
+    at, size, score = (np.concatenate(x) for x in zip(*parts))
+    first, path = _path(score, penalty)
+    letters = np.bincount(path, np.add.reduceat(size, first), len(model.languages))
+    evident = np.add.reduceat(size * score.any(axis=1), first)
+    top = int(letters.argmax())
+    return (
+        model.languages[top],
+        float(evident[path == top].sum() / size.sum()),
+        at[first].tolist(),
+        (at + size)[np.append(first[1:], len(at)) - 1].tolist(),
+        [model.languages[l] for l in path],
+    )
+
+
 def _label_all(texts: list[str | None], model: Model, penalty: float) -> list[tuple]:
     """``(language, score, starts, ends, languages of spans)`` of each text."""
     nothing = (UNKNOWN, 0.0, [], [], [])
     out: list[tuple] = [nothing] * len(texts)
     if not model.languages:
         return out
+    parts: dict[int, list[tuple]] = {}
+
+    def flush(pieces: list[tuple[int, int, str, bool]]) -> None:
+        lengths = np.array([len(p) + 1 for _, _, p, _ in pieces])
+        starts = np.cumsum(lengths) - lengths
+        at, size, score = _words("\n".join(p for _, _, p, _ in pieces), model)
+        bounds = np.searchsorted(at, np.append(starts, lengths.sum()))
+        for (i, begin, _, ends), start, lo, hi in zip(pieces, starts, bounds, bounds[1:]):
+            if lo < hi:
+                parts.setdefault(i, []).append((at[lo:hi] - start + begin, size[lo:hi], score[lo:hi]))
+            if ends and i in parts:
+                out[i] = _labelled(parts.pop(i), model, penalty)
 
-    def flush(pieces: list[tuple[int, int, str]]) -> None:
-        joined, starts, of_piece = "\n".join(p for *_, p in pieces), [], []
-        place = 0
-        for _, _, p in pieces:
-            starts.append(place)
-            place += len(p) + 1
-        at, size, score = _words(joined, model)
-        if not len(at):
-            return
-        of_piece = np.searchsorted(starts, at, side="right") - 1
-        doc = np.array([i for i, *_ in pieces])[of_piece]
-        at = at - np.array(starts)[of_piece] + np.array([s for _, s, _ in pieces])[of_piece]
-        best = score.argmax(axis=1)
-        first = np.flatnonzero((np.diff(best, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0))
-        last = np.append(first[1:], len(at)) - 1
-        ends = (at + size)[last]
-        sums = np.add.reduceat(score, first, axis=0)
-        sizes = np.add.reduceat(size, first)
-        evident = np.add.reduceat(size * score.any(axis=1), first)
-        edges = np.flatnonzero(np.diff(doc[first], prepend=-1))
-        for lo, hi in zip(edges, np.append(edges[1:], len(first))):
-            i = int(doc[first[lo]])
-            path = _viterbi(sums[lo:hi].tolist(), penalty) if hi - lo > 1 else [int(best[first[lo]])]
-            runs[i] = runs.get(i, []) + list(
-                zip(path, at[first[lo:hi]].tolist(), ends[lo:hi].tolist(), sizes[lo:hi].tolist(), evident[lo:hi].tolist())
-            )
-
-    runs: dict[int, list[tuple]] = {}
     waiting, length = [], 0
     for i, text in enumerate(texts):
-        for start, piece in _pieces(_lower(text or "")):
-            waiting.append((i, start, piece))
+        low = _lower(text or "")
+        for start, piece in _pieces(low):
+            waiting.append((i, start, piece, start + len(piece) == len(low)))
             length += len(piece)
             if length >= PIECE:
                 flush(waiting)
                 waiting, length = [], 0
     if waiting:
         flush(waiting)
-    for i, found in runs.items():
-        letters, evident = [0] * len(model.languages), [0] * len(model.languages)
-        starts, ends, langs = [], [], []
-        for lang, start, end, n, sure in found:
-            letters[lang] += n
-            evident[lang] += sure
-            if langs and langs[-1] == lang:
-                ends[-1] = end
-            else:
-                starts.append(start)
-                ends.append(end)
-                langs.append(lang)
-        top = letters.index(max(letters))
-        out[i] = (
-            model.languages[top],
-            evident[top] / sum(letters),
-            starts,
-            ends,
-            [model.languages[l] for l in langs],
-        )
     return out
 
 
