@@ -2,8 +2,8 @@
 
 Documents with a key in common are linked. Every document starts in a shard of its own hash's
 choice; in each round joins count every key's members per shard, and a document moves to the
-shard that holds most of its neighbours, itself included, as far as the quota of that shard
-admits (whole groups at a time, chosen by hash). Groups larger than a shard are split into parts
+shard that holds most of its neighbours, itself included, of those that are not overfull, as far
+as the quota of that shard admits (whole groups at a time, chosen by hash). Groups larger than a shard are split into parts
 that fit, and the few parts that are large beside a shard are placed first, largest to the
 emptiest shard. Documents without neighbours fill what is left.
 
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tabledeltas.llm.common import numbered, saved, working_folder
 
-SHARDS, ROUNDS = 8, 5
+SHARDS, ROUNDS = 8, 8
 #: A part of a group is large from this fraction of a shard on: so at most SHARDS * LARGE are.
 LARGE = 16
 
@@ -57,6 +57,8 @@ def propagate(
     )
     every = range(shards)
     for turn in range(rounds):
+        now = _counts(labels, "shard", shards)
+        open_to = [s for s in every if now[s] <= room[s]] or list(every)
         at = saved(links.join(labels, "row"), f"{folder}/at-{turn}")
         held = saved(
             at.groupBy("key").agg(
@@ -70,15 +72,15 @@ def propagate(
             .agg(F.min("key").alias("key"), *[F.sum(f"n{s}").alias(f"n{s}") for s in every])
         )
         # most neighbours first; of equals the one the group's hash prefers, for all its members
-        preferred = F.greatest(
-            *[
+        preferred = F.array_max(
+            F.array(*[
                 F.struct(
                     F.col(f"n{s}").alias("n"),
                     F.xxhash64("key", F.lit(turn), F.lit(s)).alias("h"),
                     F.lit(s).alias("to"),
                 )
-                for s in every
-            ]
+                for s in open_to
+            ])
         )
         chosen = saved(
             votes.select("row", "shard", "key", preferred["to"].alias("to")), f"{folder}/chosen-{turn}"
@@ -87,7 +89,6 @@ def propagate(
         wanted, leaving = _counts(moving, "to", shards), _counts(moving, "shard", shards)
         if not any(wanted):
             break
-        now = _counts(chosen, "shard", shards)
         quota = [
             min(1.0, max(0.0, room[s] - now[s] + leaving[s]) / wanted[s]) if wanted[s] else 0.0
             for s in every
