@@ -1,0 +1,412 @@
+"""Odd tables through every operator, and the parts that need a closer look."""
+
+import collections
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tabledeltas.llm import (
+    components,
+    decontaminate,
+    html,
+    langid,
+    mixing,
+    quality,
+    sharding,
+    simhash,
+    suffixes,
+    topk,
+    warc,
+)
+from tabledeltas.llm.common import saved, working_folder
+
+
+def plain(df):
+    return collections.Counter(tuple(r) for r in df.collect())
+
+
+# 1. main text
+
+STORY = "A long paragraph of the story, with so many words that it clearly is the text itself. " * 2
+ONE = STORY.strip()
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (None, ""),
+        ("", ""),
+        ("<!-- open", ""),
+        ("<script>var a = '<p>'; </p>", ""),
+        ("a < b &amp; c", "a < b & c"),
+        ("<p>Hi <b>you</b>!<br>there</p>\n<p> </p>", "Hi you! there"),
+        (f"<nav><p>{STORY}{STORY}</nav><article><h1>T</h1><p><b>{STORY}<p>x</article>", f"T\n{ONE}\nx"),
+        (
+            f"<body><div id=header>Site</div><ul class=menu><li><a>A</a></ul><div class=content>"
+            f"<h1>T</h1><p>{STORY}<div class='share'>Share</div><p>s&nbsp;&lt;<p>{STORY}</div>"
+            f"<div class=sidebar><p>{STORY}</div><ol id=comments><li>{STORY}{STORY}</ol>",
+            f"T\n{ONE}\ns <\n{ONE}",
+        ),
+        (
+            f"<main><article><p>{STORY}<form>f</form><article><p>{STORY}a comment</article>"
+            f"<footer>by</footer></article></main><div class='cookie-notice'>{STORY}</div>",
+            ONE,
+        ),
+        (
+            f"<ul><li><a>Home</a></ul><div><h2>T</h2><p>{STORY}<p>short<p>{STORY}</div>"
+            "<ul><li><a>Imprint</a></ul><p>&copy; 2020",
+            f"T\n{ONE}\nshort\n{ONE}",
+        ),
+        (f"<aside>{STORY}</aside><article>Brief.</article>", "Brief."),
+    ],
+)
+def test_main_text(page, text):
+    assert html.main_text(page) == text
+
+
+def test_stretches_begin_at_a_surge_and_end_at_a_dive():
+    assert html.stretches([5, 0, 0, 0, 100, 10, 0, 0, 0, 3]) == [(4, 5)]
+    assert html.stretches([]) == []
+
+
+# 2. language
+
+
+@pytest.fixture(scope="module")
+def model(spark, small):
+    return langid.train(spark.read.parquet(f"{small}/documents.parquet"))
+
+
+def test_spans_of_mixed_text(spark, model, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    one = {r["lang"]: r["text"][:400] for r in docs.where("doc_id IN (1, 3, 20)").collect()}
+    mixed = " ".join(one[l] for l in ("en", "fr", "de"))
+    found = langid._label_all([mixed, None, "", "12 !?", "булок"], model, langid.SWITCH)
+    assert found[0][4] == ["en", "fr", "de"]
+    for start, end, lang in zip(*found[0][2:]):
+        assert abs(mixed.index(one[lang]) - start) < 40 and end <= len(mixed)
+    assert [f[:2] for f in found[1:4]] == [("und", 0.0)] * 3
+    assert found[4][0] in model.languages and found[4][1] == 0
+
+
+def test_merged_runs_and_shortcut_lose_nothing():
+    rng = np.random.default_rng(7)
+    shortcuts = 0
+    for n in range(1, 120):
+        score = (rng.normal(size=(n, 3)) + rng.normal(size=3)) * rng.choice([0.5, 4])
+
+        def value(path):
+            return sum(r[p] for r, p in zip(score, path)) - 6 * sum(a != b for a, b in zip(path, path[1:]))
+
+        first, langs = langid._path(score, 6.0)
+        shortcuts += len(langs) == 1
+        path = np.repeat(langs, np.diff(first, append=n)).tolist()
+        assert np.isclose(value(path), value(langid._viterbi(score.tolist(), 6.0)))
+    assert 0 < shortcuts < 119
+
+
+def test_language_of_odd_tables(spark, model, odd_docs, no_docs):
+    out = odd_docs.select("doc_id", langid.label(model, spark).alias("l")).select("doc_id", "l.*").collect()
+    assert len(out) == 12
+    assert {r["lang_pred"] for r in out} <= {*model.languages, "und"}
+    assert no_docs.select(langid.label(model, spark)).count() == 0
+    nothing = langid.train_apart(no_docs)
+    assert odd_docs.select(langid.label(nothing, spark)["lang_pred"]).distinct().collect() == [("und",)]
+
+
+def test_pieces_of_a_long_text(model, monkeypatch):
+    text = "the fox and the dog of this story " * 300
+    whole = langid._label_all([text], model, langid.SWITCH)
+    monkeypatch.setattr(langid, "PIECE", 1000)
+    assert langid._label_all([text], model, langid.SWITCH)[0][:2] == whole[0][:2]
+
+
+# 3. top k
+
+
+def test_top_k_of_odd_vectors(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CANDIDATES", 4)
+    monkeypatch.setattr(topk, "QUERIES", 2)
+    rng = random.Random(3)
+    rows = [(i, [float(rng.randint(-2, 2)) for _ in range(4)]) for i in range(40)]
+    rows += [(100, None), (101, [1.0, None]), (102, [float("nan")]), (103, [float("inf")]), (None, [1.0]), (50, [])]
+    rows += [rows[3], rows[3]]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("x"))
+    found = collections.defaultdict(list)
+    for r in topk.search(df, F.col("vec_id") % 10 == 0, k=5).orderBy("query_id", "rank").collect():
+        found[r["query_id"]].append((r["vec_id"], r["score"]))
+    valid = [(i, v) for i, v in rows if i is not None and i < 100]
+    for q, v in valid:
+        if q % 10 == 0:
+            scores = [(i, int(sum(256 * a * 256 * b for a, b in zip(v, w)))) for i, w in valid if i != q]
+            assert found[q] == sorted(scores, key=lambda x: (-x[1], x[0]))[:5]
+    assert topk.search(df.where("false"), F.lit(True), k=5).count() == 0
+
+
+# 4. shards
+
+
+def shards_of(df):
+    rows = saved(df.withColumn("row", F.monotonically_increasing_id()), f"{working_folder(df.sparkSession)}/rows")
+    return rows.join(sharding.assign(rows.select("row", "key")), "row").collect()
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 50, 1000])
+def test_shards_are_even_and_groups_whole(spark, n):
+    df = spark.range(n).select(F.when(F.col("id") % 3 == 0, F.col("id") % 30).otherwise(F.col("id")).alias("key"))
+    out = shards_of(df)
+    sizes = collections.Counter(r["shard"] for r in out)
+    assert sum(sizes.values()) == n
+    assert max((sizes[s] for s in range(8)), default=0) - min(sizes[s] for s in range(8)) <= 1
+    for s in sizes:
+        assert sorted(r["slot"] for r in out if r["shard"] == s) == list(range(sizes[s]))
+
+
+def test_a_group_of_a_third_is_split_no_more_than_needed(spark):
+    df = spark.range(3000).select(
+        F.when(F.col("id") < 1000, -1).when(F.col("id") < 1600, F.col("id") % 200 + 5000).otherwise(F.col("id")).alias("key")
+    )
+    shards = collections.defaultdict(set)
+    for r in shards_of(df):
+        shards[r["key"]].add(r["shard"])
+    assert len(shards[-1]) <= 6
+    assert sum(len(s) > 1 for k, s in shards.items() if k >= 0) <= 7
+
+
+def test_shards_of_odd_tables(odd_docs, no_docs):
+    rows = odd_docs.select(*sharding.facts(odd_docs))
+    assert [r["size"] for r in rows.where("size = 1").collect()] == [1, 1, 1]
+    assert len(shards_of(rows)) == 12
+    assert shards_of(no_docs.select(*sharding.facts(no_docs))) == []
+
+
+# 5. repeated strings
+
+
+def test_column_wise_sorting_equals_brute_force():
+    rng = random.Random(5)
+    for _ in range(300):
+        letters = rng.choice([b"a", b"ab", b"abc"])
+        texts = [bytes(rng.choice(letters) for _ in range(rng.randint(0, 14))) for _ in range(rng.randint(1, 7))]
+        length = rng.randint(1, 6)
+        seen = collections.Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
+        for t, marks in zip(texts, suffixes.repeated_windows(texts, length)):
+            assert marks.tolist() == [seen[t[i : i + length]] > 1 for i in range(len(t) - length + 1)]
+
+
+@pytest.mark.parametrize("batch", [1, 2048])
+def test_repeats_of_odd_texts(spark, monkeypatch, batch):
+    monkeypatch.setattr(suffixes, "BATCH", batch)
+    rng = random.Random(9)
+    noise = lambda n: "".join(rng.choice("abcdefgh é") for _ in range(n))
+    shared, period = noise(260), noise(90)
+    texts = [noise(300) + shared + noise(50), shared[:230] + noise(400), noise(10) + shared, "x" * 900]
+    texts += [period * 7, noise(100) + period * 3, noise(199), "y" * 200, "y" * 199, "", None, noise(500)]
+    texts += [texts[-1], texts[0]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").withColumn("hash", F.lit(1))
+    found = {r["doc_id"]: r for r in suffixes.remove_repeats(df).collect()}
+    data = [(t or "").encode() for t in texts]
+    seen = collections.Counter(t[i : i + 200] for t in data for i in range(len(t) - 199))
+    for i, t in enumerate(data):
+        gone = np.zeros(len(t), bool)
+        for p in range(len(t) - 199):
+            if seen[t[p : p + 200]] > 1:
+                gone[p : p + 200] = True
+        assert (found[i]["n_bytes"], found[i]["n_removed"]) == (len(t), gone.sum()), i
+    assert len(found) == len(texts)
+
+
+def test_repeats_of_odd_tables(odd_docs, no_docs):
+    out = suffixes.remove_repeats(odd_docs).collect()
+    assert len(out) == 12
+    assert {r["doc_id"] for r in out if r["n_removed"] > 0} == {6, 7}
+    assert suffixes.remove_repeats(no_docs).count() == 0
+
+
+# 6. SimHash
+
+
+def test_trie_links_equal_all_pairs():
+    rng = np.random.default_rng(2)
+    for n, radius in ((1, 2), (50, 0), (400, 2), (400, 3)):
+        centres = rng.integers(0, 1 << 63, n // 8 + 1, dtype=np.uint64)
+        flips = np.uint64(1) << rng.integers(0, 64, (2, n)).astype(np.uint64)
+        a = np.unique(rng.choice(centres, n) ^ flips[0] ^ flips[1])
+        pairs = {(int(x), int(y)) for i, j in simhash.trie_links(a, None, radius) for x, y in zip(i, j)}
+        wanted = {(i, j) for i in range(len(a)) for j in range(i + 1, len(a)) if (int(a[i]) ^ int(a[j])).bit_count() <= radius}
+        assert pairs == wanted
+
+
+def test_components_over_many_groups(spark, monkeypatch):
+    """Small nodes: the upper trie, several groups and joins between them."""
+    monkeypatch.setattr(simhash, "LEAF", 16)
+    monkeypatch.setattr(simhash, "NODES", 1 << 20)
+    rng = np.random.default_rng(4)
+    base = np.append(rng.integers(0, 1 << 63, 60, dtype=np.uint64), np.uint64(5) << np.uint64(60))
+    values = {int(b) for b in base}
+    for b in base[-3:]:  # chains and a dense place below one prefix of 16 bits
+        for _ in range(60):
+            b = int(b) ^ (1 << int(rng.integers(0, 40)))
+            values.add(b)
+    values = sorted(v - (1 << 64) if v >> 63 else v for v in values)
+    fps = spark.createDataFrame([(v,) for v in values], "fp long")
+    fps = saved(fps, f"{working_folder(spark)}/fps")
+    folder = working_folder(spark)
+    roots = dict(map(tuple, components.components(simhash.near_links(fps), folder).collect()))
+    forest = simhash.Forest(len(values))
+    for i, a in enumerate(values):
+        for j in range(i):
+            if ((a ^ values[j]) & ((1 << 64) - 1)).bit_count() <= 2:
+                forest.link(np.array([i]), np.array([j]))
+    ours, theirs = collections.defaultdict(set), collections.defaultdict(set)
+    for i, v in enumerate(values):
+        ours[roots.get(v, v)].add(v)
+        theirs[forest.label[i]].add(v)
+    assert sorted(map(sorted, ours.values())) == sorted(map(sorted, theirs.values()))
+
+
+def test_near_duplicates_of_odd_tables(odd_docs, no_docs):
+    kept = simhash.keep_one(odd_docs)
+    assert kept.columns == odd_docs.columns
+    ids = sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect())
+    # 1 twice and 2 are alike, so are the five texts without words, and the two long ones
+    assert ids == [(False, i) for i in (1, 3, 6, 8, 9)] + [(True, 0)]
+    assert simhash.keep_one(no_docs).count() == 0
+
+
+# 7. WARC
+
+
+def test_archives_of_odd_pages(spark):
+    body = "é" * 600
+    forged = "\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\n" + "z" * 1000
+    rows = [
+        (1, "http://a/ b\r\nWARC-Type: revisit", body),
+        (7, "http://a/2", body),
+        (7, "http://a/2", body),
+        (None, None, body),
+        (2, "u", None),
+        (3, "u", ""),
+        (4, "u", forged),
+        (5, "u", forged),
+        (6, "u", "\r\n\r\n"),
+        (8, "u", "short"),
+        (9, "u", "short"),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit(0))
+    path = f"{working_folder(spark)}/archives"
+    warc.write_archives(pages.repartition(2), path)
+    records = warc.read_archives(spark, path).collect()
+    assert len(records) == len(rows)
+    got = collections.Counter(
+        (r["record_id"], r["record_type"], r["refers_to"], r["n_bytes"], None if r["payload"] is None else bytes(r["payload"]).decode())
+        for r in records
+    )
+    n = len(forged.encode())
+    assert got == collections.Counter(
+        [
+            ("1", "revisit", "7", 1200, None),
+            ("7", "response", None, 1200, body),
+            ("7", "response", None, 1200, body),
+            (None, "revisit", "7", 1200, None),
+            ("2", "response", None, 0, ""),
+            ("3", "response", None, 0, ""),
+            ("4", "revisit", "5", n, None),
+            ("5", "response", None, n, forged),
+            ("6", "response", None, 4, "\r\n\r\n"),
+            ("8", "response", None, 5, "short"),
+            ("9", "response", None, 5, "short"),
+        ]
+    )
+    assert all(r["intact"] for r in records if r["payload"] is not None)
+    empty = f"{working_folder(spark)}/archives"
+    warc.write_archives(pages.where("false"), empty)
+    assert warc.read_archives(spark, empty).count() == 0
+
+
+# 8. decontamination
+
+
+def test_passages_with_changes(spark):
+    rng = random.Random(1)
+    words = [f"w{rng.randint(0, 9999)}" for _ in range(400)]
+    item, other = words[:60], words[60:90]
+    noise = lambda n: [f"n{rng.randint(0, 9999)}" for _ in range(n)]
+    texts = {
+        1: noise(50) + item + noise(30),
+        2: [w.upper() + ",!" for w in noise(3) + item],
+        3: noise(20) + item[:30] + noise(1) + item[30:] + noise(20),  # one word put in
+        4: noise(20) + item[:30] + noise(9),  # half of it
+        5: noise(100),
+        6: item[5:] + noise(4),
+        7: item + noise(5) + other + item,
+    }
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()] + [(8, None), (9, ""), (10, "a b")], "doc_id long, text string")
+    items = spark.createDataFrame(
+        [(1, " ".join(item)), (1, " ".join(item)), (2, " ".join(item)), (3, " ".join(other)), (4, None), (5, " ?"), (6, "a b"), (None, "A, b!")],
+        "item_id long, text string",
+    )
+    found = decontaminate.find_passages(docs, items)
+    pairs = docs.select("doc_id", F.md5("text").alias("text_key")).join(found, "text_key")
+    ids = {(r["doc_id"], r["item_id"]) for r in pairs.collect()}
+    assert ids == {(d, i) for d in (1, 2, 3, 6, 7) for i in (1, 2)} | {(7, 3), (10, 6), (10, None)}
+    assert sorted(r["doc_id"] for r in decontaminate.decontaminate(docs, items).collect()) == [4, 5, 8, 9]
+
+
+def test_decontamination_of_odd_tables(spark, odd_docs, no_docs):
+    items = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog again"), (None, None)], "item_id long, text string")
+    left = decontaminate.decontaminate(odd_docs, items)
+    assert left.columns == odd_docs.columns
+    assert left.count() == 9
+    assert decontaminate.decontaminate(odd_docs, items.where("false")).count() == 12
+    assert decontaminate.decontaminate(no_docs, items).count() == 0
+
+
+def test_main_path_is_native(spark, odd_docs):
+    plan = decontaminate.decontaminate(odd_docs, odd_docs.select(F.col("doc_id").alias("item_id"), "text"))
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in text and "Arrow" not in text and "Pandas" not in text
+
+
+# 9. quality
+
+
+def test_posteriors_shrink_sparse_sites(spark):
+    rows = [(i, f"h{i % 4}", "p", 3.0 if i % 4 == 0 else -3.0) for i in range(400)] + [(400, "new", "q", 0.0)]
+    scored = spark.createDataFrame(rows, "doc_id long, host string, path string, quality double")
+    out = {r["doc_id"]: r for r in quality.posteriors(scored, "quality", 0.3, working_folder(spark)).collect()}
+    assert out[0]["p_quality"] > out[400]["p_quality"] > out[1]["p_quality"]
+    assert len(out) == 401
+
+
+def test_quality_of_odd_tables(spark, odd_docs, no_docs):
+    labels = spark.createDataFrame(
+        [(1, 1, 0), (1, 0, None), (4, 0, 0), (None, 1, 1), (6, None, 1)], "doc_id long, quality int, toxic int"
+    )
+    for held in (labels, labels.where("false")):
+        out = quality.classify(odd_docs, held, F.col("source"), F.col("lang")).collect()
+        assert len(out) == 12
+        assert all(0 < r["p_quality"] < 1 and 0 < r["p_toxic"] < 1 for r in out)
+    assert quality.classify(no_docs, labels, F.col("source"), F.col("lang")).count() == 0
+
+
+# 10. mixing
+
+
+def test_targets_are_capped_and_shared(spark):
+    sizes = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 5), (None, 985), ("d", 0)], "source string, size long")
+    found = {r["source"]: r["target"] for r in mixing.source_targets(sizes).collect()}
+    # weights a 1, b 2, c 3, d 1, null 2; a, c and d are capped, the rest shares by weight
+    assert (found["a"], found["c"], found["d"]) == (30.0, 15.0, 0.0)
+    assert found["b"] == found[None] == (2000 - 45) / 2
+
+
+def test_mix_of_odd_tables(odd_docs, no_docs):
+    first, again = mixing.mix(odd_docs), mixing.mix(odd_docs)
+    assert first.columns == odd_docs.columns
+    assert plain(first) == plain(again)
+    times = collections.Counter(r["doc_id"] for r in first.collect())
+    assert all(n <= 3 for i, n in times.items() if i not in (1, None))
+    assert mixing.mix(no_docs).count() == 0
