@@ -87,23 +87,18 @@ def _fingerprints(df: DataFrame, *by: str) -> DataFrame:
     return counted.select(*by, "weight", fp.alias("fp"))
 
 
-def _block(k: int) -> Column:
-    width = 64 // BLOCKS
-    return F.shiftrightunsigned("fp", k * width).bitwiseAND(F.lit((1 << width) - 1)).cast("int")
-
-
 def _near_values(radius: int) -> list[int]:
     """The differences of two block values that agree but for ``radius // BLOCKS`` bits."""
     return [v for v in range(1 << (64 // BLOCKS)) if v.bit_count() <= radius // BLOCKS]
 
 
 def _with_blocks(df: DataFrame, *masks: int) -> DataFrame:
-    rows = [
-        F.struct(F.lit(k).alias("block"), _block(k).bitwiseXOR(F.lit(m)).alias("value"))
-        for k in range(BLOCKS)
-        for m in masks
-    ]
-    return df.select("*", F.inline(F.array(*rows)))
+    """A row for each block of the fingerprint and each difference allowed in it."""
+    width = 64 // BLOCKS
+    blocks = df.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
+    differing = blocks.withColumn("differs", F.explode(F.array(*[F.lit(m) for m in masks])))
+    value = f"cast(shiftrightunsigned(fp, block * {width}) & {(1 << width) - 1} as int) ^ differs"
+    return differing.withColumn("value", F.expr(value)).drop("differs")
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
