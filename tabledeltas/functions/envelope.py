@@ -10,6 +10,7 @@ the reason, never to a table.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from functools import partial
@@ -46,6 +47,10 @@ class SchemaMismatch(ValueError):
     """A writer schema cannot be read with the topic's schema."""
 
 
+#: Metadata of a field of the topic's schema: what it is where a writer does not know it.
+DEFAULT = "default"
+
+
 @dataclass(frozen=True)
 class JsonCodec:
     """JSON text. ``writers`` maps a frame's schema id to the schema it was written with;
@@ -107,7 +112,9 @@ def decode_envelope(
     """Decode one binary column in place; the other columns and their order stay.
 
     ``schema`` is the topic's schema for the whole run: every writer schema is read into it,
-    an absent optional field as NULL. A field declared not nullable must be there.
+    a field it lacks as the default in the field's metadata, else as NULL. A field declared not
+    nullable and without a default must be there. Records of a writer whose schema cannot be
+    read so are rejects.
     ``required=True`` is for keys: a null payload is then a reject too. The first reject of
     a row is kept in ``reject_column``, as ``struct<column, reason, payload>``.
     """
@@ -118,21 +125,25 @@ def decode_envelope(
     payload = F.col(quoted(name))
 
     body = F.col("_text") if codec.framed else payload
-    bodies = _bodies(F.col("_schema_id"), body, schema, codec)
+    bodies, unreadable = _bodies(F.col("_schema_id"), body, schema, codec)
     read = df
     if codec.framed:
         read = _once(df, {"_schema_id": frame_schema_id(payload), "_text": frame_body(payload)})
     try:
-        read = _once(read, {n: b.parsed for n, b in bodies.items()})
+        items = {"_items": _as_items(body)} if isinstance(codec, JsonCodec) else {}
+        read = _once(read, {n: b.parsed for n, b in bodies.items()} | items)
     except AnalysisException as e:
         if "AVRO" in str(e):
             raise CodecUnavailable(AVRO_NEEDED) from e
         raise
+    nothing = F.lit(None).cast(schema)
+    whole = _is_one_value(F.col("_items"), body) if items else F.lit(True)
     read = _once(
         read,
         {
-            "_value": F.coalesce(*[b.conformed(F.col(n)) for n, b in bodies.items()]),
-            "_damaged": F.coalesce(*[b.damaged(F.col(n)) for n, b in bodies.items()]),
+            "_value": F.coalesce(*[b.conformed(F.col(n)) for n, b in bodies.items()], nothing),
+            "_damaged": ~whole
+            | F.coalesce(*[b.damaged(F.col(n)) for n, b in bodies.items()], F.lit(False)),
         },
     )
     value, damaged = F.col("_value"), F.col("_damaged")
@@ -142,6 +153,9 @@ def decode_envelope(
     if codec.framed and codec.writers:
         unknown = ~F.col("_schema_id").isin(*codec.writers)
         reason = reason.when(unknown, F.lit("unknown schema id"))
+    if unreadable:
+        wrong = F.col("_schema_id").isin(*unreadable)
+        reason = reason.when(wrong, F.lit("incompatible schema id"))
     reason = reason.when(value.isNull() | damaged, F.lit("malformed"))
     for path, missing in _required_nulls(value, schema):
         reason = reason.when(missing, F.lit(f"missing {path}"))
@@ -194,53 +208,98 @@ class _Body:
     damaged: Callable[[Column], Column]
 
 
-def _bodies(schema_id: Column, body: Column, schema: T.StructType, codec) -> dict[str, _Body]:
+def _bodies(
+    schema_id: Column, body: Column, schema: T.StructType, codec
+) -> tuple[dict[str, _Body], list[int]]:
+    """A parser for each distinct writer schema, and the ids of writers that cannot be read."""
     if isinstance(codec, AvroCodec):
         parse = partial(_avro_body, body, codec.reader)
     else:
         parse = partial(_json_body, body, schema)
         if not (codec.framed and codec.writers):
-            return {"_body": parse(schema, F.lit(True))}
+            return {"_body": parse(schema, F.lit(True))}, []
     if not codec.writers:
         raise ValueError("at least one writer schema is needed")
-    return {f"_body_{i}": parse(w, schema_id == i) for i, w in sorted(codec.writers.items())}
+    alike: dict[str, list[int]] = {}
+    for i, writer in sorted(codec.writers.items()):
+        alike.setdefault(writer if isinstance(writer, str) else writer.json(), []).append(i)
+    bodies, unreadable = {}, []
+    for ids in alike.values():
+        try:
+            bodies[f"_body_{ids[0]}"] = parse(codec.writers[ids[0]], schema_id.isin(*ids))
+        except SchemaMismatch:
+            unreadable += ids
+    if not bodies:
+        raise SchemaMismatch("no writer schema can be read with the topic's schema")
+    return bodies, unreadable
+
+
+def _as_items(body: Column) -> Column:
+    """A body read as the first item of a list, with a mark behind it."""
+    text = F.concat(F.lit("["), body.cast("string"), F.lit(',{"_end":"'), _mark(body), F.lit('"}]'))
+    return F.from_json(text, T.ArrayType(T.StructType([T.StructField("_end", T.StringType())])))
+
+
+def _mark(body: Column) -> Column:
+    return F.xxhash64(body).cast("string")
+
+
+def _is_one_value(items: Column, body: Column) -> Column:
+    """Whether a body is one whole JSON value and nothing else.
+
+    A parser stops after the first value and would not see what follows it. A body that
+    closes the list around it, or holds more items, leaves the mark behind it unread or in
+    another place; as the mark depends on the body, a body cannot bring its own.
+    """
+    mark = _mark(body)
+    ends = (F.size(items) == 2) & F.get(items, F.lit(1))["_end"].eqNullSafe(mark)
+    return F.coalesce(ends, F.lit(False))
 
 
 def _json_body(body: Column, reader: T.StructType, writer: T.StructType, mine: Column) -> _Body:
-    # A parser stops after the first value and would not see what follows it, be it a second
-    # value or a damaged end. So the body is read as the only item of a list with a mark
-    # behind it, which a body that ends early or late leaves unread or makes unreadable.
-    record = T.StructType([T.StructField(f.name, f.dataType) for f in writer.fields])
-    wrapped = T.StructType(
+    record = T.StructType(
         [
-            T.StructField("bodies", T.ArrayType(record)),
-            T.StructField("end", T.BooleanType()),
+            *[T.StructField(f.name, f.dataType) for f in writer.fields],
             T.StructField(_CORRUPT, T.StringType()),
         ]
     )
-    text = F.concat(F.lit('{"bodies":['), body.cast("string"), F.lit('],"end":true}'))
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
+    conform(F.lit(None).cast(writer), writer, reader)  # fails here if it cannot be read
 
     def damaged(parsed: Column) -> Column:
-        whole = F.coalesce(parsed["end"], F.lit(False)) & (F.size(parsed["bodies"]) == 1)
-        return F.when(parsed.isNotNull(), parsed[_CORRUPT].isNotNull() | ~whole)
+        return F.when(parsed.isNotNull(), parsed[_CORRUPT].isNotNull())
 
     return _Body(
-        F.when(mine, F.from_json(text, wrapped, options)),
-        lambda parsed: conform(F.get(parsed["bodies"], F.lit(0)), writer, reader),
+        F.when(mine, F.from_json(body.cast("string"), record, options)),
+        lambda parsed: conform(parsed, writer, reader),
         damaged,
     )
 
 
+#: A field added to the reader's schema that every sound record gets, and no null row has.
+_READ = "tabledeltas_read"
+
+
 def _avro_body(body: Column, reader: str, writer: str, mine: Column) -> _Body:
     from pyspark.sql.avro.functions import from_avro
 
+    marked = json.loads(reader)
+    marked["fields"] = [*marked["fields"], {"name": _READ, "type": "boolean", "default": True}]
+    names = [f["name"] for f in marked["fields"][:-1]]
     try:
-        parsed = from_avro(body, writer, {"mode": "PERMISSIVE", "avroSchema": reader})
+        parsed = from_avro(body, writer, {"mode": "PERMISSIVE", "avroSchema": json.dumps(marked)})
     except (TypeError, AttributeError) as e:
         raise CodecUnavailable(AVRO_NEEDED) from e
-    # A malformed Avro body is null, which is a reject because its payload is not.
-    return _Body(F.when(mine, parsed), lambda v: v, lambda v: F.when(v.isNotNull(), False))
+
+    # A malformed Avro body may come back as null or as a row of nulls; neither has the mark.
+    def sound(parsed: Column) -> Column:
+        return F.coalesce(parsed[_READ], F.lit(False))
+
+    return _Body(
+        F.when(mine, parsed),
+        lambda v: F.when(sound(v), F.struct(*[v[n].alias(n) for n in names])),
+        lambda v: F.when(v.isNotNull(), ~sound(v)),
+    )
 
 
 # The numeric promotions allowed from a writer's type to the topic's type.
@@ -264,9 +323,14 @@ def conform(value: Column, writer: T.StructType, reader: T.StructType, path: str
         at = f"{path}{f.name}"
         source = written.get(f.name)
         if source is None:
-            if not f.nullable:
+            default = f.metadata.get(DEFAULT)
+            if not f.nullable and default is None:
                 raise SchemaMismatch(f"field {at} is required but not in the writer schema")
-            column = F.lit(None).cast(f.dataType)
+            nested = isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType))
+            if nested and default is not None:
+                column = F.from_json(F.lit(json.dumps(default)), f.dataType)
+            else:
+                column = F.lit(default).cast(f.dataType)
         elif isinstance(f.dataType, T.StructType) and isinstance(source.dataType, T.StructType):
             column = conform(value[f.name], source.dataType, f.dataType, f"{at}.")
         else:

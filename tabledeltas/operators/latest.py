@@ -28,6 +28,8 @@ def fold_latest(
     keys: Mapping[str, str],
     value: str = "value",
     order_by: str | Sequence[str] = "offset",
+    partition: str | None = None,
+    keep_partition: bool = False,
 ) -> DataFrame:
     """One row per key, ``(<keys>, value, ord)``: the value with the greatest order.
 
@@ -36,6 +38,11 @@ def fold_latest(
     must decide between the rows of a key; a null in it fails the job, because such a row
     would otherwise be skipped.
 
+    Offsets compare within a partition only. Where they alone are the order and there is a
+    ``partition`` column (or another is named), a key found in two partitions fails the job:
+    after a topic got more partitions, an older value would win for ever. Order such a topic by
+    time. ``keep_partition`` adds the key's partition, for folds of the result to be checked.
+
     Rows of a key are combined within each task before the shuffle, so a hot key costs one
     row per task. Folding is idempotent and order-free: folding folds, in any grouping and
     with repeats, gives the fold of everything.
@@ -47,14 +54,28 @@ def fold_latest(
     checked = F.when(
         undecided, F.raise_error(F.lit(f"null order in {names}: the latest row is undecided"))
     ).otherwise(ordering)
+    if partition is None and names == ["offset"] and "partition" in df.columns:
+        partition = "partition"
     rows = df.select(
         *[F.col(source).alias(name) for name, source in keys.items()],
         F.col(value).alias("value"),
         checked.alias("ord"),
+        *([] if partition is None else [F.col(partition).alias("partition")]),
     )
-    return rows.groupBy(*[F.col(quoted(k)) for k in keys]).agg(
-        F.max_by("value", "ord").alias("value"), F.max("ord").alias("ord")
+    newest = F.max_by("value", "ord").alias("value"), F.max("ord").alias("ord")
+    folded = rows.groupBy(*[F.col(quoted(k)) for k in keys])
+    if partition is None:
+        return folded.agg(*newest)
+    folded = folded.agg(*newest, F.min("partition").alias("_low"), F.max("partition").alias("_high"))
+    moved = F.raise_error(
+        F.lit(f"a key is in two partitions, where offsets do not compare: order by more than {names}")
     )
+    columns = [
+        F.when(F.col("_low") != F.col("_high"), moved).otherwise(F.col(c)).alias(c)
+        for c in ("value", "ord")
+    ]
+    last = [F.col("_high").alias("partition")] if keep_partition else []
+    return folded.select(*[F.col(quoted(k)) for k in keys], *columns, *last)
 
 
 def as_table(df: DataFrame, keys: Sequence[str] = (), column: str = "value") -> DataFrame:

@@ -40,7 +40,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 AVAILABLE_NOW = {"availableNow": True}
 PK = "userid"
-SAMPLE_COLUMNS = ["userid", "name", "regionid", "refcount", "optional", "gender"]
+SAMPLE_COLUMNS = ["userid", "gender", "name", "regionid", "optional", "refcount"]
 ORDER_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
 
 
@@ -257,7 +257,7 @@ def silver_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
     recorded, layout = _layouts(spark)
     land(spark, sf_dir, recorded, layout, 0, 2)
     refresh(spark, layout)
-    files.delete(spark, layout.checkpoint_path(SILVER, "yy"))
+    files.delete(spark, layout.of(SILVER, "yy").progress)
     land(spark, sf_dir, recorded, layout, 1, 2)
     refresh(spark, layout)
     return flat_value(read_latest(spark, layout, "yy", ["userid"]), "ord")

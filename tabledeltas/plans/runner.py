@@ -1,14 +1,19 @@
 """The incremental query runner: run any SQL, save its result, emit what changed.
 
     finish a run that was saved but not committed
-    run the SQL, save its result once                   -> data
-    check the key of the saved result                   -> staged, or rejected
+    plan the comparison; refuse what cannot be compared
+    run the SQL, save its result once                   -> unclustered
+    check the key of the saved result                   -> rejected, if it is none
+    cluster it by the key, in buckets made for its size -> staged
     compare it with the prior saved result, emit        -> sink
     commit, retire older results                        -> committed, retired
 
 Changes are derived from saved results only, so what is emitted always agrees with what is
 kept, however often the tables move or the run is repeated. Emitting is at least once under
 a fixed ``run_ts``.
+
+The key is checked before the rows are brought together by it, and counted within each task
+first: a key that a third of the rows share costs a row per task, not a task of a third.
 """
 
 from __future__ import annotations
@@ -23,12 +28,12 @@ from pyspark.sql import functions as F
 
 from tabledeltas.operators.changes import (
     KeyViolation,
-    align,
     change_feed,
     key_list,
     key_stats,
 )
-from tabledeltas.sources.bucketed import enough_buckets
+from tabledeltas.sources import files
+from tabledeltas.sources.bucketed import BYTES_PER_BUCKET, default_buckets, enough_buckets
 from tabledeltas.sources.sinks import Sink, emit_changes
 from tabledeltas.sources.snapshots import (
     COMMITTED,
@@ -36,6 +41,7 @@ from tabledeltas.sources.snapshots import (
     STAGED,
     Snapshot,
     SnapshotStore,
+    StoreState,
     as_utc,
     load_snapshot,
     mark,
@@ -82,12 +88,18 @@ def run_query(
     keep: int = 2,
     null_safe: bool = True,
     buckets: int | None = None,
+    bytes_per_bucket: int = BYTES_PER_BUCKET,
 ) -> Run:
     """One run of the query named by ``store``; only one may be under way at a time.
 
     ``buckets`` sets how many files the saved result is clustered into. By default it is
-    that of the prior result, so that the two are compared without a shuffle, doubled if the
-    prior result has outgrown it; the first time, the session's number of shuffle partitions.
+    that of the prior result, so that the two are compared without a shuffle, doubled until
+    a bucket of this result holds ``bytes_per_bucket`` at most; the first time it starts from
+    the session's number of shuffle partitions. A limit of Spark's that is too low for it is
+    an error.
+
+    ``keep`` results are kept, two at least: the feed handed out is read from the last two.
+    The time of a rejected run may be used again.
     """
     state = store_state(spark, store)
     prior = state.prior
@@ -97,26 +109,41 @@ def run_query(
         _finish(spark, store, prior, staged, sink, null_safe)
         prior = staged
 
-    run_ts = _checked_time(run_ts, state.last)
+    last = max([t for t in (state.last, *(s.run_ts for s in state.staged)) if t], default=None)
+    run_ts = _checked_time(run_ts, last, state)
     result = query_result(spark, sql, tables)
     keys = tuple(key_list(result, pk))
     if prior is not None:
         if [k.lower() for k in keys] != [k.lower() for k in prior.key]:
             raise ValueError(f"the key changed from {prior.key} to {keys}: use a new query name")
-        align(load_snapshot(spark, prior), result.schema)  # schemas only; fails before any work
-        buckets = buckets or enough_buckets(spark, prior.buckets, [prior.path])
-    saved = write_snapshot(result, keys, store.snapshot_path(run_ts), run_ts, buckets)
-    rows, nulls, repeated = key_stats(load_snapshot(spark, saved), keys)
-    saved = replace(saved, rows=rows)
+    before = result.where(F.lit(False)) if prior is None else load_snapshot(spark, prior)
+    _check_comparison(before, result, keys, null_safe)  # schemas only; fails before any work
+    attempt = max([s.attempt + 1 for s in state.refused if s.run_ts == run_ts], default=0)
+
+    path, raw = store.snapshot_path(run_ts), store.unclustered_path(run_ts)
+    for left in (path, raw):  # of an earlier attempt at this time
+        files.delete(spark, left)
+    result.write.parquet(raw)
+    once = spark.read.schema(result.schema).parquet(raw)
+    rows, nulls, repeated = key_stats(once, keys)
     if nulls or repeated:
-        mark(spark, store, [saved], REJECTED)
+        schema = result.schema.json()
+        refused = Snapshot(run_ts, path, rows, keys, 0, schema, attempt)
+        mark(spark, store, [refused], REJECTED)
+        files.delete(spark, raw)
         raise KeyViolation(
             f"run rejected, {list(keys)} is not a key of its result: "
             f"{nulls} rows with a null key, {repeated} repeated keys"
         )
+    if buckets is None:
+        first = default_buckets(spark) if prior is None else prior.buckets
+        buckets = enough_buckets(spark, first, [raw], bytes_per_bucket)
+    saved = write_snapshot(once, keys, path, run_ts, buckets)
+    saved = replace(saved, rows=rows, attempt=attempt)
     mark(spark, store, [saved], STAGED)
+    files.delete(spark, raw)
     feed = _finish(spark, store, prior, saved, sink, null_safe)
-    retire_snapshots(spark, store, keep)
+    retire_snapshots(spark, store, max(2, keep))
     return Run(run_ts, saved, feed, state.staged)
 
 
@@ -132,6 +159,15 @@ def changes_between(
     return change_feed(before, after, latest.key, null_safe, latest.run_ts)
 
 
+def _check_comparison(
+    before: DataFrame, result: DataFrame, keys: Sequence[str], null_safe: bool
+) -> None:
+    try:
+        change_feed(before, result, keys, null_safe).schema  # resolves the plan, runs nothing
+    except AnalysisException as e:
+        raise ValueError(f"results of this query cannot be compared: {e}") from e
+
+
 def _finish(
     spark: SparkSession,
     store: SnapshotStore,
@@ -146,11 +182,14 @@ def _finish(
     return feed
 
 
-def _checked_time(run_ts: datetime | None, last: datetime | None) -> datetime:
+def _checked_time(
+    run_ts: datetime | None, last: datetime | None, state: StoreState
+) -> datetime:
     """The prior result is the newest by run time, so run times must grow."""
     if run_ts is None:
         now = datetime.now(timezone.utc)
-        return now if last is None else max(now, last + timedelta(microseconds=1))
+        times = [last, *(s.run_ts for s in state.refused)]
+        return max([now, *(t + timedelta(microseconds=1) for t in times if t is not None)])
     run_ts = as_utc(run_ts)
     if last is not None and run_ts <= last:
         raise ValueError(f"run_ts {run_ts} is not after the last run's {last}")

@@ -5,6 +5,7 @@ from tabledeltas.sources.snapshots import (
     SnapshotStore,
     latest_snapshot,
     load_snapshot,
+    reject_staged,
     retire_snapshots,
     write_snapshot,
 )
@@ -34,6 +35,7 @@ __all__ = [
     "latest_snapshot",
     "load_snapshot",
     "read_topic",
+    "reject_staged",
     "retire_snapshots",
     "streaming_table",
     "to_messages",

@@ -19,16 +19,26 @@ from tabledeltas.operators.changes import quoted
 from tabledeltas.sources import files
 
 
-# A bucket is read by one task.
+# Default size of a bucket, which is read by one task.
 BYTES_PER_BUCKET = 512 * 1024 * 1024
 
 
-def enough_buckets(spark: SparkSession, buckets: int, paths: Sequence[str]) -> int:
-    """``buckets``, doubled until the data of ``paths`` fits them or Spark allows no more."""
+def enough_buckets(
+    spark: SparkSession,
+    buckets: int,
+    paths: Sequence[str],
+    bytes_per_bucket: int = BYTES_PER_BUCKET,
+) -> int:
+    """``buckets``, doubled until the data of ``paths`` fits them."""
     held = sum(files.size(spark, path) for path in paths)
-    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
-    while held > buckets * BYTES_PER_BUCKET and 2 * buckets <= most:
+    while held > buckets * bytes_per_bucket:
         buckets *= 2
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+    if buckets > most:
+        raise ValueError(
+            f"{held} bytes need {buckets} buckets of {bytes_per_bucket} bytes, but "
+            f"spark.sql.sources.bucketing.maxBuckets is {most}: raise one of the two"
+        )
     return buckets
 
 
@@ -41,14 +51,17 @@ def to_buckets(df: DataFrame, keys: Sequence[str], buckets: int) -> DataFrame:
     return df.repartition(buckets, *[F.col(quoted(k)) for k in keys])
 
 
-def write_bucketed(df: DataFrame, keys: Sequence[str], path: str, buckets: int) -> None:
+def write_bucketed(
+    df: DataFrame, keys: Sequence[str], path: str, buckets: int, database: str | None = None
+) -> None:
     """Write rows that ``to_buckets`` brought together, one file per bucket.
 
     Fails if the path already holds data. Rows are not sorted within a bucket: the join
-    sorts a bucket faster than the writer does.
+    sorts a bucket faster than the writer does. The catalog entry is made in ``database``,
+    by default the current one.
     """
     spark = df.sparkSession
-    table = _table_name()
+    table = _table_name(database)
     try:
         (
             df.write.format("parquet")
@@ -62,13 +75,18 @@ def write_bucketed(df: DataFrame, keys: Sequence[str], path: str, buckets: int)
 
 
 def read_bucketed(
-    spark: SparkSession, keys: Sequence[str], path: str, buckets: int, schema: str
+    spark: SparkSession,
+    keys: Sequence[str],
+    path: str,
+    buckets: int,
+    schema: str,
+    database: str | None = None,
 ) -> DataFrame:
     """Read such a directory; ``schema`` is JSON, as there may be no file to read it from."""
     columns = T.StructType.fromJson(json.loads(schema)).toNullable().toDDL()
     clustered = ", ".join(quoted(k) for k in keys)
     location = files.qualified(spark, path).replace("\\", "\\\\").replace("'", "\\'")
-    table = _table_name()
+    table = _table_name(database)
     try:
         spark.sql(
             f"CREATE TABLE {table} ({columns}) USING parquet "
@@ -80,8 +98,9 @@ def read_bucketed(
         _forget(spark, table)
 
 
-def _table_name() -> str:
-    return f"tabledeltas_{uuid.uuid4().hex}"
+def _table_name(database: str | None = None) -> str:
+    name = f"tabledeltas_{uuid.uuid4().hex}"
+    return name if database is None else f"{quoted(database)}.{name}"
 
 
 def _forget(spark: SparkSession, table: str) -> None:

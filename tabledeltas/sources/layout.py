@@ -1,30 +1,54 @@
-"""Where tables live: ``<base>/<level>/<area>/<topic>/{data,_checkpoints}``."""
+"""Where tables live: every topic of a level has one folder, ``<base>/<level>/<topic>``, with
+its rows, its stream's progress and the record of what counts below it."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-BRONZE, SILVER, GOLD = "bronze", "silver", "gold"
-LEVELS = (BRONZE, SILVER, GOLD)
+BRONZE, SILVER, GOLD = LEVELS = ("bronze", "silver", "gold")
 
 
 @dataclass(frozen=True)
-class Layout:
-    """Paths under a base folder that every executor can reach."""
+class TopicPaths:
+    """The folder of one topic of one level."""
 
     base: str
-    area: str = "region"
+    level: str
+    topic: str
+
+    def __post_init__(self) -> None:
+        if self.level not in LEVELS:
+            raise ValueError(f"level must be one of {LEVELS}, not {self.level!r}")
+
+    def _below(self, name: str) -> str:
+        return "/".join([self.base.rstrip("/"), self.level, self.topic, name])
+
+    @property
+    def rows(self) -> str:
+        return self._below("rows")
+
+    @property
+    def progress(self) -> str:
+        return self._below("progress")
+
+    @property
+    def commits(self) -> str:
+        return self._below("commits")
 
-    def base_path(self, level: str) -> str:
-        if level not in LEVELS:
-            raise ValueError(f"level must be one of {LEVELS}, not {level!r}")
-        return f"{self.base.rstrip('/')}/{level}/{self.area}"
+    @property
+    def manifest(self) -> str:
+        return self._below("manifest")
 
-    def topic_path(self, level: str, topic: str) -> str:
-        return f"{self.base_path(level)}/{topic}"
+    @property
+    def unclustered(self) -> str:
+        return self._below("unclustered")
 
-    def data_path(self, level: str, topic: str) -> str:
-        return f"{self.topic_path(level, topic)}/data"
 
-    def checkpoint_path(self, level: str, topic: str) -> str:
-        return f"{self.topic_path(level, topic)}/_checkpoints"
+@dataclass(frozen=True)
+class Layout:
+    """A base folder that every executor can reach."""
+
+    base: str
+
+    def of(self, level: str, topic: str) -> TopicPaths:
+        return TopicPaths(self.base, level, topic)

@@ -4,8 +4,9 @@ A snapshot is a parquet directory clustered into hash buckets of the key. Two sn
 the same number of buckets are compared, and their keys checked, without a shuffle: the one
 shuffle happens when the snapshot is written.
 
-The manifest is an append-only dataset. A run moves through its states in one direction, so
-the state that counts is the furthest one written. Every append is a single small file.
+The manifest is an append-only dataset. An attempt at a run moves through its states in one
+direction, so the state that counts is the furthest one of the last attempt. Every append is a
+single small file.
 """
 
 from __future__ import annotations
@@ -38,6 +39,7 @@ MANIFEST_SCHEMA = T.StructType(
         T.StructField("schema", T.StringType()),
         T.StructField("status", T.StringType()),
         T.StructField("written_at", T.TimestampType()),
+        T.StructField("attempt", T.IntegerType()),
     ]
 )
 
@@ -49,17 +51,17 @@ class SnapshotStore:
     layout: Layout
     query: str
 
-    @property
-    def root(self) -> str:
-        return self.layout.topic_path(GOLD, self.query)
-
     @property
     def manifest_path(self) -> str:
-        return f"{self.root}/manifest"
+        return self.layout.of(GOLD, self.query).manifest
+
+    def unclustered_path(self, run_ts: datetime) -> str:
+        """Where a result lies until its size and its key are known."""
+        return f"{self.layout.of(GOLD, self.query).unclustered}/{snapshot_name(run_ts)}"
 
     @property
     def data_path(self) -> str:
-        return self.layout.data_path(GOLD, self.query)
+        return self.layout.of(GOLD, self.query).rows
 
     def snapshot_path(self, run_ts: datetime) -> str:
         return f"{self.data_path}/{snapshot_name(run_ts)}"
@@ -75,6 +77,7 @@ class Snapshot:
     key: tuple[str, ...]
     buckets: int
     schema: str  # JSON; a result without rows may have no file to read it from
+    attempt: int = 0  # a rejected run may be tried again under its time
 
 
 def snapshot_name(run_ts: datetime) -> str:
@@ -96,7 +99,7 @@ def mark(spark: SparkSession, store: SnapshotStore, snapshots: Sequence[Snapshot
         raise ValueError(f"status must be one of {LIFECYCLE}, not {status!r}")
     now = datetime.now(timezone.utc)
     rows = [
-        (store.query, s.run_ts, s.path, s.rows, list(s.key), s.buckets, s.schema, status, now)
+        (store.query, s.run_ts, s.path, s.rows, list(s.key), s.buckets, s.schema, status, now, s.attempt)
         for s in snapshots
     ]
     if rows:
@@ -109,12 +112,15 @@ def manifest(spark: SparkSession, store: SnapshotStore) -> DataFrame:
         return spark.createDataFrame([], MANIFEST_SCHEMA)
     log = spark.read.schema(MANIFEST_SCHEMA).parquet(store.manifest_path)
     step = F.array_position(F.array(*[F.lit(s) for s in LIFECYCLE]), F.col("status"))
-    entry = F.struct("path", "rows", "key", "buckets", "schema", "status", "written_at")
+    attempt = F.coalesce("attempt", F.lit(0)).alias("attempt")
+    entry = F.struct("path", "rows", "key", "buckets", "schema", "status", "written_at", attempt)
     folded = fold_latest(
-        log.select("query", "run_ts", entry.alias("entry"), step.alias("step"), "written_at"),
+        log.select(
+            "query", "run_ts", entry.alias("entry"), attempt, step.alias("step"), "written_at"
+        ),
         keys={"query": "query", "run_ts": "run_ts"},
         value="entry",
-        order_by=["step", "written_at"],
+        order_by=["attempt", "step", "written_at"],
     )
     return folded.select("query", "run_ts", "value.*")
 
@@ -124,12 +130,13 @@ class StoreState:
     """Where the runs of a query stand."""
 
     prior: Snapshot | None  # newest committed: what the next run is compared with
-    last: datetime | None  # newest run of any state
+    last: datetime | None  # newest run that was not rejected
     staged: tuple[Snapshot, ...]  # saved but not committed; a crash leaves at most one
+    refused: tuple[Snapshot, ...] = ()  # rejected since the newest commit
 
 
 def store_state(spark: SparkSession, store: SnapshotStore) -> StoreState:
-    entry = F.struct("run_ts", "path", "rows", "key", "buckets", "schema")
+    entry = F.struct("run_ts", "path", "rows", "key", "buckets", "schema", "attempt")
 
     def only(status: str, what: str | Column) -> Column:
         return F.when(F.col("status") == status, F.col(what) if isinstance(what, str) else what)
@@ -138,8 +145,9 @@ def store_state(spark: SparkSession, store: SnapshotStore) -> StoreState:
         manifest(spark, store)
         .agg(
             F.max_by(entry, only(COMMITTED, "run_ts")).alias("prior"),
-            F.max("run_ts").alias("last"),
+            F.max(F.when(F.col("status") != REJECTED, F.col("run_ts"))).alias("last"),
             F.sort_array(F.collect_list(only(STAGED, entry))).alias("staged"),
+            F.collect_list(only(REJECTED, entry)).alias("refused"),
         )
         .first()
     )
@@ -147,6 +155,7 @@ def store_state(spark: SparkSession, store: SnapshotStore) -> StoreState:
         _snapshot(row["prior"]) if row["prior"] is not None else None,
         as_utc(row["last"]) if row["last"] is not None else None,
         tuple(_snapshot(r) for r in row["staged"]),
+        tuple(_snapshot(r) for r in row["refused"]),
     )
 
 
@@ -163,9 +172,18 @@ def _snapshot(row) -> Snapshot:
         tuple(row["key"]),
         row["buckets"],
         row["schema"],
+        row["attempt"] or 0,
     )
 
 
+def reject_staged(spark: SparkSession, store: SnapshotStore) -> list[Snapshot]:
+    """Give up runs that were saved but cannot be finished, e.g. because the sink never takes
+    their changes. What a sink has of them already stays there."""
+    staged = list(store_state(spark, store).staged)
+    mark(spark, store, staged, REJECTED)
+    return staged
+
+
 # --- data ---------------------------------------------------------------------------------
 
 
@@ -178,8 +196,8 @@ def write_snapshot(
 ) -> Snapshot:
     """Save a result once, one file per hash bucket of its key.
 
-    Fails if the path already holds data. Unique keys spread evenly over the buckets. The
-    rows are counted later, when the key is checked.
+    Fails if the path already holds data. Unique keys spread evenly over the buckets; check
+    the key first, for a repeated one fills one task. Rows are not counted here.
     """
     keys = key_list(df, pk)
     buckets = buckets or default_buckets(df.sparkSession)

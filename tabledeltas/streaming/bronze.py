@@ -110,15 +110,15 @@ def ingest_topic(
         .format("parquet")
         .partitionBy("rejected")
         .outputMode("append")
-        .option("checkpointLocation", layout.checkpoint_path(BRONZE, topic))
+        .option("checkpointLocation", layout.of(BRONZE, topic).progress)
         .trigger(**trigger)
-        .start(layout.data_path(BRONZE, topic))
+        .start(layout.of(BRONZE, topic).rows)
     )
 
 
 def read_bronze(spark: SparkSession, layout: Layout, topic: str, schema: TopicSchema) -> DataFrame:
     """The decoded records of a topic as a batch."""
-    return _good(batch_table(spark, layout.data_path(BRONZE, topic), schema.bronze_schema()))
+    return _good(batch_table(spark, layout.of(BRONZE, topic).rows, schema.bronze_schema()))
 
 
 def stream_bronze(
@@ -132,13 +132,13 @@ def stream_bronze(
     options = {}
     if max_files_per_trigger is not None:
         options["maxFilesPerTrigger"] = max_files_per_trigger
-    path = layout.data_path(BRONZE, topic)
+    path = layout.of(BRONZE, topic).rows
     return _good(streaming_table(spark, path, schema.bronze_schema(), **options))
 
 
 def read_rejects(spark: SparkSession, layout: Layout, topic: str, schema: TopicSchema) -> DataFrame:
     """Records that did not decode: where they came from, why, and their raw payload."""
-    rows = batch_table(spark, layout.data_path(BRONZE, topic), schema.bronze_schema())
+    rows = batch_table(spark, layout.of(BRONZE, topic).rows, schema.bronze_schema())
     return reject_rows(rows.where("rejected").drop("rejected"))
 
 

@@ -12,8 +12,9 @@ stream needs no state store: the orders kept in the table decide which value is
 Once a generation has many parts, the next one starts with the fold of them. Where they have
 grown to a good share of the base, the base is folded as well, into hash buckets of the key,
 so that reading it shuffles only what changed since. Neither the number of directories nor
-that of commit files grows with the age of the stream. Only the stream that owns the table
-writes to it, and it does so between micro-batches.
+that of commit files grows with the age of the stream: what no longer counts is kept for
+``retain``, for those who began to read it before, and then dropped. Only the stream that owns
+the table writes to it, and it does so between micro-batches.
 """
 
 from __future__ import annotations
@@ -22,15 +23,17 @@ import json
 import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tabledeltas.operators.latest import as_table, fold_latest, project_value
 from tabledeltas.sources import files
 from tabledeltas.sources.bucketed import (
+    BYTES_PER_BUCKET,
     default_buckets,
     enough_buckets,
     read_bucketed,
@@ -50,6 +53,10 @@ COMMIT_SCHEMA = T.StructType(
 )
 
 GENERATION = "generation="
+#: Column of the rows of a topic that is ordered by offset alone.
+PARTITION = "partition"
+#: How long a reader may take.
+RETAIN = timedelta(hours=12)
 
 
 @dataclass(frozen=True)
@@ -59,11 +66,11 @@ class SilverTable:
 
     @property
     def data_path(self) -> str:
-        return self.layout.data_path(SILVER, self.topic)
+        return self.layout.of(SILVER, self.topic).rows
 
     @property
     def commits_path(self) -> str:
-        return f"{self.layout.topic_path(SILVER, self.topic)}/commits"
+        return self.layout.of(SILVER, self.topic).commits
 
 
 @dataclass(frozen=True)
@@ -97,6 +104,8 @@ def maintain_latest(
     fold_every: int = 50,
     base_share: float = 0.25,
     buckets: int | None = None,
+    retain: timedelta = RETAIN,
+    bytes_per_bucket: int = BYTES_PER_BUCKET,
     trigger: Mapping[str, object] = DEFAULT_TRIGGER,
 ) -> StreamingQuery:
     """Start the stream that keeps a topic's latest values.
@@ -104,9 +113,10 @@ def maintain_latest(
     ``fold_every`` is the number of micro-batches after which their changes are folded into
     one part. Where they come to ``base_share`` of the base's bytes, the base is rewritten
     with them, so that a large table is rewritten seldom. ``buckets`` is the number of files
-    of a base, by default the session's number of shuffle partitions, doubled as the table
-    outgrows it. Topics with equal numbers are joined on their keys without a shuffle of
-    their bases.
+    of a base, by default the session's number of shuffle partitions, doubled until a bucket
+    holds ``bytes_per_bucket`` at most. Topics with equal numbers are joined on their keys without a shuffle of
+    their bases. Files that no longer count are kept ``retain`` from the commit that replaced
+    them: a query over the table may take that long.
     """
     if fold_every < 2:
         raise ValueError("fold_every must be at least 2")
@@ -118,15 +128,18 @@ def maintain_latest(
         session = batch.sparkSession
         live = _live(session, table) if live is None else live
         if len(live.changes) >= fold_every:
-            live = _next_generation(session, table, live, list(keys), buckets, base_share)
-        part = _write_changes(table, live.generation, fold_latest(batch, keys, order_by=order_by))
+            live = _next_generation(
+                session, table, live, list(keys), buckets, base_share, retain, bytes_per_bucket
+            )
+        folded = fold_latest(batch, keys, order_by=order_by, keep_partition=True)
+        part = _write_changes(table, live.generation, folded)
         _commit(session, table, live.generation, part)
         live = replace(live, changes=(*live.changes, part))
 
     return (
         records.writeStream.queryName(f"silver_{topic}")
         .outputMode("update")
-        .option("checkpointLocation", layout.checkpoint_path(SILVER, topic))
+        .option("checkpointLocation", layout.of(SILVER, topic).progress)
         .trigger(**trigger)
         .foreachBatch(write_batch)
         .start()
@@ -149,7 +162,7 @@ def read_latest(
     live = _live(spark, SilverTable(layout, topic))
     if not live:
         raise FileNotFoundError(f"topic {topic!r} has no committed micro-batch yet")
-    return _read(spark, live, list(keys), fields)
+    return _read(spark, live, list(keys), fields).drop(PARTITION)
 
 
 def register_topic(
@@ -214,7 +227,10 @@ def _read(
         rows = to_buckets(rows, keys, buckets)
     if base is not None:
         rows = base.unionByName(rows)
-    return fold_latest(rows, {k: k for k in keys}, order_by="ord")
+    partition = PARTITION if PARTITION in rows.columns else None
+    return fold_latest(
+        rows, {k: k for k in keys}, order_by="ord", partition=partition, keep_partition=True
+    )
 
 
 def _next_generation(
@@ -224,6 +240,8 @@ def _next_generation(
     keys: list[str],
     buckets: int | None = None,
     base_share: float = 0,
+    retain: timedelta = RETAIN,
+    bytes_per_bucket: int = BYTES_PER_BUCKET,
 ) -> _Live:
     """Fold what changed, with the base where it is time for that; drop what no longer counts."""
     number = live.generation + 1
@@ -233,18 +251,23 @@ def _next_generation(
         merged = _write_changes(table, number, folded)
         following = _Live(number, live.base, (merged,))
     else:
-        following = _Live(number, _write_base(spark, table, live, keys, buckets))
+        following = _Live(number, _write_base(spark, table, live, keys, buckets, bytes_per_bucket))
     _commit(spark, table, number, following.base, *following.changes)
-    _drop_unread(spark, table, live, following)
+    _drop_unread(spark, table, retain)
     return following
 
 
 def _write_base(
-    spark: SparkSession, table: SilverTable, live: _Live, keys: list[str], buckets: int | None
+    spark: SparkSession,
+    table: SilverTable,
+    live: _Live,
+    keys: list[str],
+    buckets: int | None,
+    bytes_per_bucket: int,
 ) -> _Part:
     before = live.base.buckets if live.base is not None else buckets or default_buckets(spark)
     parts = [p.path for p in (live.base, *live.changes) if p is not None]
-    buckets = enough_buckets(spark, before, parts)
+    buckets = enough_buckets(spark, before, parts, bytes_per_bucket)
     folded = _read(spark, live, keys, buckets=buckets)
     if live.base is not None and buckets != before:
         folded = to_buckets(folded, keys, buckets)
@@ -253,14 +276,32 @@ def _write_base(
     return _Part(path, folded.schema.json(), buckets)
 
 
-def _drop_unread(spark: SparkSession, table: SilverTable, previous: _Live, current: _Live) -> None:
-    """Keep the current generation and the one before, which running readers may hold."""
-    bases = {p.path.rsplit("/", 1)[1] for p in (previous.base, current.base) if p is not None}
+def _drop_unread(spark: SparkSession, table: SilverTable, retain: timedelta) -> None:
+    """Drop the generations that were replaced longer than ``retain`` ago, and the bases that
+    only they name. What reaches the driver is a row per generation still there."""
+    log = spark.read.schema(COMMIT_SCHEMA).option("basePath", table.commits_path)
+    names = files.child_directories(spark, table.commits_path)
+    commits = log.parquet(*[f"{table.commits_path}/{n}" for n in names])
+    rows = (
+        commits.withColumn("name", F.regexp_extract(F.input_file_name(), r"/(generation=\d+)/", 1))
+        .groupBy("name")
+        .agg(
+            F.min("written_at").alias("since"),
+            F.collect_set(F.when(F.col("buckets").isNotNull(), F.col("path"))).alias("bases"),
+        )
+        .orderBy("name")
+        .collect()
+    )
+    limit = datetime.now(timezone.utc) - retain
+    gone = {
+        old["name"]
+        for old, replacing in zip(rows, rows[1:])
+        if replacing["since"].astimezone(timezone.utc) <= limit
+    }
+    bases = {p.rsplit("/", 1)[1] for r in rows if r["name"] not in gone for p in r["bases"]}
     for parent in (table.commits_path, table.data_path):
         for name in files.child_directories(spark, parent):
-            old = _number(name) < previous.generation if name.startswith(GENERATION) else False
-            unread = name.startswith("base=") and name not in bases
-            if old or unread:
+            if name in gone or name.startswith("base=") and name not in bases:
                 files.delete(spark, f"{parent}/{name}")
 
 

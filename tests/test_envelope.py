@@ -181,17 +181,64 @@ def test_each_writer_is_read_with_its_own_schema(spark):
     }
 
 
-def test_unreadable_writer_schema_fails_before_any_job(spark):
-    no_refcount = T.StructType(SCHEMA.fields[:1])
-    with pytest.raises(SchemaMismatch, match="refcount is required"):
-        decode_envelope(
-            topic(spark, [None]), "value", SCHEMA, JsonCodec(framed=True, writers={1: no_refcount})
-        )
+NO_REFCOUNT = T.StructType(SCHEMA.fields[:1])
+
+
+def test_records_of_unreadable_writers_are_rejects(spark):
     text = T.StructType([T.StructField("userid", T.StringType()), SCHEMA.fields[1]])
-    with pytest.raises(SchemaMismatch, match="userid: string cannot be read as bigint"):
+    codec = JsonCodec(framed=True, writers={1: NO_REFCOUNT, 2: text, 3: SCHEMA})
+    payloads = [frame(i, b'{"userid":1,"refcount":2}') for i in (1, 2, 3, 4)]
+    assert outcome(decode_envelope(topic(spark, payloads), "value", SCHEMA, codec)) == {
+        0: (None, "incompatible schema id"),
+        1: (None, "incompatible schema id"),
+        2: ((1, 2, None), None),
+        3: (None, "unknown schema id"),
+    }
+    with pytest.raises(SchemaMismatch):
         decode_envelope(topic(spark, [None]), "value", SCHEMA, JsonCodec(framed=True, writers={1: text}))
 
 
+def test_default_of_a_field_the_writer_lacks(spark):
+    tags = T.StructField("tags", T.ArrayType(T.StringType()), False, {"default": ["x"]})
+    count = T.StructField("refcount", T.IntegerType(), False, {"default": 7})
+    reader = T.StructType([SCHEMA.fields[0], count, tags])
+    codec = JsonCodec(framed=True, writers={1: NO_REFCOUNT, 2: reader})
+    payloads = [frame(1, b'{"userid":1}'), frame(2, b'{"userid":1,"refcount":2,"tags":[]}'), frame(2, b'{"userid":1}')]
+    assert outcome(decode_envelope(topic(spark, payloads), "value", reader, codec)) == {
+        0: ((1, 7, ["x"]), None),
+        1: ((1, 2, []), None),
+        2: (None, "missing refcount"),
+    }
+
+
+def test_equal_writers_share_a_parser(spark):
+    codec = JsonCodec(framed=True, writers={i: (OLD if i % 2 else SCHEMA) for i in range(100)})
+    df = decode_envelope(topic(spark, [frame(99, b'{"userid":1,"refcount":2}')]), "value", SCHEMA, codec)
+    assert plan(df).count("from_json") == 3
+    assert outcome(df) == {0: ((1, 2, None), None)}
+
+
+FORGED = [
+    b'{"userid":1,"refcount":1}],"z":[1',
+    b'{"userid":1,"refcount":1}],"bodies":[{"userid":2,"refcount":9}',
+    b'{"userid":1,"refcount":1},{"userid":2,"refcount":9}',
+    b'{"userid":1,"refcount":1},{"_end":"1"}],[{"userid":2,"refcount":9}',
+    b'{"userid":1,"refcount":1}]',
+    b'{"userid":1,"refcount":1},{"_end":"0"}]',
+    b'{"userid":1,"refcount":1}, ',
+    b'{"userid":1,"refcount":1} {}',
+    b'[{"userid":1,"refcount":1}]',
+    b'1',
+    b'"x"',
+]
+
+
+def test_bodies_that_close_their_wrapper_are_malformed(spark):
+    assert outcome(decode_envelope(topic(spark, FORGED), "value", SCHEMA)) == {
+        i: (None, "malformed") for i in range(len(FORGED))
+    }
+
+
 def test_nested_required_fields(spark):
     schema = T.StructType(
         [T.StructField("a", T.StructType([T.StructField("b", T.IntegerType(), False)]), True)]
@@ -203,7 +250,7 @@ def test_nested_required_fields(spark):
 
 def test_filter_on_the_outcome_parses_each_body_once(spark):
     df = accepted(decode_envelope(topic(spark, [None]), "value", SCHEMA)).where("value.refcount > 1")
-    assert plan(df).count("from_json") == 1
+    assert plan(df).count("from_json") == 2  # the value, and that it is one whole value
 
 
 def test_avro_without_its_module_says_so(spark):

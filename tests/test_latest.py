@@ -58,7 +58,8 @@ def test_projection_keeps_tombstones_null(log):
 def test_order_by_several_columns(spark):
     rows = [record("u1", "late", 1, partition=1, t=9), record("u1", "early", 7, partition=0, t=1)]
     df = spark.createDataFrame(rows, LOG)
-    assert fold_latest(df, KEYS).first()["value"]["v"] == "early"
+    with pytest.raises(Exception, match="two partitions"):
+        fold_latest(df, KEYS).collect()
     by_time = fold_latest(df, KEYS, order_by=["timestamp", "offset"])
     assert by_time.first()["value"]["v"] == "late"
 
@@ -118,3 +119,16 @@ def test_only_the_projected_fields_are_read(spark, small):
     log = project_value(fx.xx_log(spark, small), ["name"])
     text = plan(fold_latest(log, KEYS))
     assert "ReadSchema: struct<c_custkey:bigint,c_name:string>" in text
+
+
+MOVED = [("u", (1,), 0, 500), ("u", (2,), 17, 3), ("w", (3,), 1, 7), ("w", (4,), 1, 8)]
+
+
+def test_a_key_in_two_partitions_fails_unless_ordered_otherwise(spark):
+    df = spark.createDataFrame(MOVED, "k string, value struct<n: int>, partition int, offset long")
+    with pytest.raises(Exception, match="two partitions"):
+        fold_latest(df, {"k": "k"}).collect()
+    rows = fold_latest(df, {"k": "k"}, order_by=["partition", "offset"]).collect()
+    assert {r["k"]: r["value"]["n"] for r in rows} == {"u": 2, "w": 4}
+    rows = fold_latest(df.where("k = 'w'"), {"k": "k"}, keep_partition=True).collect()
+    assert [(r["value"]["n"], r["partition"]) for r in rows] == [(4, 1)]

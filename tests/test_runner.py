@@ -3,10 +3,9 @@ from datetime import datetime, timedelta, timezone
 import pytest
 
 import tabledeltas.plans.runner as runner
-import tabledeltas.sources.bucketed as bucketed
 from tabledeltas.operators import KeyViolation, SchemaChange, apply_changes
 from tabledeltas.plans import SqlFailure, query_result, run_query
-from tabledeltas.sources import SnapshotStore, file_sink, files, load_snapshot
+from tabledeltas.sources import SnapshotStore, file_sink, files, load_snapshot, reject_staged
 from tabledeltas.sources.snapshots import manifest, snapshot_name
 
 SQL = "SELECT k, v FROM t"
@@ -96,15 +95,34 @@ def test_composite_key_and_bucket_count_carry_over(spark, q):
         run_query(spark, "SELECT * FROM t2", "a", {}, q.store, q.sink)
 
 
-def test_buckets_grow_with_the_result(q, monkeypatch):
+def test_buckets_grow_with_the_result(q):
     first = q.run([("a", 1), ("b", 2)], buckets=2)
-    monkeypatch.setattr(bucketed, "BYTES_PER_BUCKET", files.size(q.spark, first.snapshot.path) // 4)
-    second = q.run([("a", 1), ("c", 2)])
+    few = files.size(q.spark, first.snapshot.path) // 4
+    second = q.run([("a", 1), ("c", 2)], bytes_per_bucket=few)
     assert second.snapshot.buckets >= 4
     assert q.sent(second.run_ts) == [delete("b"), upsert("c", 2)]
     assert q.sent(q.run([("c", 2)], buckets=5).run_ts) == [delete("a")]
 
 
+def test_first_result_and_a_jump_are_sized_by_themselves(q):
+    """The size of the result itself counts, not that of the one before it."""
+    first = q.run([(f"k{i}", i) for i in range(4000)], bytes_per_bucket=4000)
+    assert first.snapshot.buckets >= 8 and first.snapshot.rows == 4000
+    second = q.run([(f"k{i}", i) for i in range(40_000)], bytes_per_bucket=4000)
+    assert second.snapshot.buckets >= 4 * first.snapshot.buckets
+    assert len(q.sent(second.run_ts)) == 36_000
+
+
+def test_too_few_buckets_is_an_error(q):
+    q.spark.conf.set("spark.sql.sources.bucketing.maxBuckets", "8")
+    try:
+        with pytest.raises(ValueError, match="maxBuckets is 8"):
+            q.run([(f"k{i}", i) for i in range(4000)], bytes_per_bucket=100)
+    finally:
+        q.spark.conf.unset("spark.sql.sources.bucketing.maxBuckets")
+    assert q.run([("a", 1)]).finished == ()
+
+
 # --- refusals -----------------------------------------------------------------------------
 
 
@@ -119,6 +137,52 @@ def test_result_without_a_key_is_rejected_and_not_picked_up_again(q, rows):
     assert q.sent(third.run_ts) == [upsert("a", 3)]
 
 
+def test_null_keys_are_rejected_before_they_meet_in_a_task(q, monkeypatch):
+    monkeypatch.setattr(runner, "write_snapshot", crash)  # the only step that deals by key
+    with pytest.raises(KeyViolation, match="100 rows with a null key"):
+        q.run([(None if i % 3 == 0 else f"k{i}", i) for i in range(300)])
+
+
+def test_time_of_a_rejected_run_can_be_used_again(q):
+    q.run([("a", 1)], run_ts=T0)
+    for _ in range(2):
+        with pytest.raises(KeyViolation):
+            q.run([("a", 1), ("a", 2)], run_ts=T0 + timedelta(1))
+    again = q.run([("a", 2)], run_ts=T0 + timedelta(1))
+    assert q.states() == ["committed", "committed"]
+    assert q.sent(again.run_ts) == [upsert("a", 2)]
+
+
+def test_what_cannot_be_compared_is_refused_before_any_work(spark, q):
+    q.run([("a", 1)])
+    variant = "SELECT k, v, parse_json('{}') AS w FROM t"
+    with pytest.raises(ValueError, match="cannot be compared"):
+        run_query(spark, variant, "k", {}, q.store, q.sink)
+    fresh = SnapshotStore(q.store.layout, "q2")
+    with pytest.raises(ValueError, match="must not be named"):
+        run_query(spark, "SELECT k AS op, v FROM t", "op", {}, fresh, q.sink)
+    with pytest.raises(ValueError, match="cannot be compared"):
+        run_query(spark, variant, "k", {}, fresh, q.sink)
+    assert q.states() == ["committed"]
+    assert q.sent(q.run([("a", 2)]).run_ts) == [upsert("a", 2)]
+
+
+def test_staged_run_that_cannot_be_finished_can_be_given_up(q):
+    q.run([("a", 1)], run_ts=T0)
+    with pytest.raises(Crash):
+        q.run([("b", 1)], run_ts=T0 + timedelta(1), sink=crash)
+    assert [s.run_ts for s in reject_staged(q.spark, q.store)] == [T0 + timedelta(1)]
+    third = q.run([("a", 2)], run_ts=T0 + timedelta(1))
+    assert third.finished == ()
+    assert q.sent(third.run_ts) == [upsert("a", 2)]
+
+
+def test_feed_can_be_read_whatever_is_kept(q):
+    q.run([("a", 1)], keep=1)
+    run = q.run([("a", 2)], keep=1)
+    assert [r["op"] for r in run.feed.collect()] == ["U"]
+
+
 def test_dropped_column_fails_before_anything_is_saved(spark, q):
     q.run([("a", 1)])
     with pytest.raises(SchemaChange, match="v"):

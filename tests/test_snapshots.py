@@ -50,11 +50,11 @@ def states(spark, store):
 
 def test_paths():
     layout = Layout("s3a://bucket/lake/")
-    assert layout.data_path("bronze", "xx") == "s3a://bucket/lake/bronze/region/xx/data"
-    assert layout.checkpoint_path("silver", "yy") == "s3a://bucket/lake/silver/region/yy/_checkpoints"
-    assert Layout("/lake", "eu").base_path("gold") == "/lake/gold/eu"
+    assert layout.of("bronze", "xx").rows == "s3a://bucket/lake/bronze/xx/rows"
+    assert layout.of("silver", "yy").progress == "s3a://bucket/lake/silver/yy/progress"
+    assert layout.of("gold", "q").manifest == "s3a://bucket/lake/gold/q/manifest"
     with pytest.raises(ValueError, match="platinum"):
-        layout.base_path("platinum")
+        layout.of("platinum", "xx")
 
 
 def test_names_sort_by_time():
@@ -120,7 +120,8 @@ def test_latest_is_the_newest_committed_run(spark, store):
     assert latest_snapshot(spark, store) == second
     state = store_state(spark, store)
     assert [s.run_ts for s in state.staged] == [T0 + timedelta(seconds=2)]
-    assert state.last == T0 + timedelta(seconds=3)
+    assert state.last == T0 + timedelta(seconds=2)  # the time of a rejected run is free
+    assert [s.run_ts for s in state.refused] == [T0 + timedelta(seconds=3)]
 
 
 def test_state_moves_one_way_even_if_written_again(spark, store):

@@ -1,8 +1,9 @@
+from datetime import timedelta
+
 import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
-import tabledeltas.sources.bucketed as bucketed
 import tabledeltas.streaming.silver as silver
 from plan_text import count_of, plan
 from tabledeltas.operators import fold_latest
@@ -152,13 +153,40 @@ def test_generations_bound_what_is_read(spark, tiny, recorded, lake):
     table = silver.SilverTable(lake, "yy")
     live = silver._live(spark, table)
     assert live.generation == 3 and live.base is not None and len(live.changes) == 2
-    generations = ["generation=00000002", "generation=00000003"]
+    assert len(files.child_directories(spark, table.commits_path)) == 4  # for 12 hours
+    silver._drop_unread(spark, table, timedelta(0))
+    generations = ["generation=00000003"]
     assert files.child_directories(spark, table.commits_path) == generations
-    *bases, second, third = files.child_directories(spark, table.data_path)
-    assert len(bases) == 2 and [second, third] == generations
+    *bases, third = files.child_directories(spark, table.data_path)
+    assert len(bases) == 1 and [third] == generations
     assert latest(spark, lake) == batch_fold(spark, tiny)
 
 
+def test_a_reader_outlives_three_folds(spark, tiny, recorded, lake):
+    in_batches(spark, tiny, recorded, lake, n=2)
+    maintain(spark, lake).awaitTermination()
+    table = silver.SilverTable(lake, "yy")
+    reading, expected = read_latest(spark, lake, "yy", ["userid"]), latest(spark, lake)
+    for _ in range(3):
+        silver._next_generation(spark, table, silver._live(spark, table), ["userid"])
+    assert sorted(map(str, reading.collect())) == sorted(map(str, read_latest(spark, lake, "yy", ["userid"]).collect()))
+    assert latest(spark, lake) == expected
+    silver._next_generation(spark, table, silver._live(spark, table), ["userid"], retain=timedelta(0))
+    assert len(files.child_directories(spark, table.commits_path)) == 1
+    assert len(files.child_directories(spark, table.data_path)) == 1
+    assert latest(spark, lake) == expected
+
+
+def test_a_key_that_changes_partition_fails_across_batches(spark, lake):
+    table = silver.SilverTable(lake, "moved")
+    schema = "userid long, value struct<n: int>, partition int, offset long"
+    for batch in ([(1, (1,), 0, 500), (2, (1,), 1, 9)], [(1, (2,), 17, 3)]):
+        rows = fold_latest(spark.createDataFrame(batch, schema), {"userid": "userid"}, keep_partition=True)
+        add_changes(spark, table, 0, rows)
+    with pytest.raises(Exception, match="two partitions"):
+        read_latest(spark, lake, "moved", ["userid"]).collect()
+
+
 def test_base_is_rewritten_only_when_enough_has_changed(spark, tiny, recorded, lake):
     in_batches(spark, tiny, recorded, lake, n=8)
     maintain(spark, lake, fold_every=2, base_share=1000).awaitTermination()
@@ -183,14 +211,15 @@ def test_a_folded_table_is_read_without_a_shuffle(spark, tiny, recorded, lake):
     assert latest(spark, lake) == batch_fold(spark, tiny)
 
 
-def test_buckets_grow_with_the_table(spark, tiny, recorded, lake, monkeypatch):
+def test_buckets_grow_with_the_table(spark, tiny, recorded, lake):
     in_batches(spark, tiny, recorded, lake, n=2)
     maintain(spark, lake).awaitTermination()
     table = silver.SilverTable(lake, "yy")
     first = silver._next_generation(spark, table, silver._live(spark, table), ["userid"], 2)
     assert first.base.buckets == 2
-    monkeypatch.setattr(bucketed, "BYTES_PER_BUCKET", files.size(spark, first.base.path) // 3)
-    second = silver._next_generation(spark, table, silver._live(spark, table), ["userid"])
+    few = files.size(spark, first.base.path) // 3
+    live = silver._live(spark, table)
+    second = silver._next_generation(spark, table, live, ["userid"], bytes_per_bucket=few)
     assert second.base.buckets == 4
     assert latest(spark, lake) == batch_fold(spark, tiny)
 
@@ -285,7 +314,7 @@ def test_field_added_to_the_topic_is_null_in_older_parts(spark, lake):
 def test_lost_checkpoint_replays_onto_the_same_table(spark, tiny, recorded, lake):
     in_batches(spark, tiny, recorded, lake, n=2)
     maintain(spark, lake).awaitTermination()
-    files.delete(spark, lake.checkpoint_path(SILVER, "yy"))
+    files.delete(spark, lake.of(SILVER, "yy").progress)
     maintain(spark, lake).awaitTermination()
     assert latest(spark, lake) == batch_fold(spark, tiny)
 
