@@ -7,13 +7,14 @@ A byte is removed if it lies in a string of ``LENGTH`` bytes that also starts an
    hash. What is written per segment is its hash, a digest and its place, a few dozen bytes.
 2. Hashes that one segment alone has are dropped: its windows are unique, unless its least gram
    occurs twice in it. Segments that occur twice as a whole are repeated as a whole.
-3. The rest, the different segments of a hash, are sorted as a collection, column by column from
-   the right: each round inserts one symbol of every segment into the collection's
-   Burrows-Wheeler transform and the new suffixes' common prefixes between the old ones, in one
-   sequential pass over both. A window is repeated if its suffix shares ``LENGTH`` bytes with a
-   neighbour. The passes go over arrays in memory, bounded by ``BATCH`` segments: a task has no
-   place for files of its own on a cluster.
-4. A hash with more than ``BATCH`` different segments would not fit: its windows are compared
+3. Of the rest, the different segments of a hash, windows with a gram that no other segment has
+   are cut off, and equal pieces that are left are repeated. The other pieces are sorted as a
+   collection, column by column from the right: each round inserts one symbol of every piece
+   into the collection's Burrows-Wheeler transform and the new suffixes' common prefixes between
+   the old ones, in one sequential pass over both. A window is repeated if its suffix shares
+   ``LENGTH`` bytes with a neighbour. The passes go over arrays in memory, bounded by ``BATCH``
+   and ``CROWD`` segments: a task has no place for files of its own on a cluster.
+4. A hash with more than ``CROWD`` different segments would not fit: its windows are compared
    one by one, by a shuffle of their 128-bit digests.
 
 * Strings are judged on the input and never cross documents; overlaps count. Repeats within a
@@ -39,7 +40,8 @@ from tabledeltas.llm.common import saved, working_folder
 LENGTH, GRAM = 200, 64
 #: Windows of a segment, at most; longer ones are cut, which changes nothing.
 MOST = 256
-BATCH = 2048
+#: Segments worked on at once, about; and those of one hash at most.
+BATCH, CROWD = 4096, 1 << 14
 #: Bytes of a text whose windows are hashed at once.
 PIECE = 1 << 20
 
@@ -204,15 +206,71 @@ def _runs(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2] - edges[::2]
 
 
+def _possible(texts: list[bytes], times: np.ndarray) -> list[np.ndarray]:
+    """For each text, which of its windows hold no gram that is there once only: a window with
+    such a gram cannot be repeated. Four grams of a window are looked at, its ends included."""
+    sizes = np.array([len(t) for t in texts])
+    hashes = _gram_hashes(np.frombuffer(b"".join(texts), np.uint8))
+    ends = np.cumsum(sizes)
+    own = np.arange(len(hashes))
+    of = np.searchsorted(ends, own, side="right")
+    hashes[own + GRAM > ends[of]] = 0  # grams across two texts
+    order = np.argsort(hashes, kind="stable")
+    ranked = hashes[order]
+    first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
+    held = np.add.reduceat(np.minimum(times, 2)[of[order]], first)
+    several = np.zeros(len(hashes), bool)
+    several[order] = np.repeat(held > 1, np.diff(first, append=len(hashes)))
+    last = LENGTH - GRAM
+    out = []
+    for end, size in zip(ends.tolist(), sizes.tolist()):
+        grams = several[end - size : end - GRAM + 1]
+        n = size - LENGTH + 1
+        ok = grams[:n] & grams[last : last + n]
+        for step in (last // 3, 2 * last // 3):
+            ok &= grams[step : step + n]
+        out.append(ok)
+    return out
+
+
+def _repeats_within(hashes: np.ndarray, texts: list[bytes], times: np.ndarray) -> list[np.ndarray]:
+    """For each segment, which of its windows are repeated among the segments of its hash; those
+    of a segment that occurs several times are not told.
+
+    What a gram shows to be unique is cut off first. Equal pieces that are left are repeated;
+    only the pieces that then stand alone, and the others of their hash, are sorted."""
+    marks = [np.zeros(len(t) - LENGTH + 1, bool) for t in texts]
+    members: dict[tuple, list[tuple[int, int]]] = {}
+    for i, ok in enumerate(_possible(texts, times)):
+        for a, n in zip(*_runs(ok)):
+            piece = texts[i][a : a + n + LENGTH - 1]
+            members.setdefault((hashes[i], piece), []).append((i, int(a)))
+    alone = {}
+    for key, held in members.items():
+        alone[key] = sum(times[i] for i, _ in held) == 1
+        if not alone[key]:
+            for i, a in held:
+                marks[i][a : a + len(key[1]) - LENGTH + 1] = True
+    doubtful = {h for (h, _), single in alone.items() if single}
+    keys = [k for k in members if k[0] in doubtful]
+    for key, found in zip(keys, repeated_windows([piece for _, piece in keys])):
+        if alone[key]:
+            ((i, a),) = members[key]
+            marks[i][a : a + len(found)] |= found
+    return marks
+
+
 def _sort_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows come sorted by hash; whole hashes are sorted together, about ``BATCH`` at once."""
+    """Rows come sorted by hash; whole hashes are worked on together, about ``BATCH`` rows at
+    once and never more than ``CROWD`` of one hash."""
 
     def work(rows: pd.DataFrame) -> pd.DataFrame:
         out = []
-        keys = zip(rows["h1"], rows["h2"], rows["first"], rows["times"])
-        for (h1, h2, first, times), marks in zip(keys, repeated_windows(rows["bytes"].tolist())):
-            if times == 1:  # the others are repeated as a whole
-                out += [(h1, h2, first + int(a), int(n)) for a, n in zip(*_runs(marks))]
+        times = rows["times"].to_numpy(np.int64)
+        marked = _repeats_within(rows["hash"].to_numpy(), rows["bytes"].tolist(), times)
+        for h1, h2, first, n, marks in zip(rows["h1"], rows["h2"], rows["first"], times, marked):
+            if n == 1:  # the others are repeated as a whole
+                out += [(h1, h2, first + int(a), int(size)) for a, size in zip(*_runs(marks))]
         return pd.DataFrame(out, columns=["h1", "h2", "first", "n"])
 
     waiting = None
@@ -299,7 +357,7 @@ def repeated_runs(texts: DataFrame, folder: str) -> DataFrame:
 
     kinds = distinct.groupBy("hash").agg(F.count(F.lit(1)).alias("kinds"), F.min("times").alias("least"), F.bool_or("repeats").alias("again"))
     open_kinds = saved(
-        kinds.where("least = 1 AND (kinds > 1 OR again)").select("hash", (F.col("kinds") > BATCH).alias("crowded")),
+        kinds.where("least = 1 AND (kinds > 1 OR again)").select("hash", (F.col("kinds") > CROWD).alias("crowded")),
         f"{folder}/open",
     )
     wanted = (

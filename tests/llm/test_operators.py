@@ -196,9 +196,10 @@ def test_column_wise_sorting_equals_brute_force():
             assert marks.tolist() == [seen[t[i : i + length]] > 1 for i in range(len(t) - length + 1)]
 
 
-@pytest.mark.parametrize("batch", [1, 2048])
+@pytest.mark.parametrize("batch", [1, 4096])
 def test_repeats_of_odd_texts(spark, monkeypatch, batch):
     monkeypatch.setattr(suffixes, "BATCH", batch)
+    monkeypatch.setattr(suffixes, "CROWD", batch)
     rng = random.Random(9)
     noise = lambda n: "".join(rng.choice("abcdefgh é") for _ in range(n))
     shared, period = noise(260), noise(90)
