@@ -375,6 +375,17 @@ def apply_changes_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_changes(previous, change_feed(previous, latest, PK), PK)
 
 
+def latest_order_per_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fold of several rows per key: the newest order of each customer."""
+    log = fx.table(spark, sf_dir, "orders").select(
+        F.struct(F.col("o_custkey").alias("custkey")).alias("key"),
+        F.struct("o_orderkey", "o_orderstatus", "o_orderpriority").alias("value"),
+        F.col("o_orderkey").alias("offset"),
+    )
+    folded = fold_latest(log, {"custkey": "key.custkey"})
+    return folded.select("custkey", "value.*", "ord")
+
+
 # --- query runs ---------------------------------------------------------------------------
 
 
@@ -403,7 +414,7 @@ def run_at_cuts(
 
 
 def first_run_all_inserts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    run, _, _ = run_at_cuts(spark, sf_dir, [9])
+    run, _, _ = run_at_cuts(spark, sf_dir, [10])
     return flat_feed(run.feed, [PK], SAMPLE_COLUMNS)
 
 
@@ -509,6 +520,7 @@ QUERIES: dict[str, Query] = {
     "silver_topic_view": silver_topic_view,
     "two_streams_one_job": two_streams_one_job,
     "latest_per_key": latest_per_key,
+    "latest_order_per_customer": latest_order_per_customer,
     "latest_per_key_with_tombstones": latest_per_key_with_tombstones,
     "latest_per_key_by_time": latest_per_key_by_time,
     "topic_table_xx": topic_table_xx,

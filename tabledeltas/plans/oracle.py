@@ -159,6 +159,10 @@ ORACLE: dict[str, str] = {
         SELECT 'yy', count(*), CAST(sum(userid) AS BIGINT), count(*) FILTER (WHERE deleted)
         FROM ({YY_LOG}) l""",
     "latest_per_key": f"SELECT userid, name, regionid, userid AS ord FROM ({XX}) x",
+    "latest_order_per_customer": """
+        SELECT o_custkey AS custkey, o_orderkey, o_orderstatus, o_orderpriority, o_orderkey AS ord
+        FROM orders
+        QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1""",
     "latest_per_key_with_tombstones": yy_folded(),
     "latest_per_key_by_time": yy_folded(order='ts DESC, "offset"'),
     "topic_table_xx": XX,
@@ -178,7 +182,7 @@ ORACLE: dict[str, str] = {
         ORDERS_PREVIOUS, ORDERS_LATEST, ["o_orderkey"], ORDER_COLUMNS, null_safe=False
     ),
     "apply_changes_roundtrip": LATEST,
-    "first_run_all_inserts": feed(EMPTY, PREVIOUS, ["userid"], SAMPLE_COLUMNS),
+    "first_run_all_inserts": feed(EMPTY, LATEST, ["userid"], SAMPLE_COLUMNS),
     "second_run_changes": FEED,
     "third_run_retired": f"""
         SELECT CAST(run AS BIGINT) AS run, status, CAST(n AS BIGINT) AS rows, CAST(2 AS INTEGER) AS on_disk
@@ -189,10 +193,10 @@ ORACLE: dict[str, str] = {
         ) r""",
     "emit_upserts": f"""
         SELECT '{{"userid":' || userid || '}}' AS key,
-               '{{"userid":' || userid || ',"name":"' || after_name || '","regionid":' || after_regionid
-               || ',"refcount":' || after_refcount
+               '{{"userid":' || userid || ',"gender":"' || after_gender
+               || '","name":"' || after_name || '","regionid":' || after_regionid
                || ',"optional":' || coalesce(CAST(after_optional AS VARCHAR), 'null')
-               || ',"gender":"' || after_gender || '"}}' AS value
+               || ',"refcount":' || after_refcount || '}}' AS value
         FROM ({FEED}) f WHERE op <> 'D'""",
     "emit_deletes": f"""
         SELECT '{{"userid":' || userid || '}}' AS key FROM ({FEED}) f WHERE op = 'D'""",
