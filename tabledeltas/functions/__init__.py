@@ -1,3 +1,4 @@
+from tabledeltas.functions.avro_schema import avro_struct
 from tabledeltas.functions.envelope import (
     AvroCodec,
     CodecUnavailable,
@@ -17,6 +18,7 @@ __all__ = [
     "JsonCodec",
     "SchemaMismatch",
     "accepted",
+    "avro_struct",
     "decode_envelope",
     "frame_body",
     "frame_schema_id",

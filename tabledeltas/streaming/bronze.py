@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from tabledeltas.functions.avro_schema import avro_struct, is_avro
 from tabledeltas.functions.envelope import (
     REJECT_SCHEMA,
     AvroCodec,
@@ -59,7 +60,9 @@ class TopicSchema:
 
 def topic_schema(schemas: DataFrame, topic: str) -> TopicSchema:
     """What a schema table ``(topic, side, version, schema_id, schema)`` says of a topic of
-    framed JSON, ``schema`` being the JSON of a Spark schema.
+    framed JSON, ``schema`` being the JSON of a Spark schema, or of framed Avro, ``schema``
+    being the text of an Avro record. Both sides of a topic may differ, the versions of one
+    side may not.
 
     The newest version of each side is the topic's schema. Every registered version may have
     written records; those are the few rows that come to the driver.
@@ -69,19 +72,29 @@ def topic_schema(schemas: DataFrame, topic: str) -> TopicSchema:
     missing = {"key", "value"} - newest.keys()
     if missing:
         raise ValueError(f"topic {topic!r} has no schema for its {' and '.join(sorted(missing))}")
-    writers: dict[str, dict[int, T.StructType]] = {"key": {}, "value": {}}
+    writers: dict[str, dict[int, str]] = {"key": {}, "value": {}}
     for row in of_topic.select("side", "schema_id", "schema").distinct().collect():
-        writers[row["side"]][row["schema_id"]] = _struct(row["schema"])
+        writers[row["side"]][row["schema_id"]] = row["schema"]
     return TopicSchema(
         _struct(newest["key"]),
         _struct(newest["value"]),
-        JsonCodec(framed=True, writers=writers["key"]),
-        JsonCodec(framed=True, writers=writers["value"]),
+        _codec(newest["key"], writers["key"]),
+        _codec(newest["value"], writers["value"]),
     )
 
 
 def _struct(text: str) -> T.StructType:
-    return T.StructType.fromJson(json.loads(text))
+    parsed = json.loads(text)
+    return avro_struct(text) if is_avro(parsed) else T.StructType.fromJson(parsed)
+
+
+def _codec(newest: str, writers: Mapping[int, str]) -> JsonCodec | AvroCodec:
+    kinds = {is_avro(json.loads(text)) for text in [newest, *writers.values()]}
+    if len(kinds) > 1:
+        raise ValueError("the versions of a schema are partly Avro records, partly Spark structs")
+    if kinds == {True}:
+        return AvroCodec(newest, dict(writers))
+    return JsonCodec(framed=True, writers={i: _struct(text) for i, text in writers.items()})
 
 
 def decode_topic(records: DataFrame, schema: TopicSchema) -> DataFrame:
