@@ -153,19 +153,20 @@ def repeated_windows(texts: list[bytes], length: int = LENGTH) -> list[np.ndarra
         k = active[t - 1]
         at = place[:k]
         bwt[at] = data[ends[:k] - t]
-        new, owner = np.zeros(len(bwt), bool), np.zeros(len(bwt), np.int32)
-        new[at], owner[at] = True, np.arange(k)
+        new = np.zeros(len(bwt), bool)
+        new[at] = True
         # suffixes with a symbol before them, sorted by it, are the longer suffixes in order
         above = np.argsort(bwt, kind="stable")[np.count_nonzero(bwt == 0) :]
-        flag = new[above]
+        flag = new.take(above)
         fresh = np.flatnonzero(flag)
-        place[owner[above[fresh]]] = m + fresh
+        owner = np.argsort(at)
+        place[owner[np.searchsorted(at[owner], above[fresh])]] = m + fresh
         lcp_next = np.zeros(m + len(above), np.uint8)
         bwt_next = np.zeros(m + len(above), np.uint8)
-        old = m + np.flatnonzero(~flag)
-        bwt_next[:m], bwt_next[old], lcp_next[old] = bwt[:m], bwt[m:], lcp[m:]
-        changed = np.union1d(fresh, fresh + 1)
-        changed = changed[(changed > 0) & (changed < len(above))]
+        old = ~flag
+        bwt_next[:m], bwt_next[m:][old], lcp_next[m:][old] = bwt[:m], bwt[m:], lcp[m:]
+        flag[1:] |= flag[:-1]
+        changed = np.flatnonzero(flag[1:]) + 1
         lcp_next[m + changed] = 0
         low, high = above[changed - 1], above[changed]
         same = bwt[low] == bwt[high]
