@@ -20,9 +20,13 @@ LEAST_SCORE = 0.4
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Reject documents without a language: no letters, or no language for most of them."""
+    """Reject documents without a language: no letters, or no language for most of them. If no
+    language could be learned, only those without letters."""
     (found,) = fresh(docs, "found")
-    label = langid.label(langid.train_apart(docs), spark)
+    model = langid.train_apart(docs)
+    if not model.learned:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    label = langid.label(model, spark)
     kept = (F.col(f"{found}.lang_pred") != langid.UNKNOWN) & (F.col(f"{found}.score") >= LEAST_SCORE)
     return docs.withColumn(found, label).where(kept).drop(found)
 

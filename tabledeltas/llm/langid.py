@@ -77,12 +77,18 @@ def _letters() -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    """Trigram scores ``[slot, language]``, centred over the languages, and the languages
-    that are candidates in a script ``[script, language]``."""
+    """Trigram scores ``[slot, language]``, centred over the languages, the languages that are
+    candidates in a script ``[script, language]``, and whether a slot was met in training."""
 
     languages: list[str] = field(default_factory=list)
     scores: np.ndarray | None = None
     candidates: np.ndarray | None = None
+    seen: np.ndarray | None = None
+
+    @property
+    def learned(self) -> bool:
+        """Whether there is anything to judge a text by."""
+        return self.seen is not None and bool(self.seen.any())
 
 
 def _lower(text: str) -> str:
@@ -163,23 +169,27 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     column = counted["lang"].map({l: i for i, l in enumerate(languages)}).to_numpy(np.int64)
     n[counted["slot"].to_numpy(np.int64), column] = counted["n"]
     grams, in_script = n[:SLOTS], n[SLOTS:]
-    seen = max(1, int(grams.any(axis=1).sum()))
-    scores = np.log((grams + 0.5) / (grams.sum(axis=0) + 0.5 * seen))
+    seen = grams.any(axis=1)
+    scores = np.log((grams + 0.5) / (grams.sum(axis=0) + 0.5 * max(1, int(seen.sum()))))
     scores -= scores.mean(axis=1, keepdims=True)
-    scores[~grams.any(axis=1)] = 0
+    scores[~seen] = 0
     shares = in_script / np.maximum(1, in_script.sum(axis=0))
-    return Model(languages, scores.astype(np.float32), shares >= SHARE)
+    return Model(languages, scores.astype(np.float32), shares >= SHARE, seen)
 
 
-def _words(text: str, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First letter, letters and score per language of each word of a piece."""
+def _words(text: str, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First letter, letters and score per language of each word of a piece, and whether it is
+    evidence: of a script that a language uses, and with a trigram met in training or in a
+    script that not all languages use. Scores do not tell: those of a single language are 0."""
     at, own, slots = _grams(text)
     first = np.flatnonzero(np.diff(at, prepend=-2) > 1)
     score = np.add.reduceat(model.scores[slots], first, axis=0) if len(first) else np.zeros((0, len(model.languages)), np.float32)
     of_word = model.candidates[_letters()[1][own[first]]]
     score -= OUTSIDE * (~of_word)
     score[~of_word.any(axis=1)] = 0
-    return at[first], np.diff(first, append=len(at)), score
+    met = np.logical_or.reduceat(model.seen[slots], first) if len(first) else np.zeros(0, bool)
+    evident = of_word.any(axis=1) & (met | ~of_word.all(axis=1))
+    return at[first], np.diff(first, append=len(at)), score, evident
 
 
 def _viterbi(scores: list[list[float]], penalty: float) -> list[int]:
@@ -212,10 +222,10 @@ def _path(score: np.ndarray, penalty: float) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _labelled(parts: list[tuple], model: Model, penalty: float) -> tuple:
-    at, size, score = (np.concatenate(x) for x in zip(*parts))
+    at, size, score, evidence = (np.concatenate(x) for x in zip(*parts))
     first, path = _path(score, penalty)
     letters = np.bincount(path, np.add.reduceat(size, first), len(model.languages))
-    evident = np.add.reduceat(size * score.any(axis=1), first)
+    evident = np.add.reduceat(size * evidence, first)
     top = int(letters.argmax())
     return (
         model.languages[top],
@@ -237,11 +247,12 @@ def _label_all(texts: list[str | None], model: Model, penalty: float) -> list[tu
     def flush(pieces: list[tuple[int, int, str, bool]]) -> None:
         lengths = np.array([len(p) + 1 for _, _, p, _ in pieces])
         starts = np.cumsum(lengths) - lengths
-        at, size, score = _words("\n".join(p for _, _, p, _ in pieces), model)
+        at, size, score, evidence = _words("\n".join(p for _, _, p, _ in pieces), model)
         bounds = np.searchsorted(at, np.append(starts, lengths.sum()))
         for (i, begin, _, ends), start, lo, hi in zip(pieces, starts, bounds, bounds[1:]):
             if lo < hi:
-                parts.setdefault(i, []).append((at[lo:hi] - start + begin, size[lo:hi], score[lo:hi]))
+                part = (at[lo:hi] - start + begin, size[lo:hi], score[lo:hi], evidence[lo:hi])
+                parts.setdefault(i, []).append(part)
             if ends and i in parts:
                 out[i] = _labelled(parts.pop(i), model, penalty)
 

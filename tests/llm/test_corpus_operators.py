@@ -116,6 +116,20 @@ def test_language_of_odd_tables(spark, model, odd_docs, no_docs):
     assert odd_docs.select(langid.label(nothing, spark)["lang_pred"]).distinct().collect() == [("und",)]
 
 
+def test_one_language_gives_evidence(spark):
+    text = "The quick brown fox jumps over the lazy dog again"
+    docs = spark.createDataFrame(
+        [(i, f"{text} {i}", "en") for i in range(40)] + [(50, "булок ещё этих", None)],
+        "doc_id long, text string, lang string",
+    )
+    model = langid.train_apart(docs)
+    assert model.languages == ["en"]
+    found = docs.select("doc_id", langid.label(model, spark).alias("l")).select("doc_id", "l.*").collect()
+    assert {r["score"] for r in found if r["doc_id"] < 40} == {1.0}
+    assert {r["lang_pred"] for r in found} == {"en"}
+    assert [r["score"] for r in found if r["doc_id"] == 50] == [0.0]
+
+
 def test_pieces_of_a_long_text(model, monkeypatch):
     text = "the fox and the dog of this story " * 300
     whole = langid._label_all([text], model, langid.SWITCH)

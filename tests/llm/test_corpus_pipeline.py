@@ -3,6 +3,7 @@
 import collections
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tabledeltas.llm.common import saved, working_folder
@@ -43,3 +44,14 @@ def test_stages_take_odd_tables(spark, odd_docs, no_docs, tiny, empty):
         assert out.columns[: len(docs.columns)] == docs.columns
     assert out.columns[len(docs.columns) :] == ["shard_", "slot_"]
     assert (out.count() == 0) == empty
+
+
+@pytest.mark.parametrize("lang", ["en", None])
+def test_one_language_or_none_passes_every_stage(spark, tiny, lang):
+    """All rows labelled alike, and no row labelled at all."""
+    docs = spark.read.parquet(f"{tiny}/documents.parquet").where("lang = 'en'")
+    docs = docs.withColumn("lang", F.lit(lang).cast("string"))
+    given = docs.where("text rlike '[a-z]'").count()
+    sizes = {name: out.count() for name, out in stages(spark, docs, tiny)}
+    assert sizes["language"] >= 0.97 * given > 0
+    assert all(sizes.values())

@@ -58,6 +58,14 @@ def test_op2_labels_held_out_documents(spark, small, documents):
     assert all(0 <= r["score"] <= 1 for r in found.values())
 
 
+def test_op2_scores_a_table_of_one_language(spark, small, tmp_path):
+    docs = spark.read.parquet(f"{small}/documents.parquet").where("lang = 'en'")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    found = QUERIES["op2_language"](spark, str(tmp_path)).where("n_spans > 0").collect()
+    assert {r["lang_pred"] for r in found} == {"en"}
+    assert sum(r["score"] >= 0.9 for r in found) >= 0.97 * len(found) > 0
+
+
 def test_op4_counts_slots_and_groups(spark, small, documents):
     found = by_id(QUERIES["op4_shards"](spark, small))
     shards, groups = collections.defaultdict(list), collections.defaultdict(set)
