@@ -15,19 +15,19 @@ from tabledeltas.llm.common import fresh, saved, table, working_folder
 from tabledeltas.llm.decontaminate import decontaminate
 from tabledeltas.llm.mixing import mix
 
-#: A document is rejected if less than this share of its letters lies in its language's spans.
+#: A document is rejected if less than this share of its letters gives evidence of any language.
 LEAST_SCORE = 0.4
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Reject documents without a language: no letters, or no language for most of them. If no
-    language could be learned, only those without letters."""
+    """Reject documents without a language: no letters, or evidence of languages, be they one
+    or several, for too few of them. If none could be learned, only those without letters."""
     (found,) = fresh(docs, "found")
     model = langid.train_apart(docs)
     if not model.learned:
         return docs.where(F.col("text").rlike(r"\p{L}"))
     label = langid.label(model, spark)
-    kept = (F.col(f"{found}.lang_pred") != langid.UNKNOWN) & (F.col(f"{found}.score") >= LEAST_SCORE)
+    kept = (F.col(f"{found}.lang_pred") != langid.UNKNOWN) & (F.col(f"{found}.evident") >= LEAST_SCORE)
     return docs.withColumn(found, label).where(kept).drop(found)
 
 

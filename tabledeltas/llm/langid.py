@@ -233,12 +233,18 @@ def _labelled(parts: list[tuple], model: Model, penalty: float) -> tuple:
         at[first].tolist(),
         (at + size)[np.append(first[1:], len(at)) - 1].tolist(),
         [model.languages[l] for l in path],
+        float(evident.sum() / size.sum()),
     )
 
 
 def _label_all(texts: list[str | None], model: Model, penalty: float) -> list[tuple]:
     """``(language, score, starts, ends, languages of spans)`` of each text."""
-    nothing = (UNKNOWN, 0.0, [], [], [])
+    return [found[:-1] for found in _judge_all(texts, model, penalty)]
+
+
+def _judge_all(texts: list[str | None], model: Model, penalty: float) -> list[tuple]:
+    """The label of each text and, last, the share of its letters that give evidence."""
+    nothing = (UNKNOWN, 0.0, [], [], [], 0.0)
     out: list[tuple] = [nothing] * len(texts)
     if not model.languages:
         return out
@@ -271,20 +277,22 @@ def _label_all(texts: list[str | None], model: Model, penalty: float) -> list[tu
 
 
 LABEL = (
-    "lang_pred string, score double, starts array<int>, ends array<int>, langs array<string>"
+    "lang_pred string, score double, starts array<int>, ends array<int>, langs array<string>,"
+    " evident double"
 )
 
 
 def label(model: Model, spark, text_column: str = "text", penalty: float = SWITCH) -> Column:
     """A struct per text: ``lang_pred``, ``score`` (the share of its letters that lie in its
-    spans and give evidence) and the spans (``starts``, ``ends`` in code points, ``langs``)."""
+    spans and give evidence), the spans (``starts``, ``ends`` in code points, ``langs``) and
+    ``evident`` (the share of its letters that give evidence in spans of any language)."""
     shared = spark.sparkContext.broadcast(model)  # at most SLOTS rows, whatever the input
 
     @F.pandas_udf(LABEL)
     def labelled(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
-            found = _label_all(batch.tolist(), shared.value, penalty)
-            yield pd.DataFrame(found, columns=["lang_pred", "score", "starts", "ends", "langs"])
+            found = _judge_all(batch.tolist(), shared.value, penalty)
+            yield pd.DataFrame(found, columns=["lang_pred", "score", "starts", "ends", "langs", "evident"])
 
     return labelled(F.col(text_column))
 

@@ -55,3 +55,15 @@ def test_one_language_or_none_passes_every_stage(spark, tiny, lang):
     sizes = {name: out.count() for name, out in stages(spark, docs, tiny)}
     assert sizes["language"] >= 0.97 * given > 0
     assert all(sizes.values())
+
+
+def test_language_stage_keeps_mixed_languages(spark, small):
+    """Clean text in three and in all four languages, in equal parts, stays; noise does not."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    best = docs.where("length(text) > 600").groupBy("lang").agg(F.min_by("text", "doc_id").alias("text"))
+    parts = [r["text"][:600] for r in best.orderBy("lang").collect() if r["lang"] is not None]
+    assert len(parts) >= 4
+    added = [(-1, " ".join(parts[:3])), (-2, " ".join(parts)), (-3, "булок ещё этих " * 50)]
+    more = spark.createDataFrame(added, "doc_id long, text string")
+    out = corpus_pipeline.language_stage(spark, docs.unionByName(more, allowMissingColumns=True), small)
+    assert {r["doc_id"] for r in out.where("doc_id < 0").collect()} == {-1, -2}
