@@ -2,10 +2,11 @@
 
 1. Benchmark items become words, five-word shingles and a 64-bit SimHash of their shingles,
    repeats included. Equal word sequences are one item with several ids.
-2. Windows as long as an item are laid over the documents, starting where a shingle the
-   document shares with the item puts the item's start. A similarity above zero needs a shared
-   shingle, so nothing is lost by not looking elsewhere; a passage with words put in or left
-   out has several such starts, and each gets its window.
+2. Windows as long as an item are laid over the documents, at every start from which enough
+   places of a window hold a shingle of the item: as many as the similarity asks for, were no
+   repeat in vain. No other window can be similar enough, in whatever order the passage has
+   the item's parts. The starts come as ranges from the sorted places a document shares with
+   an item.
 3. Fingerprints of windows meet those of items of the same length in a multi-index of
    ``BLOCKS`` blocks: two fingerprints within ``radius`` bits agree in at least one block up to
    ``radius // BLOCKS`` bits, and the index holds every block value that near. All fingerprints
@@ -19,7 +20,7 @@ lies more than four standard deviations above.
 * Words are runs of letters and digits, lower-cased. A null or wordless text or item matches
   nothing. Texts are read whole; equal texts are compared once and all reported.
 * A sequence of fewer than five words is one shingle, so an item that short is found only where
-  it is the whole document. A document shorter than an item is compared as a whole.
+  it is the whole document; it is not searched for in longer ones. A document shorter than an item is compared as a whole.
 * Repeated item rows count once; a null item id is reported as null. Empty tables give no rows.
 * The benchmark's shingles are broadcast only if they are at most ``BROADCAST_ROWS``; beyond
   that Spark joins them as it sees fit.
@@ -105,6 +106,34 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def _starts(places: DataFrame, similarity: float) -> DataFrame:
+    """A row per ``start`` of a window whose shared ``places`` can make it similar enough.
+
+    With ``need`` places in a window of ``long`` shingles, the first of them being the ``i``-th
+    of all, the start lies behind the one before, not behind the ``i``-th itself, and reaches
+    the one ``need - 1`` later; the last window ends with the document."""
+    long = _shingle_count(F.least("m", "n"))
+    need = F.ceil((long + _shingle_count(F.col("m"))) * F.lit(similarity / (1 + similarity)) - F.lit(1e-9))
+    known = places.select(
+        "text_key", "m", "places", long.alias("long"),
+        F.greatest(need.cast("int"), F.lit(1)).alias("need"),
+        F.greatest(F.col("n") - F.col("m"), F.lit(0)).alias("last"),
+    ).where(F.size("places") >= F.col("need"))
+
+    def limits(i: Column) -> Column:
+        before = F.coalesce(F.get("places", i - 1) + 1, F.lit(0))
+        reach = F.get("places", i + F.col("need") - 1) - F.col("long") + 1
+        return F.struct(
+            F.greatest(before, reach).alias("low"), F.least(F.get("places", i), "last").alias("high")
+        )
+
+    firsts = F.sequence(F.lit(0), F.size("places") - F.col("need"))
+    ranges = F.filter(F.transform(firsts, limits), lambda x: x["low"] <= x["high"])
+    return known.select("text_key", "m", F.explode(ranges).alias("range")).select(
+        "text_key", "m", F.explode(F.sequence("range.low", "range.high")).alias("start")
+    )
+
+
 def find_passages(
     docs: DataFrame,
     items: DataFrame,
@@ -134,10 +163,13 @@ def find_passages(
     spread = _shingled(texts, "text").select(
         "text_key", "n", F.posexplode_outer("shingles").alias("place", "h")
     )
-    hits = spread.join(wanted, "h", "left_semi").join(_small(placed, n_placed), "h")
-    start = F.greatest(F.lit(0), F.least(F.col("place") - F.col("offset"), F.col("n") - F.col("m")))
+    parts = placed.select("item", "m", "h").distinct()
+    hits = spread.join(wanted, "h", "left_semi").join(_small(parts, n_placed), "h")
+    places = hits.groupBy("text_key", "item", "m", "n").agg(
+        F.sort_array(F.collect_set("place")).alias("places")
+    )
     windows = saved(
-        hits.select("text_key", start.alias("start"), "m").distinct(), f"{folder}/windows"
+        _starts(places, similarity).select("text_key", "start", "m").distinct(), f"{folder}/windows"
     )
 
     holding = saved(windows.select("text_key").distinct(), f"{folder}/holding")

@@ -370,6 +370,46 @@ def test_passages_with_changes(spark):
     assert sorted(r["doc_id"] for r in decontaminate.decontaminate(docs, items).collect()) == [4, 5, 8, 9]
 
 
+def test_reordered_passages(spark):
+    """Parts in another order, within a longer document and at its end; half of them is too little."""
+    item = [f"w{i}" for i in range(60)]
+    swapped = item[30:] + item[:30]
+    noise = lambda a, n: [f"n{a}x{i}" for i in range(n)]
+    texts = {
+        1: noise(1, 100) + swapped + noise(2, 100),
+        2: noise(3, 100) + swapped,
+        3: swapped + noise(4, 100),
+        4: noise(5, 100) + item[30:] + noise(6, 30) + item[:30] + noise(7, 100),
+        5: noise(8, 40) + ["x"] + item[1:] + noise(9, 40),
+    }
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    found = decontaminate.find_passages(docs, items)
+    rows = docs.select("doc_id", F.md5("text").alias("text_key")).join(found, "text_key").collect()
+    starts = {r["doc_id"]: r["word_start"] for r in rows}
+    assert starts == {1: 100, 2: 100, 3: 0, 5: 40}
+    assert [r["doc_id"] for r in decontaminate.decontaminate(docs, items).collect()] == [4]
+
+
+def test_starts_equal_brute_force(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(150):
+        n, m = rng.randint(1, 40), rng.randint(1, 20)
+        shingles = max(1, n - 4)
+        places = sorted(rng.sample(range(shingles), rng.randint(shingles // 2, shingles)) or [0])
+        rows.append((str(i), n, m, places))
+    df = spark.createDataFrame(rows, "text_key string, n int, m int, places array<int>")
+    found = plain(decontaminate._starts(df, 0.8).select("text_key", "start"))
+    wanted = collections.Counter()
+    for key, n, m, places in rows:
+        long, own = max(1, min(n, m) - 4), max(1, m - 4)
+        for start in range(max(0, n - m) + 1):
+            both = sum(start <= p < start + long for p in places)
+            wanted[key, start] += both > 0 and 18 * both >= 8 * (long + own)
+    assert found == +wanted
+
+
 def test_decontamination_of_odd_tables(spark, odd_docs, no_docs):
     items = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog again"), (None, None)], "item_id long, text string")
     left = decontaminate.decontaminate(odd_docs, items)
