@@ -8,9 +8,13 @@ widened to the content element around it (``article``, ``main`` or one that says
 short paragraphs and headings at its edges are kept; without such an element the text of the
 stretches is kept as far as it lies in the innermost box around the heavy lines of that one.
 
-* Left out wherever they stand: scripts, styles, menus, headers outside of the article, footers,
-  sidebars, notices, adverts, forms, reader comments (articles within an article are such), and
-  hidden elements; known by element, by role, or by a word of their class or id.
+* Left out wherever they stand: scripts, styles, menus, headers outside of a content element,
+  footers, sidebars, notices, adverts, forms, reader comments (articles within an article are
+  such), and hidden elements; known by element, by role, or by a word of their class or id.
+* A word does not do for headings, nor, within a content element, for inline elements and code;
+  an id not for paragraphs. Boxes within a content element, and sections by their id anywhere,
+  are left out by a word only if they are short or mostly links, but for adverts, sidebars,
+  cookie boxes, subscriptions and reader comments that say so first.
 * Character references are decoded, white space within a block becomes one space (so does
   ``br`` and the edge of a table cell), blocks are trimmed and joined by one newline. Blank
   blocks vanish; nothing else is dropped or cut.
@@ -77,6 +81,13 @@ ASIDE_STARTS = (
     "advert", "breadcrumb", "comment", "cookie", "navig", "newsletter", "promot", "recommend",
     "sidebar", "social", "sponsor", "subscri",
 )
+#: Words of a box inside the article that is left out however long it is.
+STRONG_WORDS = {"ad", "ads", "adbox", "adslot", "adsense", "disqus", "consent", "gdpr", "replies"}
+STRONG_STARTS = ("advert", "comment", "cookie", "newsletter", "sidebar", "sponsor", "subscri")
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
+#: Blocks that an id may tell to be no article text; the ids of others are anchors.
+JUDGED = BOXES | HOLDERS | {"header", "figure", "details", "address"}
+CODE = {"pre", "code", "kbd", "samp"}
 CONTENT_WORDS = {"article", "articlebody", "content", "entry", "post", "story", "main"}
 
 
@@ -86,6 +97,8 @@ class Element:
     aside: bool
     content: int  # number of the content element that holds it, 0 for none
     path: tuple[int, ...]
+    opens: bool = False  # is a content element
+    doubt: tuple[int, int] | None = None  # left out if its lines from the first on weigh less
 
 
 @dataclass
@@ -101,15 +114,13 @@ def _attributes(rest: str) -> dict[str, str]:
     return {n.lower(): a or b or c for n, a, b, c in ATTRIBUTE.findall(rest)}
 
 
-def _named(attributes: dict[str, str]) -> list[str]:
-    both = f"{attributes.get('class', '')} {attributes.get('id', '')}"
-    split = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", unescape(both)).lower()
+def _named(value: str) -> list[str]:
+    split = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", unescape(value)).lower()
     split = re.sub(r"\b(?:has|with|no|without)[-_]+\w+", " ", split)
     return re.findall(r"[a-z]+", split)
 
 
-def _is_aside(name: str, attributes: dict[str, str], words: list[str], within: set[str]) -> bool:
-    inside = bool(within)
+def _is_aside(name: str, attributes: dict[str, str], words: list[str], within: set[str], inside: bool) -> bool:
     if name in ASIDE or (name == "header" and not inside):
         return True
     if name == "article" and "article" in within:
@@ -123,9 +134,40 @@ def _is_aside(name: str, attributes: dict[str, str], words: list[str], within: s
     role = attributes.get("role", "")
     if role in ASIDE_ROLES and not (role == "banner" and inside):
         return True
-    if "header" in words and not inside and name in ("div", "section", "table"):
-        return True
-    return any(w in ASIDE_WORDS or w.startswith(ASIDE_STARTS) for w in words)
+    return "header" in words and not inside and name in ("div", "section", "table")
+
+
+def _aside_word(word: str) -> bool:
+    return word in ASIDE_WORDS or word.startswith(ASIDE_STARTS)
+
+
+def _strong_word(word: str) -> bool:
+    return word in STRONG_WORDS or word.startswith(STRONG_STARTS)
+
+
+def _least_weight(name: str, attributes: dict[str, str], inside: bool, code: bool) -> int | None:
+    """What the text of an element must weigh to be kept in spite of its class and id: None if
+    these say nothing, -1 if no weight is enough. Anchors say nothing: ids of headings, of
+    paragraphs and of inline elements. The id of a section may be made of its heading."""
+    if name in ("html", "body", "main", "article") or name in HEADINGS or code or name in CODE:
+        return None
+    if name not in BLOCK and inside:
+        return None
+    classes = [_named(x) for x in attributes.get("class", "").split()]
+    ids = [_named(x) for x in attributes.get("id", "").split()] if name in JUDGED else []
+    section = name == "section" or ["section"] in classes
+    if not inside and any(_aside_word(w) for x in classes for w in x):
+        return -1
+    if inside and any(_strong_word(x[0]) for x in classes if x):
+        return -1
+    of_id = [x for x in ids if any(map(_aside_word, x))]
+    if not inside and any(not section or all(map(_aside_word, x)) for x in of_id):
+        return -1
+    if not section and any(all(map(_aside_word, x)) and _strong_word(x[0]) for x in of_id):
+        return -1
+    if any(_aside_word(w) for x in classes for w in x):
+        return SURGE
+    return None if not of_id else 1 if section else SURGE
 
 
 def _is_content(name: str, attributes: dict[str, str], words: list[str]) -> bool:
@@ -146,6 +188,9 @@ def lines_of(html: str) -> tuple[list[Line], dict[int, int]]:
     def open_line() -> Line:
         return Line(content=stack[-1].content, path=stack[-1].path) if stack else Line()
 
+    def weight(those: list[Line]) -> int:
+        return sum(_weight(" ".join("".join(x.pieces).split()), x) for x in those)
+
     def flush() -> None:
         nonlocal line, apart
         if any(not p.isspace() for p in line.pieces):
@@ -160,8 +205,11 @@ def lines_of(html: str) -> tuple[list[Line], dict[int, int]]:
         while len(stack) > depth:
             e = stack.pop()
             aside -= e.aside
-            apart |= e.aside
+            apart |= e.aside or e.opens
             links -= e.name == "a"
+            if e.doubt and weight(lines[e.doubt[0] :]) < e.doubt[1]:
+                del lines[e.doubt[0] :]
+                apart = True
         line = open_line()
 
     def text(part: str) -> None:
@@ -216,29 +264,39 @@ def lines_of(html: str) -> tuple[list[Line], dict[int, int]]:
         if rest.rstrip().endswith("/") and name in ("path", "use", "circle", "rect"):
             continue
         attributes = _attributes(rest) if rest.strip() else {}
-        words = _named(attributes) if "class" in attributes or "id" in attributes else []
+        judged = "class" in attributes or "id" in attributes
+        words = _named(f"{attributes.get('class', '')} {attributes.get('id', '')}") if judged else []
         within = {e.name for e in stack if e.name in ("article", "main")}
-        left_out = _is_aside(name, attributes, words, within)
+        content = stack[-1].content if stack else 0
+        inside = bool(within) or content > 0
+        left_out, least, opens = _is_aside(name, attributes, words, within, inside), None, False
+        if judged and not left_out and not aside:
+            least = _least_weight(name, attributes, inside, any(e.name in CODE for e in stack))
+            left_out = least == -1
         if left_out and name in BLOCK:
             flush()
-        content = stack[-1].content if stack else 0
-        if not left_out and not aside and _is_content(name, attributes, words):
+        if not left_out and not aside and least is None and _is_content(name, attributes, words):
             around[len(around)] = content
-            content, apart = len(around) - 1, True
+            content, apart, opens = len(around) - 1, True, True
         path = stack[-1].path if stack else ()
         if name in BOXES:
             boxes += 1
             path = (*path, boxes)
-        stack.append(Element(name, left_out, content, path))
+        doubt = (len(lines), least) if least and least > 0 and name in BLOCK else None
+        stack.append(Element(name, left_out, content, path, opens, doubt))
         aside += left_out
         links += name == "a"
         if not line.pieces:
             line.content, line.path = content, path
-    stack.clear()
-    flush()
+    pop_to(0)
     return lines, around
 
 
+def _weight(text: str, line: Line) -> int:
+    """What of a line's text is not link text."""
+    return max(0, len(text) - 2 * len(" ".join("".join(line.linked).split())))
+
+
 def stretches(weights: list[int]) -> list[tuple[int, int]]:
     """First and last place of the stretches between a surge and a dive of the window sums."""
     sums = [sum(weights[i : i + WINDOW]) for i in range(len(weights))]
@@ -266,8 +324,7 @@ def main_text(html: str | None) -> str:
         if x.apart and weights:
             weights += [0] * WINDOW
             of_line += [-1] * WINDOW
-        link = len(" ".join("".join(x.linked).split()))
-        weights.append(max(0, len(texts[i]) - 2 * link))
+        weights.append(_weight(texts[i], x))
         of_line.append(i)
     found = stretches(weights)
     best = max(found, key=lambda s: (sum(weights[s[0] : s[1] + 1]), -s[0]), default=None)

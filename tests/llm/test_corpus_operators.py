@@ -66,6 +66,33 @@ def test_main_text(page, text):
     assert html.main_text(page) == text
 
 
+@pytest.mark.parametrize("holder", ["article", "main", "div class=content"])
+@pytest.mark.parametrize(
+    ("inner", "text"),
+    [
+        ('<h2 id="related-work">Related</h2>', "Related"),
+        ('<h2 id="search-algorithms">Search</h2><h3 class="menu" id="social-history">S</h3>', "Search\nS"),
+        ('<h2><span class="mw-headline" id="Navigation">Navigation</span></h2>', "Navigation"),
+        (f'<section id="notice-period"><h2>N</h2><p>{STORY}<p>x</section>', f"N\n{ONE}\nx"),
+        (f'<div id="social-history"><p>{STORY}</div><p id="search">s</p>', f"{ONE}\ns"),
+        ('<pre><code>a <span class="hljs-comment"># b</span> <span class="token comment"># c</span></code></pre>', "a # b # c"),
+        ("<header><h1>Head</h1></header>", "Head"),
+        ('<div class="related"><p>See also</div>', ""),
+        (f'<div class="related-posts"><a href=x>{STORY}</a></div>', ""),
+        (f'<div class="comment-list"><p>{STORY}</div><div id="comments"><p>{STORY}</div>', ""),
+        (f'<div class="advert"><p>{STORY}</div>', ""),
+    ],
+)
+def test_names_of_article_parts_do_not_drop_them(holder, inner, text):
+    page = f"<nav>Menu</nav><{holder}><p>{STORY}</p>{inner}<p>{STORY}</p></{holder.split()[0]}>"
+    assert html.main_text(page) == "\n".join(x for x in (ONE, text, ONE) if x)
+
+
+def test_heading_ids_without_a_content_element():
+    page = f'<div><h2 id="related-work">R</h2><p>{STORY}<section id="notice-period"><p>{STORY}</section></div>'
+    assert html.main_text(page) == f"R\n{ONE}\n{ONE}"
+
+
 def test_stretches_begin_at_a_surge_and_end_at_a_dive():
     assert html.stretches([5, 0, 0, 0, 100, 10, 0, 0, 0, 3]) == [(4, 5)]
     assert html.stretches([]) == []
