@@ -1,12 +1,13 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped to lines, one per block element. A line weighs what of its text is not link
-text; menus, adverts and the like weigh nothing and stand between lines as blank ones. The
+text; menus, adverts and the like weigh nothing and stand as blank lines between lines of different boxes. The
 weights of ``WINDOW`` lines are summed at every line: where the sums surge over ``SURGE``
-characters the text begins, where they dive to nothing it ends. The heaviest such stretch is
-widened to the content element around it (``article``, ``main`` or one that says so), so that
-short paragraphs and headings at its edges are kept; without such an element the text of the
-stretches is kept as far as it lies in the innermost box around the heavy lines of that one.
+characters the text begins, where they dive to nothing it ends. Every such stretch is widened
+to the content element around it (``article``, ``main`` or one that says so), so that short
+paragraphs and headings at its edges are kept. Of the stretches without such an element the
+text is kept as far as it lies in the innermost box around the heavy lines of all of them that
+are of comparable weight to the heaviest stretch of the page.
 
 * Left out wherever they stand: scripts, styles, menus, headers outside of a content element,
   footers, sidebars, notices, adverts, forms, reader comments (articles within an article are
@@ -36,6 +37,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WINDOW, SURGE = 3, 86
+#: A stretch or line this many times lighter than the heaviest one has no say in where the text is.
+COMPARABLE = 4
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -321,46 +324,50 @@ def main_text(html: str | None) -> str:
     texts = [" ".join("".join(x.pieces).split()) for x in lines]
     weights, of_line = [], []
     for i, x in enumerate(lines):
-        if x.apart and weights:
+        same = i and (x.path, x.content) == (lines[i - 1].path, lines[i - 1].content)
+        if x.apart and weights and not same:  # what is left out within a box parts no text
             weights += [0] * WINDOW
             of_line += [-1] * WINDOW
         weights.append(_weight(texts[i], x))
         of_line.append(i)
+
+    def widest(content: int) -> int:
+        while around[content]:
+            content = around[content]
+        return content
+
     found = stretches(weights)
-    best = max(found, key=lambda s: (sum(weights[s[0] : s[1] + 1]), -s[0]), default=None)
-    if best is None:
+    if not found:
         heavy = {}
         for x, t in zip(lines, texts):
             heavy[x.content] = heavy.get(x.content, 0) + len(t)
         content = max((c for c in heavy if c), key=lambda c: (heavy[c], -c), default=0)
-    else:
-        content = max(
-            ((weights[i], -i, lines[of_line[i]].content) for i in range(best[0], best[1] + 1) if of_line[i] >= 0)
-        )[2]
-    if content:
-        while around[content]:  # the widest content element around
-            content = around[content]
-        inside = {0: False}
-        for c, parent in around.items():
-            inside[c] = c > 0 and (c == content or inside[parent])
-        return "\n".join(t for x, t in zip(lines, texts) if inside[x.content])
-    if best is None:
-        kept = {of_line[i] for i in range(len(weights)) if weights[i]}
-    else:
-        most = max(weights[i] for i in range(best[0], best[1] + 1))
-        paths = [
-            lines[of_line[i]].path for i in range(best[0], best[1] + 1) if 4 * weights[i] >= most
-        ]
-        box = 0  # depth of the innermost box around all heavy lines of the best stretch
-        while all(len(p) > box for p in paths) and len({p[box] for p in paths}) == 1:
-            box += 1
-        kept = {
-            of_line[i]
-            for a, b in found
-            for i in range(a, b + 1)
-            if of_line[i] >= 0 and lines[of_line[i]].path[:box] == paths[0][:box]
-        }
-    return "\n".join(t for i, t in enumerate(texts) if i in kept)
+        if content:
+            return "\n".join(t for x, t in zip(lines, texts) if widest(x.content) == widest(content))
+        return "\n".join(texts[of_line[i]] for i in range(len(weights)) if weights[i])
+
+    contents, plain, paths = set(), [], []
+    most = max(sum(weights[a : b + 1]) for a, b in found)
+    for a, b in found:
+        inner = [(weights[i], -i) for i in range(a, b + 1) if of_line[i] >= 0]
+        top, at = max(inner)
+        content = lines[of_line[-at]].content
+        contents.add(widest(content))
+        if not content:
+            plain.append((a, b))
+            if COMPARABLE * sum(weights[a : b + 1]) >= most:
+                paths += [lines[of_line[-i]].path for w, i in inner if COMPARABLE * w >= top]
+    box = 0  # depth of the innermost box around the heavy lines of all comparable stretches
+    while paths and all(len(p) > box for p in paths) and len({p[box] for p in paths}) == 1:
+        box += 1
+    kept = {
+        of_line[i]
+        for a, b in plain
+        for i in range(a, b + 1)
+        if paths and of_line[i] >= 0 and lines[of_line[i]].path[:box] == paths[0][:box]
+    }
+    contents.discard(0)
+    return "\n".join(t for i, (x, t) in enumerate(zip(lines, texts)) if i in kept or widest(x.content) in contents)
 
 
 def extract(html_column: str = "html") -> Column:

@@ -93,6 +93,24 @@ def test_heading_ids_without_a_content_element():
     assert html.main_text(page) == f"R\n{ONE}\n{ONE}"
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (
+            f"<body><div class=content><p>{STORY}</div><div class=ad>Buy</div>"
+            f"<div class=content><p>{STORY}<p>end</div><div class=footer>{STORY}</div>",
+            f"{ONE}\n{ONE}\nend",
+        ),
+        (f"<article><h1>T</h1><p>{STORY}</article><nav>N</nav><article><p>{STORY}</article>", f"T\n{ONE}\n{ONE}"),
+        (f"<div><p>{STORY}</div><div class=ad>Buy</div><div><p>{STORY}</div>", f"{ONE}\n{ONE}"),
+        (f"<div><p>{STORY}<p>{STORY}<div class=ad>Buy</div><p>The end.</div>", f"{ONE}\n{ONE}\nThe end."),
+        (f"<div class=content><p>{STORY}</div><div class=ad>Buy</div><div><p>{STORY}</div>", f"{ONE}\n{ONE}"),
+    ],
+)
+def test_text_in_several_containers(page, text):
+    assert html.main_text(page) == text
+
+
 def test_stretches_begin_at_a_surge_and_end_at_a_dive():
     assert html.stretches([5, 0, 0, 0, 100, 10, 0, 0, 0, 3]) == [(4, 5)]
     assert html.stretches([]) == []
