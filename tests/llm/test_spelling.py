@@ -1,0 +1,113 @@
+"""Spelling variants against all pairs of words, and forms against links followed by hand."""
+
+import collections
+import random
+import re
+import string
+import zlib
+
+from pyspark.sql import functions as F
+
+from tabledeltas.llm import spelling
+from tabledeltas.llm.common import saved, working_folder
+
+
+def one_apart(a, b):
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    a, b = sorted((a, b), key=len)
+    return len(b) - len(a) == 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+def brute_pairs(words):
+    return sorted((a, b) for a in words for b in words if a < b and one_apart(a, b))
+
+
+def table(spark, counts):
+    rows = spark.createDataFrame(sorted(counts.items()), "word string, n long")
+    return saved(rows, f"{working_folder(spark)}/words")
+
+
+def pairs(spark, words):
+    found = spelling.near_pairs(table(spark, {w: 1 for w in words}), working_folder(spark))
+    return sorted(map(tuple, found.collect()))
+
+
+def test_pairs_equal_brute_force(spark):
+    """Random words over few letters, so that grams repeat within and across words, and all kinds
+    of edits of them, at every place."""
+    rng = random.Random(7)
+    words = set()
+    for letters in ("ab", "abcé", string.ascii_lowercase + "øÿ×"):
+        for _ in range(60):
+            word = "".join(rng.choice(letters) for _ in range(rng.randint(4, 9)))
+            words.add(word)
+            for i in range(len(word) + 1):
+                c = rng.choice(letters)
+                words |= {word[:i] + c + word[i:], word[:i] + c + word[i + 1 :], word[:i] + word[i + 1 :]}
+    words = {w for w in words if len(w) >= 4}
+    assert len(words) > 1000
+    assert pairs(spark, words) == brute_pairs(words)
+
+
+def test_pairs_of_repeated_letters(spark):
+    words = {"a" * n for n in range(4, 9)} | {"a" * i + "b" + "a" * (6 - i) for i in range(7)}
+    assert pairs(spark, words) == brute_pairs(words)
+
+
+def brute_variants(counts, ratio):
+    near = collections.defaultdict(list)
+    for a, b in brute_pairs(counts):
+        near[a].append(b)
+        near[b].append(a)
+    form = {}
+    for w, n in counts.items():
+        best = min(near[w], key=lambda x: (-counts[x], x), default=None)
+        form[w] = best if best is not None and counts[best] >= ratio * n else None
+    out = {}
+    for w, n in counts.items():
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        out[w] = (form[w], root, n, len(near[w]), counts.get(form[w]))
+    return out
+
+
+def test_forms_and_roots(spark):
+    """A chain of forms, ties of counts, a word just below the ratio, words without neighbours."""
+    counts = {"abcdef": 5, "abcdeg": 25, "abcdhg": 125, "abcihg": 10**6, "abxihg": 10**6, "zabcde": 24,
+              "zabcdef": 5, "lonely": 7, "mnopqr": 5, "mnopqs": 24, "éàüößñ": 40, "éàüößn": 8, "éàüöß": 9}
+    found = spelling.variants(table(spark, counts), 5, working_folder(spark)).collect()
+    assert {r["word"]: tuple(r)[1:] for r in found} == brute_variants(counts, 5)
+
+
+def brute_words(docs, every):
+    """As the contract words it, occurrence by occurrence."""
+    seen = collections.Counter()
+    for doc_id, text in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = re.sub("[A-Z]", lambda m: m[0].lower(), run)
+            h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
+            seen[run[: h % len(run)] + run[h % len(run) + 1 :] if h % every == 0 else run] += 1
+    return seen
+
+
+def words_of(docs, every):
+    found = docs.select("doc_id", F.explode(spelling.runs(F.col("text"))).alias("run"))
+    return found.select(spelling.misspelt(F.col("doc_id"), F.col("run"), every).alias("word"))
+
+
+def test_occurrences_of_odd_tables(spark, odd_docs, no_docs):
+    """Null ids and texts, repeated rows, a long text, columns with the operator's own names."""
+    for docs in (odd_docs.withColumns({"run": F.lit(1), "word": F.lit("x"), "n": F.lit(2)}), no_docs):
+        given = [(r["doc_id"], r["text"]) for r in docs.collect()]
+        for every in (3, 199):
+            counted = spelling.count_words(words_of(docs, every), shortest=6, least=5)
+            wanted = brute_words(given, every)
+            assert {r["word"]: r["n"] for r in counted.collect()} == {
+                w: n for w, n in wanted.items() if len(w) >= 6 and n >= 5
+            }
+
+
+def test_no_words(spark):
+    assert spelling.variants(table(spark, {}), 5, working_folder(spark)).count() == 0
