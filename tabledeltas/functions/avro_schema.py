@@ -33,9 +33,21 @@ def is_avro(schema: object) -> bool:
     return isinstance(schema, dict) and schema.get("type") == "record"
 
 
+# Unions that are read as the wider of their types.
+WIDER: Mapping[frozenset[str], T.DataType] = {
+    frozenset({"int", "long"}): T.LongType(),
+    frozenset({"float", "double"}): T.DoubleType(),
+}
+
+
 def avro_struct(text: str) -> T.StructType:
-    """The struct of an Avro record schema. Unions may be with null only; a field that is one
-    is nullable. A field's default goes to its metadata, where a decoder finds it."""
+    """The struct of an Avro record schema.
+
+    A field that is a union with null is nullable. A union of int and long is a long, one of
+    float and double a double; any other one of several types is a struct with a nullable field
+    ``member0``, ``member1``, ... for each of them, null left out. A field's default and its
+    aliases go to its metadata, where a decoder finds them.
+    """
     parsed = json.loads(text)
     if not is_avro(parsed):
         raise ValueError("an Avro record schema is needed")
@@ -47,8 +59,7 @@ def _record(schema: dict, namespace: str, named: dict[str, T.DataType]) -> T.Str
     fields = []
     for f in schema["fields"]:
         dtype, nullable = _type(f["type"], space, named)
-        default = f.get("default")
-        metadata = {} if default is None else {"default": default}
+        metadata = {k: f[k] for k in ("default", "aliases") if f.get(k) is not None}
         fields.append(T.StructField(f["name"], dtype, nullable, metadata))
     return T.StructType(fields)
 
@@ -57,12 +68,25 @@ def _full_name(name: str, namespace: str) -> str:
     return name if "." in name or not namespace else f"{namespace}.{name}"
 
 
+def _union(
+    schema: list, namespace: str, named: dict[str, T.DataType]
+) -> tuple[T.DataType, bool]:
+    kinds = [s for s in schema if s != "null"]
+    nullable = len(kinds) < len(schema)
+    if not kinds:
+        return T.NullType(), True
+    if len(kinds) == 1:
+        return _type(kinds[0], namespace, named)[0], nullable
+    wider = WIDER.get(frozenset(k if isinstance(k, str) else json.dumps(k) for k in kinds))
+    if wider is not None:
+        return wider, nullable
+    members = [_type(k, namespace, named)[0] for k in kinds]
+    return T.StructType([T.StructField(f"member{i}", t) for i, t in enumerate(members)]), nullable
+
+
 def _type(schema, namespace: str, named: dict[str, T.DataType]) -> tuple[T.DataType, bool]:
     if isinstance(schema, list):
-        kinds = [s for s in schema if s != "null"]
-        if len(kinds) != 1:
-            raise ValueError(f"a union must be of one type and null: {schema}")
-        return _type(kinds[0], namespace, named)[0], len(kinds) < len(schema)
+        return _union(schema, namespace, named)
     if isinstance(schema, str):
         known = PRIMITIVE.get(schema) or named.get(_full_name(schema, namespace))
         if known is None:

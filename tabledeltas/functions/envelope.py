@@ -47,8 +47,9 @@ class SchemaMismatch(ValueError):
     """A writer schema cannot be read with the topic's schema."""
 
 
-#: Metadata of a field of the topic's schema: what it is where a writer does not know it.
-DEFAULT = "default"
+#: Metadata of a field of the topic's schema: what it is where a writer does not know it, and
+#: the names that writers may know it by.
+DEFAULT, ALIASES = "default", "aliases"
 
 
 @dataclass(frozen=True)
@@ -316,36 +317,76 @@ PROMOTIONS = {
 
 
 def conform(value: Column, writer: T.StructType, reader: T.StructType, path: str = "") -> Column:
-    """Read a struct of the writer's schema as one of the reader's, by field name."""
+    """Read a struct of the writer's schema as one of the reader's, by field name, at any depth
+    of structs, arrays and maps. A reader's field is found under its aliases as well."""
     written = {f.name: f for f in writer.fields}
     fields = []
     for f in reader.fields:
         at = f"{path}{f.name}"
-        source = written.get(f.name)
+        names = [f.name, *f.metadata.get(ALIASES, [])]
+        source = next((written[n] for n in names if n in written), None)
         if source is None:
-            default = f.metadata.get(DEFAULT)
-            if not f.nullable and default is None:
-                raise SchemaMismatch(f"field {at} is required but not in the writer schema")
-            nested = isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType))
-            if nested and default is not None:
-                column = F.from_json(F.lit(json.dumps(default)), f.dataType)
-            else:
-                column = F.lit(default).cast(f.dataType)
-        elif isinstance(f.dataType, T.StructType) and isinstance(source.dataType, T.StructType):
-            column = conform(value[f.name], source.dataType, f.dataType, f"{at}.")
+            column = _default(f, at)
         else:
-            have, want = source.dataType.simpleString(), f.dataType.simpleString()
-            if have != want and (have, want) not in PROMOTIONS:
-                raise SchemaMismatch(f"field {at}: {have} cannot be read as {want}")
-            column = value[f.name] if have == want else value[f.name].cast(f.dataType)
+            column = _read_as(value[source.name], source.dataType, f.dataType, at)
         fields.append(column.alias(f.name))
     return F.when(value.isNotNull(), F.struct(*fields))
 
 
+def _default(field_: T.StructField, at: str) -> Column:
+    default = field_.metadata.get(DEFAULT)
+    if default is None:
+        if not field_.nullable:
+            raise SchemaMismatch(f"field {at} is required but not in the writer schema")
+        return F.lit(None).cast(field_.dataType)
+    if isinstance(field_.dataType, (T.StructType, T.ArrayType, T.MapType)):
+        return F.from_json(F.lit(json.dumps(default)), field_.dataType)
+    return F.lit(default).cast(field_.dataType)
+
+
+def _read_as(value: Column, have: T.DataType, want: T.DataType, at: str) -> Column:
+    if isinstance(have, T.StructType) and isinstance(want, T.StructType):
+        return conform(value, have, want, f"{at}.")
+    if have.simpleString() == want.simpleString():
+        return value
+    if isinstance(have, T.ArrayType) and isinstance(want, T.ArrayType):
+        return F.transform(
+            value, lambda v: _read_as(v, have.elementType, want.elementType, f"{at}.element")
+        )
+    if isinstance(have, T.MapType) and isinstance(want, T.MapType):
+        if have.keyType != want.keyType:
+            raise SchemaMismatch(f"field {at}: keys of a map cannot change their type")
+        return F.transform_values(
+            value, lambda _, v: _read_as(v, have.valueType, want.valueType, f"{at}.value")
+        )
+    kinds = have.simpleString(), want.simpleString()
+    if kinds[0] != kinds[1] and kinds not in PROMOTIONS:
+        raise SchemaMismatch(f"field {at}: {kinds[0]} cannot be read as {kinds[1]}")
+    return value if kinds[0] == kinds[1] else value.cast(want)
+
+
 def _required_nulls(value: Column, schema: T.StructType, path: str = ""):
+    """Paths of the fields that must be there, each with whether it is missing in a value."""
     for f in schema.fields:
         at = f"{path}{f.name}"
         if not f.nullable:
             yield at, value.isNotNull() & value[f.name].isNull()
-        if isinstance(f.dataType, T.StructType):
-            yield from _required_nulls(value[f.name], f.dataType, f"{at}.")
+        yield from _nested_nulls(value[f.name], f.dataType, at)
+
+
+def _nested_nulls(value: Column, dtype: T.DataType, at: str):
+    if isinstance(dtype, T.StructType):
+        yield from _required_nulls(value, dtype, f"{at}.")
+        return
+    if isinstance(dtype, T.ArrayType):
+        items, inner, name = value, dtype.elementType, f"{at}.element"
+    elif isinstance(dtype, T.MapType):
+        items, inner, name = F.map_values(value), dtype.valueType, f"{at}.value"
+    else:
+        return
+    def missing(of: int) -> Callable[[Column], Column]:
+        return lambda v: F.coalesce(list(_nested_nulls(v, inner, name))[of][1], F.lit(False))
+
+    # One pass over the items for each required field below them; null items hold none.
+    for i, (path, _) in enumerate(_nested_nulls(F.lit(None).cast(inner), inner, name)):
+        yield path, F.coalesce(F.exists(items, missing(i)), F.lit(False))

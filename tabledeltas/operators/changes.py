@@ -71,7 +71,7 @@ def updates(
     l, p = latest.alias("l"), previous.alias("p")
     same_key = reduce(Column.__and__, [side("l", k) == side("p", k) for k in keys])
     if not others:
-        return latest.limit(0)
+        return latest.where(F.lit(False))
     if null_safe:
         changed = ~_row("l", others).eqNullSafe(_row("p", others))
     else:
@@ -121,7 +121,7 @@ def change_feed(
         changed = F.coalesce(~reduce(Column.__and__, pairs), F.lit(False))
 
     op = (
-        F.when(_any_null(keys), F.raise_error(F.lit(f"null key in {keys}")))
+        F.when(any_null(keys), F.raise_error(F.lit(f"null key in {keys}")))
         .when(F.col("before").isNull(), INSERT)
         .when(F.col("after").isNull(), DELETE)
         .when(changed, UPDATE)
@@ -154,7 +154,7 @@ def key_stats(df: DataFrame, pk: str | Sequence[str]) -> tuple[int, int, int]:
     """
     keys = key_list(df, pk)
     per_key = df.groupBy(*[F.col(quoted(k)) for k in keys]).agg(F.count(F.lit(1)).alias("_n"))
-    null_key = _any_null(keys)
+    null_key = any_null(keys)
     row = per_key.agg(
         F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"),
         F.coalesce(F.sum(F.when(null_key, F.col("_n"))), F.lit(0)).alias("nulls"),
@@ -253,5 +253,5 @@ def _packed(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     return df.select(*key_columns, F.struct(*[F.col(quoted(c)) for c in df.columns]).alias(name))
 
 
-def _any_null(keys: Sequence[str]) -> Column:
+def any_null(keys: Sequence[str]) -> Column:
     return reduce(Column.__or__, [F.col(quoted(k)).isNull() for k in keys])

@@ -29,12 +29,23 @@ from tabledeltas.plans import fixture as fx
 from tabledeltas.plans.runner import Run, run_query
 from tabledeltas.sources import files
 from tabledeltas.sources.layout import SILVER, Layout
-from tabledeltas.sources.sinks import file_sink
+from tabledeltas.sources.sinks import Sink, append_sink, file_sink, once
 from tabledeltas.sources.snapshots import SnapshotStore, manifest
 from tabledeltas.sources.topics import RecordedTopics, batch_table, read_topic
-from tabledeltas.streaming.bronze import ingest_topic, read_bronze, stream_bronze
-from tabledeltas.streaming.jobs import run_streams
-from tabledeltas.streaming.silver import maintain_latest, read_latest, register_topic
+from tabledeltas.streaming.bronze import (
+    ingest_topic,
+    read_bronze,
+    read_rejects,
+    stream_bronze,
+    topic_schema,
+)
+from tabledeltas.streaming.jobs import run_streams, run_until_idle
+from tabledeltas.streaming.silver import (
+    maintain_latest,
+    read_changes,
+    read_latest,
+    register_topic,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -196,6 +207,34 @@ def latest_schema_per_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest_schemas(registrations)
 
 
+def decode_nested_evolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists and maps of records whose writers did not know a field of the records yet: it gets
+    its default in the list, and is null in the map."""
+    log = fx.yy_log(spark, sf_dir).where(F.col("value").isNotNull())
+    by_old = F.col("offset") % 3 == 0
+    n = F.col("value.refcount")
+    old = F.struct((F.col("offset") % 5).cast("int").alias("n"))
+    new = F.struct((F.col("offset") % 5).cast("int").alias("n"), n.alias("unit"))
+
+    def nested(item: Column) -> Column:
+        items = F.transform(F.sequence(F.lit(0), n), lambda i: item)
+        return F.to_json(
+            F.struct(F.col("value.userid"), items.alias("items"), F.create_map(F.lit("a"), item).alias("by_name"))
+        )
+
+    schema_id = F.when(by_old, fx.OLD_WRITER).otherwise(fx.NEW_WRITER)
+    body = fx.framed(schema_id, F.when(by_old, nested(old)).otherwise(nested(new)))
+    decoded = decode_envelope(fx.raw_topic(log, "yy", body), "value", fx.NESTED, fx.NESTED_FRAMED)
+    return accepted(decoded).select(
+        "offset",
+        F.size("value.items").alias("items"),
+        F.get("value.items", F.lit(0))["n"].alias("n"),
+        F.get("value.items", F.lit(0))["unit"].alias("unit"),
+        F.col("value.by_name")["a"]["n"].alias("named_n"),
+        F.col("value.by_name")["a"]["unit"].alias("named_unit"),
+    )
+
+
 # --- bronze and silver --------------------------------------------------------------------
 
 
@@ -204,7 +243,14 @@ def _layouts(spark: SparkSession) -> tuple[str, Layout]:
     return f"{base}/recorded", Layout(f"{base}/lake")
 
 
-def land(spark: SparkSession, sf_dir: str, recorded: str, layout: Layout, part: int, parts: int):
+def land(
+    spark: SparkSession,
+    sf_dir: str,
+    recorded: str,
+    layout: Layout,
+    part: int | tuple[int, int],
+    parts: int,
+) -> None:
     """Record the next range of ``yy`` and run the bronze stream over what is new."""
     new = fx.slice_of(spark, sf_dir, fx.yy_log(spark, sf_dir), part, parts)
     record_topic(fx.raw_topic(new, "yy"), recorded, "yy")
@@ -213,7 +259,9 @@ def land(spark: SparkSession, sf_dir: str, recorded: str, layout: Layout, part:
     ).awaitTermination()
 
 
-def refresh(spark: SparkSession, layout: Layout, fold_every: int = 50) -> None:
+def refresh(
+    spark: SparkSession, layout: Layout, fold_every: int = 50, stateful: bool = False
+) -> None:
     """Run the silver stream over what is new in bronze."""
     maintain_latest(
         spark,
@@ -222,6 +270,7 @@ def refresh(spark: SparkSession, layout: Layout, fold_every: int = 50) -> None:
         "yy",
         fx.KEYS,
         fold_every=fold_every,
+        stateful=stateful,
         trigger=AVAILABLE_NOW,
     ).awaitTermination()
 
@@ -244,7 +293,7 @@ def bronze_append_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def silver_stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Micro-batches over four ranges of the topic, with folds into new generations between."""
+    """Micro-batches over four ranges of the topic, folded into new epochs between."""
     recorded, layout = _layouts(spark)
     for part in range(4):
         land(spark, sf_dir, recorded, layout, part, 4)
@@ -263,6 +312,16 @@ def silver_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat_value(read_latest(spark, layout, "yy", ["userid"]), "ord")
 
 
+def silver_stateful_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fold in Spark's own state, stopped and started again: what each of the two runs kept.
+    The second one, though it reads new records only, knows the older values."""
+    recorded, layout = _layouts(spark)
+    for part in range(2):
+        land(spark, sf_dir, recorded, layout, part, 2)
+        refresh(spark, layout, stateful=True)
+    return flat_value(read_changes(spark, layout, "yy"), "ord", F.col("batch_id").alias("run"))
+
+
 def silver_topic_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The silver table under the topic's name, in SQL."""
     recorded, layout = _layouts(spark)
@@ -302,6 +361,38 @@ def two_streams_one_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def bronze_default_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A job with the default trigger, which would run for ever, until it has read its input."""
+    recorded, layout = _layouts(spark)
+    record_topic(fx.raw_topic(fx.xx_log(spark, sf_dir), "xx"), recorded, "xx")
+    schema, source = fx.SCHEMAS["xx"], RecordedTopics(recorded)
+    run_until_idle(spark, [lambda: ingest_topic(spark, "xx", source, schema, layout)])
+    return read_bronze(spark, layout, "xx", schema).select("offset", "value.*")
+
+
+def bronze_by_schema_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Schemas come from a table of registered Avro records. Three writers are at work: the
+    oldest has another type for a field, which cannot be read, the second calls it by a former
+    name and lacks another one; the newest is the topic's schema."""
+    recorded, layout = _layouts(spark)
+    schemas = files.rows(spark, fx.REGISTERED, "topic, side, version, schema_id, schema")
+    schemas.write.parquet(f"{recorded}/schemas")
+    schema = topic_schema(spark.read.parquet(f"{recorded}/schemas"), "yy", json_bodies=True)
+    record_topic(fx.registered_yy(spark, sf_dir), recorded, "yy")
+    ingest_topic(
+        spark, "yy", RecordedTopics(recorded), schema, layout, AVAILABLE_NOW
+    ).awaitTermination()
+    good = read_bronze(spark, layout, "yy", schema).select(
+        "offset",
+        F.lit(None).cast("string").alias("reason"),
+        "value.userid",
+        "value.refcount",
+        "value.optional",
+    )
+    bad = read_rejects(spark, layout, "yy", schema).select("offset", "reason")
+    return good.unionByName(bad, allowMissingColumns=True)
+
+
 # --- latest value per key -----------------------------------------------------------------
 
 
@@ -400,16 +491,17 @@ def run_at_cuts(
     sql: str = fx.SAMPLE_SQL,
     pk: str | Sequence[str] = PK,
     others: Sequence[str] = (),
+    sink: Sink | None = None,
 ) -> tuple[Run, SnapshotStore, str]:
-    """Run a query once per cut-off of ``yy``, a day apart; messages go to files."""
+    """Run a query once per cut-off of ``yy``, a day apart; messages go to files, or the sink."""
     base = files.scratch_directory(spark)
     store = SnapshotStore(Layout(base), "sample")
     run = None
     for n, tenths in enumerate(cuts, start=1):
         tables = fx.topic_tables(spark, sf_dir, tenths)
         tables.update({name: fx.table(spark, sf_dir, name) for name in others})
-        sink = file_sink(f"{base}/out")
-        run = run_query(spark, sql, pk, tables, store, sink, run_ts=day(n))
+        to = sink or file_sink(f"{base}/out")
+        run = run_query(spark, sql, pk, tables, store, to, run_ts=day(n))
     return run, store, f"{base}/out"
 
 
@@ -449,6 +541,34 @@ def emit_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _messages(spark, sf_dir).where(F.col("value").isNull()).select("key")
 
 
+def emitted_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs, each sent twice to a growing log, and read from it as a stream once."""
+    base = files.scratch_directory(spark)
+    send = append_sink(f"{base}/log", "sample")
+
+    def twice(messages: DataFrame, run_ts: datetime) -> None:
+        for _ in range(2):
+            send(messages, run_ts)
+
+    run_at_cuts(spark, sf_dir, [9, 10], sink=twice)
+    log = spark.readStream.schema(spark.read.parquet(f"{base}/log").schema).parquet(f"{base}/log")
+    stream = (
+        once(log)
+        .writeStream.format("parquet")
+        .option("checkpointLocation", f"{base}/progress")
+        .trigger(**AVAILABLE_NOW)
+        .start(f"{base}/once")
+    )
+    stream.awaitTermination()
+    first_day = int(day(1).timestamp())
+    return batch_table(spark, f"{base}/once").select(
+        "query",
+        (F.expr(f"(unix_seconds(run_ts) - {first_day}) DIV 86400") + 1).alias("run"),
+        "key",
+        "value",
+    )
+
+
 # Four shapes of query, each run at two cut-offs: the key, the columns and the text.
 SHAPES: dict[str, tuple[list[str], list[str], str]] = {
     "feed_over_aggregate": (
@@ -514,8 +634,12 @@ QUERIES: dict[str, Query] = {
     "frame_header_split": frame_header_split,
     "decode_writer_schemas": decode_writer_schemas,
     "latest_schema_per_topic": latest_schema_per_topic,
+    "decode_nested_evolution": decode_nested_evolution,
     "bronze_append_replay": bronze_append_replay,
+    "bronze_default_trigger": bronze_default_trigger,
+    "bronze_by_schema_table": bronze_by_schema_table,
     "silver_stream_replay": silver_stream_replay,
+    "silver_stateful_fold": silver_stateful_fold,
     "silver_restart": silver_restart,
     "silver_topic_view": silver_topic_view,
     "two_streams_one_job": two_streams_one_job,
@@ -539,5 +663,6 @@ QUERIES: dict[str, Query] = {
     "third_run_retired": third_run_retired,
     "emit_upserts": emit_upserts,
     "emit_deletes": emit_deletes,
+    "emitted_once": emitted_once,
     **{name: _shape(name) for name in SHAPES},
 }

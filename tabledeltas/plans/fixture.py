@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,6 +40,59 @@ OLD_WRITER, NEW_WRITER = 257, 65539
 YY_OLD_VALUE = T.StructType(YY_VALUE.fields[:2])
 FRAMED = JsonCodec(framed=True, writers={OLD_WRITER: YY_OLD_VALUE, NEW_WRITER: YY_VALUE})
 
+# Records in lists and maps, which the older writer does not know the unit of.
+_OLD_ITEM = T.StructType([T.StructField("n", T.IntegerType(), False)])
+_ITEM = T.StructType([*_OLD_ITEM.fields, T.StructField("unit", T.IntegerType(), True, {"default": -1})])
+_NAMED = T.StructType([*_OLD_ITEM.fields, T.StructField("unit", T.IntegerType())])
+
+
+def _nested(item: T.StructType, named: T.StructType) -> T.StructType:
+    return T.StructType(
+        [
+            T.StructField("userid", T.LongType(), False),
+            T.StructField("items", T.ArrayType(item)),
+            T.StructField("by_name", T.MapType(T.StringType(), named)),
+        ]
+    )
+
+
+NESTED = _nested(_ITEM, _NAMED)
+NESTED_FRAMED = JsonCodec(
+    framed=True, writers={OLD_WRITER: _nested(_OLD_ITEM, _OLD_ITEM), NEW_WRITER: NESTED}
+)
+
+
+# Registered versions of the value of yy: the first has another type for a field, the second
+# another name for it and no optional field.
+WRONG_WRITER, KEY_WRITER = 7, 11
+
+
+def _avro(name: str, fields: Sequence[dict]) -> str:
+    return json.dumps({"type": "record", "name": name, "fields": list(fields)})
+
+
+_ID = {"name": "userid", "type": "long"}
+REGISTERED = [
+    ("yy", "key", 1, KEY_WRITER, _avro("Key", [{"name": "userId", "type": "long"}])),
+    ("yy", "value", 1, WRONG_WRITER, _avro("Value", [_ID, {"name": "refcount", "type": {"type": "array", "items": "int"}}])),
+    ("yy", "value", 2, OLD_WRITER, _avro("Value", [_ID, {"name": "count", "type": "int"}])),
+    (
+        "yy",
+        "value",
+        3,
+        NEW_WRITER,
+        _avro(
+            "Value",
+            [
+                _ID,
+                {"name": "refcount", "type": ["int", "long"], "aliases": ["count"]},
+                {"name": "optional", "type": ["int", "null"], "default": -1},
+            ],
+        ),
+    ),
+    ("xx", "value", 9, 9, _avro("Other", [{"name": "name", "type": "string"}])),
+]
+
 # The partitions declared for each topic.
 TOPIC_PARTITIONS = 16
 
@@ -102,12 +158,13 @@ def before_cut(spark: SparkSession, sf_dir: str, log: DataFrame, tenths: int = 9
 
 
 def slice_of(
-    spark: SparkSession, sf_dir: str, log: DataFrame, part: int, parts: int
+    spark: SparkSession, sf_dir: str, log: DataFrame, part: int | tuple[int, int], parts: int
 ) -> DataFrame:
-    """One of ``parts`` ranges of the offsets, in order."""
+    """One of ``parts`` equal ranges of the offsets, in order, or those from one up to another."""
+    first, last = part if isinstance(part, tuple) else (part, part + 1)
     size = table(spark, sf_dir, "events").agg(F.count(F.lit(1))).scalar()
     at = F.col("offset") * parts
-    return log.where((at >= size * part) & (at < size * (part + 1)))
+    return log.where((at >= size * first) & (at < size * last))
 
 
 # --- topic tables and the sample result ---------------------------------------------------
@@ -164,3 +221,20 @@ def framed(schema_id: Column, body: Column) -> Column:
     """A body behind the frame's header."""
     header = F.unhex(F.lpad(F.hex(schema_id), 10, "0"))
     return F.concat(header, body.cast("binary"))
+
+
+def registered_yy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``yy`` by the writers of ``REGISTERED``, in turn."""
+    turn = F.col("offset") % 3
+    bodies = {
+        WRONG_WRITER: F.struct("value.userid", F.array("value.refcount").alias("refcount")),
+        OLD_WRITER: F.struct("value.userid", F.col("value.refcount").alias("count")),
+        NEW_WRITER: F.struct("value.userid", "value.refcount", "value.optional"),
+    }
+    body = F.lit(None).cast("binary")
+    for i, (writer, record) in enumerate(bodies.items()):
+        text = F.to_json(record, {"ignoreNullFields": "false"})
+        body = F.when(turn == i, framed(F.lit(writer), text)).otherwise(body)
+    body = F.when(F.col("value").isNotNull(), body)
+    raw = raw_topic(yy_log(spark, sf_dir), "yy", body)
+    return raw.withColumn("key", framed(F.lit(KEY_WRITER), F.col("key")))

@@ -103,6 +103,11 @@ SELECT event_id AS "offset", k, user_id,
 YY_BODY = """'{"userid":' || userid || ',"refcount":' || refcount || ',"optional":'
   || coalesce(CAST(optional AS VARCHAR), 'null') || '}'"""
 
+SAMPLE_MESSAGE = """'{"userid":' || userid || ',"gender":"' || after_gender
+  || '","name":"' || after_name || '","regionid":' || after_regionid
+  || ',"optional":' || coalesce(CAST(after_optional AS VARCHAR), 'null')
+  || ',"refcount":' || after_refcount || '}'"""
+
 FEED = feed(PREVIOUS, LATEST, ["userid"], SAMPLE_COLUMNS)
 ROWS_AT = "(SELECT count(*) FROM ({}) c)"
 
@@ -145,12 +150,31 @@ ORACLE: dict[str, str] = {
                    event_id AS version, event_id * 7 + user_id AS schema_id, props AS schema
             FROM events) r
         ) n WHERE rn = 1""",
+    "decode_nested_evolution": f"""
+        SELECT "offset", CAST(refcount + 1 AS INTEGER) AS items, CAST("offset" % 5 AS INTEGER) AS n,
+               CASE WHEN "offset" % 3 = 0 THEN CAST(-1 AS INTEGER) ELSE refcount END AS unit,
+               CAST("offset" % 5 AS INTEGER) AS named_n,
+               CASE WHEN "offset" % 3 <> 0 THEN refcount END AS named_unit
+        FROM ({YY_LOG}) l WHERE NOT deleted""",
+    "bronze_default_trigger": f'SELECT *, userid AS "offset" FROM ({XX}) x',
+    "bronze_by_schema_table": f"""
+        SELECT "offset", CASE WHEN "offset" % 3 = 0 AND NOT deleted THEN 'incompatible schema id' END AS reason,
+               CASE WHEN "offset" % 3 <> 0 AND NOT deleted THEN userid END AS userid,
+               CASE WHEN "offset" % 3 <> 0 THEN CAST(refcount AS BIGINT) END AS refcount,
+               CASE WHEN deleted OR "offset" % 3 = 0 THEN NULL
+                    WHEN "offset" % 3 = 1 THEN CAST(-1 AS INTEGER) ELSE optional END AS optional
+        FROM ({YY_LOG}) l""",
     "bronze_append_replay": f"""
         SELECT 'yy' AS topic, CAST(userid % {fx.TOPIC_PARTITIONS} AS INTEGER) AS "partition",
                "offset", userid, refcount, optional, deleted
         FROM ({YY_LOG}) l""",
     "silver_stream_replay": yy_folded(),
     "silver_restart": yy_folded(),
+    "silver_stateful_fold": f"""
+        SELECT *, CAST(0 AS BIGINT) AS run FROM ({yy_folded(5)}) f
+        UNION ALL
+        SELECT *, CAST(1 AS BIGINT) FROM ({yy_folded()}) f
+        WHERE userid IN (SELECT user_id FROM events WHERE event_id * 2 >= (SELECT count(*) FROM events))""",
     "silver_topic_view": yy_table(),
     "two_streams_one_job": f"""
         SELECT 'xx' AS topic, count(*) AS records, CAST(sum(c_custkey) AS BIGINT) AS sum_userid,
@@ -193,11 +217,14 @@ ORACLE: dict[str, str] = {
         ) r""",
     "emit_upserts": f"""
         SELECT '{{"userid":' || userid || '}}' AS key,
-               '{{"userid":' || userid || ',"gender":"' || after_gender
-               || '","name":"' || after_name || '","regionid":' || after_regionid
-               || ',"optional":' || coalesce(CAST(after_optional AS VARCHAR), 'null')
-               || ',"refcount":' || after_refcount || '}}' AS value
+               {SAMPLE_MESSAGE} AS value
         FROM ({FEED}) f WHERE op <> 'D'""",
+    "emitted_once": f"""
+        SELECT 'sample' AS query, CAST(run AS BIGINT) AS run,
+               '{{"userid":' || userid || '}}' AS key,
+               CASE WHEN op <> 'D' THEN {SAMPLE_MESSAGE} END AS value
+        FROM (SELECT 1 AS run, * FROM ({feed(EMPTY, PREVIOUS, ["userid"], SAMPLE_COLUMNS)}) f
+              UNION ALL SELECT 2, * FROM ({FEED}) f) r""",
     "emit_deletes": f"""
         SELECT '{{"userid":' || userid || '}}' AS key FROM ({FEED}) f WHERE op = 'D'""",
     **{

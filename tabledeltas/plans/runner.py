@@ -2,9 +2,9 @@
 
     finish a run that was saved but not committed
     plan the comparison; refuse what cannot be compared
-    run the SQL, save its result once                   -> unclustered
-    check the key of the saved result                   -> rejected, if it is none
-    cluster it by the key, in buckets made for its size -> staged
+    run the SQL, save its result once, observed         -> unclustered; rejected, if keys are null
+    cluster it by the key, in buckets made for its size
+    check the key of the clustered result               -> rejected, if it is none; else staged
     compare it with the prior saved result, emit        -> sink
     commit, retire older results                        -> committed, retired
 
@@ -12,8 +12,10 @@ Changes are derived from saved results only, so what is emitted always agrees wi
 kept, however often the tables move or the run is repeated. Emitting is at least once under
 a fixed ``run_ts``.
 
-The key is checked before the rows are brought together by it, and counted within each task
-first: a key that a third of the rows share costs a row per task, not a task of a third.
+While the result is saved, Spark observes its rows, its null keys and, in a sketch, how many
+rows share a key. Clustering then neither meets rows without a key nor a key that would fill a
+task: if the sketch leaves that possible, keys are counted first, within each task before the
+shuffle. Whether the key is one is decided on the clustered result, without a shuffle.
 """
 
 from __future__ import annotations
@@ -23,14 +25,16 @@ from dataclasses import dataclass, replace
 from datetime import datetime, timedelta, timezone
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tabledeltas.operators.changes import (
     KeyViolation,
+    any_null,
     change_feed,
     key_list,
     key_stats,
+    quoted,
 )
 from tabledeltas.sources import files
 from tabledeltas.sources.bucketed import BYTES_PER_BUCKET, default_buckets, enough_buckets
@@ -51,6 +55,10 @@ from tabledeltas.sources.snapshots import (
 )
 
 
+#: Keys that the sketch of a result tracks, and rows of a key that no task minds.
+TRACKED, FEW = 10_000, 100_000
+
+
 class SqlFailure(ValueError):
     """Spark could not parse or resolve the query."""
 
@@ -123,30 +131,52 @@ def run_query(
     path, raw = store.snapshot_path(run_ts), store.unclustered_path(run_ts)
     for left in (path, raw):  # of an earlier attempt at this time
         files.delete(spark, left)
-    result.write.parquet(raw)
+    rows, nulls, most = _save(result, keys, raw)
     once = spark.read.schema(result.schema).parquet(raw)
-    rows, nulls, repeated = key_stats(once, keys)
+    if buckets is None:
+        first = default_buckets(spark) if prior is None else prior.buckets
+        buckets = enough_buckets(spark, first, [raw], bytes_per_bucket)
+    repeated = 0
+    if not nulls and most * buckets > rows and most > FEW:
+        _, _, repeated = key_stats(once, keys)
+    saved = Snapshot(run_ts, path, rows, keys, buckets, result.schema.json(), attempt)
+    if not nulls and not repeated:
+        saved = replace(
+            write_snapshot(once, keys, path, run_ts, buckets), rows=rows, attempt=attempt
+        )
+        _, _, repeated = key_stats(load_snapshot(spark, saved), keys)
+    files.delete(spark, raw)
     if nulls or repeated:
-        schema = result.schema.json()
-        refused = Snapshot(run_ts, path, rows, keys, 0, schema, attempt)
-        mark(spark, store, [refused], REJECTED)
-        files.delete(spark, raw)
+        mark(spark, store, [saved], REJECTED)
+        files.delete(spark, path)
         raise KeyViolation(
             f"run rejected, {list(keys)} is not a key of its result: "
             f"{nulls} rows with a null key, {repeated} repeated keys"
         )
-    if buckets is None:
-        first = default_buckets(spark) if prior is None else prior.buckets
-        buckets = enough_buckets(spark, first, [raw], bytes_per_bucket)
-    saved = write_snapshot(once, keys, path, run_ts, buckets)
-    saved = replace(saved, rows=rows, attempt=attempt)
     mark(spark, store, [saved], STAGED)
-    files.delete(spark, raw)
     feed = _finish(spark, store, prior, saved, sink, null_safe)
     retire_snapshots(spark, store, max(2, keep))
     return Run(run_ts, saved, feed, state.staged)
 
 
+def _save(result: DataFrame, keys: Sequence[str], path: str) -> tuple[int, int, int]:
+    """Write a result; its rows, those with a null key, and a bound of the rows of any key."""
+    observed = Observation()
+    key = F.xxhash64(*[F.col(quoted(k)) for k in keys])
+    result.observe(
+        observed,
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(any_null(keys)).alias("nulls"),
+        _most_frequent(key).alias("most"),
+    ).write.parquet(path)
+    found = observed.get
+    return found["rows"], found["nulls"], found["most"][0]["count"] if found["most"] else 0
+
+
+def _most_frequent(value: Column) -> Column:
+    return F.call_function("approx_top_k", value, F.lit(1), F.lit(TRACKED))
+
+
 def changes_between(
     spark: SparkSession, previous: Snapshot | None, latest: Snapshot, null_safe: bool = True
 ) -> DataFrame:

@@ -1,5 +1,13 @@
 from tabledeltas.sources.layout import BRONZE, GOLD, SILVER, Layout
-from tabledeltas.sources.sinks import emit_changes, file_sink, kafka_sink, to_messages
+from tabledeltas.sources.sinks import (
+    append_sink,
+    emit_changes,
+    file_sink,
+    kafka_sink,
+    once,
+    to_messages,
+    with_headers,
+)
 from tabledeltas.sources.snapshots import (
     Snapshot,
     SnapshotStore,
@@ -28,16 +36,19 @@ __all__ = [
     "Snapshot",
     "SnapshotStore",
     "TOPIC_SCHEMA",
+    "append_sink",
     "batch_table",
     "emit_changes",
     "file_sink",
     "kafka_sink",
     "latest_snapshot",
     "load_snapshot",
+    "once",
     "read_topic",
     "reject_staged",
     "retire_snapshots",
     "streaming_table",
     "to_messages",
+    "with_headers",
     "write_snapshot",
 ]

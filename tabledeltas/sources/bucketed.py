@@ -51,17 +51,14 @@ def to_buckets(df: DataFrame, keys: Sequence[str], buckets: int) -> DataFrame:
     return df.repartition(buckets, *[F.col(quoted(k)) for k in keys])
 
 
-def write_bucketed(
-    df: DataFrame, keys: Sequence[str], path: str, buckets: int, database: str | None = None
-) -> None:
+def write_bucketed(df: DataFrame, keys: Sequence[str], path: str, buckets: int) -> None:
     """Write rows that ``to_buckets`` brought together, one file per bucket.
 
     Fails if the path already holds data. Rows are not sorted within a bucket: the join
-    sorts a bucket faster than the writer does. The catalog entry is made in ``database``,
-    by default the current one.
+    sorts a bucket faster than the writer does. The catalog entry is made in the current database.
     """
     spark = df.sparkSession
-    table = _table_name(database)
+    table = _table_name()
     try:
         (
             df.write.format("parquet")
@@ -80,13 +77,12 @@ def read_bucketed(
     path: str,
     buckets: int,
     schema: str,
-    database: str | None = None,
 ) -> DataFrame:
     """Read such a directory; ``schema`` is JSON, as there may be no file to read it from."""
     columns = T.StructType.fromJson(json.loads(schema)).toNullable().toDDL()
     clustered = ", ".join(quoted(k) for k in keys)
     location = files.qualified(spark, path).replace("\\", "\\\\").replace("'", "\\'")
-    table = _table_name(database)
+    table = _table_name()
     try:
         spark.sql(
             f"CREATE TABLE {table} ({columns}) USING parquet "
@@ -98,9 +94,8 @@ def read_bucketed(
         _forget(spark, table)
 
 
-def _table_name(database: str | None = None) -> str:
-    name = f"tabledeltas_{uuid.uuid4().hex}"
-    return name if database is None else f"{quoted(database)}.{name}"
+def _table_name() -> str:
+    return f"tabledeltas_{uuid.uuid4().hex}"
 
 
 def _forget(spark: SparkSession, table: str) -> None:

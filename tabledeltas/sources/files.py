@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,6 +26,12 @@ def qualified(spark: SparkSession, path: str) -> str:
     return fs.makeQualified(p).toString()
 
 
+def bare(spark: SparkSession, path: str) -> str:
+    """The path without its file system."""
+    fs, p = _resolve(spark, path)
+    return fs.makeQualified(p).toUri().getPath()
+
+
 def delete(spark: SparkSession, path: str) -> bool:
     """Delete a directory; deleting one that is gone is not an error."""
     fs, p = _resolve(spark, path)
@@ -46,11 +52,25 @@ def child_directories(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory())
 
 
-def append_rows(spark: SparkSession, rows: Sequence[tuple], schema: T.StructType, path: str) -> None:
+def oldest_first(spark: SparkSession, pattern: str) -> list[str]:
+    """Files that match a glob, by the time they were last written."""
+    fs, p = _resolve(spark, pattern)
+    found = [(s.getModificationTime(), s.getPath().toString()) for s in fs.globStatus(p) or []]
+    return [path for _, path in sorted(found)]
+
+
+def rows(spark: SparkSession, values: Sequence[tuple], columns: str) -> DataFrame:
+    """A few rows as a frame of their own, from literals: no Python worker reads them."""
+    names = [c.strip() for c in columns.split(",")]
+    literals = [F.struct(*[F.lit(v).alias(n) for v, n in zip(row, names)]) for row in values]
+    return spark.range(1, numPartitions=1).select(F.inline(F.array(*literals)))
+
+
+def append_rows(spark: SparkSession, values: Sequence[tuple], schema: T.StructType, path: str) -> None:
     """Append a few rows as one file, so that readers see all of them or none."""
     literals = [
         F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, schema.fields)])
-        for row in rows
+        for row in values
     ]
     appended = spark.range(1, numPartitions=1).select(F.inline(F.array(*literals)))
     appended.write.mode("append").parquet(path)

@@ -1,5 +1,5 @@
 """Where tables live: every topic of a level has one folder, ``<base>/<level>/<topic>``, with
-its rows, its stream's progress and the record of what counts below it."""
+its rows, its stream's progress and, for saved results, their manifest below it."""
 
 from __future__ import annotations
 
@@ -28,12 +28,12 @@ class TopicPaths:
         return self._below("rows")
 
     @property
-    def progress(self) -> str:
-        return self._below("progress")
+    def archive(self) -> str:
+        return self._below("archive")
 
     @property
-    def commits(self) -> str:
-        return self._below("commits")
+    def progress(self) -> str:
+        return self._below("progress")
 
     @property
     def manifest(self) -> str:

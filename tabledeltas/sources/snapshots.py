@@ -55,9 +55,13 @@ class SnapshotStore:
     def manifest_path(self) -> str:
         return self.layout.of(GOLD, self.query).manifest
 
+    @property
+    def unclustered(self) -> str:
+        return self.layout.of(GOLD, self.query).unclustered
+
     def unclustered_path(self, run_ts: datetime) -> str:
         """Where a result lies until its size and its key are known."""
-        return f"{self.layout.of(GOLD, self.query).unclustered}/{snapshot_name(run_ts)}"
+        return f"{self.unclustered}/{snapshot_name(run_ts)}"
 
     @property
     def data_path(self) -> str:
@@ -141,21 +145,24 @@ def store_state(spark: SparkSession, store: SnapshotStore) -> StoreState:
     def only(status: str, what: str | Column) -> Column:
         return F.when(F.col("status") == status, F.col(what) if isinstance(what, str) else what)
 
-    row = (
-        manifest(spark, store)
-        .agg(
-            F.max_by(entry, only(COMMITTED, "run_ts")).alias("prior"),
-            F.max(F.when(F.col("status") != REJECTED, F.col("run_ts"))).alias("last"),
-            F.sort_array(F.collect_list(only(STAGED, entry))).alias("staged"),
-            F.collect_list(only(REJECTED, entry)).alias("refused"),
-        )
-        .first()
-    )
+    states = manifest(spark, store)
+    row = states.agg(
+        F.max_by(entry, only(COMMITTED, "run_ts")).alias("prior"),
+        F.max(F.when(F.col("status") != REJECTED, F.col("run_ts"))).alias("last"),
+        F.sort_array(F.collect_list(only(STAGED, entry))).alias("staged"),
+        F.max(only(REJECTED, "run_ts")).alias("refused"),
+    ).first()
+    prior = _snapshot(row["prior"]) if row["prior"] is not None else None
+    refused = []
+    # An older run can no longer be tried again, so what is read does not grow with the query's age.
+    if row["refused"] is not None and (prior is None or as_utc(row["refused"]) > prior.run_ts):
+        since = F.lit(True) if prior is None else F.col("run_ts") > F.lit(prior.run_ts)
+        refused = states.where((F.col("status") == REJECTED) & since).select(entry.alias("e")).collect()
     return StoreState(
-        _snapshot(row["prior"]) if row["prior"] is not None else None,
+        prior,
         as_utc(row["last"]) if row["last"] is not None else None,
         tuple(_snapshot(r) for r in row["staged"]),
-        tuple(_snapshot(r) for r in row["refused"]),
+        tuple(_snapshot(r["e"]) for r in refused),
     )
 
 
@@ -226,7 +233,11 @@ def retire_snapshots(spark: SparkSession, store: SnapshotStore, keep: int = 2) -
         return []
     mark(spark, store, retired, RETIRED)
     names_kept = {snapshot_name(s.run_ts) for s in kept}
+    newest = snapshot_name(kept[0].run_ts)
     for name in files.child_directories(spark, store.data_path):
-        if name < snapshot_name(kept[0].run_ts) and name not in names_kept:
+        if name < newest and name not in names_kept:
             files.delete(spark, f"{store.data_path}/{name}")
+    for name in files.child_directories(spark, store.unclustered):
+        if name <= newest:
+            files.delete(spark, f"{store.unclustered}/{name}")
     return retired

@@ -7,8 +7,14 @@ from tabledeltas.streaming.bronze import (
     stream_bronze,
     topic_schema,
 )
-from tabledeltas.streaming.jobs import run_streams
-from tabledeltas.streaming.silver import maintain_latest, read_latest, register_topic
+from tabledeltas.streaming.jobs import run_streams, run_until_idle
+from tabledeltas.streaming.silver import (
+    maintain_latest,
+    read_changes,
+    read_latest,
+    register_topic,
+    rewrite_latest,
+)
 
 __all__ = [
     "TopicSchema",
@@ -16,10 +22,13 @@ __all__ = [
     "ingest_topic",
     "maintain_latest",
     "read_bronze",
+    "read_changes",
     "read_latest",
     "read_rejects",
     "register_topic",
+    "rewrite_latest",
     "run_streams",
+    "run_until_idle",
     "stream_bronze",
     "topic_schema",
 ]

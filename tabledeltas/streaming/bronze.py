@@ -1,4 +1,9 @@
-"""Bronze: one append-only table per topic, decoded, with what did not decode set apart."""
+"""Bronze: one append-only table per topic, decoded, with what did not decode set apart.
+
+    <bronze topic>/rows/stream=<id>/batch_id=<n>/rejected=<bool>/
+
+There is no log of files: what a batch wrote is one directory, found by its name.
+"""
 
 from __future__ import annotations
 
@@ -20,6 +25,8 @@ from tabledeltas.functions.envelope import (
     latest_schemas,
 )
 from tabledeltas.functions.envelope import rejected as reject_rows
+from tabledeltas.sources import files
+from tabledeltas.sources.batches import PARTITIONS, start_batches, write_batch
 from tabledeltas.sources.layout import BRONZE, Layout
 from tabledeltas.sources.topics import (
     TOPIC_SCHEMA,
@@ -44,7 +51,7 @@ class TopicSchema:
     value_codec: JsonCodec | AvroCodec = JsonCodec()
 
     def bronze_schema(self) -> T.StructType:
-        """Topic columns with ``key`` and ``value`` as structs, the reject, and its partition."""
+        """Topic columns with ``key`` and ``value`` as structs, the reject, and the partitions."""
         decoded = {"key": self.key, "value": self.value}
         fields = [
             T.StructField(f.name, decoded.get(f.name, f.dataType)) for f in TOPIC_SCHEMA.fields
@@ -53,16 +60,17 @@ class TopicSchema:
             [
                 *fields,
                 T.StructField("_reject", REJECT_SCHEMA),
+                *PARTITIONS,
                 T.StructField("rejected", T.BooleanType()),
             ]
         )
 
 
-def topic_schema(schemas: DataFrame, topic: str) -> TopicSchema:
+def topic_schema(schemas: DataFrame, topic: str, json_bodies: bool = False) -> TopicSchema:
     """What a schema table ``(topic, side, version, schema_id, schema)`` says of a topic of
     framed JSON, ``schema`` being the JSON of a Spark schema, or of framed Avro, ``schema``
     being the text of an Avro record. Both sides of a topic may differ, the versions of one
-    side may not.
+    side may not. ``json_bodies`` is for topics whose Avro records are framed as JSON.
 
     The newest version of each side is the topic's schema. Every registered version may have
     written records; those are the few rows that come to the driver.
@@ -78,8 +86,8 @@ def topic_schema(schemas: DataFrame, topic: str) -> TopicSchema:
     return TopicSchema(
         _struct(newest["key"]),
         _struct(newest["value"]),
-        _codec(newest["key"], writers["key"]),
-        _codec(newest["value"], writers["value"]),
+        _codec(newest["key"], writers["key"], json_bodies),
+        _codec(newest["value"], writers["value"], json_bodies),
     )
 
 
@@ -88,11 +96,11 @@ def _struct(text: str) -> T.StructType:
     return avro_struct(text) if is_avro(parsed) else T.StructType.fromJson(parsed)
 
 
-def _codec(newest: str, writers: Mapping[int, str]) -> JsonCodec | AvroCodec:
+def _codec(newest: str, writers: Mapping[int, str], json_bodies: bool) -> JsonCodec | AvroCodec:
     kinds = {is_avro(json.loads(text)) for text in [newest, *writers.values()]}
     if len(kinds) > 1:
         raise ValueError("the versions of a schema are partly Avro records, partly Spark structs")
-    if kinds == {True}:
+    if kinds == {True} and not json_bodies:
         return AvroCodec(newest, dict(writers))
     return JsonCodec(framed=True, writers={i: _struct(text) for i, text in writers.items()})
 
@@ -117,21 +125,23 @@ def ingest_topic(
     is read once and readers of the good rows never open the others.
     """
     decoded = decode_topic(read_topic(spark, topic, source), schema)
-    return (
-        decoded.withColumn("rejected", F.col("_reject").isNotNull())
-        .writeStream.queryName(f"bronze_{topic}")
-        .format("parquet")
-        .partitionBy("rejected")
-        .outputMode("append")
+    path = layout.of(BRONZE, topic).rows
+
+    def write(batch: DataFrame, stream: str, batch_id: int) -> None:
+        judged = batch.withColumn("rejected", F.col("_reject").isNotNull())
+        write_batch(judged, path, stream, batch_id, ["rejected"])
+
+    writer = (
+        decoded.writeStream.queryName(f"bronze_{topic}")
         .option("checkpointLocation", layout.of(BRONZE, topic).progress)
         .trigger(**trigger)
-        .start(layout.of(BRONZE, topic).rows)
     )
+    return start_batches(writer, write)
 
 
 def read_bronze(spark: SparkSession, layout: Layout, topic: str, schema: TopicSchema) -> DataFrame:
     """The decoded records of a topic as a batch."""
-    return _good(batch_table(spark, layout.of(BRONZE, topic).rows, schema.bronze_schema()))
+    return _good(_landed(spark, layout, topic, schema))
 
 
 def stream_bronze(
@@ -140,20 +150,38 @@ def stream_bronze(
     topic: str,
     schema: TopicSchema,
     max_files_per_trigger: int | None = None,
+    archive: bool = False,
 ) -> DataFrame:
-    """The decoded records of a topic as a stream."""
-    options = {}
+    """The decoded records of a topic as a stream.
+
+    With ``archive`` Spark moves the files it is done with out of the folder that every batch
+    lists, so that the list stays short however old the topic is. It is for the one stream that
+    owns the topic's bronze table; ``read_bronze`` reads both places.
+    """
+    options: dict[str, object] = {}
     if max_files_per_trigger is not None:
         options["maxFilesPerTrigger"] = max_files_per_trigger
-    path = layout.of(BRONZE, topic).rows
-    return _good(streaming_table(spark, path, schema.bronze_schema(), **options))
+    paths = layout.of(BRONZE, topic)
+    if archive:
+        options |= {"cleanSource": "archive", "sourceArchiveDir": paths.archive}
+    return _good(streaming_table(spark, paths.rows, schema.bronze_schema(), **options))
 
 
 def read_rejects(spark: SparkSession, layout: Layout, topic: str, schema: TopicSchema) -> DataFrame:
     """Records that did not decode: where they came from, why, and their raw payload."""
-    rows = batch_table(spark, layout.of(BRONZE, topic).rows, schema.bronze_schema())
-    return reject_rows(rows.where("rejected").drop("rejected"))
+    rows = _landed(spark, layout, topic, schema)
+    return reject_rows(rows.where("rejected").drop("rejected", *[f.name for f in PARTITIONS]))
+
+
+def _landed(spark: SparkSession, layout: Layout, topic: str, schema: TopicSchema) -> DataFrame:
+    paths = layout.of(BRONZE, topic)
+    rows = batch_table(spark, paths.rows, schema.bronze_schema())
+    # Spark archives a file below its whole former path.
+    archived = paths.archive + files.bare(spark, paths.rows)
+    if files.exists(spark, archived):
+        rows = rows.unionByName(batch_table(spark, archived, schema.bronze_schema()))
+    return rows
 
 
 def _good(rows: DataFrame) -> DataFrame:
-    return rows.where("NOT rejected").drop("rejected", "_reject")
+    return rows.where("NOT rejected").drop("rejected", "_reject", *[f.name for f in PARTITIONS])

@@ -1,97 +1,51 @@
 """Silver: the latest value per key, kept up to date by a stream.
 
-Every micro-batch writes only the keys it changed, folded, into a directory of its own. The
-table is the fold of those directories. Because folding is idempotent and order-free, a batch
-that is replayed after a failure may be written twice without changing the table, and the
-stream needs no state store: the orders kept in the table decide which value is newer.
-
-    <silver topic>/data/base=<unique>/                      the folded table, at some time
-    <silver topic>/data/generation=<g>/part=<unique>/       what micro-batches changed since
-    <silver topic>/commits/generation=<g>/                  which of those count
-
-Once a generation has many parts, the next one starts with the fold of them. Where they have
-grown to a good share of the base, the base is folded as well, into hash buckets of the key,
-so that reading it shuffles only what changed since. Neither the number of directories nor
-that of commit files grows with the age of the stream: what no longer counts is kept for
-``retain``, for those who began to read it before, and then dropped. Only the stream that owns
-the table writes to it, and it does so between micro-batches.
+Every micro-batch is kept as a directory of its own, folded, with only the keys it changed:
+
+    <silver topic>/rows/epoch=<e>/stream=<id>/batch_id=<n>/
+
+The table is the fold of the directories of the newest epoch. Folding is idempotent and
+order-free: a batch that is run again, or a stream that lost its checkpoint and starts over,
+does not change it. After ``fold_every`` batches one ordinary Spark job folds the epoch into the
+first directory of the next, so what is listed and read does not grow with the stream's age.
+
+By default no state is kept: a micro-batch is folded alone, and the orders in the table decide
+which value is newer. With ``stateful`` Spark's own state store holds the latest value of every
+key, so that a batch holds, for the keys it touches, what is latest over the whole stream.
 """
 
 from __future__ import annotations
 
-import json
-import uuid
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, replace
-from datetime import datetime, timedelta, timezone
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tabledeltas.operators.latest import as_table, fold_latest, project_value
 from tabledeltas.sources import files
-from tabledeltas.sources.bucketed import (
-    BYTES_PER_BUCKET,
-    default_buckets,
-    enough_buckets,
-    read_bucketed,
-    to_buckets,
-    write_bucketed,
-)
+from tabledeltas.sources.batches import BATCH, complete_batches, start_batches, write_batch
 from tabledeltas.sources.layout import SILVER, Layout
 from tabledeltas.streaming.bronze import DEFAULT_TRIGGER
 
-COMMIT_SCHEMA = T.StructType(
-    [
-        T.StructField("path", T.StringType()),
-        T.StructField("buckets", T.IntegerType()),
-        T.StructField("schema", T.StringType()),
-        T.StructField("written_at", T.TimestampType()),
-    ]
-)
-
-GENERATION = "generation="
+EPOCH = "epoch="
+#: Stands for a stream's id in the directory that an epoch begins with.
+FOLDED = "folded"
 #: Column of the rows of a topic that is ordered by offset alone.
 PARTITION = "partition"
-#: How long a reader may take.
-RETAIN = timedelta(hours=12)
-
-
-@dataclass(frozen=True)
-class SilverTable:
-    layout: Layout
-    topic: str
-
-    @property
-    def data_path(self) -> str:
-        return self.layout.of(SILVER, self.topic).rows
-
-    @property
-    def commits_path(self) -> str:
-        return self.layout.of(SILVER, self.topic).commits
-
-
-@dataclass(frozen=True)
-class _Part:
-    """A directory of folded rows. The base, and only that, is bucketed by key."""
-
-    path: str
-    schema: str
-    buckets: int | None = None
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    )
+}
 
 
 @dataclass(frozen=True)
 class _Live:
-    """What counts of a table now: the newest generation and its committed parts."""
+    """What counts of a table now: an epoch and its complete directories, oldest first."""
 
-    generation: int = 0
-    base: _Part | None = None
-    changes: tuple[_Part, ...] = ()  # oldest first
-
-    def __bool__(self) -> bool:
-        return self.base is not None or bool(self.changes)
+    epoch: int = 0
+    parts: tuple[str, ...] = ()
 
 
 def maintain_latest(
@@ -102,48 +56,65 @@ def maintain_latest(
     keys: Mapping[str, str],
     order_by: str | Sequence[str] = "offset",
     fold_every: int = 50,
-    base_share: float = 0.25,
-    buckets: int | None = None,
-    retain: timedelta = RETAIN,
-    bytes_per_bucket: int = BYTES_PER_BUCKET,
+    keep_epochs: int = 2,
+    stateful: bool = False,
     trigger: Mapping[str, object] = DEFAULT_TRIGGER,
 ) -> StreamingQuery:
     """Start the stream that keeps a topic's latest values.
 
-    ``fold_every`` is the number of micro-batches after which their changes are folded into
-    one part. Where they come to ``base_share`` of the base's bytes, the base is rewritten
-    with them, so that a large table is rewritten seldom. ``buckets`` is the number of files
-    of a base, by default the session's number of shuffle partitions, doubled until a bucket
-    holds ``bytes_per_bucket`` at most. Topics with equal numbers are joined on their keys without a shuffle of
-    their bases. Files that no longer count are kept ``retain`` from the commit that replaced
-    them: a query over the table may take that long.
+    After ``fold_every`` micro-batches the table is rewritten as one folded directory. The
+    newest ``keep_epochs`` epochs are kept, for those who began to read an older one.
+    ``stateful`` keeps the latest value of every key in RocksDB, beside the checkpoint.
     """
     if fold_every < 2:
         raise ValueError("fold_every must be at least 2")
-    table = SilverTable(layout, topic)
-    live: _Live | None = None  # read once: nobody else writes to the table
+    path = layout.of(SILVER, topic).rows
+
+    def fold(rows: DataFrame) -> DataFrame:
+        return fold_latest(rows, keys, order_by=order_by, keep_partition=True)
 
-    def write_batch(batch: DataFrame, _batch_id: int) -> None:
-        nonlocal live
+    def write(batch: DataFrame, stream: str, batch_id: int) -> None:
         session = batch.sparkSession
-        live = _live(session, table) if live is None else live
-        if len(live.changes) >= fold_every:
-            live = _next_generation(
-                session, table, live, list(keys), buckets, base_share, retain, bytes_per_bucket
-            )
-        folded = fold_latest(batch, keys, order_by=order_by, keep_partition=True)
-        part = _write_changes(table, live.generation, folded)
-        _commit(session, table, live.generation, part)
-        live = replace(live, changes=(*live.changes, part))
-
-    return (
-        records.writeStream.queryName(f"silver_{topic}")
+        live = _live(session, path)
+        if len(live.parts) > fold_every:
+            rewrite_latest(session, layout, topic, list(keys), keep_epochs)
+            live = _live(session, path)
+        rows = batch if stateful else fold(batch)
+        write_batch(rows, _epoch(path, live.epoch), stream, batch_id, stateful=stateful)
+
+    writer = (
+        (fold(records) if stateful else records)
+        .writeStream.queryName(f"silver_{topic}")
         .outputMode("update")
         .option("checkpointLocation", layout.of(SILVER, topic).progress)
         .trigger(**trigger)
-        .foreachBatch(write_batch)
-        .start()
     )
+    if not stateful:
+        return start_batches(writer, write)
+    before = {name: spark.conf.get(name, None) for name in STATE_STORE}
+    try:
+        for name, value in STATE_STORE.items():
+            spark.conf.set(name, value)
+        return start_batches(writer, write)  # a stream keeps the settings it was started with
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def rewrite_latest(
+    spark: SparkSession, layout: Layout, topic: str, keys: Sequence[str], keep_epochs: int = 2
+) -> None:
+    """Begin a new epoch with the fold of the present one, and drop the oldest.
+
+    For the owner of the table, between micro-batches. A rewrite that fails leaves a directory
+    that is not complete, which readers pass over and the next rewrite replaces.
+    """
+    path = layout.of(SILVER, topic).rows
+    live = _live(spark, path)
+    write_batch(_read(spark, live, list(keys)), _epoch(path, live.epoch + 1), FOLDED, 0)
+    for name in files.child_directories(spark, path):
+        if int(name.removeprefix(EPOCH)) <= live.epoch + 1 - keep_epochs:
+            files.delete(spark, f"{path}/{name}")
 
 
 def read_latest(
@@ -153,18 +124,24 @@ def read_latest(
     keys: Sequence[str],
     fields: Sequence[str] | None = None,
 ) -> DataFrame:
-    """``(<keys>, value, ord)`` as of the last committed micro-batch.
+    """``(<keys>, value, ord)`` as of the last complete micro-batch.
 
-    A deleted key is a row with a null value. Only what changed since the base was written is
-    shuffled, into the buckets of the base. ``fields`` limits the value to some of its
+    A deleted key is a row with a null value. ``fields`` limits the value to some of its
     fields; the others are then neither read nor shuffled.
     """
-    live = _live(spark, SilverTable(layout, topic))
-    if not live:
-        raise FileNotFoundError(f"topic {topic!r} has no committed micro-batch yet")
+    live = _live_of(spark, layout, topic)
     return _read(spark, live, list(keys), fields).drop(PARTITION)
 
 
+def read_changes(spark: SparkSession, layout: Layout, topic: str) -> DataFrame:
+    """The rows of the present epoch as the micro-batches kept them, with ``batch_id``."""
+    live = _live_of(spark, layout, topic)
+    base = _epoch(layout.of(SILVER, topic).rows, live.epoch)
+    parts = [p for p in live.parts if f"={FOLDED}/" not in p]
+    rows = spark.read.schema(spark.read.parquet(live.parts[-1]).schema.add(BATCH, "long"))
+    return rows.option("basePath", base).parquet(*parts).drop(PARTITION, "stream")
+
+
 def register_topic(
     spark: SparkSession,
     layout: Layout,
@@ -179,141 +156,37 @@ def register_topic(
     return table
 
 
-def _live(spark: SparkSession, table: SilverTable) -> _Live:
-    # Names have a fixed width, so they sort by generation. A generation whose first commit
-    # is still being written has no rows yet, and the one before it counts. The commits of
-    # one generation are bounded by fold_every and the replays among them.
-    for name in reversed(files.child_directories(spark, table.commits_path)):
-        commits = spark.read.schema(COMMIT_SCHEMA).parquet(f"{table.commits_path}/{name}")
-        parts = [
-            _Part(c["path"], c["schema"], c["buckets"])
-            for c in commits.orderBy("written_at").collect()
-        ]
-        if parts:
-            base = next((p for p in parts if p.buckets is not None), None)
-            return _Live(_number(name), base, tuple(p for p in parts if p.buckets is None))
-    return _Live()
+def _epoch(path: str, number: int) -> str:
+    return f"{path}/{EPOCH}{number:08d}"  # of one width, so that names sort by number
 
 
-def _name(generation: int) -> str:
-    return f"{GENERATION}{generation:08d}"
+def _live(spark: SparkSession, path: str) -> _Live:
+    """The newest epoch that begins with a whole fold, else the first one."""
+    for name in reversed(files.child_directories(spark, path)):
+        parts = tuple(complete_batches(spark, f"{path}/{name}"))
+        number = int(name.removeprefix(EPOCH))
+        if number == 0 or any(f"={FOLDED}/" in p for p in parts):
+            return _Live(number, parts)
+    return _Live()
 
 
-def _number(name: str) -> int:
-    return int(name.removeprefix(GENERATION))
+def _live_of(spark: SparkSession, layout: Layout, topic: str) -> _Live:
+    live = _live(spark, layout.of(SILVER, topic).rows)
+    if not live.parts:
+        raise FileNotFoundError(f"topic {topic!r} has no committed micro-batch yet")
+    return live
 
 
 def _read(
-    spark: SparkSession,
-    live: _Live,
-    keys: list[str],
-    fields: Sequence[str] | None = None,
-    buckets: int | None = None,
+    spark: SparkSession, live: _Live, keys: list[str], fields: Sequence[str] | None = None
 ) -> DataFrame:
-    def narrow(rows: DataFrame) -> DataFrame:
-        return rows if fields is None else project_value(rows, fields)
-
     # The newest schema reads older parts too: a field they lack is NULL there.
-    schema = (live.changes[-1] if live.changes else live.base).schema
-    base = None
-    if live.base is not None:
-        buckets = live.base.buckets
-        base = narrow(read_bucketed(spark, keys, live.base.path, buckets, schema))
-        if not live.changes:
-            return base
-    columns = T.StructType.fromJson(json.loads(schema))
-    rows = narrow(spark.read.schema(columns).parquet(*[p.path for p in live.changes]))
-    if buckets is not None:
-        rows = to_buckets(rows, keys, buckets)
-    if base is not None:
-        rows = base.unionByName(rows)
+    rows = spark.read.schema(spark.read.parquet(live.parts[-1]).schema).parquet(*live.parts)
+    if fields is not None:
+        rows = project_value(rows, fields)
+    if len(live.parts) == 1:
+        return rows  # folded as it is
     partition = PARTITION if PARTITION in rows.columns else None
     return fold_latest(
         rows, {k: k for k in keys}, order_by="ord", partition=partition, keep_partition=True
     )
-
-
-def _next_generation(
-    spark: SparkSession,
-    table: SilverTable,
-    live: _Live,
-    keys: list[str],
-    buckets: int | None = None,
-    base_share: float = 0,
-    retain: timedelta = RETAIN,
-    bytes_per_bucket: int = BYTES_PER_BUCKET,
-) -> _Live:
-    """Fold what changed, with the base where it is time for that; drop what no longer counts."""
-    number = live.generation + 1
-    changed = sum(files.size(spark, p.path) for p in live.changes)
-    if live.base is not None and changed < base_share * files.size(spark, live.base.path):
-        folded = _read(spark, replace(live, base=None), keys)
-        merged = _write_changes(table, number, folded)
-        following = _Live(number, live.base, (merged,))
-    else:
-        following = _Live(number, _write_base(spark, table, live, keys, buckets, bytes_per_bucket))
-    _commit(spark, table, number, following.base, *following.changes)
-    _drop_unread(spark, table, retain)
-    return following
-
-
-def _write_base(
-    spark: SparkSession,
-    table: SilverTable,
-    live: _Live,
-    keys: list[str],
-    buckets: int | None,
-    bytes_per_bucket: int,
-) -> _Part:
-    before = live.base.buckets if live.base is not None else buckets or default_buckets(spark)
-    parts = [p.path for p in (live.base, *live.changes) if p is not None]
-    buckets = enough_buckets(spark, before, parts, bytes_per_bucket)
-    folded = _read(spark, live, keys, buckets=buckets)
-    if live.base is not None and buckets != before:
-        folded = to_buckets(folded, keys, buckets)
-    path = f"{table.data_path}/base={uuid.uuid4().hex}"
-    write_bucketed(folded, keys, path, buckets)
-    return _Part(path, folded.schema.json(), buckets)
-
-
-def _drop_unread(spark: SparkSession, table: SilverTable, retain: timedelta) -> None:
-    """Drop the generations that were replaced longer than ``retain`` ago, and the bases that
-    only they name. What reaches the driver is a row per generation still there."""
-    log = spark.read.schema(COMMIT_SCHEMA).option("basePath", table.commits_path)
-    names = files.child_directories(spark, table.commits_path)
-    commits = log.parquet(*[f"{table.commits_path}/{n}" for n in names])
-    rows = (
-        commits.withColumn("name", F.regexp_extract(F.input_file_name(), r"/(generation=\d+)/", 1))
-        .groupBy("name")
-        .agg(
-            F.min("written_at").alias("since"),
-            F.collect_set(F.when(F.col("buckets").isNotNull(), F.col("path"))).alias("bases"),
-        )
-        .orderBy("name")
-        .collect()
-    )
-    limit = datetime.now(timezone.utc) - retain
-    gone = {
-        old["name"]
-        for old, replacing in zip(rows, rows[1:])
-        if replacing["since"].astimezone(timezone.utc) <= limit
-    }
-    bases = {p.rsplit("/", 1)[1] for r in rows if r["name"] not in gone for p in r["bases"]}
-    for parent in (table.commits_path, table.data_path):
-        for name in files.child_directories(spark, parent):
-            if name in gone or name.startswith("base=") and name not in bases:
-                files.delete(spark, f"{parent}/{name}")
-
-
-def _write_changes(table: SilverTable, generation: int, rows: DataFrame) -> _Part:
-    # New on every attempt: nobody ever reads a half-written or a replaced directory, only
-    # those that a commit names.
-    path = f"{table.data_path}/{_name(generation)}/part={uuid.uuid4().hex}"
-    rows.write.mode("errorifexists").parquet(path)
-    return _Part(path, rows.schema.json())
-
-
-def _commit(spark: SparkSession, table: SilverTable, generation: int, *parts: _Part) -> None:
-    now = datetime.now(timezone.utc)
-    rows = [(p.path, p.buckets, p.schema, now) for p in parts]
-    files.append_rows(spark, rows, COMMIT_SCHEMA, f"{table.commits_path}/{_name(generation)}")

@@ -248,6 +248,68 @@ def test_nested_required_fields(spark):
     assert reasons == [None, "missing a.b", None, None]
 
 
+def struct(*fields):
+    return T.StructType([T.StructField(*f) for f in fields])
+
+
+def framed_bodies(spark, *bodies):
+    return topic(spark, [bytes([0, 0, 0, 0, i]) + body for i, body in bodies])
+
+
+def test_evolution_below_arrays_and_maps(spark):
+    """A field added to records in a list, in a map and in a list of maps of lists: its default,
+    or null; a wider number and a former name as well."""
+    old = struct(("a", T.IntegerType()), ("was", T.IntegerType()))
+    new = struct(
+        ("a", T.LongType()),
+        ("b", T.IntegerType(), True, {"aliases": ["was"]}),
+        ("c", T.StringType(), True, {"default": "x"}),
+        ("d", T.StringType()),
+    )
+
+    def around(item):
+        return struct(
+            ("l", T.ArrayType(item)),
+            ("m", T.MapType(T.StringType(), item)),
+            ("deep", T.ArrayType(T.MapType(T.StringType(), T.ArrayType(item)))),
+            ("n", T.ArrayType(T.LongType() if item is new else T.IntegerType())),
+        )
+
+    codec = JsonCodec(framed=True, writers={1: around(old), 2: around(new)})
+    items = b'{"a":1,"was":2}'
+    body = b'{"l":[%s,null],"m":{"k":%s},"deep":[{"k":[%s]}],"n":[3,null]}' % (items, items, items)
+    later = b'{"l":[{"a":5,"b":6,"c":"y","d":"z"}],"m":null}'
+    df = framed_bodies(spark, (1, body), (2, later), (1, b'{"l":[]}'))
+    rows = [r["value"] for r in decode_envelope(df, "value", around(new), codec).orderBy("offset").collect()]
+    read = (1, 2, "x", None)
+    assert [x and tuple(x) for x in rows[0]["l"]] == [read, None]
+    assert tuple(rows[0]["m"]["k"]) == tuple(rows[0]["deep"][0]["k"][0]) == read
+    assert rows[0]["n"] == [3, None]
+    assert tuple(rows[1]["l"][0]) == (5, 6, "y", "z") and rows[1]["m"] is None
+    assert rows[2]["l"] == [] and rows[2]["deep"] is None
+
+
+def test_required_fields_below_arrays_and_maps(spark):
+    item = struct(("a", T.IntegerType(), False))
+    schema = struct(("l", T.ArrayType(item)), ("m", T.MapType(T.StringType(), T.ArrayType(item))))
+    bodies = [b'{"l":[{"a":1},null]}', b'{"l":[{"a":1},{}]}', b'{"m":{"x":[{"a":1}],"y":[{"a":null}]}}', b'{"l":[]}']
+    df = decode_envelope(topic(spark, bodies), "value", schema)
+    reasons = [r["_reject"] and r["_reject"]["reason"] for r in df.orderBy("offset").collect()]
+    assert reasons == [None, "missing l.element.a", "missing m.value.element.a", None]
+
+
+def test_writers_that_differ_below_an_array_are_incompatible(spark):
+    """A required field that records in a list lack, or another type of one; others are read."""
+    new = struct(("l", T.ArrayType(struct(("a", T.IntegerType(), False), ("b", T.IntegerType())))))
+    lacks = struct(("l", T.ArrayType(struct(("b", T.IntegerType())))))
+    other = struct(("l", T.ArrayType(struct(("a", T.ArrayType(T.IntegerType()))))))
+    codec = JsonCodec(framed=True, writers={1: lacks, 2: other, 3: new})
+    df = framed_bodies(spark, (1, b'{"l":[{"b":1}]}'), (2, b'{"l":[]}'), (3, b'{"l":[{"a":1}]}'))
+    found = decode_envelope(df, "value", new, codec).orderBy("offset").collect()
+    assert [r["_reject"] and r["_reject"]["reason"] for r in found] == ["incompatible schema id"] * 2 + [None]
+    assert tuple(found[2]["value"]["l"][0]) == (1, None)
+
+
 def test_filter_on_the_outcome_parses_each_body_once(spark):
     df = accepted(decode_envelope(topic(spark, [None]), "value", SCHEMA)).where("value.refcount > 1")
     assert plan(df).count("from_json") == 2  # the value, and that it is one whole value

@@ -6,7 +6,7 @@ import tabledeltas.plans.runner as runner
 from tabledeltas.operators import KeyViolation, SchemaChange, apply_changes
 from tabledeltas.plans import SqlFailure, query_result, run_query
 from tabledeltas.sources import SnapshotStore, file_sink, files, load_snapshot, reject_staged
-from tabledeltas.sources.snapshots import manifest, snapshot_name
+from tabledeltas.sources.snapshots import manifest, snapshot_name, store_state
 
 SQL = "SELECT k, v FROM t"
 T0 = datetime(2024, 1, 1, tzinfo=timezone.utc)
@@ -143,6 +143,20 @@ def test_null_keys_are_rejected_before_they_meet_in_a_task(q, monkeypatch):
         q.run([(None if i % 3 == 0 else f"k{i}", i) for i in range(300)])
 
 
+def test_a_key_that_fills_a_task_is_found_before_clustering(q, monkeypatch):
+    """The sketch sees that a third of the rows may share a key; few rows of a key are found in
+    the clustered result."""
+    rows = [(f"k{0 if i % 3 == 0 else i}", i) for i in range(300)]
+    with pytest.raises(KeyViolation, match="1 repeated keys"):
+        q.run(rows)
+    assert files.child_directories(q.spark, q.store.data_path) == []
+    monkeypatch.setattr(runner, "FEW", 0)
+    monkeypatch.setattr(runner, "write_snapshot", crash)
+    with pytest.raises(KeyViolation, match="1 repeated keys"):
+        q.run(rows)
+    assert files.child_directories(q.spark, q.store.unclustered) == []
+
+
 def test_time_of_a_rejected_run_can_be_used_again(q):
     q.run([("a", 1)], run_ts=T0)
     for _ in range(2):
@@ -248,6 +262,28 @@ def test_crash_while_saving_leaves_nothing_that_counts(q, monkeypatch):
     assert len(files.child_directories(q.spark, q.store.data_path)) == 2
 
 
+def test_result_that_a_crash_left_unclustered_is_dropped(q, monkeypatch):
+    with monkeypatch.context() as m:
+        m.setattr(runner, "write_snapshot", crash)
+        with pytest.raises(Crash):
+            q.run([("a", 1)], run_ts=T0)
+    assert files.child_directories(q.spark, q.store.unclustered) == [snapshot_name(T0)]
+    q.run([("a", 1)], run_ts=T0 + timedelta(1))
+    assert files.child_directories(q.spark, q.store.unclustered) == []
+
+
+def test_rejected_runs_before_the_newest_commit_are_not_read_again(q):
+    for n in range(3):
+        with pytest.raises(KeyViolation):
+            q.run([("a", 1), ("a", 2)], run_ts=T0 + timedelta(n))
+    assert len(store_state(q.spark, q.store).refused) == 3
+    q.run([("a", 1)], run_ts=T0 + timedelta(3))
+    assert store_state(q.spark, q.store).refused == ()
+    with pytest.raises(KeyViolation):
+        q.run([("a", 1), ("a", 2)], run_ts=T0 + timedelta(4))
+    assert [s.run_ts for s in store_state(q.spark, q.store).refused] == [T0 + timedelta(4)]
+
+
 @pytest.mark.parametrize("emitted", [False, True])
 def test_crash_after_staging_is_finished_from_the_saved_result(q, monkeypatch, emitted):
     """Also when the tables moved in between: keys already sent get their deletes."""

@@ -1,23 +1,26 @@
-from datetime import timedelta
-
 import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
+import tabledeltas.streaming.bronze as bronze
 import tabledeltas.streaming.silver as silver
 from plan_text import count_of, plan
+from tabledeltas.sources import batches
 from tabledeltas.operators import fold_latest
 from tabledeltas.plans import catalog, fixture as fx
 from tabledeltas.sources import RecordedTopics, files
-from tabledeltas.sources.layout import SILVER
+from tabledeltas.sources.layout import BRONZE, SILVER
 from tabledeltas.streaming import (
     ingest_topic,
     maintain_latest,
     read_bronze,
+    read_changes,
     read_latest,
     read_rejects,
     register_topic,
+    rewrite_latest,
     run_streams,
+    run_until_idle,
     stream_bronze,
     topic_schema,
 )
@@ -53,7 +56,7 @@ def in_batches(spark, sf_dir, recorded, lake, n=4):
     return query
 
 
-def maintain(spark, lake, fold_every=50, base_share=0.25):
+def maintain(spark, lake, fold_every=50, **options):
     return maintain_latest(
         spark,
         stream_bronze(spark, lake, "yy", YY, max_files_per_trigger=1),
@@ -61,13 +64,21 @@ def maintain(spark, lake, fold_every=50, base_share=0.25):
         "yy",
         fx.KEYS,
         fold_every=fold_every,
-        base_share=base_share,
         trigger=NOW,
+        **options,
     )
 
 
-def add_changes(spark, table, generation, rows):
-    silver._commit(spark, table, generation, silver._write_changes(table, generation, rows))
+def rows_path(lake, topic="yy"):
+    return lake.of(SILVER, topic).rows
+
+
+def live(spark, lake, topic="yy"):
+    return silver._live(spark, rows_path(lake, topic))
+
+
+def add_changes(spark, lake, topic, batch_id, rows):
+    batches.write_batch(rows, f"{rows_path(lake, topic)}/epoch=00000000", "s", batch_id)
 
 
 def test_bronze_keeps_every_record_once_over_restarts(spark, tiny, recorded, lake):
@@ -129,10 +140,10 @@ def test_a_micro_batch_writes_only_the_keys_it_changed(spark, tiny, recorded, la
     in_batches(spark, tiny, recorded, lake)
     maintain(spark, lake).awaitTermination()
     log = fx.yy_log(spark, tiny)
-    live = silver._live(spark, silver.SilverTable(lake, "yy"))
-    assert len(live.changes) == 4
-    for part in live.changes:
-        rows = spark.read.parquet(part.path)
+    parts = live(spark, lake).parts
+    assert len(parts) == 4
+    for part in parts:
+        rows = spark.read.parquet(part)
         first, last = rows.agg(F.min("ord"), F.max("ord")).first()
         in_range = log.where(F.col("offset").between(first, last))
         assert rows.count() == rows.select("userid").distinct().count()
@@ -143,179 +154,201 @@ def test_restart_takes_up_where_it_stopped(spark, tiny, recorded, lake):
     for part in range(3):
         catalog.land(spark, tiny, recorded, lake, part, 3)
         catalog.refresh(spark, lake)
-    assert len(silver._live(spark, silver.SilverTable(lake, "yy")).changes) == 3
+    assert [p.rsplit("/", 1)[1] for p in live(spark, lake).parts] == [f"batch_id={n}" for n in range(3)]
     assert latest(spark, lake) == batch_fold(spark, tiny)
 
 
-def test_generations_bound_what_is_read(spark, tiny, recorded, lake):
-    in_batches(spark, tiny, recorded, lake, n=8)
-    maintain(spark, lake, fold_every=2, base_share=0).awaitTermination()
-    table = silver.SilverTable(lake, "yy")
-    live = silver._live(spark, table)
-    assert live.generation == 3 and live.base is not None and len(live.changes) == 2
-    assert len(files.child_directories(spark, table.commits_path)) == 4  # for 12 hours
-    silver._drop_unread(spark, table, timedelta(0))
-    generations = ["generation=00000003"]
-    assert files.child_directories(spark, table.commits_path) == generations
-    *bases, third = files.child_directories(spark, table.data_path)
-    assert len(bases) == 1 and [third] == generations
+def test_epochs_bound_what_is_read(spark, tiny, recorded, lake):
+    in_batches(spark, tiny, recorded, lake, n=12)
+    maintain(spark, lake, fold_every=2).awaitTermination()
+    now = live(spark, lake)
+    assert now.epoch >= 4 and len(now.parts) <= 3
+    kept = [f"epoch={n:08d}" for n in (now.epoch - 1, now.epoch)]
+    assert files.child_directories(spark, rows_path(lake)) == kept
     assert latest(spark, lake) == batch_fold(spark, tiny)
 
 
-def test_a_reader_outlives_three_folds(spark, tiny, recorded, lake):
+def test_a_reader_outlives_a_rewrite(spark, tiny, recorded, lake):
     in_batches(spark, tiny, recorded, lake, n=2)
     maintain(spark, lake).awaitTermination()
-    table = silver.SilverTable(lake, "yy")
     reading, expected = read_latest(spark, lake, "yy", ["userid"]), latest(spark, lake)
-    for _ in range(3):
-        silver._next_generation(spark, table, silver._live(spark, table), ["userid"])
-    assert sorted(map(str, reading.collect())) == sorted(map(str, read_latest(spark, lake, "yy", ["userid"]).collect()))
-    assert latest(spark, lake) == expected
-    silver._next_generation(spark, table, silver._live(spark, table), ["userid"], retain=timedelta(0))
-    assert len(files.child_directories(spark, table.commits_path)) == 1
-    assert len(files.child_directories(spark, table.data_path)) == 1
+    rewrite_latest(spark, lake, "yy", ["userid"])
+    assert rows_of(reading) == latest(spark, lake) == expected
+    rewrite_latest(spark, lake, "yy", ["userid"], keep_epochs=1)
+    assert files.child_directories(spark, rows_path(lake)) == ["epoch=00000002"]
     assert latest(spark, lake) == expected
 
 
 def test_a_key_that_changes_partition_fails_across_batches(spark, lake):
-    table = silver.SilverTable(lake, "moved")
     schema = "userid long, value struct<n: int>, partition int, offset long"
-    for batch in ([(1, (1,), 0, 500), (2, (1,), 1, 9)], [(1, (2,), 17, 3)]):
+    for n, batch in enumerate(([(1, (1,), 0, 500), (2, (1,), 1, 9)], [(1, (2,), 17, 3)])):
         rows = fold_latest(spark.createDataFrame(batch, schema), {"userid": "userid"}, keep_partition=True)
-        add_changes(spark, table, 0, rows)
+        add_changes(spark, lake, "moved", n, rows)
     with pytest.raises(Exception, match="two partitions"):
         read_latest(spark, lake, "moved", ["userid"]).collect()
 
 
-def test_base_is_rewritten_only_when_enough_has_changed(spark, tiny, recorded, lake):
-    in_batches(spark, tiny, recorded, lake, n=8)
-    maintain(spark, lake, fold_every=2, base_share=1000).awaitTermination()
-    table = silver.SilverTable(lake, "yy")
-    live = silver._live(spark, table)
-    # The first fold makes the base; later ones leave one part of changes, and a new batch.
-    assert live.base is not None and len(live.changes) == 2
-    bases = [n for n in files.child_directories(spark, table.data_path) if n.startswith("base=")]
-    assert bases == [live.base.path.rsplit("/", 1)[1]]
-    assert latest(spark, lake) == batch_fold(spark, tiny)
-    third = silver._next_generation(spark, table, live, ["userid"], base_share=0)
-    assert third.base.path != live.base.path and not third.changes
-    assert latest(spark, lake) == batch_fold(spark, tiny)
-
-
-def test_a_folded_table_is_read_without_a_shuffle(spark, tiny, recorded, lake):
+def test_a_rewritten_table_is_read_without_a_shuffle(spark, tiny, recorded, lake):
     in_batches(spark, tiny, recorded, lake, n=2)
     maintain(spark, lake).awaitTermination()
-    table = silver.SilverTable(lake, "yy")
-    silver._next_generation(spark, table, silver._live(spark, table), ["userid"])
+    assert count_of(read_latest(spark, lake, "yy", ["userid"]), "Exchange") == 1
+    rewrite_latest(spark, lake, "yy", ["userid"])
     assert count_of(read_latest(spark, lake, "yy", ["userid"]), "Exchange") == 0
     assert latest(spark, lake) == batch_fold(spark, tiny)
 
 
-def test_buckets_grow_with_the_table(spark, tiny, recorded, lake):
-    in_batches(spark, tiny, recorded, lake, n=2)
-    maintain(spark, lake).awaitTermination()
-    table = silver.SilverTable(lake, "yy")
-    first = silver._next_generation(spark, table, silver._live(spark, table), ["userid"], 2)
-    assert first.base.buckets == 2
-    few = files.size(spark, first.base.path) // 3
-    live = silver._live(spark, table)
-    second = silver._next_generation(spark, table, live, ["userid"], bytes_per_bucket=few)
-    assert second.base.buckets == 4
-    assert latest(spark, lake) == batch_fold(spark, tiny)
-
-
-def test_only_what_changed_since_the_fold_is_shuffled(spark, tiny, recorded, lake):
-    in_batches(spark, tiny, recorded, lake, n=3)
-    maintain(spark, lake, fold_every=2).awaitTermination()
-    live = silver._live(spark, silver.SilverTable(lake, "yy"))
-    assert live.base is not None and len(live.changes) == 1
-    rows = read_latest(spark, lake, "yy", ["userid"])
-    text = plan(rows)
-    assert count_of(rows, "Exchange") == 1 and text.count("Bucketed: true") == 1
-    base, exchange = text.index("Bucketed: true"), text.index("Exchange")
-    assert base < exchange  # the exchange is in the other branch of the union
-    assert latest(spark, lake) == batch_fold(spark, tiny)
-
-
-def test_topics_with_equal_buckets_join_without_shuffling_their_folded_parts(
-    spark, tiny, recorded, lake
-):
-    for topic, log in (("xx", fx.xx_log), ("yy", fx.yy_log)):
-        fx.raw_topic(log(spark, tiny), topic).write.parquet(f"{recorded}/{topic}")
-        schema = fx.SCHEMAS[topic]
-        ingest_topic(spark, topic, RecordedTopics(recorded), schema, lake, NOW).awaitTermination()
-        records = stream_bronze(spark, lake, topic, schema)
-        maintain_latest(spark, records, lake, topic, fx.KEYS, trigger=NOW).awaitTermination()
-        table = silver.SilverTable(lake, topic)
-        silver._next_generation(spark, table, silver._live(spark, table), ["userid"])
-        register_topic(spark, lake, topic, ["userid"])
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        sample = spark.sql(fx.SAMPLE_SQL)
-        assert count_of(sample, "SortMergeJoin") == 1 and count_of(sample, "Exchange") == 0
-        assert sorted(sample.collect()) == sorted(fx.sample_result(spark, tiny).collect())
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-
-
-@pytest.mark.parametrize("fold_every, base_share", [(50, 0.25), (2, 0), (2, 1000)])
-@pytest.mark.parametrize("when", ["before_commit", "after_commit"])
+@pytest.mark.parametrize("stateful", [False, True])
+@pytest.mark.parametrize("fold_every", [50, 2])
+@pytest.mark.parametrize("when", ["before_data", "before_checkpoint"])
 def test_failure_in_a_micro_batch(
-    spark, tiny, recorded, lake, monkeypatch, when, fold_every, base_share
+    spark, tiny, recorded, lake, monkeypatch, when, fold_every, stateful
 ):
     """Whatever a failed attempt left behind, the restart ends with the same table."""
     in_batches(spark, tiny, recorded, lake)
-    real, calls = files.append_rows, []
+    real, calls = silver.write_batch, []
 
-    def failing(session, rows, schema, path):
-        calls.append(path)
+    def failing(*args, **options):
+        calls.append(args)
         if len(calls) == 3:
-            if when == "after_commit":
-                real(session, rows, schema, path)
+            if when == "before_checkpoint":
+                real(*args, **options)
             raise RuntimeError("lost")
-        real(session, rows, schema, path)
+        real(*args, **options)
 
     with monkeypatch.context() as m:
-        m.setattr(silver.files, "append_rows", failing)
+        m.setattr(silver, "write_batch", failing)
         with pytest.raises(StreamingQueryException, match="lost"):
-            maintain(spark, lake, fold_every, base_share).awaitTermination()
+            maintain(spark, lake, fold_every, stateful=stateful).awaitTermination()
     seen = {user for user, _, _ in latest(spark, lake)}
     assert seen  # readers beside the failed stream see whole batches only
-    maintain(spark, lake, fold_every, base_share).awaitTermination()
+    maintain(spark, lake, fold_every, stateful=stateful).awaitTermination()
     assert latest(spark, lake) == batch_fold(spark, tiny)
 
 
-def test_generation_without_a_commit_is_passed_over(spark, tiny, recorded, lake):
-    """A reader may come while the first commit of a generation is being written."""
+def test_rewrite_that_failed_is_passed_over(spark, tiny, recorded, lake):
+    """A directory that a crash left, or that is being written, is not read."""
     in_batches(spark, tiny, recorded, lake, n=2)
     maintain(spark, lake).awaitTermination()
-    unfinished = f"{silver.SilverTable(lake, 'yy').commits_path}/generation=00000001/_temporary/0"
-    spark._jvm.java.io.File(unfinished).mkdirs()
+    half = batches.batch_path(f"{rows_path(lake)}/epoch=00000001", silver.FOLDED, 0)
+    spark.read.parquet(live(spark, lake).parts[0]).limit(1).write.parquet(half)
+    files.delete(spark, f"{half}/_SUCCESS")
+    assert live(spark, lake).epoch == 0
+    assert latest(spark, lake) == batch_fold(spark, tiny)
+    rewrite_latest(spark, lake, "yy", ["userid"])
+    assert live(spark, lake).epoch == 1
     assert latest(spark, lake) == batch_fold(spark, tiny)
 
 
 def test_micro_batch_without_rows(spark, tiny, recorded, lake):
     """An empty first batch leaves a table that reads as empty, not one that cannot be read."""
-    empty = spark.createDataFrame([], YY.bronze_schema()).drop("rejected", "_reject")
-    table = silver.SilverTable(lake, "yy")
-    add_changes(spark, table, 0, fold_latest(empty, fx.KEYS))
+    empty = fx.xx_log(spark, tiny).where("false")
+    add_changes(spark, lake, "yy", 0, fold_latest(empty, fx.KEYS))
     assert latest(spark, lake) == []
 
 
 def test_field_added_to_the_topic_is_null_in_older_parts(spark, lake):
-    table = silver.SilverTable(lake, "yy")
     for n, fields in enumerate(["'a', 1", "'a', 2, 'b', 3"]):
         rows = spark.sql(f"SELECT {n} AS userid, named_struct({fields}) AS value, {n} AS ord")
-        add_changes(spark, table, 0, rows)
+        add_changes(spark, lake, "yy", n, rows)
     rows = read_latest(spark, lake, "yy", ["userid"]).collect()
     assert sorted(tuple(r["value"]) for r in rows) == [(1, None), (2, 3)]
 
 
-def test_lost_checkpoint_replays_onto_the_same_table(spark, tiny, recorded, lake):
+@pytest.mark.parametrize("stateful", [False, True])
+def test_lost_checkpoint_replays_onto_the_same_table(spark, tiny, recorded, lake, stateful):
     in_batches(spark, tiny, recorded, lake, n=2)
-    maintain(spark, lake).awaitTermination()
+    maintain(spark, lake, stateful=stateful).awaitTermination()
     files.delete(spark, lake.of(SILVER, "yy").progress)
-    maintain(spark, lake).awaitTermination()
+    maintain(spark, lake, stateful=stateful).awaitTermination()
+    assert len(live(spark, lake).parts) == 4  # each stream's batches are its own
+    assert latest(spark, lake) == batch_fold(spark, tiny)
+
+
+# --- fold in state ------------------------------------------------------------------------
+
+
+def test_state_outlives_a_restart_and_only_changed_keys_are_kept(spark, recorded, lake):
+    """An older value that comes late does not win, though its batch knows nothing of the newer."""
+
+    def land(rows):
+        log = spark.createDataFrame(rows, "userid long, refcount int, offset long")
+        raw = log.selectExpr(
+            "struct(userid AS userId) AS key",
+            "IF(refcount IS NULL, NULL, struct(userid, refcount, CAST(NULL AS INT) AS optional)) AS value",
+            "offset", "timestamp_seconds(offset) AS timestamp",
+        )
+        fx.raw_topic(raw, "yy").write.mode("append").parquet(f"{recorded}/yy")
+        ingest_topic(spark, "yy", RecordedTopics(recorded), YY, lake, NOW).awaitTermination()
+        maintain(spark, lake, stateful=True).awaitTermination()
+        kept = {}
+        for r in read_changes(spark, lake, "yy").collect():
+            value = r["value"] and r["value"]["refcount"]
+            kept.setdefault(r["batch_id"], set()).add((r["userid"], value, r["ord"]))
+        return kept
+
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    kept = land([(1, 10, 5), (2, 20, 6), (3, 30, 7)])
+    assert kept == {0: {(1, 10, 5), (2, 20, 6), (3, 30, 7)}}
+    kept = land([(1, 9, 2), (2, None, 8)])
+    assert kept[1] == {(1, 10, 5), (2, None, 8)}
+    assert rows_of(read_latest(spark, lake, "yy", ["userid"])) == [
+        (1, (1, 10, None), 5), (2, None, 8), (3, (3, 30, None), 7)
+    ]
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
+
+
+def test_stateful_fold_equals_the_batch_fold(spark, tiny, recorded, lake):
+    in_batches(spark, tiny, recorded, lake)
+    query = maintain(spark, lake, stateful=True)
+    query.awaitTermination()
+    (operator,) = query.lastProgress["stateOperators"]
+    assert operator["numRowsTotal"] == len(batch_fold(spark, tiny))
+    assert any(name.startswith("rocksdb") for name in operator["customMetrics"])
+    assert latest(spark, lake) == batch_fold(spark, tiny)
+
+
+# --- bronze batches -----------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("when", ["before_data", "before_checkpoint", "half_written"])
+def test_bronze_keeps_a_failed_batch_once(spark, tiny, recorded, lake, monkeypatch, when):
+    catalog.land(spark, tiny, recorded, lake, 0, 2)
+    real = bronze.write_batch
+
+    def failing(rows, path, stream, batch_id, partition_by):
+        if when != "before_data":
+            real(rows, path, stream, batch_id, partition_by)
+        if when == "half_written":
+            files.delete(spark, f"{batches.batch_path(path, stream, batch_id)}/_SUCCESS")
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(bronze, "write_batch", failing)
+        with pytest.raises(StreamingQueryException, match="lost"):
+            catalog.land(spark, tiny, recorded, lake, 1, 2)
+    ingest_topic(spark, "yy", RecordedTopics(recorded), YY, lake, NOW).awaitTermination()
+    rows = read_bronze(spark, lake, "yy", YY)
+    assert rows.count() == rows.select("offset").distinct().count() == 1000
+
+
+def test_bronze_has_no_log_of_files(spark, tiny, recorded, lake):
+    in_batches(spark, tiny, recorded, lake, n=3)
+    assert all(n.startswith("stream=") for n in files.child_directories(spark, lake.of(BRONZE, "yy").rows))
+
+
+def test_archived_files_are_not_listed_again(spark, tiny, recorded, lake):
+    """Run after run the stream's folder holds the newest files only, and no record is lost."""
+    source, paths = RecordedTopics(recorded), lake.of(BRONZE, "yy")
+    listed = []
+    for part in range(8):
+        catalog.land(spark, tiny, recorded, lake, part, 8)
+        records = stream_bronze(spark, lake, "yy", YY, archive=True)
+        maintain_latest(spark, records, lake, "yy", fx.KEYS, trigger=NOW).awaitTermination()
+        pattern = f"{paths.rows}/stream=*/batch_id=*/rejected=*/*.parquet"
+        listed.append(len(files.oldest_first(spark, pattern)))
+    assert max(listed[4:]) <= max(listed[:4])
+    rows = read_bronze(spark, lake, "yy", YY)
+    assert rows.count() == rows.select("offset").distinct().count() == 1000
     assert latest(spark, lake) == batch_fold(spark, tiny)
 
 
@@ -332,8 +365,7 @@ def test_fields_left_out_are_not_read(spark, tiny, recorded, lake, folded):
     in_batches(spark, tiny, recorded, lake, n=2)
     maintain(spark, lake).awaitTermination()
     if folded:
-        table = silver.SilverTable(lake, "yy")
-        silver._next_generation(spark, table, silver._live(spark, table), ["userid"])
+        rewrite_latest(spark, lake, "yy", ["userid"])
     rows = register_topic(spark, lake, "yy", ["userid"], ["refcount"], name="yy_narrow")
     assert rows.columns == ["refcount"]
     assert "value:struct<refcount:int>" in plan(rows)
@@ -373,3 +405,24 @@ def test_failure_to_start_stops_what_runs(spark):
     with pytest.raises(ValueError, match="no source"):
         run_streams([_start(spark, "s0"), broken])
     assert not spark.streams.active
+
+
+def test_jobs_with_the_default_trigger_end_when_idle(spark, tiny, recorded, lake):
+    """Both streams of a job, each after it has read all it was given."""
+    for topic, log in (("xx", fx.xx_log), ("yy", fx.yy_log)):
+        fx.raw_topic(log(spark, tiny), topic).write.parquet(f"{recorded}/{topic}")
+
+    def start(topic):
+        source = RecordedTopics(recorded)
+        return lambda: ingest_topic(spark, topic, source, fx.SCHEMAS[topic], lake)
+
+    done = run_until_idle(spark, [start("xx"), start("yy")])
+    assert not any(q.isActive for q in done) and len(done) == 2
+    assert read_bronze(spark, lake, "xx", fx.SCHEMAS["xx"]).count() == 150
+    assert read_bronze(spark, lake, "yy", YY).count() == 1000
+
+
+def test_failure_before_idle_is_raised(spark):
+    with pytest.raises(StreamingQueryException, match="s1 failed"):
+        run_until_idle(spark, [_start(spark, "s0"), _start(spark, "s1", fail=True)])
+    assert not spark.streams.active
