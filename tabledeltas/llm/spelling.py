@@ -6,10 +6,11 @@ its pivots; the edit leaves one of them whole, and the other word holds that one
 third gram, its prefix. Which two disjoint grams are the rarest, a dynamic program over their
 positions decides. So the pivots of every word are looked up in an index of all prefixes:
 
-* A position limit makes the lookups narrow: an edit that touches the first pivot or lies
-  before it leaves all from the second one on as it is, and any other edit all up to the end of
-  the first. So what is looked up is the gram with the whole of that side, for the three
-  lengths the other word can have. It is an equi-join, never a pairing of all words of a gram.
+* Position limits make the lookups narrow: an edit that touches the first pivot or lies before
+  it leaves all from the second one on as it is, and any other edit all up to the end of the
+  first. Of what lies beyond the pivot, the edit leaves one half as it is. So what is looked up
+  is the gram with the whole of its side and that half, for the three lengths the other word
+  can have. It is an equi-join, never a pairing of all words of a gram.
 * What meets is verified by its edit distance over code points; copies of a pair are dropped
   after that. All is exact: no pair is lost, none is added, no list is capped.
 
@@ -24,6 +25,7 @@ positions decides. So the pivots of every word are looked up in an index of all
 from __future__ import annotations
 
 import string
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -116,23 +118,53 @@ def gram_prefixes(words: DataFrame) -> DataFrame:
     )
 
 
+def _half(of: Column) -> Column:
+    return (F.greatest(of, F.lit(0)) / 2).cast("int")
+
+
+def _kept_before(place: Column, length: Column) -> tuple[Column, Column]:
+    """What ``word`` shares with one of ``length`` that an edit behind the gram at ``place``
+    leads to: all up to the gram's end and, of the other word's rest, the first or second half."""
+    end, own = place + GRAM, F.char_length("word")
+    half = _half(length - end)
+    tail = length - end - half
+    return (
+        F.concat(F.lit("<1"), F.substr("word", F.lit(1), end + half)),
+        F.concat(F.lit("<2"), F.substr("word", F.lit(1), end), F.lit("|"), F.substr("word", own - tail + 1)),
+    )
+
+
+def _kept_behind(place: Column, length: Column) -> tuple[Column, Column]:
+    """The same for an edit before the gram: all from the gram on, and the second or first half
+    of what the other word has before it."""
+    own = F.char_length("word")
+    half = _half(place + length - own)
+    return (
+        F.concat(F.lit(">1"), F.substr("word", own - (length - half) + 1)),
+        F.concat(F.lit(">2"), F.substr("word", F.lit(1), half), F.lit("|"), F.substr("word", place + 1)),
+    )
+
+
+def _first_or_second(kept: Callable, length: Column, which: int) -> Callable[[Column], Column]:
+    return lambda place: kept(place, length)[which]
+
+
 def near_pairs(words: DataFrame, folder: str) -> DataFrame:
     """``a, b`` with a < b for all pairs of different words that are one inserted, deleted or
     replaced code point apart; words have four letters or more, each is there once."""
     found = saved(gram_prefixes(words.select("word")), f"{folder}/prefixes")
-    length = F.char_length("word")
-
-    def upto(place: Column) -> Column:
-        return F.concat(F.lit("<"), F.substr("word", F.lit(1), place + GRAM))
-
-    def onward(place: Column) -> Column:
-        return F.concat(F.lit(">"), F.substr("word", place + 1))
-
-    sides = F.concat(F.transform("prefix", upto), F.transform("prefix", onward))
-    index = found.select(F.col("word").alias("b"), F.explode(sides).alias("side"), length.alias("length"))
-    asked = F.array(upto(F.col("pivots.first")), onward(F.col("pivots.second")))
-    lookups = found.select(F.col("word").alias("a"), F.explode(asked).alias("side"), length.alias("own"))
-    lookups = lookups.select("a", "side", F.explode(F.sequence(F.col("own") - 1, F.col("own") + 1)).alias("length"))
+    own = F.char_length("word")
+    before = F.concat(*[F.transform("prefix", _first_or_second(_kept_before, own, i)) for i in (0, 1)])
+    behind = F.concat(*[F.transform("prefix", _first_or_second(_kept_behind, own, i)) for i in (0, 1)])
+    index = found.select(
+        F.col("word").alias("b"), F.explode(F.concat(before, behind)).alias("side"), own.alias("length")
+    )
+    lookups = found.select("word", "pivots", F.explode(F.sequence(own - 1, own + 1)).alias("length"))
+    asked = F.array(
+        *_kept_before(F.col("pivots.first"), F.col("length")),
+        *_kept_behind(F.col("pivots.second"), F.col("length")),
+    )
+    lookups = lookups.select(F.col("word").alias("a"), F.explode(asked).alias("side"), "length")
     met = lookups.join(index, ["side", "length"]).where(F.levenshtein("a", "b", 1) == 1)
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
