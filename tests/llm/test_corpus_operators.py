@@ -1,7 +1,9 @@
 """Odd tables through every operator, and the parts that need a closer look."""
 
 import collections
+import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -111,6 +113,159 @@ def test_text_in_several_containers(page, text):
     assert html.main_text(page) == text
 
 
+HALF = "Another part of the same text, which is a good deal shorter than the other one, but belongs to it all the same."
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<div><p>{STORY * 4}</div><div class=ad>Buy</div><div><p>{HALF}</div>", f"{(STORY * 4).strip()}\n{HALF}"),
+        (
+            f'<div class="elementor-widget elementor-widget-text-editor"><p>{STORY}</div>'
+            f'<div class="elementor-widget"><p>{HALF}</div>',
+            f"{ONE}\n{HALF}",
+        ),
+        (f'<div class="with-notice-bar page"><div class="share-layout"><p>{STORY}</div></div>', ONE),
+        (f'<div class="reply-content"><p>{STORY}</div>', ONE),
+        (
+            f'<form id="aspnetForm"><input><div class="content"><p>{STORY}</div><label>Name</label>'
+            "<select><option>x</select><button>Go</button></form>",
+            ONE,
+        ),
+        (f'<div class="page-header-layout"><h1>T</h1><p>{STORY}</div>', f"T\n{ONE}"),
+        (f"<form><p>Search {HALF}</form><div class=content><p>{STORY}</div>", ONE),
+        (f'<div class="widget"><p>{STORY}{STORY}</div><article><p>{STORY}</article>', ONE),
+        (f'<p>Brief.</p><div class="comments"><p>{STORY}</div>', "Brief."),
+    ],
+)
+def test_words_that_say_nothing_on_a_page(page, text):
+    assert html.main_text(page) == text
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f'<main><ul class="top"><li><a>Home</a><li><a>News</a><li><a>Sport</a></ul><p>{STORY}</main>', ONE),
+        (f"<main><ul><li><a>Home</a><li><a>News</a></ul><p>{STORY}<p>end</main>", f"{ONE}\nend"),
+        (
+            f'<div id="content"><div class=post><h1>T</h1><p>{STORY}</div><div class="archive"><h3>Archives</h3>'
+            "<ul><li><a>January</a><li><a>February</a><li><a>March</a></ul></div></div>",
+            f"T\n{ONE}",
+        ),
+        (f"<article><p>{STORY}<p><a>A link</a><p>{STORY}<ul><li>one<li>two</ul></article>", f"{ONE}\nA link\n{ONE}\none\ntwo"),
+        ("<article><p><a>Read on</a></article>", "Read on"),
+        (
+            f"<main><ul><li>See <a>b</a><li>{HALF}<li><a>c</a></ul><p>{STORY}</main>",
+            f"See b\n{HALF}\nc\n{ONE}",
+        ),
+    ],
+)
+def test_menus_in_content_elements(page, text):
+    assert html.main_text(page) == text
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<p it's>{STORY}", ONE),
+        (f"<p><a title=Don't>l</a> {STORY}it's", f"l {ONE} it's"),
+        (f'<p><img alt="x""> {STORY}', ONE),
+        (f"<p class=a\"b' id='c'd>{STORY}<br/>x", f"{ONE} x"),
+        (f'<p title = "a > b">{STORY}</p >', ONE),
+        (f"<p>{STORY}<a <b>c</b>", f"{ONE} c"),
+        (f'<p>{STORY}<a href="x', ONE),
+        ("<p>1 < 2 <3 </ x", "1 < 2 <3 </ x"),
+    ],
+)
+def test_broken_tags(page, text):
+    assert html.main_text(page) == text
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<a x="' * 160_000,
+        '<a x="' * 160_000 + ">",
+        '<a b=">" ' * 100_000,
+        "<a x='\">" * 100_000,
+        "<div>" * 150_000 + STORY,
+        "<div>" * 80_000 + "</span>" * 60_000,
+        "<b><p>" * 120_000,
+        "<article>" + "<div class=related>x " * 45_000,
+        '<div class="advert">x' * 45_000,
+        "<div><a>" * 60_000 + "</a>" * 60_000,
+        "<" * 1_000_000,
+        "<a " + " " * 1_000_000,
+    ],
+)
+def test_time_grows_with_the_length_only(page):
+    """Twice the page takes about twice the time: quadratic work would be seconds to minutes."""
+    times = []
+    for part in (page[: len(page) // 2], page):
+        start = time.process_time()
+        html.main_text(part)
+        times.append(time.process_time() - start)
+    assert times[1] < 3 * times[0] + 1
+
+
+def blog(title, paragraphs, comments):
+    """A second template: boxes with words of their own, no content element by name."""
+    menu = "".join(f"<li class=nav-item><a href=/{i}>Topic {i}</a>" for i in range(9))
+    body = "".join(f"<p>{p}</p>" for p in paragraphs)
+    said = "".join(f"<li class=comment><p>{c}</p>" for c in comments)
+    return (
+        f"<html><head><title>{title}</title><style>p{{}}</style></head><body><div id=masthead><a>Site</a></div>"
+        f"<div class=site-nav><ul>{menu}</ul></div><div id=wrap><div class=text><h1>{title}</h1>{body}</div>"
+        f"<div class=share-buttons><a>Tweet</a></div></div><div class=sidebar><h3>About</h3><p>{HALF}</p></div>"
+        f"<ol class=comment-list>{said}</ol><form><input><p>Leave a reply</p></form>"
+        "<div class=site-footer><p>&copy; 2020 Site</div>"
+    )
+
+
+def shop(title, paragraphs, comments):
+    """A third one: old table markup in one form, upper case, nothing closed."""
+    body = "<P>".join(paragraphs)
+    said = "<P>".join(comments)
+    return (
+        f"<FORM ID=f><TABLE><TR><TD CLASS=menu><A HREF=a>Home</A><BR><A HREF=b>Buy</A><TD CLASS=content>"
+        f"<H2>{title}</H2><P>{body}<DIV CLASS=advert>{HALF}</DIV><P>Last.<TD CLASS=sidebar><P>{HALF}</TABLE>"
+        f"<DIV ID=comments><P>{said}</DIV></FORM>"
+    )
+
+
+@pytest.mark.parametrize("seed", range(6))
+@pytest.mark.parametrize("template", [blog, shop])
+def test_other_templates(template, seed):
+    rng = random.Random(seed)
+    words = STORY.split()
+
+    def sentence(n):
+        return " ".join(rng.choice(words) for _ in range(n))
+
+    paragraphs = [sentence(rng.choice([4, 12, 60])) for _ in range(rng.randint(2, 30))] + [sentence(40)]
+    comments = [sentence(rng.choice([3, 30])) for _ in range(rng.randint(0, 40))]
+    found = html.main_text(template("The title", paragraphs, comments)).split("\n")
+    assert found == ["The title", *paragraphs, *(["Last."] if template is shop else [])]
+
+
+def test_odd_pages_through_spark(spark):
+    """Nulls, repeated rows, a very long page, clashing columns; and an empty table."""
+    long = f"<article>{f'<p>{STORY}' * 20_000}"
+    rows = [(1, None), (1, None), (2, f"<article><p>{STORY}"), (2, f"<article><p>{STORY}"), (None, ""), (3, long)]
+    pages = spark.createDataFrame(rows, "page_id long, html string").withColumns(
+        {"text": F.lit(1), "lines": F.lit(2), "extracted": F.lit(3)}
+    )
+    found = pages.select("page_id", F.md5(html.extract()).alias("t"))
+    assert plain(found) == plain(
+        spark.createDataFrame(
+            [(i, hashlib.md5(t.encode()).hexdigest()) for i, t in
+             [(1, ""), (1, ""), (2, ONE), (2, ONE), (None, ""), (3, "\n".join([ONE] * 20_000))]],
+            "page_id long, t string",
+        )
+    )
+    assert pages.where("false").select(html.extract()).count() == 0
+
+
 def test_stretches_begin_at_a_surge_and_end_at_a_dive():
     assert html.stretches([5, 0, 0, 0, 100, 10, 0, 0, 0, 3]) == [(4, 5)]
     assert html.stretches([]) == []
