@@ -66,6 +66,6 @@ def numbered(df: DataFrame, order: Sequence[Column], path: str, number: str) ->
     )
 
 
-def hex_fraction(text: Column) -> Column:
-    """A number in [0, 1) from the first 48 bits of a text's MD5."""
-    return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
+def hex_fraction(digest: Column) -> Column:
+    """A number in [0, 1) from the first 48 bits of a hexadecimal digest."""
+    return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))

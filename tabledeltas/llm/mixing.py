@@ -6,8 +6,10 @@ once more with a probability equal to the fraction of the rate.
 
 * Sources are ranked by code point, null last, and take the weights in turn. A target never
   exceeds ``cap`` times the words of its source; what is over is shared again by weight.
-* The extra copy is drawn from an MD5 of seed, id, source and text: reruns agree, and rows that
-  are equal in all of them share one decision.
+* The extra copy is drawn from an MD5 of seed, id, source and text: reruns agree. Rows equal in
+  all of them are counted, and where there are such, numbered: each draws for itself, from the
+  same MD5 and its number. Which of them gets which number follows the other columns; rows equal
+  in these as well are interchangeable. The numbering deals out a hot row like any other rows.
 * A null or blank text has no words; it is emitted at its source's rate like any other. A
   source without words gets the target 0 and emits nothing.
 * An empty table gives an empty mix. Further columns are carried along, whatever their names.
@@ -116,7 +118,8 @@ def plan_mix(
         F.col(names["source_size"]) > 0,
         F.col(names["target"]) / F.col(names["source_size"]),
     ).otherwise(F.lit(0.0))
-    sized = docs.withColumns({names["size"]: word_count(text_column), rate: hex_fraction(key)})
+    sized = docs.withColumns({names["size"]: word_count(text_column), rate: F.md5(key)})
+    sized = _draw_apart(sized, rate, docs.columns).withColumn(rate, hex_fraction(F.col(rate)))
     joined = sized.join(
         targets, F.col(source_column).cast("string").eqNullSafe(F.col(of_source)), "left"
     )
@@ -124,6 +127,28 @@ def plan_mix(
     return joined.withColumn(names["copies"], copies).drop(of_source, rate), names
 
 
+def _draw_apart(rows: DataFrame, drawn: str, columns: Sequence[str]) -> DataFrame:
+    """Give repeated values of the column ``drawn`` new ones, each its own: all but the first of
+    them the MD5 of value and number."""
+    folder = working_folder(rows.sparkSession)
+    own = [F.col(f"`{c}`") for c in rows.columns]
+    twin, row, number, first = fresh(rows, "_twin", "_row", "_number", "_first")
+    repeated = rows.groupBy(drawn).agg(F.count(F.lit(1)).alias(twin)).where(F.col(twin) > 1)
+    repeated = saved(repeated, f"{folder}/repeated")
+    if repeated.isEmpty():
+        return rows
+    marked = rows.join(repeated, drawn, "left").select(*own, twin)
+    alike = marked.where(F.col(twin).isNotNull()).withColumn(row, F.monotonically_increasing_id())
+    others = F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns])))
+    placed = numbered(alike, [F.col(drawn), others, F.col(row)], f"{folder}/alike", number)
+    least = placed.groupBy(drawn).agg(F.min(number).alias(first))
+    place = F.col(number) - F.col(first)
+    again = F.md5(F.concat_ws("|", drawn, place.cast("string")))
+    placed = placed.join(least, drawn).withColumn(drawn, F.when(place == 0, F.col(drawn)).otherwise(again))
+    alone = marked.where(F.col(twin).isNull())
+    return alone.select(*own).unionByName(placed.select(*own))
+
+
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: every document as often as planned, with the columns it came with."""
     planned, names = plan_mix(docs, **options)

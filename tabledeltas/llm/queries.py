@@ -71,10 +71,10 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 
 def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    rows = saved(
-        docs.select("doc_id", *sharding.facts(docs)).withColumn("row", F.monotonically_increasing_id()),
-        f"{working_folder(spark)}/rows",
-    )
+    folder = working_folder(spark)
+    facts = docs.select("doc_id", *sharding.facts(docs))
+    known_by = [F.coalesce("doc_id", F.lit(-1)), F.col("doc_id").isNull(), F.col("key")]
+    rows = saved(sharding.ranked(facts, known_by, f"{folder}/ranked"), f"{folder}/rows")
     placed = sharding.assign(rows.select("row", "key"))
     return rows.join(placed, "row").select(
         "doc_id",
@@ -157,12 +157,19 @@ def op10_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP10_SQL = r"""
-WITH d AS (
+WITH e AS (
   SELECT doc_id, source,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5('0|' || coalesce(doc_id::VARCHAR, '') || '|' || coalesce(source, '')
-           || '|' || coalesce(text, '')), 1, 12))::BIGINT::DOUBLE / 281474976710656.0 AS u
+         md5('0|' || coalesce(doc_id::VARCHAR, '') || '|' || coalesce(source, '')
+           || '|' || coalesce(text, '')) AS drawn
   FROM documents
+), n AS (
+  SELECT *, row_number() OVER (PARTITION BY drawn ORDER BY source, size) - 1 AS number FROM e
+), d AS (
+  SELECT doc_id, source, size,
+         ('0x' || substr(CASE WHEN number = 0 THEN drawn ELSE md5(drawn || '|' || number) END, 1, 12)
+         )::BIGINT::DOUBLE / 281474976710656.0 AS u
+  FROM n
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
 ), w AS (

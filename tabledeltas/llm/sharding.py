@@ -2,31 +2,42 @@
 
 Documents with a key in common are linked. Every document starts in a shard of its own hash's
 choice; in each round joins count every key's members per shard, and a document moves to the
-shard that holds most of its neighbours, itself included, of those that are not overfull, as far
-as the quota of that shard admits (whole groups at a time, chosen by hash). Groups larger than a shard are split into parts
-that fit, and the few parts that are large beside a shard are placed first, largest to the
-emptiest shard. Documents without neighbours fill what is left.
+shard that holds most of its neighbours, itself included, of those that still have room, as far
+as the quota of that shard admits: whole groups at a time, chosen by hash. A group that is
+refused finds its next best shard in a later round. The quota leaves ``SLACK`` over an even
+share, so that there is always room somewhere, and the rounds go on until nobody moves. Groups
+larger than a shard are split into parts that fit, and the few parts that are large beside a
+shard are placed first, largest to the emptiest shard. Documents without neighbours fill what is
+left.
 
 Last the shares are made exact: documents are numbered along the shards' labels and cut into
 runs whose counts are at most one apart. Unlinked documents lie around each cut, so that a cut
-rarely divides a group.
+rarely divides a group; where all are linked, each of the cuts divides one group at most.
 
 * The law is ``rows``: counts of any two shards differ by at most one, sizes are not regarded.
-* A null text is an empty one: it has size 1, CRC 0, and is linked to the empty texts.
-* Repeated rows are documents of their own. Reruns on the same table give the same shards as
-  long as Spark reads it in the same splits. An empty table gives no rows.
+* A null text is an empty one: it has size 1, CRC 0, and is linked to the empty texts. Texts of
+  any length are hashed in the task that reads them.
+* Repeated rows are documents of their own, linked by their text. Ties go by hash.
+* All choices follow from id and text, or what else a row is known by, and from the order of
+  those hashes: reruns give the same shards however Spark splits the table. Only rows equal in
+  both may change places. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabledeltas.llm.common import numbered, saved, working_folder
+from tabledeltas.llm.common import fresh, numbered, saved, working_folder
 
-SHARDS, ROUNDS = 8, 8
+SHARDS = 8
+#: How far a shard may be over an even share before the shares are made exact.
+SLACK = 0.05
+#: Rounds after which what still moves is let in without a quota. Not seen: groups settle in ten.
+ROUNDS = 64
 #: A part of a group is large from this fraction of a shard on: so at most SHARDS * LARGE are.
 LARGE = 16
 
@@ -45,10 +56,9 @@ def _counts(df: DataFrame, shard: Column | str, shards: int) -> list[int]:
     return [found.get(s, 0) for s in range(shards)]
 
 
-def propagate(
-    links: DataFrame, room: list[float], folder: str, shards: int = SHARDS, rounds: int = ROUNDS
-) -> DataFrame:
-    """``row, shard`` for the rows of ``row, key`` links, at most about ``room`` rows a shard."""
+def propagate(links: DataFrame, room: list[float], folder: str, shards: int = SHARDS) -> DataFrame:
+    """``row, shard`` for the rows of ``row, key`` links, about ``room`` rows a shard at most, of
+    which together there must be more than rows."""
     labels = saved(
         links.select("row").distinct().withColumn(
             "shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int")
@@ -56,9 +66,9 @@ def propagate(
         f"{folder}/labels",
     )
     every = range(shards)
-    for turn in range(rounds):
+    for turn in range(ROUNDS + 1):
         now = _counts(labels, "shard", shards)
-        open_to = [s for s in every if now[s] <= room[s]] or list(every)
+        open_to = [s for s in every if now[s] < room[s]] or list(every)
         at = saved(links.join(labels, "row"), f"{folder}/at-{turn}")
         held = saved(
             at.groupBy("key").agg(
@@ -82,15 +92,19 @@ def propagate(
                 for s in open_to
             ])
         )
-        chosen = saved(
-            votes.select("row", "shard", "key", preferred["to"].alias("to")), f"{folder}/chosen-{turn}"
-        )
+        # a group that is together stays so, but where its shard is over its room
+        split = F.greatest(*[F.col(f"n{s}") for s in every]) < sum(F.col(f"n{s}") for s in every)
+        over = F.col("shard").isin([s for s in every if now[s] > room[s]])
+        wish = F.when(split | over, preferred["to"]).otherwise(F.col("shard")).alias("to")
+        chosen = saved(votes.select("row", "shard", "key", wish), f"{folder}/chosen-{turn}")
         moving = chosen.where(F.col("to") != F.col("shard"))
         wanted, leaving = _counts(moving, "to", shards), _counts(moving, "shard", shards)
         if not any(wanted):
             break
         quota = [
-            min(1.0, max(0.0, room[s] - now[s] + leaving[s]) / wanted[s]) if wanted[s] else 0.0
+            min(1.0, max(0.0, room[s] - now[s] + leaving[s]) / wanted[s])
+            if wanted[s] and turn < ROUNDS
+            else 1.0
             for s in every
         ]
         admitted = _fraction("key", F.lit(f"admit {turn}")) < _lookup(quota, F.col("to"))
@@ -112,9 +126,24 @@ def _place_large(sizes: list[tuple], shards: int) -> dict[tuple, int]:
     return places
 
 
-def assign(rows: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
-    """``row, shard, slot`` for a saved table of ``row, key``; ``slot`` counts from 0 in each
-    shard. Rows of equal key are linked."""
+def ranked(rows: DataFrame, known_by: Sequence[Column], path: str) -> DataFrame:
+    """``rows`` with ``row``, their place in the order of a hash of ``known_by``: a number that
+    does not depend on how Spark splits the table."""
+    first, second, tie = fresh(rows, "_first", "_second", "_tie")
+    hashed = rows.withColumns(
+        {
+            first: F.xxhash64(*known_by),
+            second: F.xxhash64(*known_by, F.lit("again")),
+            tie: F.monotonically_increasing_id(),
+        }
+    )
+    order = [F.col(c) for c in (first, second, tie)]
+    return numbered(hashed, order, path, "row").drop(first, second, tie)
+
+
+def assign(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """``row, shard, slot`` for a saved table of ``row, key``, as ``ranked`` numbers it; ``slot``
+    counts from 0 in each shard. Rows of equal key are linked."""
     folder = working_folder(rows.sparkSession)
     n_rows = rows.count()
     share = max(1.0, n_rows / shards)
@@ -145,8 +174,8 @@ def assign(rows: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataF
     pinned = saved(pinned.select("row", "key", "part", "shard"), f"{folder}/pinned")
     load = _counts(pinned, "shard", shards)
     small = linked.where("NOT large").select("row", "key")
-    room = [max(0.0, share - n) for n in load]
-    moved = propagate(small, room, folder, shards, rounds)
+    room = [max(0.0, share * (1 + SLACK) - n) for n in load]
+    moved = propagate(small, room, folder, shards)
     labelled = pinned.union(
         small.join(moved, "row").select("row", "key", F.lit(0).alias("part"), "shard")
     )
