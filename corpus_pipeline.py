@@ -49,13 +49,15 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with its shard and its place in it; copies stay together."""
     shard, slot = fresh(docs, "shard", "slot")
+    folder = working_folder(spark)
     key = F.xxhash64(F.coalesce("text", F.lit(""))).alias("key")
-    rows = saved(
-        docs.select(F.struct("*").alias("doc"), key).withColumn("row", F.monotonically_increasing_id()),
-        f"{working_folder(spark)}/documents",
-    )
-    placed = sharding.assign(rows.select("row", "key"))
-    return rows.join(placed, "row").select(
+    rows = docs.select(F.struct("*").alias("doc"), key, F.col("doc_id").isNull().alias("nameless"))
+    rows = saved(rows.withColumn("at", F.monotonically_increasing_id()), f"{folder}/documents")
+    known_by = [F.coalesce("doc_id", F.lit(-1)), F.col("nameless"), F.col("key")]
+    known = rows.select("at", "key", "nameless", F.col("doc.doc_id").alias("doc_id"))
+    ranked = saved(sharding.ranked(known, known_by, f"{folder}/ranked"), f"{folder}/rows")
+    placed = ranked.select("at", "row").join(sharding.assign(ranked.select("row", "key")), "row")
+    return rows.join(placed.select("at", "shard", "slot"), "at").select(
         "doc.*", F.col("shard").alias(shard), F.col("slot").alias(slot)
     )
 
