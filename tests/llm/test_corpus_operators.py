@@ -5,6 +5,7 @@ import hashlib
 import random
 import time
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -23,6 +24,7 @@ from tabledeltas.llm import (
     warc,
 )
 from tabledeltas.llm.common import saved, working_folder
+from tabledeltas.llm.queries import ORACLE, QUERIES
 
 
 def plain(df):
@@ -389,6 +391,38 @@ def test_a_group_of_a_third_is_split_no_more_than_needed(spark):
     assert sum(len(s) > 1 for k, s in shards.items() if k >= 0) <= 7
 
 
+def test_fully_linked_groups_are_cut_once_a_shard_at_most(spark):
+    """No row is without neighbours, so there is nothing to fill the shards up with."""
+    df = spark.range(8000).select((F.col("id") % 1300).alias("key"))
+    out = shards_of(df)
+    groups = collections.defaultdict(set)
+    for r in out:
+        groups[r["key"]].add(r["shard"])
+    assert sum(len(s) > 1 for s in groups.values()) <= 7
+    assert set(collections.Counter(r["shard"] for r in out).values()) == {1000}
+
+
+def test_propagation_leaves_no_group_split(spark):
+    """Whole groups, within the slack, before the shares are made exact."""
+    df = spark.range(8000).select(F.col("id").alias("row"), (F.col("id") % 1300).alias("key"))
+    folder = working_folder(spark)
+    moved = sharding.propagate(saved(df, f"{folder}/links"), [1050.0] * 8, folder)
+    split = df.join(moved, "row").groupBy("key").agg(F.count_distinct("shard").alias("n")).where("n > 1")
+    assert split.isEmpty()
+    sizes = dict(moved.groupBy("shard").count().collect())
+    assert sum(sizes.values()) == 8000 and max(sizes.values()) <= 1.1 * 1050
+
+
+def test_shards_do_not_depend_on_the_splits_of_the_table(spark, small, tmp_path):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    docs = docs.union(docs.where("doc_id % 9 = 0"))  # repeated rows, too
+    found = []
+    for n in (1, 7):
+        docs.repartition(n).write.parquet(f"{tmp_path}/{n}/documents.parquet")
+        found.append(plain(QUERIES["op4_shards"](spark, f"{tmp_path}/{n}")))
+    assert found[0] == found[1]
+
+
 def test_shards_of_odd_tables(odd_docs, no_docs):
     rows = odd_docs.select(*sharding.facts(odd_docs))
     assert [r["size"] for r in rows.where("size = 1").collect()] == [1, 1, 1]
@@ -658,6 +692,34 @@ def test_targets_are_capped_and_shared(spark):
     assert found["b"] == found[None] == (2000 - 45) / 2
 
 
+def test_equal_rows_draw_for_themselves(spark):
+    """A thousand equal rows at a rate of 2.83: most of them once more, not all or none."""
+    row = (7, "one two", "en", "a", 1)
+    other = [(i + 100, "word " * 5, "en", "b", 1) for i in range(3000)]
+    docs = spark.createDataFrame([row] * 1000 + other, "doc_id long, text string, lang string, source string, n_chars int")
+    docs = docs.withColumns({"_number": F.lit(1), "_twin": F.col("lang")})
+    taken = []
+    for parts in (1, 7):
+        planned, names = mixing.plan_mix(docs.repartition(parts))
+        rows = planned.select("doc_id", F.col(names["copies"]).alias("n"), F.col(names["target"]).alias("t")).collect()
+        assert len(rows) == 4000
+        taken.append(sorted((r["doc_id"], r["n"]) for r in rows))
+        wanted = next(r["t"] for r in rows if r["doc_id"] == 7)
+        assert abs(2 * sum(r["n"] for r in rows if r["doc_id"] == 7) - wanted) < 0.05 * wanted
+    assert taken[0] == taken[1]
+
+
+def test_mix_of_repeated_rows_equals_its_twin(spark, small, tmp_path):
+    docs = spark.read.parquet(f"{small}/documents.parquet").where("doc_id < 60")
+    more = docs.where("doc_id < 20").crossJoin(spark.range(40)).drop("id")
+    docs.union(more).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{tmp_path}/documents.parquet").coalesce(1).write.parquet(f"{tmp_path}/one")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/one/*.parquet'")
+    wanted = con.sql(f"SELECT doc_id, size, source_size, target, taken FROM ({ORACLE['op10_mix_to_weights']}) q")
+    assert plain(QUERIES["op10_mix_to_weights"](spark, str(tmp_path))) == collections.Counter(wanted.fetchall())
+
+
 def test_mix_of_odd_tables(odd_docs, no_docs):
     first, again = mixing.mix(odd_docs), mixing.mix(odd_docs)
     assert first.columns == odd_docs.columns
