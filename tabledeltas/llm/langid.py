@@ -12,8 +12,9 @@ out where no other language gains half a penalty anywhere over the best one: no
 for its switches then.
 
 * The model is learned from at most ``per_language`` distinct texts of each language (in
-  expectation; chosen by a hash of the text). Counting is done by Spark; the driver gets at most
-  ``SLOTS`` sums per language.
+  expectation; chosen by a hash of the text). Counting is done by Spark. The driver gets, and
+  sends out, what the trigrams met take; a column of labels so varied that this is more than
+  ``MODEL_BYTES`` is refused with an error before anything is collected.
 * A text that is null or has no letter is labelled ``und`` with score 0 and no span, as is
   every text if nothing was learned. A text in a script no language uses gets the first
   learned language, with score 0.
@@ -32,6 +33,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabledeltas.llm.common import saved, working_folder
+
 PER_LANGUAGE = 3000
 UNKNOWN = "und"
 SLOTS = 1 << 18
@@ -41,6 +44,8 @@ SWITCH = 12.0
 OUTSIDE = 40.0
 #: Share of a language's letters in a script from which it is a candidate there.
 SHARE = 0.01
+#: What the counts, and the model made of them, may take.
+MODEL_BYTES = 256 * 1024 * 1024
 #: Code points scored at once.
 PIECE = 1 << 19
 
@@ -77,18 +82,19 @@ def _letters() -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    """Trigram scores ``[slot, language]``, centred over the languages, the languages that are
-    candidates in a script ``[script, language]``, and whether a slot was met in training."""
+    """Trigram scores ``[place, language]``, centred over the languages, the languages that are
+    candidates in a script ``[script, language]``, and the place of each slot's scores: 0, a row
+    of zeros, for those not met in training."""
 
     languages: list[str] = field(default_factory=list)
     scores: np.ndarray | None = None
     candidates: np.ndarray | None = None
-    seen: np.ndarray | None = None
+    place: np.ndarray | None = None
 
     @property
     def learned(self) -> bool:
         """Whether there is anything to judge a text by."""
-        return self.seen is not None and bool(self.seen.any())
+        return self.place is not None and bool(self.place.any())
 
 
 def _lower(text: str) -> str:
@@ -132,6 +138,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     languages = sorted(rows)
     if not languages:
         return Model()
+    folder = working_folder(docs.sparkSession)
     place = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     share = F.element_at(
         F.create_map(*[F.lit(x) for l in languages for x in (l, min(1.0, per_language / rows[l]))]),
@@ -163,18 +170,31 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
         sample.mapInPandas(count, "lang string, slot long, n long")
         .groupBy("lang", "slot")
         .agg(F.sum("n").alias("n"))
-        .toPandas()
     )
-    n = np.zeros((SLOTS + len(SCRIPTS), len(languages)))
+    counted = saved(counted, f"{folder}/counted")
+    of_counts, met = counted.agg(F.count(F.lit(1)), F.count_distinct("slot")).first()
+    needed = max(of_counts * 24, met * len(languages) * 8)
+    if needed > MODEL_BYTES:
+        raise ValueError(
+            f"{len(languages)} languages need a model of {needed} bytes, more than {MODEL_BYTES}: "
+            "is the language column one?"
+        )
+    counted = counted.toPandas()
     column = counted["lang"].map({l: i for i, l in enumerate(languages)}).to_numpy(np.int64)
-    n[counted["slot"].to_numpy(np.int64), column] = counted["n"]
-    grams, in_script = n[:SLOTS], n[SLOTS:]
-    seen = grams.any(axis=1)
-    scores = np.log((grams + 0.5) / (grams.sum(axis=0) + 0.5 * max(1, int(seen.sum()))))
+    slot = counted["slot"].to_numpy(np.int64)
+    of_script = slot >= SLOTS
+    in_script = np.zeros((len(SCRIPTS), len(languages)))
+    in_script[slot[of_script] - SLOTS, column[of_script]] = counted["n"][of_script]
+    seen, at = np.unique(slot[~of_script], return_inverse=True)
+    grams = np.zeros((len(seen), len(languages)))
+    grams[at, column[~of_script]] = counted["n"][~of_script]
+    scores = np.log((grams + 0.5) / (grams.sum(axis=0) + 0.5 * max(1, len(seen))))
     scores -= scores.mean(axis=1, keepdims=True)
-    scores[~seen] = 0
+    scores = np.vstack([np.zeros((1, len(languages))), scores]).astype(np.float32)
+    of_slot = np.zeros(SLOTS, dtype=np.int32)
+    of_slot[seen] = np.arange(1, len(seen) + 1)
     shares = in_script / np.maximum(1, in_script.sum(axis=0))
-    return Model(languages, scores.astype(np.float32), shares >= SHARE, seen)
+    return Model(languages, scores, shares >= SHARE, of_slot)
 
 
 def _words(text: str, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -183,11 +203,12 @@ def _words(text: str, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     script that not all languages use. Scores do not tell: those of a single language are 0."""
     at, own, slots = _grams(text)
     first = np.flatnonzero(np.diff(at, prepend=-2) > 1)
-    score = np.add.reduceat(model.scores[slots], first, axis=0) if len(first) else np.zeros((0, len(model.languages)), np.float32)
+    places = model.place[slots]
+    score = np.add.reduceat(model.scores[places], first, axis=0) if len(first) else np.zeros((0, len(model.languages)), np.float32)
     of_word = model.candidates[_letters()[1][own[first]]]
     score -= OUTSIDE * (~of_word)
     score[~of_word.any(axis=1)] = 0
-    met = np.logical_or.reduceat(model.seen[slots], first) if len(first) else np.zeros(0, bool)
+    met = np.logical_or.reduceat(places > 0, first) if len(first) else np.zeros(0, bool)
     evident = of_word.any(axis=1) & (met | ~of_word.all(axis=1))
     return at[first], np.diff(first, append=len(at)), score, evident
 
@@ -286,7 +307,7 @@ def label(model: Model, spark, text_column: str = "text", penalty: float = SWITC
     """A struct per text: ``lang_pred``, ``score`` (the share of its letters that lie in its
     spans and give evidence), the spans (``starts``, ``ends`` in code points, ``langs``) and
     ``evident`` (the share of its letters that give evidence in spans of any language)."""
-    shared = spark.sparkContext.broadcast(model)  # at most SLOTS rows, whatever the input
+    shared = spark.sparkContext.broadcast(model)  # at most MODEL_BYTES, whatever the input
 
     @F.pandas_udf(LABEL)
     def labelled(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

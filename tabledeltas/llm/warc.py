@@ -10,13 +10,17 @@ store and is read back in splits.
 * Rows that repeat the response's id as well as its payload stay responses; a null id loses to
   any other.
 * White space, control characters and line separators in an address become ``%20``.
-* A payload that holds a record's first line would split the archive wrongly; it is stored as
-  base64, which its HTTP head says. Digest and length are those of the payload itself.
+* A payload that holds a record's first line would split the archive wrongly; it is stored in
+  chunks, which its HTTP head says, each ending within such a line. Any reader of HTTP puts them
+  together again. Digest and length are those of the payload itself.
+* Very long payloads are bounded by what a Spark text may hold, 2 GB, head included. Of equal
+  ids the greater address is the response's. Repeated rows are records of their own.
 * An empty table gives an empty archive. Further columns are ignored.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +48,34 @@ def _address(url: Column) -> Column:
     return F.regexp_replace(url, r"[\x00-\x20\x7f\x{85}\x{2028}\x{2029}]", "%20")
 
 
+def _chunked(payload: Column) -> Column:
+    """HTTP chunks that end within every version mark."""
+    chunk = F.split(payload, r"(?<=WARC)(?=/1\.1)")
+    sized = F.transform(
+        chunk, lambda c: F.concat(F.lower(F.hex(F.octet_length(c))), F.lit(CRLF), c, F.lit(CRLF))
+    )
+    return F.concat(F.array_join(sized, ""), F.lit(f"0{END}"))
+
+
+def _content(body: bytes | None) -> bytes | None:
+    """What HTTP chunks hold; null for what is not sent in them."""
+    if body is None:
+        return None
+    at, parts = 0, []
+    while size := int(body[at : (head := body.index(b"\r\n", at))].split(b";")[0], 16):
+        parts.append(body[head + 2 : head + 2 + size])
+        at = head + 4 + size
+    return b"".join(parts)
+
+
+def _joined(stored: Column) -> Column:
+    @F.pandas_udf("binary")
+    def joined(bodies: pd.Series) -> pd.Series:
+        return bodies.map(_content)
+
+    return joined(stored)
+
+
 def resolve_revisits(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """``page_id, url, payload, n_bytes, digest`` of every page, and in ``original`` the id and
     address of the response it revisits, or null. Payloads are not shuffled where the repeated
@@ -80,11 +112,12 @@ def write_archives(
     records = resolve_revisits(pages, least_bytes)
     revisit = F.col("original").isNotNull()
     torn = F.col("payload").contains(FIRST_LINE)
-    body = F.when(revisit, F.lit("")).when(torn, F.base64("payload")).otherwise(F.col("payload"))
+    body = F.when(revisit, F.lit("")).when(torn, _chunked(F.col("payload"))).otherwise(F.col("payload"))
     http = F.concat(
         F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}"),
-        F.when(torn & ~revisit, F.lit(f"Content-Transfer-Encoding: base64{CRLF}")).otherwise(""),
-        _line("Content-Length", F.col("n_bytes").cast("string")),
+        F.when(torn & ~revisit, F.lit(f"Transfer-Encoding: chunked{CRLF}")).otherwise(
+            _line("Content-Length", F.col("n_bytes").cast("string"))
+        ),
         F.lit(CRLF),
     )
     block = F.concat(http, body)
@@ -136,8 +169,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     )
     kind = field("head", "WARC-Type")
     stated = F.regexp_replace(field("head", "WARC-Payload-Digest"), "^sha1:", "")
-    encoded = field("http", "Content-Transfer-Encoding").eqNullSafe("base64")
-    payload = F.when(encoded, F.unbase64(F.decode("stored", "utf-8"))).otherwise(F.col("stored"))
+    chunked = field("http", "Transfer-Encoding").eqNullSafe("chunked")
+    payload = F.when(chunked, _joined(F.when(chunked, F.col("stored")))).otherwise(F.col("stored"))
     records = parts.select(
         urn("WARC-Record-ID").alias("record_id"),
         field("head", "WARC-Target-URI").alias("url"),
