@@ -1,9 +1,14 @@
 """Odd tables through every operator, and the parts that need a closer look."""
 
 import collections
+import glob
 import hashlib
+import http.client
+import io
+import itertools
 import random
 import time
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -339,6 +344,35 @@ def test_pieces_of_a_long_text(model, monkeypatch):
     assert langid._label_all([text], model, langid.SWITCH)[0][:2] == whole[0][:2]
 
 
+def test_a_column_of_too_many_languages_is_refused(spark, monkeypatch):
+    docs = spark.range(400).select(F.concat(F.lit("some words of text "), "id").alias("text"), F.concat(F.lit("l"), "id").alias("lang"))
+    monkeypatch.setattr(langid, "MODEL_BYTES", 50_000)
+    with pytest.raises(ValueError, match="400 languages need a model of"):
+        langid.train(docs)
+
+
+def best_by_all_paths(scores, penalty):
+    """The greatest score of any path, by trying all."""
+    n, k = len(scores), len(scores[0])
+    return max(
+        sum(scores[i][path[i]] for i in range(n)) - penalty * sum(a != b for a, b in zip(path, path[1:]))
+        for path in itertools.product(range(k), repeat=n)
+    )
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_viterbi_equals_all_paths(seed):
+    """Also where neighbouring words are merged and where the pass is left out."""
+    rng = random.Random(seed)
+    n, k, penalty = rng.randint(1, 7), rng.randint(1, 3), rng.choice([0.5, 2.0, 12.0])
+    scores = [[round(rng.gauss(0, rng.choice([0.1, 3, 10])), 2) for _ in range(k)] for _ in range(n)]
+    first, path = langid._path(np.array(scores), penalty)
+    labels = np.repeat(path, np.diff(np.append(first, n)))
+    got = sum(s[l] for s, l in zip(scores, labels)) - penalty * (len(path) - 1)
+    assert all(a != b for a, b in zip(path, path[1:]))
+    assert got == pytest.approx(best_by_all_paths(scores, penalty), abs=1e-9)
+
+
 # 3. top k
 
 
@@ -528,6 +562,30 @@ def test_near_duplicates_of_odd_tables(odd_docs, no_docs):
 # 7. WARC
 
 
+def through_http(response):
+    """The body of a response as Python's own reader takes it."""
+
+    class Socket:
+        def makefile(self, *_):
+            return io.BytesIO(response)
+
+    found = http.client.HTTPResponse(Socket())
+    found.begin()
+    return found.read()
+
+
+def test_chunks_of_payloads_that_look_like_chunks(spark):
+    """Payloads with several marks, with what a chunk's head looks like, and marks at their ends."""
+    mark = "WARC/1.1\r\n"
+    payloads = [mark, mark * 3, f"a\r\n\r\n{mark}5\r\nWARC\r\n1a\r\n/1.1{mark}", f"é{mark}0\r\n\r\n{mark}", f"WARC/1.1{mark}/1.1"]
+    pages = spark.createDataFrame(list(enumerate(payloads)), "page_id long, html string").withColumn("url", F.lit("u"))
+    path = f"{working_folder(spark)}/archives"
+    warc.write_archives(pages, path)
+    found = {int(r["record_id"]): r for r in warc.read_archives(spark, path).collect()}
+    assert [bytes(found[i]["payload"]).decode() for i in range(len(payloads))] == payloads
+    assert all(r["intact"] for r in found.values())
+
+
 def test_archives_of_odd_pages(spark):
     body = "é" * 600
     forged = "\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\n" + "z" * 1000
@@ -570,6 +628,9 @@ def test_archives_of_odd_pages(spark):
         ]
     )
     assert all(r["intact"] for r in records if r["payload"] is not None)
+    bodies = b"".join(Path(f).read_bytes() for f in glob.glob(f"{path}/part-*"))
+    at = bodies.index(b"Transfer-Encoding: chunked\r\n\r\n")
+    assert through_http(b"HTTP/1.1 200 OK\r\n" + bodies[at:]) == forged.encode()
     empty = f"{working_folder(spark)}/archives"
     warc.write_archives(pages.where("false"), empty)
     assert warc.read_archives(spark, empty).count() == 0
