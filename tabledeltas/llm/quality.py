@@ -32,7 +32,7 @@ from tabledeltas.llm.common import saved, working_folder
 
 LABELLED, FEATURES = 16000, 512
 #: Standard errors by which a token's log odds must differ from 0.
-CLEAR = 4.0
+CLEAR = 3.0
 RIDGE, STEPS = 0.3, 25
 #: Strength of a prior in documents, at least and at most.
 WEAKEST, STRONGEST = 1.0, 1e6
