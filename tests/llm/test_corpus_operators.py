@@ -686,6 +686,56 @@ def test_reordered_passages(spark):
     assert [r["doc_id"] for r in decontaminate.decontaminate(docs, items).collect()] == [4]
 
 
+def similarity(a, b):
+    """Of two word lists, by their weighted shingles."""
+
+    def shingles(words):
+        return collections.Counter(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4)))
+
+    x, y = shingles(a), shingles(b)
+    return sum((x & y).values()) / sum((x | y).values())
+
+
+def test_passages_equal_all_windows(spark):
+    """Passages with words changed, put in, left out or moved, against every window of every text."""
+    rng = random.Random(21)
+    items = {i: [f"v{rng.randint(0, 400)}" for _ in range(rng.randint(5, 60))] for i in range(8)}
+
+    def altered(words):
+        words, changes = list(words), rng.randint(0, 3)
+        for _ in range(changes):
+            at, kind = rng.randrange(len(words)), rng.randrange(4)
+            if kind == 0:
+                words[at] = "changed"
+            elif kind == 1:
+                words.insert(at, "added")
+            elif kind == 2 and len(words) > 5:
+                del words[at]
+            else:
+                words = words[at:] + words[:at]
+        return words
+
+    texts = {}
+    for d in range(120):
+        noise = [f"v{rng.randint(0, 400)}" for _ in range(rng.choice([0, 3, 80]))]
+        cut = rng.randint(0, len(noise))
+        texts[d] = noise[:cut] + altered(rng.choice(list(items.values()))) + noise[cut:]
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in texts.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in items.items()], "item_id long, text string")
+    found = decontaminate.find_passages(docs, bench)
+    pairs = docs.select("doc_id", F.md5("text").alias("text_key")).join(found, "text_key").collect()
+    wanted = {}
+    for d, words in texts.items():
+        for i, item in items.items():
+            starts = range(max(0, len(words) - len(item)) + 1)
+            best = max(similarity(words[p : p + len(item)], item) for p in starts)
+            if best >= 0.8:
+                wanted[d, i] = best
+    assert {(r["doc_id"], r["item_id"]) for r in pairs} == set(wanted) and 40 < len(wanted) < 110
+    for r in pairs:
+        assert r["similarity"] == pytest.approx(wanted[r["doc_id"], r["item_id"]])
+
+
 def test_starts_equal_brute_force(spark):
     rng = random.Random(8)
     rows = []
@@ -731,6 +781,20 @@ def test_posteriors_shrink_sparse_sites(spark):
     assert len(out) == 401
 
 
+def test_labels_of_rows_not_fitted(spark, small):
+    """Half of the labels are learned from; the other half is foretold."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    labels = spark.read.parquet(f"{small}/labels.parquet")
+    learned = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    out = quality.classify(docs, labels.where(learned), F.col("source"), F.col("lang"))
+    rows = out.select("doc_id", "p_quality", "p_toxic").join(labels.where(~learned), "doc_id").collect()
+    assert len(rows) > 50
+    assert sum((r["p_quality"] >= 0.5) == bool(r["quality"]) for r in rows) >= 0.9 * len(rows)
+    toxic = [r["p_toxic"] >= 0.5 for r in rows if r["toxic"]]
+    assert sum(toxic) >= 0.6 * len(toxic) > 10
+    assert not any(r["p_toxic"] >= 0.5 for r in rows if not r["toxic"])
+
+
 def test_quality_of_odd_tables(spark, odd_docs, no_docs):
     labels = spark.createDataFrame(
         [(1, 1, 0), (1, 0, None), (4, 0, 0), (None, 1, 1), (6, None, 1)], "doc_id long, quality int, toxic int"
