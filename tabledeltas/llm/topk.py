@@ -8,7 +8,8 @@ keeps the best k, and the blocks' best are merged in two levels.
 Every candidate block meets every block of queries, in groups of bounded size: nothing grows
 with the data but the number of groups.
 
-* Weights are ``floor(scale * x)``; scores are exact while they fit into 64 bits.
+* Weights are ``floor(scale * x)``. Scores are exact integers; components so large that one might
+  not fit into 64 bits fail the search.
 * A vector that is null or holds a null or non-finite component takes no part, as query or as
   candidate. Vectors of different lengths meet on the terms they share; an empty one scores 0.
 * Ties go to the smaller id. A query never meets rows of its own id. A repeated candidate row
@@ -33,6 +34,8 @@ from tabledeltas.llm.common import saved, working_folder
 #: Rows of a block: a group holds one block of each, some ten MB.
 CANDIDATES, QUERIES = 4096, 1024
 MERGE = 64
+#: Bound of scores, with room for what the bound itself is rounded by.
+LARGEST = 2.0**62
 PARTIAL = "query_row long, query_id long, block int, vec_id long, score long"
 
 
@@ -56,6 +59,13 @@ def _matrix(rows: list) -> np.ndarray:
     return out
 
 
+def _check_bounds(asked: np.ndarray, held: np.ndarray) -> None:
+    terms = min(asked.shape[1], held.shape[1])
+    most = np.abs(held[:, :terms].astype(float)).max(axis=0, initial=0)
+    if (np.abs(asked[:, :terms].astype(float)) @ most).max(initial=0) >= LARGEST:
+        raise OverflowError("an inner product may not fit into 64 bits: lower the scale")
+
+
 def _accumulate(k: int):
     def best(pair: pd.DataFrame) -> pd.DataFrame:
         asked, held = pair[pair["asked"]], pair[~pair["asked"]].sort_values("vec_id")
@@ -63,6 +73,7 @@ def _accumulate(k: int):
         if len(asked) and len(held):
             ids = held["vec_id"].to_numpy(np.int64)
             weights = _matrix(held["terms"].tolist())
+            _check_bounds(_matrix(asked["terms"].tolist()), weights)
             postings = [
                 (at := np.flatnonzero(weights[:, t]), weights[at, t])
                 for t in range(weights.shape[1])
