@@ -395,6 +395,15 @@ def test_top_k_of_odd_vectors(spark, monkeypatch):
     assert topk.search(df.where("false"), F.lit(True), k=5).count() == 0
 
 
+def test_scores_beyond_64_bits_fail(spark):
+    rows = [(0, [1e9, 1e9]), (1, [2e9, 1e9])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="64 bits"):
+        topk.search(df, F.col("vec_id") == 0, k=1).collect()
+    found = topk.search(df, F.col("vec_id") == 0, k=1, scale=1).collect()
+    assert [r["score"] for r in found] == [3 * 10**18]
+
+
 # 4. shards
 
 
