@@ -155,7 +155,7 @@ def run_query(
         )
     mark(spark, store, [saved], STAGED)
     feed = _finish(spark, store, prior, saved, sink, null_safe)
-    retire_snapshots(spark, store, max(2, keep))
+    retire_snapshots(spark, store, max(2, keep), [*state.committed, *state.staged, saved])
     return Run(run_ts, saved, feed, state.staged)
 
 

@@ -133,11 +133,16 @@ def manifest(spark: SparkSession, store: SnapshotStore) -> DataFrame:
 class StoreState:
     """Where the runs of a query stand."""
 
-    prior: Snapshot | None  # newest committed: what the next run is compared with
+    committed: tuple[Snapshot, ...]  # not retired yet, oldest first
     last: datetime | None  # newest run that was not rejected
     staged: tuple[Snapshot, ...]  # saved but not committed; a crash leaves at most one
     refused: tuple[Snapshot, ...] = ()  # rejected since the newest commit
 
+    @property
+    def prior(self) -> Snapshot | None:
+        """The newest committed run: what the next one is compared with."""
+        return self.committed[-1] if self.committed else None
+
 
 def store_state(spark: SparkSession, store: SnapshotStore) -> StoreState:
     entry = F.struct("run_ts", "path", "rows", "key", "buckets", "schema", "attempt")
@@ -147,19 +152,20 @@ def store_state(spark: SparkSession, store: SnapshotStore) -> StoreState:
 
     states = manifest(spark, store)
     row = states.agg(
-        F.max_by(entry, only(COMMITTED, "run_ts")).alias("prior"),
+        # bounded by what is kept and the runs since results were last retired
+        F.sort_array(F.collect_list(only(COMMITTED, entry))).alias("committed"),
         F.max(F.when(F.col("status") != REJECTED, F.col("run_ts"))).alias("last"),
         F.sort_array(F.collect_list(only(STAGED, entry))).alias("staged"),
         F.max(only(REJECTED, "run_ts")).alias("refused"),
     ).first()
-    prior = _snapshot(row["prior"]) if row["prior"] is not None else None
-    refused = []
+    committed = tuple(_snapshot(r) for r in row["committed"])
+    prior, refused = committed[-1] if committed else None, []
     # An older run can no longer be tried again, so what is read does not grow with the query's age.
     if row["refused"] is not None and (prior is None or as_utc(row["refused"]) > prior.run_ts):
         since = F.lit(True) if prior is None else F.col("run_ts") > F.lit(prior.run_ts)
         refused = states.where((F.col("status") == REJECTED) & since).select(entry.alias("e")).collect()
     return StoreState(
-        prior,
+        committed,
         as_utc(row["last"]) if row["last"] is not None else None,
         tuple(_snapshot(r) for r in row["staged"]),
         tuple(_snapshot(r["e"]) for r in refused),
@@ -217,17 +223,22 @@ def load_snapshot(spark: SparkSession, snapshot: Snapshot) -> DataFrame:
     return read_bucketed(spark, snapshot.key, snapshot.path, snapshot.buckets, snapshot.schema)
 
 
-def retire_snapshots(spark: SparkSession, store: SnapshotStore, keep: int = 2) -> list[Snapshot]:
+def retire_snapshots(
+    spark: SparkSession,
+    store: SnapshotStore,
+    keep: int = 2,
+    committed: Sequence[Snapshot] | None = None,
+) -> list[Snapshot]:
     """Keep the ``keep`` newest committed runs; mark the others retired and drop their data.
 
     Every other directory older than the newest commit goes too: what a crash left behind
-    half-written or marked but not dropped, and rejected runs.
+    half-written or marked but not dropped, and rejected runs. ``committed`` are the committed
+    runs where the caller knows them.
     """
     if keep < 1:
         raise ValueError("at least the newest snapshot must be kept")
-    committed = manifest(spark, store).where(F.col("status") == COMMITTED)
-    # Bounded by keep and the runs since the last call, normally one.
-    runs = [_snapshot(r) for r in committed.orderBy(F.col("run_ts").desc()).collect()]
+    known = store_state(spark, store).committed if committed is None else committed
+    runs = sorted(known, key=lambda s: s.run_ts, reverse=True)
     kept, retired = runs[:keep], runs[keep:]
     if not kept:
         return []
