@@ -1,12 +1,13 @@
 """Exact top-k search by exhaustive term-at-a-time accumulation.
 
-A vector's components are terms. Within a task, candidates are a block of postings, one list of
-(candidate, weight) per term. A query takes its non-zero terms one at a time and scatters
-``query weight * posting weight`` into a dense score array over the block; a partition selection
-keeps the best k, and the blocks' best are merged in two levels.
+A vector's components are terms. Candidates stay where they are, in parts of bounded size, and a
+task takes a chunk of its part at a time as postings, one list of (candidate, weight) per term.
+Queries come to it by broadcast, in blocks of bounded bytes. A query takes its non-zero terms one
+at a time and scatters ``query weight * posting weight`` into a dense score array over the chunk;
+a partition selection keeps the best k, and the parts' best are merged in two levels.
 
-Every candidate block meets every block of queries, in groups of bounded size: nothing grows
-with the data but the number of groups.
+What is shuffled are the candidates once, when they are dealt into parts, and the best of every
+part. A block of queries is one job over all candidates, and is dropped after it.
 
 * Weights are ``floor(scale * x)``. Scores are exact integers; components so large that one might
   not fit into 64 bits fail the search.
@@ -25,18 +26,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tabledeltas.llm.common import saved, working_folder
 
-#: Rows of a block: a group holds one block of each, some ten MB.
-CANDIDATES, QUERIES = 4096, 1024
+#: Candidates of a part and of a chunk of it; bytes of the queries broadcast at once, about.
+PART, CHUNK, QUERY_BYTES = 1 << 18, 4096, 32 << 20
 MERGE = 64
 #: Bound of scores, with room for what the bound itself is rounded by.
 LARGEST = 2.0**62
-PARTIAL = "query_row long, query_id long, block int, vec_id long, score long"
+PARTIAL = "query_row long, query_id long, part int, vec_id long, score long"
 
 
 def quantised(vector: str, scale: int) -> Column:
@@ -59,42 +61,66 @@ def _matrix(rows: list) -> np.ndarray:
     return out
 
 
-def _check_bounds(asked: np.ndarray, held: np.ndarray) -> None:
-    terms = min(asked.shape[1], held.shape[1])
-    most = np.abs(held[:, :terms].astype(float)).max(axis=0, initial=0)
-    if (np.abs(asked[:, :terms].astype(float)) @ most).max(initial=0) >= LARGEST:
-        raise OverflowError("an inner product may not fit into 64 bits: lower the scale")
-
-
-def _accumulate(k: int):
-    def best(pair: pd.DataFrame) -> pd.DataFrame:
-        asked, held = pair[pair["asked"]], pair[~pair["asked"]].sort_values("vec_id")
-        out: list[tuple] = []
-        if len(asked) and len(held):
-            ids = held["vec_id"].to_numpy(np.int64)
-            weights = _matrix(held["terms"].tolist())
-            _check_bounds(_matrix(asked["terms"].tolist()), weights)
-            postings = [
-                (at := np.flatnonzero(weights[:, t]), weights[at, t])
-                for t in range(weights.shape[1])
-            ]
-            block = int(pair["c_block"].iloc[0])
-            for row, own, terms in zip(asked["row"], asked["vec_id"], asked["terms"]):
-                scores = np.zeros(len(ids), dtype=np.int64)
-                for t, q in enumerate(terms[: len(postings)]):
-                    if q:
-                        at, w = postings[t]
-                        scores[at] += np.int64(q) * w
-                own_rows = slice(*np.searchsorted(ids, [own, own + 1]))
-                places = np.delete(np.arange(len(ids)), own_rows)
-                left = scores[places]
-                if len(left) > k:
-                    least = np.partition(left, len(left) - k)[len(left) - k]
-                    places = places[left >= least]
-                    left = scores[places]
-                order = np.lexsort((ids[places], -left))[:k]
-                out += [(row, own, block, int(ids[p]), int(scores[p])) for p in places[order]]
-        return pd.DataFrame(out, columns=["query_row", "query_id", "block", "vec_id", "score"])
+class Leaders:
+    """The best k candidates so far of every query of a block."""
+
+    def __init__(self, queries: tuple[np.ndarray, np.ndarray, list[np.ndarray]], k: int):
+        self.rows, self.own, self.terms = queries
+        self.k = k
+        none = np.zeros(0, np.int64)
+        self.best = [(none, none)] * len(self.rows)
+
+    def meet(self, ids: np.ndarray, vectors: list) -> None:
+        """Score every query against a chunk of candidates."""
+        order = np.argsort(ids, kind="stable")
+        ids, weights = ids[order], _matrix([vectors[i] for i in order])
+        most = np.abs(weights.astype(float)).max(axis=0, initial=0)
+        postings = [
+            (at := np.flatnonzero(weights[:, t]), weights[at, t]) for t in range(weights.shape[1])
+        ]
+        for i, (own, terms) in enumerate(zip(self.own, self.terms)):
+            asked = terms[: len(postings)]
+            if np.abs(asked.astype(float)) @ most[: len(asked)] >= LARGEST:
+                raise OverflowError("an inner product may not fit into 64 bits: lower the scale")
+            scores = np.zeros(len(ids), dtype=np.int64)
+            for t in np.flatnonzero(asked):
+                at, w = postings[t]
+                scores[at] += asked[t] * w
+            self._keep(i, own, ids, scores)
+
+    def _keep(self, i: int, own: int, ids: np.ndarray, scores: np.ndarray) -> None:
+        first, last = np.searchsorted(ids, [own, own + 1])
+        if first < last:  # a query does not meet rows of its own id
+            ids, scores = np.delete(ids, np.s_[first:last]), np.delete(scores, np.s_[first:last])
+        if len(scores) > self.k:
+            least = np.partition(scores, len(scores) - self.k)[len(scores) - self.k]
+            ids, scores = ids[scores >= least], scores[scores >= least]
+        ids, scores = np.append(self.best[i][0], ids), np.append(self.best[i][1], scores)
+        order = np.lexsort((ids, -scores))[: self.k]
+        self.best[i] = ids[order], scores[order]
+
+    def table(self, part: int) -> pd.DataFrame:
+        n = [len(ids) for ids, _ in self.best]
+        none = [np.zeros(0, np.int64)]
+        return pd.DataFrame(
+            {
+                "query_row": np.repeat(self.rows, n),
+                "query_id": np.repeat(self.own, n),
+                "part": part,
+                "vec_id": np.concatenate([ids for ids, _ in self.best] + none),
+                "score": np.concatenate([scores for _, scores in self.best] + none),
+            }
+        )
+
+
+def _accumulate(shared: Broadcast, k: int, size: int):
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        leaders = Leaders(shared.value, k)
+        for batch in batches:
+            for at in range(0, len(batch), size):
+                chunk = batch.iloc[at : at + size]
+                leaders.meet(chunk["vec_id"].to_numpy(np.int64), chunk["terms"].tolist())
+        yield leaders.table(TaskContext.get().partitionId())
 
     return best
 
@@ -117,32 +143,32 @@ def search(
             quantised(vector_column, scale).alias("terms"),
             F.coalesce(is_query, F.lit(False)).alias("asks"),
         )
-        .withColumn("row", F.monotonically_increasing_id())
-    )
-    rows = saved(rows, f"{working_folder(spark)}/rows")
-    n, n_queries = rows.agg(F.count(F.lit(1)), F.count_if("asks")).first()
-    c_blocks = max(1, math.ceil(n / CANDIDATES))
-    q_blocks = max(1, math.ceil(n_queries / QUERIES))
-
-    def dealt(salt: int, blocks: int) -> Column:
-        return F.pmod(F.xxhash64("row", F.lit(salt)), F.lit(blocks)).cast("int")
-
-    def every(blocks: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-
-    columns = ["c_block", "q_block", "asked", "row", "vec_id", "terms"]
-    held = rows.withColumns({"c_block": dealt(1, c_blocks), "asked": F.lit(False)})
-    asked = rows.where("asks").withColumns({"q_block": dealt(2, q_blocks), "asked": F.lit(True)})
-    pairs = (
-        held.withColumn("q_block", every(q_blocks))
-        .select(*columns)
-        .union(asked.withColumn("c_block", every(c_blocks)).select(*columns))
     )
-    partial = pairs.groupBy("c_block", "q_block").applyInPandas(_accumulate(k), PARTIAL)
+    folder = working_folder(spark)
+    held_bytes = F.lit(8).cast("long") * F.size("terms") + 64
+    n, asked_bytes = rows.agg(F.count(F.lit(1)), F.sum(F.when(F.col("asks"), held_bytes))).first()
+    parts = max(spark.sparkContext.defaultParallelism, math.ceil(n / PART))
+    rows = rows.repartition(parts).withColumn("row", F.monotonically_increasing_id())
+    rows = saved(rows, f"{folder}/rows")
+    blocks = max(1, math.ceil((asked_bytes or 0) / QUERY_BYTES))
+    dealt = F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int")
+    asked = rows.where("asks").select("row", "vec_id", "terms", dealt.alias("block"))
+    asked.write.partitionBy("block").parquet(f"{folder}/queries")
+    asked = spark.read.schema(asked.schema).parquet(f"{folder}/queries")
 
     def leaders(df: DataFrame, *within: Column | str) -> DataFrame:
         order = Window.partitionBy(*within).orderBy(F.col("score").desc(), "vec_id")
         return df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
-    merged = leaders(partial, "query_row", (F.col("block") / MERGE).cast("int"))
-    return leaders(merged.drop("rank"), "query_row").select("query_id", "rank", "vec_id", "score")
+    for block in range(blocks):
+        queries = asked.where(F.col("block") == block).select("row", "vec_id", "terms").toPandas()
+        terms = [np.array(t, dtype=np.int64) for t in queries["terms"]]
+        ids = [queries[c].to_numpy(np.int64) for c in ("row", "vec_id")]
+        shared = spark.sparkContext.broadcast((*ids, terms))  # QUERY_BYTES, about
+        best_of_part = _accumulate(shared, k, CHUNK)
+        partial = rows.select("vec_id", "terms").mapInPandas(best_of_part, PARTIAL)
+        merged = leaders(partial, "query_row", (F.col("part") / MERGE).cast("int"))
+        best = leaders(merged.drop("rank"), "query_row").select("query_id", "rank", "vec_id", "score")
+        best.write.mode("append").parquet(f"{folder}/best")
+        shared.destroy()
+    return spark.read.schema(best.schema).parquet(f"{folder}/best")

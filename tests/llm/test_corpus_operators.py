@@ -377,8 +377,10 @@ def test_viterbi_equals_all_paths(seed):
 
 
 def test_top_k_of_odd_vectors(spark, monkeypatch):
-    monkeypatch.setattr(topk, "CANDIDATES", 4)
-    monkeypatch.setattr(topk, "QUERIES", 2)
+    monkeypatch.setattr(topk, "PART", 8)
+    monkeypatch.setattr(topk, "CHUNK", 4)
+    monkeypatch.setattr(topk, "QUERY_BYTES", 200)
+    monkeypatch.setattr(topk, "MERGE", 2)
     rng = random.Random(3)
     rows = [(i, [float(rng.randint(-2, 2)) for _ in range(4)]) for i in range(40)]
     rows += [(100, None), (101, [1.0, None]), (102, [float("nan")]), (103, [float("inf")]), (None, [1.0]), (50, [])]
