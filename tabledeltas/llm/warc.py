@@ -20,6 +20,7 @@ store and is read back in splits.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +34,11 @@ FIRST_LINE = VERSION + CRLF
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 URN = "urn:page:"
 LEAST_BYTES = 1000
+#: Bytes of the repeated headers that are broadcast as they are. Beyond that a filter of this
+#: many bits at most, ten a digest, tells which payloads have to be shuffled.
+BROADCAST_BYTES, FILTER_BITS, HASHES = 64 << 20, 1 << 30, 4
+#: Words of 64 bits that one row of the filter holds.
+FILTER_WORDS = 1 << 16
 
 
 def _line(name: str, value: Column) -> Column:
@@ -76,10 +82,50 @@ def _joined(stored: Column) -> Column:
     return joined(stored)
 
 
+def _slots(bits: int) -> list[Column]:
+    return [F.pmod(F.xxhash64("digest", F.lit(i)), F.lit(bits)) for i in range(HASHES)]
+
+
+def _filter_words(digests: DataFrame, bits: int) -> np.ndarray:
+    """A Bloom filter of the digests, its bits set by aggregation."""
+    slots = digests.select(F.explode(F.array(*_slots(bits))).alias("slot"))
+    words = slots.groupBy(F.shiftright("slot", 6).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, CAST(slot & 63 AS INT))")).alias("bits")
+    )
+
+    def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        packed = np.zeros(FILTER_WORDS, np.int64)
+        packed[rows["word"].to_numpy(np.int64) - key[0] * FILTER_WORDS] = rows["bits"]
+        return pd.DataFrame({"part": [key[0]], "packed": [packed.tobytes()]})
+
+    part = F.floor(F.col("word") / FILTER_WORDS).alias("part")
+    out = np.zeros((-(-bits // (64 * FILTER_WORDS)), FILTER_WORDS), np.int64)
+    for row in words.groupBy(part).applyInPandas(pack, "part long, packed binary").collect():
+        out[row["part"]] = np.frombuffer(row["packed"], np.int64)  # FILTER_BITS in all, at most
+    return out.ravel().view(np.uint64)
+
+
+def _may_be_repeated(repeated: DataFrame, n: int) -> Column:
+    """False only for digests that are not among the ``n`` repeated ones."""
+    bits = min(FILTER_BITS, 1 << max(6, (10 * n).bit_length()))
+    words = repeated.sparkSession.sparkContext.broadcast(_filter_words(repeated, bits))
+
+    @F.pandas_udf("boolean")
+    def held(*slots: pd.Series) -> pd.Series:
+        found = np.ones(len(slots[0]), bool)
+        for slot in slots:
+            at = slot.to_numpy(np.int64)
+            found &= (words.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+        return pd.Series(found)
+
+    return held(*_slots(bits))
+
+
 def resolve_revisits(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """``page_id, url, payload, n_bytes, digest`` of every page, and in ``original`` the id and
     address of the response it revisits, or null. Payloads are not shuffled where the repeated
-    digests, one row each, are few enough for Spark to broadcast them."""
+    headers are small enough to be broadcast; else only those whose digest may be a repeated
+    one."""
     payload = F.coalesce(F.col("html"), F.lit(""))
     bodies = pages.select(
         "page_id",
@@ -96,7 +142,14 @@ def resolve_revisits(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFr
         .drop("n")
     )
     repeated = saved(repeated, f"{working_folder(pages.sparkSession)}/repeated")
-    joined = bodies.join(repeated, "digest", "left")
+    held_bytes = F.coalesce(F.octet_length("original.url"), F.lit(0)).cast("long") + 200
+    n, size = repeated.agg(F.count(F.lit(1)), F.coalesce(F.sum(held_bytes), F.lit(0))).first()
+    if size <= BROADCAST_BYTES:
+        joined = bodies.join(F.broadcast(repeated), "digest", "left")
+    else:
+        maybe = _may_be_repeated(repeated, n)
+        unique = bodies.where(~maybe).withColumn("original", F.lit(None).cast(repeated.schema["original"].dataType))
+        joined = bodies.where(maybe).join(repeated, "digest", "left").unionByName(unique)
     is_response = F.col("page_id").eqNullSafe(F.col("original.page_id"))
     return joined.withColumn("original", F.when(~is_response, F.col("original")))
 

@@ -585,6 +585,27 @@ def through_http(response):
     return found.read()
 
 
+def test_filter_of_repeated_payloads(spark, monkeypatch):
+    """No repeated digest is missed, few others pass, and the revisits are those of a plain join."""
+    digests = spark.range(60_000).select("id", F.sha1(F.col("id").cast("string")).alias("digest"))
+    repeated = digests.where("id % 3 = 0")
+    monkeypatch.setattr(warc, "FILTER_WORDS", 1 << 9)
+    passed = digests.where(warc._may_be_repeated(repeated, 20_000))
+    assert passed.where("id % 3 = 0").count() == 20_000
+    assert passed.where("id % 3 > 0").count() < 2_000
+    monkeypatch.setattr(warc, "FILTER_BITS", 64)  # full: all payloads go through the join
+    assert digests.where(warc._may_be_repeated(repeated, 20_000)).count() == 60_000
+
+    html = F.repeat(F.lpad((F.col("id") % 700 * (F.col("id") % 3)).cast("string"), 4, "0"), 300)
+    pages = spark.range(2_000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), html.alias("html"))
+    columns = ["page_id", "digest", "original.page_id"]
+    plain = warc.resolve_revisits(pages).select(*columns).collect()
+    monkeypatch.setattr(warc, "FILTER_BITS", 1 << 30)
+    monkeypatch.setattr(warc, "BROADCAST_BYTES", -1)
+    assert sorted(warc.resolve_revisits(pages).select(*columns).collect(), key=str) == sorted(plain, key=str)
+    assert sum(r[2] is not None for r in plain) > 600
+
+
 def test_chunks_of_payloads_that_look_like_chunks(spark):
     """Payloads with several marks, with what a chunk's head looks like, and marks at their ends."""
     mark = "WARC/1.1\r\n"
@@ -597,7 +618,9 @@ def test_chunks_of_payloads_that_look_like_chunks(spark):
     assert all(r["intact"] for r in found.values())
 
 
-def test_archives_of_odd_pages(spark):
+@pytest.mark.parametrize("broadcast_bytes", [warc.BROADCAST_BYTES, -1])
+def test_archives_of_odd_pages(spark, monkeypatch, broadcast_bytes):
+    monkeypatch.setattr(warc, "BROADCAST_BYTES", broadcast_bytes)
     body = "é" * 600
     forged = "\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\n" + "z" * 1000
     rows = [
