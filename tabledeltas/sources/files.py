@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+class NotSharedError(RuntimeError):
+    """Executors cannot see a folder they would have to work in."""
+
+
 def _resolve(spark: SparkSession, path: str):
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path
@@ -76,14 +80,25 @@ def append_rows(spark: SparkSession, values: Sequence[tuple], schema: T.StructTy
     appended.write.mode("append").parquet(path)
 
 
+def assert_shared(path: str, master: str) -> None:
+    """Refuse a folder of one machine where executors may run on others."""
+    if path.startswith("file:") and not master.startswith("local"):
+        raise NotSharedError(
+            f"{path} is a folder of the driver's machine; name one that all executors share in "
+            "spark.checkpoint.dir"
+        )
+
+
 def scratch_directory(spark: SparkSession) -> str:
     """A new folder for the working tables of one call, dropped when Spark ends.
 
     It lies in the shared folder the session names in ``spark.checkpoint.dir``; where that is
-    unset, below the session's warehouse directory, which executors share as well.
+    unset, below the session's warehouse directory, unless executors cannot share that.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    shared = shared or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_working"
+    if not shared:
+        shared = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_working"
+        assert_shared(qualified(spark, shared), spark.sparkContext.master)
     path = f"{shared.rstrip('/')}/tabledeltas-{uuid.uuid4().hex}"
     fs, p = _resolve(spark, path)
     fs.mkdirs(p)

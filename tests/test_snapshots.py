@@ -161,3 +161,14 @@ def test_retire_drops_what_a_crash_or_a_rejection_left(spark, store):
         True,
         True,
     ]
+
+
+def test_working_folders_are_shared(spark):
+    with pytest.raises(files.NotSharedError, match="spark.checkpoint.dir"):
+        files.assert_shared("file:/warehouse/_working", "spark://host:7077")
+    files.assert_shared("hdfs://host/warehouse/_working", "yarn")
+    files.assert_shared("file:/warehouse/_working", "local[8]")
+
+    made = files.scratch_directory(spark)
+    assert made.startswith(spark.conf.get("spark.checkpoint.dir"))
+    assert files.exists(spark, made)
